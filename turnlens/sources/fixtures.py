@@ -133,11 +133,11 @@ def _per_service(spark: SparkSession, d: str, rows: list[tuple], ddl: str) -> Da
 
 # Fixed fixture rows (FIXTURES.md part B).
 SLOT_ROWS = [
-    ("part_name", "Name of the part", False, ""),
-    ("brand", "Brand of the part", False, ""),
-    ("ship_date", "Date of shipping", False, ""),
-    ("part_type", "Kind of part", True, "small,medium,large"),
-    ("in_stock", "Whether the part is in stock", True, "True,False"),
+    ("part_name", "Name of the part", False, "", 0),
+    ("brand", "Brand of the part", False, "", 1),
+    ("ship_date", "Date of shipping", False, "", 2),
+    ("part_type", "Kind of part", True, "small,medium,large", 3),
+    ("in_stock", "Whether the part is in stock", True, "True,False", 4),
 ]
 TEMPLATE_ROWS = [
     ("SELECT!!part_name!!@", "I picked the @."),
@@ -155,11 +155,11 @@ FRAME_INTENT = "FindParts"
 
 def schema_slots(spark: SparkSession, d: str) -> DataFrame:
     """``schema_slots(service, service_desc, slot, slot_desc, is_categorical, possible_values)``."""
-    s = _per_service(spark, d, SLOT_ROWS, "slot, slot_desc, is_categorical, possible_values")
+    s = _per_service(spark, d, SLOT_ROWS, "slot, slot_desc, is_categorical, possible_values, slot_pos")
     s = s.filter(~((F.col("service") == "Household_3") & (F.col("slot") == "brand")))
     return s.select("service",
                     F.concat(F.lit("Find and order parts, "), F.lower("service")).alias("service_desc"),
-                    "slot", "slot_desc", "is_categorical", "possible_values")
+                    "slot", "slot_desc", "is_categorical", "possible_values", "slot_pos")
 
 
 def templates(spark: SparkSession, d: str) -> DataFrame:
