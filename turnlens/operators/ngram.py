@@ -20,9 +20,13 @@ from turnlens.functions.columns import _col, bleu_tokens, ngrams, rouge_tokens
 BLEU_ORDER = 4
 
 
+def _tag(n: int, side: str):
+    # a one-argument lambda: PySpark reads a two-argument one as (element, index)
+    return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("s"))
+
+
 def _grams(tokens: Column, side: str, orders: list[int]) -> Column:
-    return F.flatten(F.array(*[F.transform(ngrams(tokens, n), lambda g, n=n: F.struct(
-        F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("s"))) for n in orders]))
+    return F.flatten(F.array(*[F.transform(ngrams(tokens, n), _tag(n, side)) for n in orders]))
 
 
 def match_stats(df: DataFrame, key: str, ref_tokens: Column, hyp_tokens: Column, orders: list[int],
