@@ -122,10 +122,10 @@ def causal_lm_rows(df: DataFrame, bos: int, eos: int, pad: int = PAD_ID, padding
     """T5: ``input + [bos] + labels + [eos]``; labels masked by -100 over input + bos; three 0/1 masks."""
     inp = strip_pad("input_ids", pad)
     lab = strip_pad("labels", pad)
-    n_in = F.size(inp) + 1
+    n_in = F.col("_n_in")
     ids = F.concat(inp, F.array(F.lit(bos)), lab, F.array(F.lit(eos)))
     labels = F.concat(F.array_repeat(F.lit(IGNORE_LABEL), n_in), lab, F.array(F.lit(eos)))
-    out = df.withColumns({
+    out = df.withColumn("_n_in", F.size(inp) + 1).withColumns({
         "input_ids": ids,
         "labels": labels,
     })
@@ -142,7 +142,7 @@ def causal_lm_rows(df: DataFrame, bos: int, eos: int, pad: int = PAD_ID, padding
             "raw_input_mask": pad_to("raw_input_mask", 0, pad_length),
             "raw_label_mask": pad_to("raw_label_mask", 0, pad_length),
         })
-    return out
+    return out.drop("_n_in")
 
 
 def mask_select(values, mask) -> Column:

@@ -39,9 +39,12 @@ def scan_turns(src, splits: list[str] | None = None, spark: SparkSession | None
 
 # ------------------------------------------------------------------ S2 raw dialogues
 
-def read_dialogues(spark: SparkSession, split_dir: str) -> DataFrame:
-    """Every dialogue JSON list of a split dir; files named ``schema*`` are skipped."""
-    df = (spark.read.schema(SC.RAW_DIALOGUE).option("multiLine", True).json(split_dir)
+def read_dialogues(spark: SparkSession, split_dir: str, multi_line: bool = True) -> DataFrame:
+    """Every dialogue JSON file of a split dir; files named ``schema*`` are skipped.
+
+    ``multi_line`` reads JSON list files (one list per file); otherwise JSON lines.
+    """
+    df = (spark.read.schema(SC.RAW_DIALOGUE).option("multiLine", multi_line).json(split_dir)
           .select("*", F.col("_metadata.file_name").alias("_file")))
     return df.filter(~F.col("_file").startswith("schema")).drop("_file")
 
@@ -67,9 +70,9 @@ def system_turn_rows(turns: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ S3 schemas
 
-def read_schemas(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_schemas(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
     """S3: service schema JSON lists, tagged with ``schema_order`` = position in ``paths``."""
-    parts = [spark.read.schema(SC.SERVICE_SCHEMA).option("multiLine", True).json(p)
+    parts = [spark.read.schema(SC.SERVICE_SCHEMA).option("multiLine", multi_line).json(p)
              .withColumn("schema_order", F.lit(i)) for i, p in enumerate(paths)]
     out = parts[0]
     for p in parts[1:]:
@@ -120,10 +123,17 @@ def union_schemas(parts: list[DataFrame]) -> DataFrame:
 
 # ------------------------------------------------------------------ S4 templates
 
-def read_templates(spark: SparkSession, template_dir: str) -> DataFrame:
-    """One ``<service>.tsv`` per service: ``act_key \\t template`` (no quoting)."""
-    df = (spark.read.schema(SC.TEMPLATE_TSV).option("sep", "\t").option("quote", "").option("header", False)
-          .csv(os.path.join(template_dir, "*.tsv")))
+def read_templates(spark: SparkSession, template_dir: str, partitioned: bool = False) -> DataFrame:
+    """One ``<service>.tsv`` per service: ``act_key \\t template`` (no quoting).
+
+    ``partitioned`` reads a Spark-written ``service=<name>/`` layout instead.
+    """
+    r = spark.read.option("sep", "\t").option("quote", "").option("header", False)
+    if partitioned:
+        schema = T.StructType(SC.TEMPLATE_TSV.fields + [T.StructField("service", T.StringType())])
+        df = r.schema(schema).csv(template_dir)
+        return df.select("service", F.trim("act_key").alias("act_key"), F.trim("template").alias("template"))
+    df = r.schema(SC.TEMPLATE_TSV).csv(os.path.join(template_dir, "*.tsv"))
     return df.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.tsv$", 1).alias("service"),
                      F.trim("act_key").alias("act_key"), F.trim("template").alias("template"))
 
