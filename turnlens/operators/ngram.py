@@ -114,22 +114,31 @@ def _count_in(arr: Column, g: Column) -> Column:
     return F.size(F.filter(arr, lambda x: x == g))
 
 
-def bleu_row_stats_inline(ref, pred) -> dict[str, Column]:
-    """BLEU statistics of one row as plain expressions (no explode, no grouping).
+def _clipped(hg: Column, rg: Column):
+    # closure instead of default arguments: PySpark reads the lambda's arity
+    return lambda acc, g: acc + F.least(_count_in(hg, g), _count_in(rg, g))
 
-    Cost is quadratic in the row length, so this is for short texts (dialogue
-    turns) and for streaming, where a second stateful aggregation is not allowed.
+
+def bleu_row_stats_inline(df: DataFrame, ref: str = "ref", pred: str = "pred") -> DataFrame:
+    """BLEU statistics of each row as plain expressions (no explode, no grouping).
+
+    Token and n-gram arrays are materialised as columns first so the
+    matching lambdas reference them instead of re-tokenising.  Cost is
+    quadratic in the row length: meant for short texts (dialogue turns) and for
+    streaming, where a second stateful aggregation is not allowed.
     """
-    r, h = bleu_tokens(ref), bleu_tokens(pred)
-    out = {}
+    x = df.withColumns({"_r": bleu_tokens(ref), "_h": bleu_tokens(pred)})
+    x = x.withColumns({f"_hg{n}": ngrams(F.col("_h"), n) for n in range(1, BLEU_ORDER + 1)}
+                      | {f"_rg{n}": ngrams(F.col("_r"), n) for n in range(1, BLEU_ORDER + 1)})
+    stats = {}
     for n in range(1, BLEU_ORDER + 1):
-        hg, rg = ngrams(h, n), ngrams(r, n)
-        out[f"m{n}"] = F.aggregate(F.array_distinct(hg), F.lit(0).cast("bigint"),
-                                   lambda acc, g: acc + F.least(_count_in(hg, g), _count_in(rg, g)))
-        out[f"h{n}"] = F.size(hg).cast("bigint")
-    out["hyp_len"] = F.size(h).cast("bigint")
-    out["ref_len"] = F.size(r).cast("bigint")
-    return out
+        hg, rg = F.col(f"_hg{n}"), F.col(f"_rg{n}")
+        stats[f"m{n}"] = F.aggregate(F.array_distinct(hg), F.lit(0).cast("bigint"), _clipped(hg, rg))
+        stats[f"h{n}"] = F.size(hg).cast("bigint")
+    stats["hyp_len"] = F.size("_h").cast("bigint")
+    stats["ref_len"] = F.size("_r").cast("bigint")
+    drop = ["_r", "_h"] + [f"_{s}g{n}" for s in "hr" for n in range(1, BLEU_ORDER + 1)]
+    return x.withColumns(stats).drop(*drop)
 
 
 def bleu_python(refs: list[str], preds: list[str]) -> float:
