@@ -71,7 +71,12 @@ def with_permissible(df: DataFrame, schema_slots: DataFrame) -> DataFrame:
 def annotate_ser(decodes: DataFrame, turns: DataFrame, schema_slots: DataFrame,
                  match: Match = contains_ci) -> DataFrame:
     """Row table: decodes + acts + ``domain, has_slot_error, ser_applicable``."""
-    j = with_permissible(join_decodes(decodes, turns), schema_slots)
+    return annotate_rows(join_decodes(decodes, turns), schema_slots, match)
+
+
+def annotate_rows(rows: DataFrame, schema_slots: DataFrame, match: Match = contains_ci) -> DataFrame:
+    """SER flags for rows that already carry ``service, dialog_acts, pred``."""
+    j = with_permissible(rows, schema_slots)
     return j.select("*", domain_of("service").alias("domain"),
                     slot_error("dialog_acts", "pred", "perm", match).alias("has_slot_error"),
                     slot_error_3v("dialog_acts", "pred", "perm", match).alias("ser_applicable"))

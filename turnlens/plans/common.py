@@ -18,7 +18,14 @@ def r6(c):
 
 
 def annotated(spark: SparkSession, d: str, decodes: DataFrame | None = None) -> DataFrame:
-    """Decodes joined to their test turns with SER flags (see ``ser.annotate_ser``)."""
-    dec = decodes if decodes is not None else fx.decodes(spark, d)
-    t = fx.turns(spark, d).filter(F.col("split") == "test")
-    return S.annotate_ser(dec, t, fx.schema_slots(spark, d))
+    """Decode rows with their test-set acts and SER flags (see ``ser.annotate_ser``).
+
+    Fixture decodes carry their turn's acts already (one pass over the turns);
+    other decodes are joined to the test turns on the row key (J2).
+    """
+    if decodes is None:
+        decodes = fx.decodes(spark, d, with_acts=True)
+    if "dialog_acts" in decodes.columns:
+        return S.annotate_rows(decodes, fx.schema_slots(spark, d))
+    t = fx.turns(spark, d, splits=["test"])
+    return S.annotate_ser(decodes, t, fx.schema_slots(spark, d))

@@ -100,7 +100,7 @@ SELECT n.k AS unseen_acts, t.c AS test_turns, round(n.k * 1.0 / t.c, 6) AS ratio
   (SELECT CAST(count(*) AS BIGINT) AS c FROM turn_text WHERE split = 'test') t""")
 def unseen_ratio(spark, d):
     e = _ents(spark, d)
-    t = fx.turns(spark, d).filter(F.col("split") == "test")
+    t = fx.turns(spark, d, splits=["test"])
     r = A.unseen_ratio(e, A.unseen_entities(e), t)
     return r.select("unseen_acts", "test_turns", r6(F.col("ratio")).alias("ratio"))
 

@@ -185,7 +185,7 @@ def join_slot_desc(spark, d):
 SELECT d.row_idx, d.ref, d.service, CAST(count(*) AS INTEGER) AS n_acts FROM decodes d JOIN acts a ON a.turn_key = d.row_idx
 GROUP BY d.row_idx, d.ref, d.service""")
 def join_decodes(spark, d):
-    t = fx.turns(spark, d).filter(F.col("split") == "test")
+    t = fx.turns(spark, d, splits=["test"])
     j = S.join_decodes(fx.decodes(spark, d), t)
     return j.select("row_idx", "ref", "service", F.size("dialog_acts").alias("n_acts"))
 

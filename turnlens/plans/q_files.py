@@ -127,11 +127,9 @@ def write_metrics(spark, d):
 @register("eval_inputs")
 def eval_inputs(spark, d):
     p = scratch(spark, "eval")
-    dec = fx.decodes(spark, d).orderBy("row_idx")
-    t = fx.turns(spark, d).filter(F.col("split") == "test").withColumnRenamed("turn_key", "row_idx")
-    j = dec.join(t.select("row_idx", "dialog_id", "service", "dialog_acts"), "row_idx").orderBy("row_idx")
+    j = fx.decodes(spark, d, with_acts=True).orderBy("row_idx")
     rows = j.select(F.col("sr").alias("input"), F.col("ref").alias("target"),
-                    F.to_json(F.struct("service", "dialog_acts")).alias("metainfo"), "dialog_id",
+                    F.to_json(F.struct("service", "dialog_acts")).alias("metainfo"), F.lit("").alias("dialog_id"),
                     (F.col("row_idx") % 1000).cast("int").alias("turn_id"))
     files.write_task_tsv(rows.coalesce(1), os.path.join(p, "inputs"))
     j.select("pred").coalesce(1).write.mode("overwrite").text(os.path.join(p, "preds"))

@@ -21,8 +21,7 @@ ROUGE_ROWS = """rr AS (SELECT row_idx, domain, m1 * 1.0 / greatest(h1, 1) AS rou
 def dec_domain(spark, d, decodes=None):
     """Decode rows with their domain (J2 join to the test turns)."""
     dec = decodes if decodes is not None else fx.decodes(spark, d)
-    t = fx.turns(spark, d).filter(F.col("split") == "test").select(F.col("turn_key").alias("row_idx"), "service")
-    return dec.join(t, "row_idx").withColumn("domain", domain_of("service"))
+    return dec.withColumn("domain", domain_of("service"))
 
 
 @register("bleu_corpus", f"WITH {BLEU_CTE}\n{bleu_select(None)}")
@@ -91,7 +90,7 @@ UNION ALL SELECT 'seq_accuracy', avg(CAST(ref = pred AS INTEGER)) * 100 FROM ({s
 
 @register("run_summary", f"""SELECT metric, 't5small---test_name' AS run, round(value, 6) AS value FROM ({SUMMARY_SQL(DEC)})""")
 def run_summary(spark, d):
-    s = _summary(spark, d, fx.decodes(spark, d))
+    s = _summary(spark, d, fx.decodes(spark, d, with_acts=True))
     return s.select("metric", run_label(RUN_LABEL_PATH).alias("run"), r6(F.col("value")).alias("value"))
 
 
@@ -105,8 +104,8 @@ ROW_SER2 = """row_ser2 AS (SELECT d.row_idx, coalesce(bool_or(list_bool_or(list_
 SELECT b.metric, round(b.value, 6) AS base, round(o.value, 6) AS second FROM ({SUMMARY_SQL(DEC)}) b
 LEFT JOIN ({SUMMARY_SQL(DEC2).replace('FROM row_ser r', 'FROM row_ser2 r').replace('WITH ', 'WITH ' + ROW_SER2 + ', ', 1)}) o ON o.metric = b.metric""")
 def metric_compare(spark, d):
-    base = _summary(spark, d, fx.decodes(spark, d))
-    other = _summary(spark, d, fx.decodes_second_run(spark, d))
+    base = _summary(spark, d, fx.decodes(spark, d, with_acts=True))
+    other = _summary(spark, d, fx.decodes_second_run(spark, d, with_acts=True))
     j = A.metric_compare(base, other, "second")
     return j.select("metric", r6(F.col("value")).alias("base"), r6(F.col("second")).alias("second"))
 
@@ -156,5 +155,5 @@ FROM row_ser r JOIN decodes d ON d.row_idx = r.row_idx LEFT JOIN decodes2 d2 ON
 LEFT JOIN row_ser2 s2 ON s2.row_idx = r.row_idx WHERE r.has_slot_error""")
 def compare_runs(spark, d):
     base = A.bad_cases(annotated(spark, d), "has_slot_error", 0).select("row_idx", "pred")
-    other = annotated(spark, d, fx.decodes_second_run(spark, d))
+    other = annotated(spark, d, fx.decodes_second_run(spark, d, with_acts=True))
     return A.compare_runs(base, {"second": other}, ["pred", "has_slot_error"])

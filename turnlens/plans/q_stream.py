@@ -15,9 +15,7 @@ from turnlens.streaming.metrics_stream import run_stream, scores
 def _run(spark, d):
     work = scratch(spark, "stream")
     src = f"{work}/source"
-    dec = fx.decodes(spark, d)
-    t = fx.turns(spark, d).filter(F.col("split") == "test").select(F.col("turn_key").alias("row_idx"), "service", "dialog_acts")
-    rows = dec.join(t, "row_idx").select("row_idx", "ref", "pred", "service", "dialog_acts")
+    rows = fx.decodes(spark, d, with_acts=True).select("row_idx", "ref", "pred", "service", "dialog_acts")
     rows.repartition(4, "row_idx").write.mode("overwrite").parquet(src)    # four files = four micro-batches
     perm = S.permissible_slots(fx.schema_slots(spark, d))
     return scores(run_stream(spark, src, perm, work))

@@ -30,7 +30,12 @@ def act_names(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(ACT_NAMES)), "act INT, act_name STRING")
 
 
-def acts(spark: SparkSession, d: str) -> DataFrame:
+def split_of(orderkey: Column) -> Column:
+    """Split of a turn: order key mod 10 < 8 train, = 8 validation, else test."""
+    return F.when(orderkey % 10 < 8, "train").when(orderkey % 10 == 8, "validation").otherwise("test")
+
+
+def acts(spark: SparkSession, d: str, splits: list[str] | None = None) -> DataFrame:
     """Long form, one row per dialogue act.
 
     Join order is chosen for scale: lineitem meets part on ``partkey`` and
@@ -43,6 +48,11 @@ def acts(spark: SparkSession, d: str) -> DataFrame:
     pa = table(spark, d, "part", ["p_partkey", "p_name", "p_brand", "p_type"])
     od = table(spark, d, "orders", ["o_orderkey", "o_custkey"])
     cu = table(spark, d, "customer", ["c_custkey", "c_mktsegment", "c_nationkey"])
+    if splits:
+        # The split depends on the order key only: filter the orders before the
+        # joins (a filter on the derived column would stop at the window, and
+        # above the collect_list aggregate it could not be pushed at all).
+        od = od.filter(split_of(F.col("o_orderkey")).isin(splits))
     lp = li.join(pa, li.l_partkey == pa.p_partkey)
     oc = od.join(cu, od.o_custkey == cu.c_custkey)
     j = lp.join(oc, lp.l_orderkey == oc.o_orderkey)
@@ -55,11 +65,10 @@ def acts(spark: SparkSession, d: str) -> DataFrame:
             e = F.when(ln == k, v) if e is None else e.when(ln == k, v)
         return e.otherwise(default)
 
-    return j.select(
+    out = j.select(
         F.col("o_orderkey").alias("turn_key"),
         F.concat(F.lit("1_"), F.lpad(F.col("o_custkey").cast("string"), 5, "0")).alias("dialog_id"),
-        F.when(F.col("o_orderkey") % 10 < 8, "train")
-         .when(F.col("o_orderkey") % 10 == 8, "validation").otherwise("test").alias("split"),
+        split_of(F.col("o_orderkey")).alias("split"),
         F.concat(F.substring("c_mktsegment", 1, 1), F.lower(F.expr("substr(c_mktsegment, 2)")), F.lit("_"),
                  (F.col("c_nationkey") % 3 + 1).cast("string")).alias("service"),
         (F.row_number().over(w) - 1).alias("act_pos"),
@@ -75,6 +84,7 @@ def acts(spark: SparkSession, d: str) -> DataFrame:
         F.when((ln == 1) & (F.col("l_quantity") >= 40), F.col("p_brand")).alias("value2"),
         ((F.col("l_partkey") + ln) % 9 == 0).alias("dropped"),
     )
+    return out
 
 
 def _turn_struct(a: DataFrame) -> DataFrame:
@@ -94,14 +104,14 @@ def _turn_struct(a: DataFrame) -> DataFrame:
     return g
 
 
-def turns(spark: SparkSession, d: str, with_pred: bool = False) -> DataFrame:
+def turns(spark: SparkSession, d: str, with_pred: bool = False, splits: list[str] | None = None) -> DataFrame:
     """Nested turns: ``turn_key, dialog_id, split, service, dialog_acts, target`` (+ ``pred``).
 
     One aggregation builds the act array and both texts; it groups on
     ``turn_key`` (= order key), the key the act window is already partitioned
     by, so it adds no exchange.  A turn holds at most 7 acts.
     """
-    g = _turn_struct(acts(spark, d))
+    g = _turn_struct(acts(spark, d, splits))
     cols = [
         "turn_key", "dialog_id", "split", "service",
         F.transform("xs", lambda x: F.struct(x["act"].alias("act"), x["slot"].alias("slot"),
@@ -191,19 +201,23 @@ def prepared_turns(spark: SparkSession, d: str) -> DataFrame:
     return main.unionByName(extra)
 
 
-def decodes(spark: SparkSession, d: str, sr: Column | None = None) -> DataFrame:
-    """Decoded test rows ``(row_idx, ref, pred, sr)``; ``row_idx`` = ``turn_key``.
+def decodes(spark: SparkSession, d: str, sr: Column | None = None, with_acts: bool = False) -> DataFrame:
+    """Decoded test rows ``(row_idx, ref, pred, sr, service)``; ``row_idx`` = ``turn_key``.
 
     ``sr`` (the model input text) defaults to the paper-naive linearization.
+    ``with_acts`` also keeps the turn's ``dialog_acts`` (the test-set record the
+    decode line belongs to), which saves the J2 self-join when decodes and
+    turns come from the same fixture.
     """
     from turnlens.operators.linearize import lin_paper
     from turnlens.functions.columns import decode_acts
-    t = turns(spark, d, with_pred=True).filter(F.col("split") == "test")
+    t = turns(spark, d, with_pred=True, splits=["test"])
+    extra = ["dialog_acts"] if with_acts else []
     return t.select(F.col("turn_key").alias("row_idx"), F.col("target").alias("ref"), "pred",
-                    (sr if sr is not None else lin_paper(decode_acts("dialog_acts"))).alias("sr"))
+                    (sr if sr is not None else lin_paper(decode_acts("dialog_acts"))).alias("sr"), "service", *extra)
 
 
-def decodes_second_run(spark: SparkSession, d: str) -> DataFrame:
+def decodes_second_run(spark: SparkSession, d: str, with_acts: bool = False) -> DataFrame:
     """A second run for comparisons: ``pred = ref`` where ``row_idx % 3 = 0``."""
-    dec = decodes(spark, d)
+    dec = decodes(spark, d, with_acts=with_acts)
     return dec.withColumn("pred", F.when(F.col("row_idx") % 3 == 0, F.col("ref")).otherwise(F.col("pred")))
