@@ -10,8 +10,6 @@ over the text, no per-row Python).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,42 +137,3 @@ def bleu_row_stats_inline(df: DataFrame, ref: str = "ref", pred: str = "pred") -
     stats["ref_len"] = F.size("_r").cast("bigint")
     drop = ["_r", "_h"] + [f"_{s}g{n}" for s in "hr" for n in range(1, BLEU_ORDER + 1)]
     return x.withColumns(stats).drop(*drop)
-
-
-def bleu_python(refs: list[str], preds: list[str]) -> float:
-    """Reference-free re-statement of corpus BLEU for tests (pure Python)."""
-    import re
-    from collections import Counter
-
-    def tok(s):
-        s = s.replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
-        for a, b in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
-            s = s.replace(a, b)
-        s = f" {s} "
-        s = re.sub(r"([\x20-\x26\x28-\x2b\x2f\x3a-\x40\x5b-\x60\x7b-\x7e])", r" \1 ", s)
-        s = re.sub(r"([^0-9])([.,])", r"\1 \2 ", s)
-        s = re.sub(r"([.,])([^0-9])", r" \1 \2", s)
-        s = re.sub(r"([0-9])(-)", r"\1 \2 ", s)
-        return s.split()
-
-    m, t, sl, rl = [0] * 4, [0] * 4, 0, 0
-    for r, p in zip(refs, preds):
-        rt, pt = tok(r), tok(p)
-        sl += len(pt)
-        rl += len(rt)
-        for n in range(1, 5):
-            pc = Counter(tuple(pt[i:i + n]) for i in range(len(pt) - n + 1))
-            rc = Counter(tuple(rt[i:i + n]) for i in range(len(rt) - n + 1))
-            m[n - 1] += sum(min(c, rc[g]) for g, c in pc.items())
-            t[n - 1] += sum(pc.values())
-    if min(t) == 0 or max(m) == 0:
-        return 0.0
-    k, logs = 0, []
-    for mi, ti in zip(m, t):
-        if mi == 0:
-            k += 1
-            logs.append(math.log(1.0 / (2 ** k * ti)))
-        else:
-            logs.append(math.log(mi / ti))
-    bp = 1.0 if sl >= rl else (0.0 if sl == 0 else math.exp(1 - rl / sl))
-    return 100.0 * bp * math.exp(sum(logs) / 4)
