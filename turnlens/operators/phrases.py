@@ -48,7 +48,7 @@ def bayes_rank(turns: DataFrame, slot: str, n_examples, min_unigram: int = 20) -
     probabilities), ``tok``; adds ``rank`` and the new ``prod``.
     """
     uni = unigram_freq(turns).select(F.col("token").alias("tok"), F.col("count").alias("ucount"),
-                                     F.col("freq").alias("ufreq"))
+                                     F.col("freq").alias("ufreq")).checkpoint()
     vals = slot_value_tokens(turns).filter(F.col("slot") == slot).select(F.col("token").alias("tok"),
                                                                           F.lit(True).alias("is_value"))
     n_turns = turns.select(F.count(F.lit(1))).scalar()
@@ -74,6 +74,9 @@ def mine_patterns(turns: DataFrame, slot: str, n_grams: int = 4, min_count: int
     with a ``rank`` column; the default is :func:`bayes_rank`.
     """
     spark = turns.sparkSession
+    # Statistics, examples and ranks all read the turns: keep them for the run
+    # (a lost executor recomputes its blocks from lineage).
+    turns = turns.persist()
     toks, ex = example_tokens(turns, slot)
     toks = toks.checkpoint()
     n_examples = ex.select(F.count(F.lit(1))).scalar()
@@ -106,6 +109,7 @@ def mine_patterns(turns: DataFrame, slot: str, n_grams: int = 4, min_count: int
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
+    turns.unpersist()   # every level is checkpointed, so the result no longer needs them
     return out
 
 

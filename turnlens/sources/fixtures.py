@@ -35,13 +35,13 @@ def split_of(orderkey: Column) -> Column:
     return F.when(orderkey % 10 < 8, "train").when(orderkey % 10 == 8, "validation").otherwise("test")
 
 
-def acts(spark: SparkSession, d: str, splits: list[str] | None = None) -> DataFrame:
-    """Long form, one row per dialogue act.
+def _joined(spark: SparkSession, d: str, splits: list[str] | None = None) -> DataFrame:
+    """Line items joined to part, order and customer, with every act column except ``act_pos``.
 
     Join order is chosen for scale: lineitem meets part on ``partkey`` and
     orders meet customer on ``custkey`` first, so the last join is on
-    ``orderkey``; the act-position window is then partitioned by the same key
-    and needs no further exchange.
+    ``orderkey`` and everything grouped per turn afterwards reuses that
+    partitioning.
     """
     li = table(spark, d, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                                       "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"])
@@ -56,7 +56,6 @@ def acts(spark: SparkSession, d: str, splits: list[str] | None = None) -> DataFr
     lp = li.join(pa, li.l_partkey == pa.p_partkey)
     oc = od.join(cu, od.o_custkey == cu.c_custkey)
     j = lp.join(oc, lp.l_orderkey == oc.o_orderkey)
-    w = Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     ln = F.col("l_linenumber")
 
     def by_line(mapping: dict, default) -> Column:
@@ -65,13 +64,13 @@ def acts(spark: SparkSession, d: str, splits: list[str] | None = None) -> DataFr
             e = F.when(ln == k, v) if e is None else e.when(ln == k, v)
         return e.otherwise(default)
 
-    out = j.select(
+    return j.select(
         F.col("o_orderkey").alias("turn_key"),
         F.concat(F.lit("1_"), F.lpad(F.col("o_custkey").cast("string"), 5, "0")).alias("dialog_id"),
         split_of(F.col("o_orderkey")).alias("split"),
         F.concat(F.substring("c_mktsegment", 1, 1), F.lower(F.expr("substr(c_mktsegment, 2)")), F.lit("_"),
                  (F.col("c_nationkey") % 3 + 1).cast("string")).alias("service"),
-        (F.row_number().over(w) - 1).alias("act_pos"),
+        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
         by_line({1: 4, 2: 3, 3: 0, 4: 6, 5: 2, 6: 0}, F.lit(9)).cast("int").alias("act"),
         by_line({1: "part_name", 2: "brand", 3: "ship_date", 4: "count", 5: "part_type", 6: "in_stock"},
                 F.lit("")).alias("slot"),
@@ -84,7 +83,19 @@ def acts(spark: SparkSession, d: str, splits: list[str] | None = None) -> DataFr
         F.when((ln == 1) & (F.col("l_quantity") >= 40), F.col("p_brand")).alias("value2"),
         ((F.col("l_partkey") + ln) % 9 == 0).alias("dropped"),
     )
-    return out
+
+
+ACT_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+def acts(spark: SparkSession, d: str, splits: list[str] | None = None) -> DataFrame:
+    """Long form, one row per dialogue act, with ``act_pos`` (order inside the turn).
+
+    The position window is partitioned by the order key, the key of the last
+    join, so it needs no further exchange.
+    """
+    w = Window.partitionBy("turn_key").orderBy(*ACT_ORDER)
+    return _joined(spark, d, splits).withColumn("act_pos", F.row_number().over(w) - 1).drop(*ACT_ORDER)
 
 
 def _turn_struct(a: DataFrame) -> DataFrame:
@@ -97,9 +108,11 @@ def _turn_struct(a: DataFrame) -> DataFrame:
                   .when(v2.isNotNull(), F.concat(F.lit("The "), slot, F.lit(" is "), F.upper(v1), F.lit(" and "), v2, F.lit(".")))
                   .otherwise(F.concat(F.lit("Its "), slot, F.lit(" is "), v1, F.lit("."))))
     vals = F.filter(F.array(v1, v2), lambda x: x.isNotNull())
+    # Sorting the collected structs on the act-order keys gives the act
+    # position without a window (and its sort) over all line items.
     g = a.groupBy("turn_key", "dialog_id", "split", "service").agg(
         F.sort_array(F.collect_list(F.struct(
-            F.col("act_pos"), F.col("act"), slot.alias("slot"), vals.alias("values"),
+            *[F.col(c) for c in ACT_ORDER], F.col("act"), slot.alias("slot"), vals.alias("values"),
             target_piece.alias("t"), pred_piece.alias("p")))).alias("xs"))
     return g
 
@@ -111,7 +124,7 @@ def turns(spark: SparkSession, d: str, with_pred: bool = False, splits: list[str
     ``turn_key`` (= order key), the key the act window is already partitioned
     by, so it adds no exchange.  A turn holds at most 7 acts.
     """
-    g = _turn_struct(acts(spark, d, splits))
+    g = _turn_struct(_joined(spark, d, splits))
     cols = [
         "turn_key", "dialog_id", "split", "service",
         F.transform("xs", lambda x: F.struct(x["act"].alias("act"), x["slot"].alias("slot"),
@@ -137,7 +150,7 @@ def _per_service(spark: SparkSession, d: str, rows: list[tuple], ddl: str) -> Da
     """
     names = [f.split()[0] for f in ddl.split(",")]
     lit_rows = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows])
-    services = acts(spark, d).select("service").distinct()
+    services = _joined(spark, d).select("service").distinct()
     return services.select("service", F.explode(lit_rows).alias("x")).select("service", "x.*")
 
 
