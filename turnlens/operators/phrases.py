@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlens.operators.analysis import acts_long, slot_value_tokens, unigram_freq
+from turnlens.session import checkpoint_dir
 
 RankFn = Callable[[DataFrame], DataFrame]
 
@@ -47,6 +48,7 @@ def bayes_rank(turns: DataFrame, slot: str, n_examples, min_unigram: int = 20) -
     Input columns: ``count, prod`` (product of the parent's token
     probabilities), ``tok``; adds ``rank`` and the new ``prod``.
     """
+    checkpoint_dir(turns.sparkSession)
     uni = unigram_freq(turns).select(F.col("token").alias("tok"), F.col("count").alias("ucount"),
                                      F.col("freq").alias("ufreq")).checkpoint()
     vals = slot_value_tokens(turns).filter(F.col("slot") == slot).select(F.col("token").alias("tok"),
@@ -74,6 +76,7 @@ def mine_patterns(turns: DataFrame, slot: str, n_grams: int = 4, min_count: int
     with a ``rank`` column; the default is :func:`bayes_rank`.
     """
     spark = turns.sparkSession
+    checkpoint_dir(spark)
     # Statistics, examples and ranks all read the turns: keep them for the run
     # (a lost executor recomputes its blocks from lineage).
     turns = turns.persist()

@@ -48,10 +48,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     A cluster names a shared folder there; we only fill in a local scratch
     folder when nothing is set (local tests).
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) \
+        or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="turnlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - a core setting may be read-only at runtime
+            pass
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d

@@ -226,13 +226,17 @@ def write_decodes(decodes: DataFrame, path: str) -> None:
 
 
 def read_decodes(spark: SparkSession, path: str, trim: bool = False) -> DataFrame:
-    """Pipe-separated decode lines; over-long lines (extra ``|``) are dropped; pipes unescaped."""
-    df = (spark.read.schema(SC.DECODE_LINE).option("sep", "|").option("quote", "")
-          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
-    too_long = F.col("_corrupt_record").isNotNull() & (F.size(F.split("_corrupt_record", r"\|")) > 4)
-    df = df.filter(~too_long)
-    f = (lambda c: F.trim(unescape_pipes(c))) if trim else unescape_pipes
-    return df.select(F.col("idx").alias("row_idx"), f("ref").alias("ref"), f("pred").alias("pred"), f("sr").alias("sr"))
+    """Pipe-separated decode lines ``N|ref | pred | input``; no quoting.
+
+    Lines with more than four fields (an unescaped ``|``) are dropped, missing
+    trailing fields are null; pipes are unescaped.  Read as text and split
+    natively, so there is no corrupt-record column to special-case.
+    """
+    f = F.split(F.col("value"), r"\|", -1)
+    df = spark.read.text(path).filter(F.col("value") != "").select(f.alias("f")).filter(F.size("f") <= 4)
+    g = (lambda c: F.trim(unescape_pipes(c))) if trim else unescape_pipes
+    return df.select(F.get("f", 0).cast("long").alias("row_idx"), g(F.get("f", 1)).alias("ref"),
+                     g(F.get("f", 2)).alias("pred"), g(F.get("f", 3)).alias("sr"))
 
 
 # ------------------------------------------------------------------ S11 eval inputs
