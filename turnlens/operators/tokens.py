@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,13 +25,21 @@ BROADCAST_MAX_ROWS = 2_000_000   # a vocabulary this small is broadcast (about 1
 
 
 def index_rows(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
-    """Consecutive 0-based index in a total order: distributed sort + ``zipWithIndex``.
-
-    Avoids a partition-less window (which would move every row into one task).
+    """Consecutive 0-based index in a total order, without a partition-less window.
+
+    A distributed sort range-partitions the rows; each row gets its position
+    inside its partition (``monotonically_increasing_id`` keeps the partition
+    in the upper bits) plus the number of rows in earlier partitions.  The
+    offset table has one row per partition and is broadcast.  Both uses of
+    the sorted input share one range-partitioning exchange (exchange reuse),
+    so they see the same partitions.
     """
-    s = df.orderBy(*order)
-    schema = T.StructType(s.schema.fields + [T.StructField(name, T.LongType())])
-    return s.rdd.zipWithIndex().map(lambda r: tuple(r[0]) + (r[1],)).toDF(schema)
+    s = df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id())
+    s = s.withColumns({"_p": F.shiftright("_m", 33), "_r": F.col("_m").bitwiseAND((1 << 33) - 1)})
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = s.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    return s.join(F.broadcast(offsets.select("_p", "_off")), "_p") \
+        .withColumn(name, F.col("_off") + F.col("_r")).drop("_m", "_p", "_r", "_off")
 
 
 def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
