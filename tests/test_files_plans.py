@@ -82,3 +82,8 @@ def test_split_filter_reaches_the_scan(spark, sf_dir):
     plan = E.queries()["ser_by_domain"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     scans = [l for l in plan.split("\n") if "FileScan parquet" in l and "o_orderkey" in l]
     assert scans and all("% 10" in l for l in scans[:1])
+
+
+def test_turn_json_round_trip(spark, sf_dir):
+    df = E.queries()["turn_json"](spark, sf_dir)
+    assert df.filter(~F.col("same")).count() == 0

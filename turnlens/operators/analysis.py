@@ -185,9 +185,14 @@ def compare_runs(base: DataFrame, others: dict[str, DataFrame], cols: list[str])
     return out
 
 
+def metric_filter(run: DataFrame, base: DataFrame) -> DataFrame:
+    """Keep the metrics of ``run`` that the base table has (left-semi on metric name)."""
+    return run.join(base.select("metric"), "metric", "left_semi")
+
+
 def metric_compare(base: DataFrame, run: DataFrame, run_name: str) -> DataFrame:
     """Add one run's metric column to a baseline ``(metric, ...)`` table, joined on metric name."""
-    return base.join(run.select("metric", F.col("value").alias(run_name)), "metric", "left")
+    return base.join(metric_filter(run, base).select("metric", F.col("value").alias(run_name)), "metric", "left")
 
 
 def case_lookup(rows: DataFrame, cases: DataFrame) -> DataFrame:

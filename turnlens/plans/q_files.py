@@ -134,3 +134,24 @@ def eval_inputs(spark, d):
     files.write_task_tsv(rows.coalesce(1), os.path.join(p, "inputs"))
     j.select("pred").coalesce(1).write.mode("overwrite").text(os.path.join(p, "preds"))
     return files.eval_inputs(spark, os.path.join(p, "inputs"), os.path.join(p, "preds"))
+
+
+@register("fewshot_ids", """
+SELECT DISTINCT dialog_id, '5_shot' AS size FROM acts WHERE CAST(substr(dialog_id, 3) AS BIGINT) % 50 = 0
+UNION ALL SELECT DISTINCT dialog_id, '20_shot' FROM acts WHERE CAST(substr(dialog_id, 3) AS BIGINT) % 10 = 0""")
+def fewshot_ids(spark, d):
+    """Few-shot id lists written one folder per size and read back."""
+    from turnlens.plans.q_analysis import fewshot_ids as ids
+    p = scratch(spark, "fewshot")
+    files.write_fewshot_ids(ids(spark, d), p)
+    return files.read_fewshot_ids(spark, p, partitioned=True).select("dialog_id", "size")
+
+
+@register("turn_json")
+def turn_json(spark, d):
+    """C11: turn -> JSON -> record; ``same`` is true when the round trip is lossless."""
+    j = files.turn_json(fx.turns(spark, d))
+    t = fx.turns(spark, d).select("turn_key", "service", "dialog_acts")
+    return j.join(t, "turn_key").select(
+        "turn_key", "json", ((F.col("record.service") == F.col("service")) &
+                             (F.to_json("record.dialog_acts") == F.to_json("dialog_acts"))).alias("same"))

@@ -199,14 +199,32 @@ def write_task_tsv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("sep", "\t").option("escape", '"').option("header", False).csv(path)
 
 
-def read_fewshot_ids(spark: SparkSession, ids_dir: str) -> DataFrame:
-    """``dialog_id, size`` — one text file of ids per split size (size = file name minus extension)."""
+def read_fewshot_ids(spark: SparkSession, ids_dir: str, partitioned: bool = False) -> DataFrame:
+    """``dialog_id, size`` — one text file of ids per split size (size = file name minus extension).
+
+    ``partitioned`` reads a Spark-written ``size=<name>/`` layout instead.
+    """
+    if partitioned:
+        df = spark.read.schema("value string, size string").text(ids_dir)
+        return df.select(F.trim("value").alias("dialog_id"), "size").filter(F.col("dialog_id") != "")
     df = spark.read.text(ids_dir)
     return df.select(F.trim("value").alias("dialog_id"),
                      F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]*$", 1).alias("size")) \
         .filter(F.col("dialog_id") != "")
 
 
+def write_fewshot_ids(ids: DataFrame, ids_dir: str) -> None:
+    """S8 sink: one id per line, one folder per split size."""
+    ids.select(F.col("dialog_id").alias("value"), "size").write.mode("overwrite").partitionBy("size").text(ids_dir)
+
+
+def turn_json(turns: DataFrame) -> DataFrame:
+    """C11: turn record -> JSON text (``metainfo``) and back."""
+    j = turns.select("turn_key", F.to_json(F.struct("service", "dialog_acts")).alias("json"))
+    back = F.from_json("json", "struct<service:string, dialog_acts:array<struct<act:int,slot:string,values:array<string>>>>")
+    return j.withColumn("record", back)
+
+
 def fewshot(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of dialogues listed for each split size (left-semi per size)."""
     return rows.join(ids, "dialog_id", "inner").select(*rows.columns, "size")
