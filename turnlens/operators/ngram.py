@@ -31,26 +31,30 @@ def match_stats(df: DataFrame, key: str, ref_tokens: Column, hyp_tokens: Column,
                 keep: list[str] | None = None, repartition: bool = True) -> DataFrame:
     """Per row: ``m{n}`` clipped matches, ``h{n}`` hyp n-grams, ``r{n}`` ref n-grams, ``hyp_len``, ``ref_len``.
 
-    ``keep`` columns (e.g. domain) are carried along.  Totals come from the
-    token counts; only matches need the n-gram explode.
+    One pass: explode the n-grams of both sides (plus one sentinel per row so
+    rows without n-grams survive), count per ``(row, order, gram)``, then sum
+    per row.  Both aggregations group on the row key first, so once the rows
+    are hash-partitioned on it neither needs another exchange.  Totals come
+    from the token counts.  ``keep`` columns (e.g. domain) are carried along.
     """
     keep = keep or []
     base = df.select(key, *keep, ref_tokens.alias("_r"), hyp_tokens.alias("_h"))
     if repartition:
-        base = base.repartition(key)
-    g = base.select(key, F.explode(F.concat(_grams(F.col("_r"), "r", orders), _grams(F.col("_h"), "h", orders))).alias("x"))
-    per_gram = g.groupBy(key, F.col("x.n").alias("n"), F.col("x.g").alias("g")).agg(
+        base = base.repartition(key)    # elided by Catalyst when already partitioned on the key
+    sentinel = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("g"), F.lit("-").alias("s")))
+    grams = F.concat(sentinel, _grams(F.col("_r"), "r", orders), _grams(F.col("_h"), "h", orders))
+    rows = base.select(key, *keep, F.size("_h").alias("hyp_len"), F.size("_r").alias("ref_len"),
+                       F.explode(grams).alias("x"))
+    ids = [key, *keep, "hyp_len", "ref_len"]
+    per_gram = rows.groupBy(*ids, F.col("x.n").alias("n"), F.col("x.g").alias("g")).agg(
         F.count_if(F.col("x.s") == "h").alias("hc"), F.count_if(F.col("x.s") == "r").alias("rc"))
-    per_row = per_gram.filter((F.col("hc") > 0) & (F.col("rc") > 0)).groupBy(key).agg(
+    per_row = per_gram.groupBy(*ids).agg(
         *[F.sum(F.when(F.col("n") == n, F.least("hc", "rc")).otherwise(0)).alias(f"m{n}") for n in orders])
-    totals = {}
+    totals = []
     for n in orders:
-        totals[f"h{n}"] = F.greatest(F.size("_h") - n + 1, F.lit(0))
-        totals[f"r{n}"] = F.greatest(F.size("_r") - n + 1, F.lit(0))
-    out = base.select(key, *keep, *[c.alias(k) for k, c in totals.items()],
-                      F.size("_h").alias("hyp_len"), F.size("_r").alias("ref_len"))
-    out = out.join(per_row, key, "left")
-    return out.fillna(0, subset=[f"m{n}" for n in orders])
+        totals += [F.greatest(F.col("hyp_len") - n + 1, F.lit(0)).alias(f"h{n}"),
+                   F.greatest(F.col("ref_len") - n + 1, F.lit(0)).alias(f"r{n}")]
+    return per_row.select(*ids, *totals, *[f"m{n}" for n in orders])
 
 
 def bleu_row_stats(df: DataFrame, key: str = "row_idx", ref: str = "ref", pred: str = "pred",
