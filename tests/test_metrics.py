@@ -129,3 +129,38 @@ def test_parent_rows_filter(spark, sf_dir):
     p = TM.parent_rows(rows)
     assert p.filter(F.size("table") == 0).count() == 0
     assert p.count() <= rows.count()
+
+
+def test_ser_fuzzy_rows_match_python(spark, sf_dir):
+    from turnlens.plans.common import annotated
+    rows = annotated(spark, sf_dir)
+    got = {r.row_idx: r.ser_fuzzy for r in TM.ser_fuzzy_rows(rows).collect()}
+    want = {}
+    for r in rows.select("row_idx", "pred", "dialog_acts", "perm").collect():
+        perm = set(r.perm or [])
+        vals = [v.lower() for a in r.dialog_acts if a.slot in perm for v in a["values"]]
+        want[r.row_idx] = None if not vals else any(not R.fuzzy_match(r.pred.lower(), v) for v in vals)
+    assert got == want
+
+
+def test_parent_rows_match_python(spark, sf_dir):
+    from turnlens.plans.common import annotated
+    rows = annotated(spark, sf_dir)
+    got = {r.row_idx: (r.parent_precision, r.parent_recall, r.parent_fscore) for r in TM.parent_rows(rows).collect()}
+    n = 0
+    for r in rows.select("row_idx", "ref", "pred", "dialog_acts").collect():
+        table = []
+        for a in r.dialog_acts:
+            if a.slot == "intent":
+                continue
+            toks = [t for v in a["values"] for t in v.split() if t.lower() not in ("true", "false")]
+            if a.slot and toks:
+                table.append(([a.slot], toks))
+        ref, pred = r.ref.split(), r.pred.split()
+        if not ref or not table:
+            assert r.row_idx not in got
+            continue
+        want = TM.parent_one(ref, pred, table)   # reference text in the prediction slot, as the original call
+        assert got[r.row_idx] == pytest.approx(want)
+        n += 1
+    assert n == len(got)

@@ -85,42 +85,56 @@ FUZZY_MIN = 91        # ratio / 100 > 0.9 on an integer ratio
 LENGTH_BOUND = 0.905  # 2*min(len)/(sum len) below this cannot reach FUZZY_MIN
 
 
-def fuzzy_value_matches(pairs: DataFrame, key: list[str], text: str = "pred", value: str = "value") -> DataFrame:
-    """C2 over a table of (key..., text, value): ``matched`` per row.
-
-    A value matches if some window of ``len(value.split())`` space-split text
-    tokens has token-sort ratio >= 91.  Windows are exploded, exact keys
-    settle most pairs, a length bound drops hopeless ones, and only distinct
-    surviving key pairs are scored in Python.
+@F.pandas_udf(T.BooleanType())
+def any_ratio_udf(vk: pd.Series, cands: pd.Series) -> pd.Series:
+    """True if some candidate key reaches the fuzzy threshold against the value key."""
+    out = []
+    for v, cs in zip(vk, cands):
+        out.append(None if v is None else any(ratio_of_keys(c, v) >= FUZZY_MIN for c in (cs if cs is not None else [])))
+    return pd.Series(out, dtype=object)
+
+
+def fuzzy_match(text, value) -> Column:
+    """Does some window of ``len(value.split())`` space-split tokens of ``text``
+    reach token-sort ratio >= 91 against ``value``?
+
+    Windows, normalised keys, exact hits and the length bound are native
+    expressions; only the surviving distinct window keys of a row reach the
+    Arrow UDF (an empty list when an exact hit already decided the row).
     """
     n = F.size(ws_tokens(value))
     toks = F.split(_col(text), " ")
-    win = F.transform(F.sequence(F.lit(1), F.size(toks)), lambda i: F.array_join(F.slice(toks, i, n), " "))
-    w = pairs.select(*key, sort_key(value).alias("vk"), F.explode(win).alias("w")).withColumn("wk", sort_key("w"))
-    exact = w.groupBy(*key, "vk").agg(F.bool_or(F.col("wk") == F.col("vk")).alias("exact"))
-    lw, lv = F.length("wk"), F.length("vk")
-    cand = w.filter((F.col("wk") != F.col("vk")) & (F.least(lw, lv) * 2 >= (lw + lv) * LENGTH_BOUND))
-    scored = cand.select("wk", "vk").distinct().withColumn("r", ratio_udf("wk", "vk"))
-    hits = cand.join(scored.filter(F.col("r") >= FUZZY_MIN), ["wk", "vk"], "left_semi") \
-        .groupBy(*key, "vk").agg(F.lit(True).alias("fuzzy"))
-    out = exact.join(hits, [*key, "vk"], "left")
-    return out.select(*key, (F.col("exact") | F.coalesce("fuzzy", F.lit(False))).alias("matched"))
-
-
-def ser_fuzzy_rows(rows: DataFrame) -> DataFrame:
+    wins = F.transform(F.sequence(F.lit(1), F.size(toks)), lambda i: F.array_join(F.slice(toks, i, n), " "))
+    vk = sort_key(value)
+    wks = F.array_distinct(F.transform(wins, lambda w: sort_key(w)))
+    exact = F.array_contains(wks, vk)
+    cands = F.filter(wks, lambda k: (k != vk) &
+                     (F.least(F.length(k), F.length(vk)) * 2 >= (F.length(k) + F.length(vk)) * LENGTH_BOUND))
+    none = F.array().cast("array<string>")
+    return exact | any_ratio_udf(vk, F.when(exact, none).otherwise(cands))
+
+
+def fuzzy_value_matches(pairs: DataFrame, key: list[str], text: str = "pred", value: str = "value") -> DataFrame:
+    """C2 over a table of (key..., text, value): ``matched`` per row (one pass, no join)."""
+    return pairs.select(*key, fuzzy_match(text, value).alias("matched"))
+
+
+def ser_fuzzy_rows(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """A4: three-valued fuzzy slot error per row (needs ``row_idx, pred, dialog_acts, perm``).
 
-    Texts and values are lowercased first, as in the strict metric.
+    Texts and values are lowercased first, as in the strict metric.  Values
+    are exploded with ``posexplode_outer`` so rows without a permissible value
+    stay (null result); the regrouping is on the row key, which is already the
+    partitioning key of the turn table.
     """
+    keep = keep or []
     perm = F.coalesce(F.col("perm"), F.array().cast("array<string>"))
-    vals = rows.select("row_idx", F.lower("pred").alias("pred"),
-                       F.posexplode(F.flatten(F.transform(F.filter("dialog_acts", lambda a: F.array_contains(perm, a["slot"])),
-                                                         lambda a: a["values"]))).alias("vi", "value")) \
-        .withColumn("value", F.lower("value"))
-    m = fuzzy_value_matches(vals, ["row_idx", "vi"])
-    per_row = m.groupBy("row_idx").agg(F.bool_or(~F.col("matched")).alias("err"))
-    return rows.select("row_idx").join(per_row, "row_idx", "left").select(
-        "row_idx", F.col("err").alias("ser_fuzzy"))
+    vals = F.flatten(F.transform(F.filter("dialog_acts", lambda a: F.array_contains(perm, a["slot"])),
+                                 lambda a: a["values"]))
+    x = rows.select("row_idx", *keep, F.lower("pred").alias("pred"), F.posexplode_outer(vals).alias("vi", "value"))
+    m = x.select("row_idx", *keep, F.when(F.col("value").isNotNull(),
+                                          fuzzy_match(F.col("pred"), F.lower("value"))).alias("matched"))
+    return m.groupBy("row_idx", *keep).agg(F.bool_or(~F.col("matched")).alias("ser_fuzzy"))
 
 
 # ---------------------------------------------------------------- METEOR

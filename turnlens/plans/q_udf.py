@@ -31,8 +31,7 @@ def fuzzy_match(spark, d):
 
 @register("ser_fuzzy")
 def ser_fuzzy(spark, d):
-    rows = annotated(spark, d)
-    f = TM.ser_fuzzy_rows(rows).join(rows.select("row_idx", "domain"), "row_idx")
+    f = TM.ser_fuzzy_rows(annotated(spark, d), keep=["domain"])
     return S.ser_by(f, ["domain"], "ser_fuzzy", coalesce_null=True).select("domain", r6(F.col("ser")).alias("ser_fuzzy"))
 
 
