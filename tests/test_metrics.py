@@ -38,10 +38,10 @@ def test_bleu_identity_and_edges(spark):
     assert N.bleu_agg(N.bleu_row_stats(df)).first()["bleu"] == 0.0
 
 
-def test_inline_bleu_stats_equal_exploded(spark, sf_dir):
+def test_rowwise_bleu_stats_equal_exploded(spark, sf_dir):
     dec = fx.decodes(spark, sf_dir)
     a = N.bleu_agg(N.bleu_row_stats(dec)).first()["bleu"]
-    x = N.bleu_row_stats_inline(dec)
+    x = N.bleu_row_stats_rowwise(dec)
     orders = range(1, 5)
     s = x.agg(*[F.sum(f"m{n}").alias(f"m{n}") for n in orders], *[F.sum(f"h{n}").alias(f"h{n}") for n in orders],
               F.sum("hyp_len").alias("sl"), F.sum("ref_len").alias("rl"))

@@ -10,8 +10,12 @@ over the text, no per-row Python).
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnlens.functions.columns import _col, bleu_tokens, ngrams, rouge_tokens
 
@@ -112,32 +116,33 @@ def seq_accuracy(target, pred) -> Column:
 
 # ---------------------------------------------------------------- row-local (streaming) variant
 
-def _count_in(arr: Column, g: Column) -> Column:
-    return F.size(F.filter(arr, lambda x: x == g))
+_ROW_STATS = T.StructType([T.StructField(f"{k}{n}", T.LongType()) for k in "mh" for n in range(1, BLEU_ORDER + 1)])
 
 
-def _clipped(hg: Column, rg: Column):
-    # closure instead of default arguments: PySpark reads the lambda's arity
-    return lambda acc, g: acc + F.least(_count_in(hg, g), _count_in(rg, g))
+@F.pandas_udf(_ROW_STATS)
+def _clipped_counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    out = []
+    for r, h in zip(ref, hyp):
+        r, h = list(r), list(h)
+        row = []
+        for n in range(1, BLEU_ORDER + 1):
+            rc = Counter(tuple(r[i:i + n]) for i in range(len(r) - n + 1))
+            hc = Counter(tuple(h[i:i + n]) for i in range(len(h) - n + 1))
+            row.append(sum(min(c, rc[g]) for g, c in hc.items()))
+        row += [max(len(h) - n + 1, 0) for n in range(1, BLEU_ORDER + 1)]
+        out.append(row)
+    return pd.DataFrame(out, columns=_ROW_STATS.fieldNames(), dtype="int64")
 
 
-def bleu_row_stats_inline(df: DataFrame, ref: str = "ref", pred: str = "pred") -> DataFrame:
-    """BLEU statistics of each row as plain expressions (no explode, no grouping).
+def bleu_row_stats_rowwise(df: DataFrame, ref: str = "ref", pred: str = "pred") -> DataFrame:
+    """BLEU statistics of each row computed inside the row (no explode, no grouping).
 
-    Token and n-gram arrays are materialised as columns first so the
-    matching lambdas reference them instead of re-tokenising.  Cost is
-    quadratic in the row length: meant for short texts (dialogue turns) and for
-    streaming, where a second stateful aggregation is not allowed.
+    Tokens come from the same native 13a expression as the batch plan; one
+    Arrow UDF counts clipped n-grams with a hash map per row (linear in the
+    row length).  Used by the stream, where a second stateful aggregation
+    after a per-row regroup is not allowed.
     """
     x = df.withColumns({"_r": bleu_tokens(ref), "_h": bleu_tokens(pred)})
-    x = x.withColumns({f"_hg{n}": ngrams(F.col("_h"), n) for n in range(1, BLEU_ORDER + 1)}
-                      | {f"_rg{n}": ngrams(F.col("_r"), n) for n in range(1, BLEU_ORDER + 1)})
-    stats = {}
-    for n in range(1, BLEU_ORDER + 1):
-        hg, rg = F.col(f"_hg{n}"), F.col(f"_rg{n}")
-        stats[f"m{n}"] = F.aggregate(F.array_distinct(hg), F.lit(0).cast("bigint"), _clipped(hg, rg))
-        stats[f"h{n}"] = F.size(hg).cast("bigint")
-    stats["hyp_len"] = F.size("_h").cast("bigint")
-    stats["ref_len"] = F.size("_r").cast("bigint")
-    drop = ["_r", "_h"] + [f"_{s}g{n}" for s in "hr" for n in range(1, BLEU_ORDER + 1)]
-    return x.withColumns(stats).drop(*drop)
+    x = x.withColumn("_s", _clipped_counts("_r", "_h"))
+    return x.select(*[c for c in df.columns], *[F.col(f"_s.{k}").alias(k) for k in _ROW_STATS.fieldNames()],
+                    F.size("_h").cast("bigint").alias("hyp_len"), F.size("_r").cast("bigint").alias("ref_len"))

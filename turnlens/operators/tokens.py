@@ -2,8 +2,9 @@
 
 Subword tokenizers are per-row codecs outside Spark; here a vocabulary table
 does the encoding with explode -> join -> ordered re-collect.  The vocabulary
-is broadcast only behind a size check; past the bound the join is a shuffle
-join and AQE's skew handling splits hot tokens.
+is broadcast only behind a size check (AQE's runtime statistics, or a known
+bound); past the bound the join is a shuffle join and AQE's skew handling
+splits hot tokens.
 """
 
 from __future__ import annotations
@@ -42,9 +43,16 @@ def index_rows(df: DataFrame, order: list[Column], name: str = "idx") -> DataFra
         .withColumn(name, F.col("_off") + F.col("_r")).drop("_m", "_p", "_r", "_off")
 
 
-def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``small`` only if its row count is within ``max_rows`` (checked with one count job)."""
-    return F.broadcast(small) if small.count() <= max_rows else small
+def bounded_broadcast(small: DataFrame, known_rows: int | None = None,
+                      max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Hint a broadcast only when the caller knows the side's size and it is within ``max_rows``.
+
+    Otherwise no hint is given: AQE measures the side at runtime and
+    broadcasts it only below ``spark.sql.adaptive.autoBroadcastJoinThreshold``;
+    beyond that the join stays a shuffle join whose hot keys AQE's skew-join
+    handling splits.  No extra counting job is run.
+    """
+    return F.broadcast(small) if known_rows is not None and known_rows <= max_rows else small
 
 
 def vocab(texts: DataFrame, col: str = "text", tokenize: Callable[[Column], Column] = ws_tokens) -> DataFrame:

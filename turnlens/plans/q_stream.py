@@ -16,7 +16,7 @@ def _run(spark, d):
     work = scratch(spark, "stream")
     src = f"{work}/source"
     rows = fx.decodes(spark, d, with_acts=True).select("row_idx", "ref", "pred", "service", "dialog_acts")
-    rows.repartition(4, "row_idx").write.mode("overwrite").parquet(src)    # four files = four micro-batches
+    rows.repartition(2, "row_idx").write.mode("overwrite").parquet(src)    # two files = two micro-batches
     perm = S.permissible_slots(fx.schema_slots(spark, d))
     return scores(run_stream(spark, src, perm, work))
 

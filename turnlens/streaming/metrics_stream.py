@@ -2,9 +2,10 @@
 
 The original pipeline accumulates decoded rows batch by batch (``add_batch``)
 and computes once at the end.  Here decoded rows arrive as files; each row's
-SER flag and BLEU statistics are plain column expressions (no per-row
-grouping, which a streaming query could not follow with a second stateful
-aggregation), and one stateful ``groupBy(domain)`` keeps additive sums.  The
+SER flag is a column expression and its BLEU statistics are computed inside
+the row (no per-row regroup, which a streaming query could not follow with a
+second stateful aggregation); one stateful ``groupBy(domain)`` keeps
+additive sums.  The
 state is one row per domain.  Scores are computed from the sums when read.
 """
 
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnlens.functions.columns import domain_of
-from turnlens.operators.ngram import BLEU_ORDER, bleu_from_sums, bleu_row_stats_inline
+from turnlens.operators.ngram import BLEU_ORDER, bleu_from_sums, bleu_row_stats_rowwise
 from turnlens.operators.ser import slot_error
+from turnlens.session import checkpoint_dir
 
 STREAM_ROW = T.StructType([
     T.StructField("row_idx", T.LongType()),
@@ -39,7 +41,7 @@ def stream_stats(rows: DataFrame, perm: DataFrame) -> DataFrame:
     j = rows.join(F.broadcast(perm.withColumnRenamed("slots", "perm")), "service", "left")
     j = j.select("ref", "pred", domain_of("service").alias("domain"),
                  slot_error("dialog_acts", "pred", "perm").cast("int").alias("err"))
-    x = bleu_row_stats_inline(j)
+    x = bleu_row_stats_rowwise(j)
     keys = [f"m{n}" for n in range(1, BLEU_ORDER + 1)] + [f"h{n}" for n in range(1, BLEU_ORDER + 1)] + ["hyp_len", "ref_len"]
     sums = [F.count(F.lit(1)).alias("n_rows"), F.sum("err").alias("n_err")] + [F.sum(k).alias(k) for k in keys]
     return x.groupBy("domain").agg(*sums)
@@ -62,6 +64,10 @@ def run_stream(spark: SparkSession, source_dir: str, perm: DataFrame, work_dir:
     Returns the final sums as a batch DataFrame.
     """
     out = os.path.join(work_dir, "result")
+    # The static side of a stream-static join is re-evaluated on every trigger;
+    # it is one row per service, so materialise it once (reliable checkpoint).
+    checkpoint_dir(spark)
+    perm = perm.checkpoint()
     src = (spark.readStream.schema(STREAM_ROW).option("maxFilesPerTrigger", max_files_per_trigger)
            .parquet(source_dir))
     agg = stream_stats(src, perm)
