@@ -157,3 +157,21 @@ def compare_runs(spark, d):
     base = A.bad_cases(annotated(spark, d), "has_slot_error", 0).select("row_idx", "pred")
     other = annotated(spark, d, fx.decodes_second_run(spark, d, with_acts=True))
     return A.compare_runs(base, {"second": other}, ["pred", "has_slot_error"])
+
+
+DOC_PAIRS = """SELECT a.doc_id AS row_idx, a.lang, a.text AS ref, b.text AS pred
+FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1"""
+
+
+@register("bleu_long_text", f"WITH {ngram_ctes(DOC_PAIRS, tok13a('ref'), tok13a('pred'), [1, 2, 3, 4], 'st')}\n{bleu_select('lang')}")
+def bleu_long_text(spark, d):
+    """A8/A9 on long natural text: each document scored against the next one, BLEU per language.
+
+    Whole texts (up to 20,000 words) go through the same explode -> count plan;
+    the pairing is an equi join on ``doc_id + 1``.
+    """
+    docs = fx.table(spark, d, "documents", ["doc_id", "lang", "text"])
+    nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("pred"))
+    pairs = docs.join(nxt, "doc_id").select(F.col("doc_id").alias("row_idx"), "lang", F.col("text").alias("ref"), "pred")
+    st = N.bleu_row_stats(pairs, keep=["lang"])
+    return N.bleu_agg(st, ["lang"]).select("lang", r6(F.col("bleu")).alias("bleu"))
