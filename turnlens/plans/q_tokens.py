@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from turnlens.functions.columns import ws_tokens
 from turnlens.operators import tokens as TK
 from turnlens.plans.registry import register
 from turnlens.sources import fixtures as fx

@@ -100,10 +100,10 @@ TASK_TSV = T.StructType([
     T.StructField("turn_id", T.IntegerType()),
 ])
 
-DECODE_LINE = T.StructType([
-    T.StructField("idx", T.LongType()),
+# Decoded rows after parsing ``N|ref | pred | input`` lines.
+DECODE_ROW = T.StructType([
+    T.StructField("row_idx", T.LongType()),
     T.StructField("ref", T.StringType()),
     T.StructField("pred", T.StringType()),
     T.StructField("sr", T.StringType()),
-    T.StructField("_corrupt_record", T.StringType()),
 ])
