@@ -22,22 +22,40 @@ from turnlens.functions.columns import _col, bleu_tokens, ngrams, rouge_tokens
 BLEU_ORDER = 4
 
 
-def _tag(n: int, side: str):
-    # a one-argument lambda: PySpark reads a two-argument one as (element, index)
-    return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("s"))
+_FIELDS = "abcdefgh"
+_BIG = 1 << 30
 
 
-def _grams(tokens: Column, side: str, orders: list[int]) -> Column:
-    return F.flatten(F.array(*[F.transform(ngrams(tokens, n), _tag(n, side)) for n in orders]))
+def _shifted(tokens: Column, side: str, max_order: int) -> Column:
+    """``arrays_zip`` of the token array with itself shifted by 1..max_order-1, tagged with the side.
+
+    Element i holds tokens i..i+max_order-1 (null past the end), so every
+    n-gram starting at i is a plain ``concat_ws`` of its fields: no per-position
+    lambda, and the whole expression is code-generated.
+    """
+    cols = [tokens.alias("a")] + [F.slice(tokens, k + 1, _BIG).alias(_FIELDS[k]) for k in range(1, max_order)]
+    cols.append(F.array_repeat(F.lit(side), F.size(tokens)).alias("s"))
+    return F.arrays_zip(*cols)
+
+
+def _grams_of(z: Column, orders: list[int]) -> Column:
+    """The n-grams (one per order, null past the end) starting at one zipped position."""
+    f = [z[_FIELDS[k]] for k in range(max(orders))]
+    out = []
+    for n in range(1, max(orders) + 1):
+        g = f[0] if n == 1 else F.when(f[n - 1].isNotNull(), F.concat_ws(" ", *f[:n]))
+        out.append(g if n in orders else F.lit(None).cast("string"))
+    return F.array(*out)
 
 
 def match_stats(df: DataFrame, key: str, ref_tokens: Column, hyp_tokens: Column, orders: list[int],
                 keep: list[str] | None = None, repartition: bool = True) -> DataFrame:
     """Per row: ``m{n}`` clipped matches, ``h{n}`` hyp n-grams, ``r{n}`` ref n-grams, ``hyp_len``, ``ref_len``.
 
-    One pass: explode the n-grams of both sides (plus one sentinel per row so
-    rows without n-grams survive), count per ``(row, order, gram)``, then sum
-    per row.  Both aggregations group on the row key first, so once the rows
+    One pass: explode the token positions of both sides (zipped with their
+    shifted copies, plus one sentinel per row so rows without n-grams
+    survive), emit the n-grams starting there, count per ``(row, order,
+    gram)``, then sum per row.  Both aggregations group on the row key first, so once the rows
     are hash-partitioned on it neither needs another exchange.  Totals come
     from the token counts.  ``keep`` columns (e.g. domain) are carried along.
     """
@@ -45,13 +63,17 @@ def match_stats(df: DataFrame, key: str, ref_tokens: Column, hyp_tokens: Column,
     base = df.select(key, *keep, ref_tokens.alias("_r"), hyp_tokens.alias("_h"))
     if repartition:
         base = base.repartition(key)    # elided by Catalyst when already partitioned on the key
-    sentinel = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("g"), F.lit("-").alias("s")))
-    grams = F.concat(sentinel, _grams(F.col("_r"), "r", orders), _grams(F.col("_h"), "h", orders))
-    rows = base.select(key, *keep, F.size("_h").alias("hyp_len"), F.size("_r").alias("ref_len"),
-                       F.explode(grams).alias("x"))
+    mo = max(orders)
+    # one sentinel position per row (side '-', matches nothing) keeps rows without tokens
+    sentinel = _shifted(F.array(F.lit("")), "-", mo)
+    zipped = F.concat(sentinel, _shifted(F.col("_r"), "r", mo), _shifted(F.col("_h"), "h", mo))
     ids = [key, *keep, "hyp_len", "ref_len"]
-    per_gram = rows.groupBy(*ids, F.col("x.n").alias("n"), F.col("x.g").alias("g")).agg(
-        F.count_if(F.col("x.s") == "h").alias("hc"), F.count_if(F.col("x.s") == "r").alias("rc"))
+    pos = base.select(key, *keep, F.size("_h").alias("hyp_len"), F.size("_r").alias("ref_len"),
+                      F.explode(zipped).alias("z"))
+    rows = pos.select(*ids, F.col("z.s").alias("s"), F.posexplode(_grams_of(F.col("z"), orders)).alias("n0", "g")) \
+        .filter(F.col("g").isNotNull())
+    per_gram = rows.groupBy(*ids, (F.col("n0") + 1).alias("n"), "g").agg(
+        F.count_if(F.col("s") == "h").alias("hc"), F.count_if(F.col("s") == "r").alias("rc"))
     per_row = per_gram.groupBy(*ids).agg(
         *[F.sum(F.when(F.col("n") == n, F.least("hc", "rc")).otherwise(0)).alias(f"m{n}") for n in orders])
     totals = []
