@@ -68,6 +68,22 @@ def bayes_rank(turns: DataFrame, slot: str, n_examples, min_unigram: int = 20) -
     return rank
 
 
+def top_k_per_parent(c: DataFrame, k: int, salts: int = 64) -> DataFrame:
+    """The ``k`` best candidates per parent (rank desc, token asc), skew-safe.
+
+    A parent can have a huge candidate list (at level 1 the root's candidates
+    are the whole vocabulary), so the top-k is taken first inside
+    ``(parent, hash(token) % salts)`` and then over the at most ``k * salts``
+    survivors of each parent.  The result is exactly the global top-k.
+    """
+    order = [F.desc("rank"), F.col("tok")]
+    salted = c.withColumn("_salt", F.pmod(F.xxhash64("tok"), F.lit(salts)))
+    first = salted.withColumn("_r", F.row_number().over(Window.partitionBy("pid", "_salt").orderBy(*order))) \
+        .filter(F.col("_r") <= k).drop("_r", "_salt")
+    return first.withColumn("_r", F.row_number().over(Window.partitionBy("pid").orderBy(*order))) \
+        .filter(F.col("_r") <= k).drop("_r")
+
+
 def mine_patterns(turns: DataFrame, slot: str, n_grams: int = 4, min_count: int = 10, top_k: int = 5,
                   rank: RankFn | None = None) -> DataFrame:
     """M1 + M3: all kept patterns ``(pattern, level, count, rank)``, root ``('', 0, 0, 0)`` included.
@@ -91,13 +107,12 @@ def mine_patterns(turns: DataFrame, slot: str, n_grams: int = 4, min_count: int
                                   F.lit(1.0).alias("prod"))
     levels = [spark.range(1).select(F.lit("").alias("pattern"), F.lit(0).alias("level"),
                                     F.lit(0).cast("bigint").alias("count"), F.lit(0.0).alias("rank"))]
-    w = Window.partitionBy("pid").orderBy(F.desc("rank"), F.col("tok"))
     for level in range(1, n_grams + 1):
         ext = state.join(toks, "sid").filter((F.col("pos") > F.col("fp")) & (F.col("tok") != F.col("last")))
         cand = ext.groupBy("pid", "tok").agg(F.count(F.lit(1)).alias("count")) \
             .filter(F.col("count") > min_count).join(front, "pid")
         ranked = rank(cand)
-        kept = ranked.filter(F.col("rank") > 0).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top_k) \
+        kept = top_k_per_parent(ranked.filter(F.col("rank") > 0), top_k) \
             .select("pid", "tok", "count", "rank", "prod", F.concat("pattern", F.array("tok")).alias("pattern"))
         kept = kept.withColumn("npid", F.array_join("pattern", "\u0001")).checkpoint()
         levels.append(kept.select(F.array_join("pattern", " ").alias("pattern"), F.lit(level).alias("level"),
