@@ -75,3 +75,17 @@ def test_sum_over_domains_is_overall(spark, sf_dir):
     rows = annotated(spark, sf_dir)
     per = rows.groupBy("domain").agg(F.sum(F.col("has_slot_error").cast("int")).alias("e")).agg(F.sum("e")).first()[0]
     assert per == rows.filter("has_slot_error").count()
+
+
+def test_salted_top_k_is_exact(spark):
+    import random
+    rnd = random.Random(3)
+    rows = [("root", f"t{i}", float(rnd.randint(1, 50))) for i in range(3000)] + \
+           [("p1", f"u{i}", float(rnd.randint(1, 5))) for i in range(40)]
+    c = spark.createDataFrame(rows, "pid string, tok string, rank double")
+    got = {(r.pid, r.tok) for r in PH.top_k_per_parent(c, 5, salts=16).collect()}
+    want = set()
+    for pid in ("root", "p1"):
+        xs = sorted([r for r in rows if r[0] == pid], key=lambda r: (-r[2], r[1]))[:5]
+        want |= {(r[0], r[1]) for r in xs}
+    assert got == want
