@@ -253,7 +253,7 @@ def read_decodes(spark: SparkSession, path: str, trim: bool = False) -> DataFram
     f = F.split(F.col("value"), r"\|", -1)
     df = spark.read.text(path).filter(F.col("value") != "").select(f.alias("f")).filter(F.size("f") <= 4)
     g = (lambda c: F.trim(unescape_pipes(c))) if trim else unescape_pipes
-    return df.select(F.get("f", 0).cast("long").alias("row_idx"), g(F.get("f", 1)).alias("ref"),
+    return df.select(F.get("f", 0).try_cast("long").alias("row_idx"), g(F.get("f", 1)).alias("ref"),
                      g(F.get("f", 2)).alias("pred"), g(F.get("f", 3)).alias("sr"))
 
 
