@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from turnlens.llm.byte_bpe import round_trip
 from turnlens.llm.common import table
 from turnlens.llm.registry import register
+from turnlens.llm.secret_scan import secret_report
+from turnlens.llm.sharding import shard_rows
 from turnlens.llm.token_counts import token_counts
+from turnlens.llm.url_filter import judge_urls
 
 WORD_VOCAB = "word_bpe_49k.json"
 BYTE_VOCAB = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +22,50 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_VOCAB)
 
 
+@register("op2_ring_shards")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shard_rows(table(spark, sf_dir, "documents"), 24)
+    return rows.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+SECRET_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+  SELECT k, 1 AS place, 'assign' AS kind, string_split_regex(t, $assign) AS gaps,
+         regexp_extract_all(t, $assign, 0) AS hits, regexp_extract_all(t, $assign, 2) AS body, 6 AS least FROM docs
+  UNION ALL
+  SELECT k, 2, 'access', string_split_regex(t, $access), regexp_extract_all(t, $access, 0),
+         regexp_extract_all(t, $access, 0), 20 FROM docs
+  UNION ALL
+  SELECT k, 3, 'hex', string_split_regex(t, $hex), regexp_extract_all(t, $hex, 0),
+         regexp_extract_all(t, $hex, 0), 24 FROM docs),
+each AS (SELECT k, place, kind, least, gaps, hits, body, unnest(range(1, len(hits) + 1)) AS i FROM found),
+sized AS (SELECT k, place, kind, i, length(body[i]) >= least AS keep, length(hits[i]) AS size,
+                 length(gaps[i]) + length(hits[i]) AS step FROM each),
+spans AS (SELECT k, place, kind, keep, size,
+                 sum(step) OVER (PARTITION BY k, place ORDER BY i)::BIGINT AS stop FROM sized),
+lists AS (SELECT k, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+                 count(*) FILTER (kind = 'hex') AS n_hex,
+                 string_agg(kind || ':' || (stop - size) || ':' || stop, ',' ORDER BY stop - size, place) AS spans
+          FROM spans WHERE keep GROUP BY k)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN lists USING (k)"""
+for _name, _pattern in (("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+                        ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+")):
+    SECRET_SQL = SECRET_SQL.replace(f"${_name}", "'" + _pattern.replace("'", "''") + "'")
+
+
+@register("op4_secret_scan", SECRET_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 @register("op5_byte_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), BYTE_VOCAB)
+
+
+@register("op9_url_filter")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
