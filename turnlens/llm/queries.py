@@ -11,6 +11,7 @@ from turnlens.llm.registry import register
 from turnlens.llm.secret_scan import secret_report
 from turnlens.llm.sharding import shard_rows
 from turnlens.llm.token_counts import token_counts
+from turnlens.llm.topk_search import top_k
 from turnlens.llm.url_filter import judge_urls
 
 WORD_VOCAB = "word_bpe_49k.json"
@@ -69,3 +70,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_url_filter")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+TOP_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+
+@register("op10_topk_search", TOP_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)), 10)
