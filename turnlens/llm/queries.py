@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from turnlens.llm.byte_bpe import round_trip
 from turnlens.llm.common import table
+from turnlens.llm.html_text import extract_text
 from turnlens.llm.registry import register
 from turnlens.llm.secret_scan import secret_report
 from turnlens.llm.sharding import shard_rows
 from turnlens.llm.token_counts import token_counts
 from turnlens.llm.topk_search import top_k
+from turnlens.llm.toxicity import THRESHOLD, held_out, score_documents, train
 from turnlens.llm.url_filter import judge_urls
 
 WORD_VOCAB = "word_bpe_49k.json"
@@ -67,6 +69,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), BYTE_VOCAB)
 
 
+@register("op6_html_text")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+@register("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"), ~held_out())
+    predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    return score_documents(docs, model).select("doc_id", held_out().alias("held_out"), "score", predicted, "sentences")
+
+
 @register("op9_url_filter")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
