@@ -1,13 +1,72 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+All stages but the last return the columns of their input. Rows are told apart by id and text, so
+null and repeated ids are handled like any other.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from turnlens.llm.byte_bpe import round_trip
 from turnlens.llm.common import scratch_path, table
+from turnlens.llm.decontaminate import contaminated
+from turnlens.llm.ngram_join import similar_classes
+from turnlens.llm.secret_scan import redacted, scan_documents
+from turnlens.llm.toxicity import THRESHOLD, held_out, train, with_score
+
+BYTE_VOCAB = "byte_bpe_multi_50k.tiktoken"
+#: Near duplicates: words of a shingle and percent of similarity.
+WORDS, PERCENT = 5, 80
+
+
+def row_key() -> Column:
+    """Tells rows apart by id and text."""
+    return F.xxhash64(F.col("doc_id").cast("string"), "text")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model accepts."""
+    model = train(docs, table(spark, sf_dir, "labels"), ~held_out())
+    return with_score(docs, model, score_col="_score").where(F.col("_score") < THRESHOLD).drop("_score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of similar texts: the smallest id (of rows that agree in id and text, one)."""
+    key = F.struct(F.col("doc_id").alias("id"), row_key().alias("key"))
+    classes = similar_classes(docs.withColumn("_key", key), WORDS, PERCENT, id_col="_key")
+    # texts without words are in no class: each stays
+    kept = classes.where("n_shingles = 0 OR component_id = _key").select(F.col("_key.key").alias("_key")).distinct()
+    return docs.withColumn("_key", row_key()).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    keyed = docs.withColumn("_key", row_key())
+    found = contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").select("_key").distinct()
+    return keyed.join(found, "_key", "left_anti").drop("_key")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by their kind."""
+    text = redacted(F.col("text"), F.col("secret_spans"))
+    return scan_documents(docs).withColumn("text", text).drop("secret_spans") \
+        .withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with digests of the ids and of the bytes decoded from them."""
+    return round_trip(docs, BYTE_VOCAB, with_ids=True)
+
 
-STAGES: list = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
+    ("secrets", secrets), ("byte_bpe", byte_bpe)]
 
+#: No SQL: the stages train a model, follow links and encode. tests/llm checks the rows by brute force.
 ORACLE_SQL = None
 
 

@@ -262,21 +262,28 @@ def decode_ids(encoded: DataFrame, vocab: str, id_col: str = "doc_id") -> DataFr
         .mapInArrow(decode, f"id {kind}, decoded binary").select(F.col("id").alias(id_col), "decoded")
 
 
-def round_trip(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_tokens, ids_sha256, decoded_sha256`` of every row: encoded, then decoded from the ids."""
+def round_trip(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text",
+               with_ids: bool = False) -> DataFrame:
+    """``id_col, n_tokens, ids_sha256, decoded_sha256`` of every row: encoded, then decoded from the ids.
+
+    ``with_ids`` adds ``ids`` (binary, little-endian unsigned 32-bit).
+    """
     bounded_batches(docs.sparkSession)
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = byte_bpe(vocab)
         for b in batches:
             ids = coder.encode(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                 pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                 pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in ids], pa.string())],
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = {"id": b.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                       "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                       "decoded_sha256": pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in ids],
+                                                  pa.string())}
+            if with_ids:
+                columns["ids"] = pa.array(ids, pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")) \
-        .mapInArrow(both, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string") \
+        .mapInArrow(both, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+                          + ", ids binary" * with_ids) \
         .withColumnRenamed("id", id_col)

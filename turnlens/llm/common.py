@@ -7,6 +7,7 @@ import re
 import uuid
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +64,31 @@ def literal_rows(spark: SparkSession, rows: Iterable[tuple], ddl: str) -> DataFr
     text = json.dumps([dict(zip(names, r)) for r in rows])
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{ddl.replace(' ', ':')}>>"
                                                       .replace(",:", ","))))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage by a Parquet table in the shared folder, of which later reads take single columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def bitmap_of(hashes: DataFrame, bits: int) -> bytes:
+    """Bitmap of ``2 ** bits`` bits over the upper bits of a column ``hash``; the executors build its parts."""
+    at = F.shiftrightunsigned("hash", 64 - bits)
+    parts = hashes.select(at.alias("at")).select(F.bitmap_bucket_number("at").alias("n"),
+                                                 F.bitmap_bit_position("at").alias("bit")) \
+        .groupBy("n").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()  # 2 ** (bits - 3) bytes at most
+    out = np.zeros((1 << (bits - 3)) + 4096, dtype=np.uint8)
+    for r in parts:
+        # bucket n > 0 holds the values from (n - 1) * 32768 + 1 on, bucket 0 those up to 0
+        value = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little"))
+        value = value + (r["n"] - 1) * 32768 + 1 if r["n"] > 0 else value
+        np.bitwise_or.at(out, value >> 3, (1 << (value & 7)).astype(np.uint8))
+    return out.tobytes()
+
+
+def in_bitmap(bitmap: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bitmap holds each of the 64-bit hashes (some it holds by chance)."""
+    at = hashes.view(np.uint64) >> np.uint64(64 - bits)
+    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlens.llm.common import bounded_batches, saved, text_or_empty
+from turnlens.llm.common import bitmap_of, bounded_batches, in_bitmap, saved, text_or_empty
 
 WINDOW, LITERALS = 5, 3
 SHARE, RUN, CONSISTENT = 0.8, 9, 0.8
@@ -137,8 +137,7 @@ def window_batch(tokens: Tokens, keys: pa.Array, texts: list[str], bitmap: np.nd
     for h in (literal, template):
         keep = h != 0
         if bitmap is not None:
-            at = h >> np.uint64(64 - BITMAP_BITS)
-            keep &= (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            keep &= in_bitmap(bitmap, BITMAP_BITS, h)
         parts.append(np.flatnonzero(keep))
     at = np.concatenate(parts)
     hashes = np.concatenate([literal[parts[0]], template[parts[1]]]).view(np.int64)
@@ -177,22 +176,6 @@ def window_rows(df: DataFrame, id_col: str, text_col: str, bitmap: bytes | None
         .mapInArrow(run, f"id {kind}, place int, n_windows int, hash bigint, words array<bigint>, slots array<boolean>")
 
 
-def bitmap_of(hashes: DataFrame) -> bytes:
-    """The fixed-size bitmap of the upper bits of a column ``hash``, built where the rows are."""
-    at = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
-    parts = hashes.select(at.alias("at")).select(F.bitmap_bucket_number("at").alias("n"),
-                                                 F.bitmap_bit_position("at").alias("bit")) \
-        .groupBy("n").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()  # at most 2 MB
-    size = 1 << (BITMAP_BITS - 3)
-    out = np.zeros(size + 4096, dtype=np.uint8)
-    for r in parts:
-        # bucket n holds the values from (n - 1) * 32768 + 1 on; value 0 belongs to bucket 0
-        bits = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little"))
-        value = bits + (r["n"] - 1) * 32768 + 1 if r["n"] > 0 else bits
-        np.bitwise_or.at(out, value >> 3, (1 << (value & 7)).astype(np.uint8))
-    return out.tobytes()
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE,
                  run: int = RUN) -> DataFrame:
@@ -200,7 +183,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
     items = saved(window_rows(benchmark, item_col, item_text_col).distinct())
-    hits = window_rows(docs, id_col, text_col, bitmap_of(items.select("hash")))
+    hits = window_rows(docs, id_col, text_col, bitmap_of(items.select("hash"), BITMAP_BITS))
     d, b = hits.alias("d"), items.alias("b")
     met = saved(d.join(b, "hash").select(
         F.col("d.id").alias("id"), F.col("b.id").alias("item"), F.col("d.place").alias("at"),

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from turnlens.llm.byte_bpe import round_trip
 from turnlens.llm.common import table
+from turnlens.llm.decontaminate import contaminated
 from turnlens.llm.html_text import extract_text
+from turnlens.llm.ngram_join import similar_classes
 from turnlens.llm.registry import register
 from turnlens.llm.secret_scan import secret_report
 from turnlens.llm.sharding import shard_rows
@@ -31,6 +33,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+@register("op3_decontaminate")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 SECRET_SQL = r"""
 WITH docs AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
 found AS (
@@ -82,6 +89,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, model).select("doc_id", held_out().alias("held_out"), "score", predicted, "sentences")
 
 
+@register("op8_ngram_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_classes(table(spark, sf_dir, "documents"), 3, 90)
+
+
 @register("op9_url_filter")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnlens.llm.common import bounded_batches, text_or_empty
 
@@ -223,6 +224,20 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
         .withColumnRenamed("id", id_col)
 
 
+def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
+    """All columns of every row and its score."""
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = [model.bag(text or "")[0] for text in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())],
+                                             names=[*b.schema.names, score_col])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows whose labels are never learned: crc32 of the id's text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
