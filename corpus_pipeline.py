@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlens.llm.byte_bpe import round_trip
-from turnlens.llm.common import scratch_path, table
+from turnlens.llm.common import fresh_name, scratch_path, table
 from turnlens.llm.decontaminate import contaminated
 from turnlens.llm.ngram_join import similar_classes
 from turnlens.llm.secret_scan import redacted, scan_documents
@@ -31,29 +31,32 @@ def row_key() -> Column:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model accepts."""
     model = train(docs, table(spark, sf_dir, "labels"), ~held_out())
-    return with_score(docs, model, score_col="_score").where(F.col("_score") < THRESHOLD).drop("_score")
+    score = fresh_name(docs, "score")
+    return with_score(docs, model, score_col=score).where(F.col(score) < THRESHOLD).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of similar texts: the smallest id (of rows that agree in id and text, one)."""
-    key = F.struct(F.col("doc_id").alias("id"), row_key().alias("key"))
-    classes = similar_classes(docs.withColumn("_key", key), WORDS, PERCENT, id_col="_key")
+    keyed = docs.select(F.struct(F.col("doc_id").alias("id"), row_key().alias("key")).alias("row"), "text")
+    classes = similar_classes(keyed, WORDS, PERCENT, id_col="row")
     # texts without words are in no class: each stays
-    kept = classes.where("n_shingles = 0 OR component_id = _key").select(F.col("_key.key").alias("_key")).distinct()
-    return docs.withColumn("_key", row_key()).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    key = fresh_name(docs, "row_key")
+    kept = classes.where("n_shingles = 0 OR component_id = row").select(F.col("row.key").alias(key)).distinct()
+    return docs.withColumn(key, row_key()).join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    keyed = docs.withColumn("_key", row_key())
-    found = contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").select("_key").distinct()
-    return keyed.join(found, "_key", "left_anti").drop("_key")
+    key = fresh_name(docs, "row_key")
+    keyed = docs.withColumn(key, row_key())
+    found = contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col=key).select(key).distinct()
+    return keyed.join(found, key, "left_anti").drop(key)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by their kind."""
-    text = redacted(F.col("text"), F.col("secret_spans"))
-    return scan_documents(docs).withColumn("text", text).drop("secret_spans") \
+    spans = fresh_name(docs, "secret_spans")
+    return scan_documents(docs, spans_col=spans).withColumn("text", redacted(F.col("text"), F.col(spans))) \
         .withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -25,6 +25,14 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Lower the session's Arrow batch size to ``rows`` if it is larger (no result depends on it)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -174,9 +174,10 @@ def main_text(page: str, weight: dict[str, float]) -> str:
 def fit_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
                 sample: int = SAMPLE) -> dict[str, float]:
     """Weights from at most ``sample`` pages, those with the smallest hash of id and page."""
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    ids = pages.where(F.col(html_col).isNotNull()).select(key.alias("key")).orderBy("key").limit(sample)
-    chosen = pages.withColumn("key", key).join(F.broadcast(ids.distinct()), "key", "left_semi").select(html_col)
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(html_col).cast("string"))
+    rows = pages.where(F.col(html_col).isNotNull()).select(key.alias("key"), F.col(html_col).cast("string").alias("html"))
+    chosen = rows.join(F.broadcast(rows.select("key").orderBy("key").limit(sample).distinct()), "key", "left_semi") \
+        .select("html")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad = Counter(), Counter()

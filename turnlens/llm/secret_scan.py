@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnlens.llm.common import scratch_path, text_or_empty
+from turnlens.llm.common import fresh_name, scratch_path, text_or_empty
 
 # The rules' patterns. A rule of a minimal length keeps a match whose group ``group`` has it.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -141,20 +141,20 @@ def findings_by_blob(found: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def scan_documents(docs: DataFrame, ledger_path: str | None = None, rules: list[Rule] = RULES,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of every row of ``docs`` and ``secret_spans``, its findings in order (never null).
+                   id_col: str = "doc_id", text_col: str = "text", spans_col: str = "secret_spans") -> DataFrame:
+    """All columns of every row of ``docs`` and ``spans_col``, its findings in order (never null).
 
     Without ``ledger_path`` a new ledger is made; with it, blobs scanned before are not scanned again.
     """
     spark = docs.sparkSession
     ledger = Ledger(spark, ledger_path or scratch_path(spark, "ledger"))
     ledger.update(docs, rules, id_col, text_col)
+    blob_col, found_col = fresh_name(docs, "blob"), fresh_name(docs, "found")
     by_blob = findings_by_blob(ledger.findings(rules), rules) \
-        .select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    blob = blob_of(text_or_empty(text_col))
+        .select(F.col("blob").alias(blob_col), F.col("spans").alias(found_col))
     none = F.array().cast("array<struct<start:bigint,place:bigint,rule:string,end:bigint>>")
-    return docs.join(by_blob, blob == F.col("_blob"), "left") \
-        .withColumn("secret_spans", F.array_sort(F.coalesce("_spans", none))).drop("_blob", "_spans")
+    return docs.join(by_blob, blob_of(text_or_empty(text_col)) == F.col(blob_col), "left") \
+        .withColumn(spans_col, F.array_sort(F.coalesce(found_col, none))).drop(blob_col, found_col)
 
 
 def of_kind(kind: str) -> Callable[[Column], Column]:
