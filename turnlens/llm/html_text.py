@@ -46,11 +46,15 @@ BOILERPLATE = set("""nav footer aside form button menu dialog fieldset label .na
     .login .share .sharing .social .related .recommended .recommendations .breadcrumb .breadcrumbs .pagination .pager
     .comment .comments .commentlist .reply .replies .respond .disqus .search .toolbar .tags .widget .copyright .legal
     .skip .complementary .contentinfo .form""".split())
-CONTENT = set("article main p blockquote pre .article .content .post .entry .story .main .body".split())
-#: Words that a listed mark counts before anything is seen, and the range of a weight.
-PRIOR, LIMIT = 2000, 4.0
-#: Cost of a tag, and the most that one stretch of words outside the content costs.
-TAG_COST, STRETCH = 0.2, 20
+CONTENT = set("article main p h1 h2 h3 h4 h5 h6 blockquote pre .article .content .post .entry .story .main .body".split())
+#: Words that a listed mark counts before anything is seen, and the range of its weight, of the weight
+#: of another class word and of another tag (tags such as div and li serve both sides).
+PRIOR, LIMIT, WORD_LIMIT, TAG_LIMIT = 2000, 4.0, 2.0, 0.4
+#: Within the region, stretches with a lower score are left out.
+LEAST = -1.0
+#: What a word scores before its surroundings count, the cost of a tag, and the most that one stretch of
+#: words outside the content costs.
+WORD, TAG_COST, STRETCH = 1.0, 0.2, 20
 
 PIECES = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -137,7 +141,8 @@ def weights(good: dict[str, int], bad: dict[str, int]) -> dict[str, float]:
     for mark in good.keys() | bad.keys() | BOILERPLATE | CONTENT:
         g = good.get(mark, 0) + (PRIOR if mark in CONTENT else 0) + 1
         b = bad.get(mark, 0) + (PRIOR if mark in BOILERPLATE else 0) + 1
-        out[mark] = max(-LIMIT, min(LIMIT, math.log(g / all_good) - math.log(b / all_bad)))
+        most = LIMIT if mark in BOILERPLATE or mark in CONTENT else WORD_LIMIT if mark[0] == "." else TAG_LIMIT
+        out[mark] = max(-most, min(most, math.log(g / all_good) - math.log(b / all_bad)))
     return out
 
 
@@ -150,10 +155,10 @@ def main_text(page: str, weight: dict[str, float]) -> str:
         text = html.unescape(text)
         words = len(text.split())
         around = {m for own in marks for m in own}
-        score = 0.5 + sum(weight.get(m, 0.0) for m in around) if around else 0.5
+        score = WORD + sum(weight.get(m, 0.0) for m in around)
         out = boilerplate(marks)
         score = -abs(score) if out else max(-LIMIT, min(LIMIT, score))
-        items.append((text, breaks, words > 0 and score > 0))
+        items.append((text, breaks, words > 0 and not out and score > LEAST))
         total -= TAG_COST * tags if first < len(items) - 1 else 0.0
         if total < 0:
             total, first = 0.0, len(items) - 1

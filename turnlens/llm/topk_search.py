@@ -156,7 +156,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     base = vectors.where(usable(id_col, vec_col)) \
         .select(F.col(id_col).cast("long").alias("id"), scaled(vec_col).alias("v"), is_query.alias("is_query")) \
         .withColumn("norm", norm) \
-        .withColumn("bucket", F.when(F.col("norm") > 0, F.floor(F.log("norm") / float(np.log(RATIO)))).otherwise(-1))
+        .withColumn("bucket", F.when(F.col("norm") > 0, F.floor(F.log("norm") / float(np.log(RATIO)))).otherwise(-1)
+                    .cast("long"))
     base = saved(base)
     seeds = base.orderBy(F.desc("norm"), "id").limit(SEEDS).select("id", "v").collect()  # SEEDS rows
     seed_ids = np.array([r["id"] for r in seeds], dtype=np.int64)
@@ -182,14 +183,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
         return base.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"),
                            F.lit(0).cast("long").alias("score"))
     bins = F.array(*[F.struct(F.lit(r["bucket"]).alias("bucket"), F.lit(r["longest"]).alias("longest"),
-                              F.lit(r["blocks"]).alias("blocks")) for r in known])
+                              F.lit(r["blocks"]).cast("long").alias("blocks")) for r in known])
     asked = queries.withColumn("bin", F.explode(F.filter(
         bins, lambda b: F.col("norm") * b["longest"] * (1 + 1e-9) >= F.col("threshold")))) \
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bin.blocks") - 1))) \
-        .select(F.col("bin.bucket").alias("bucket"), "block",
+        .select(F.col("bin.bucket").cast("long").alias("bucket"), "block",
                 F.pmod(F.xxhash64("id"), F.lit(q_blocks)).alias("q_block"), "id", "v", "threshold")
-    blocks = F.element_at(F.map_from_arrays(F.array(*[F.lit(r["bucket"]) for r in known]),
-                                            F.array(*[F.lit(r["blocks"]) for r in known])), F.col("bucket"))
+    blocks = F.element_at(F.map_from_arrays(F.array(*[F.lit(r["bucket"]).cast("long") for r in known]),
+                                            F.array(*[F.lit(r["blocks"]).cast("long") for r in known])), F.col("bucket"))
     cands = base.withColumn("block", F.pmod(F.xxhash64("id"), blocks)) \
         .withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long")))) \
         .select("bucket", "block", "q_block", "id", "v")
