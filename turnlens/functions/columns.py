@@ -5,7 +5,7 @@ All are built-in Spark expressions, so they run inside whole-stage codegen.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnlens.schemas import ACT_NAMES, PIPE_ESCAPE
@@ -13,7 +13,7 @@ from turnlens.schemas import ACT_NAMES, PIPE_ESCAPE
 __all__ = [
     "act_name", "domain_of", "contains_ci", "escape_pipes", "unescape_pipes", "clean_ws",
     "ws_tokens", "sp_tokens", "sentences", "token_windows", "seen_tag", "mark_unseen",
-    "goodbye_override", "placeholder_count", "bleu_tokens", "rouge_tokens", "ngrams",
+    "act_map", "decode_with_table", "seeded_hash", "goodbye_override", "placeholder_count", "bleu_tokens", "rouge_tokens", "ngrams",
     "decode_acts",
 ]
 
@@ -22,15 +22,27 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def act_name(act) -> Column:
-    """Act id -> act name through a literal map (fixed 10-value enum)."""
-    m = F.create_map(*[x for i, n in enumerate(ACT_NAMES) for x in (F.lit(i), F.lit(n))])
-    return F.element_at(m, _col(act))
+def act_map() -> Column:
+    """``MAP<act, act_name>`` of the fixture's act names."""
+    return F.create_map(*[x for i, n in enumerate(ACT_NAMES) for x in (F.lit(i), F.lit(n))])
 
 
-def decode_acts(acts) -> Column:
+def act_name(act, names: Column | None = None) -> Column:
+    """Act id -> act name by a map column; an id without a name is an error (null stays null)."""
+    a = _col(act)
+    unknown = F.raise_error(F.concat(F.lit("no name for act id "), a.cast("string")))
+    return F.when(a.isNotNull(), F.coalesce(F.element_at(act_map() if names is None else names, a), unknown))
+
+
+def decode_acts(acts, names: Column | None = None) -> Column:
     """P1 over a whole act array: replace ``act`` by its name, keep the other fields."""
-    return F.transform(_col(acts), lambda a: a.withField("act", act_name(a["act"])))
+    return F.transform(_col(acts), lambda a: a.withField("act", act_name(a["act"], names)))
+
+
+def decode_with_table(turns: DataFrame, names: DataFrame, acts: str = "dialog_acts") -> DataFrame:
+    """P1 with the dataset's own table ``(act, act_name)``, one row per kind of act (a few dozen)."""
+    table = names.select(F.map_from_entries(F.collect_list(F.struct("act", "act_name")))).scalar()
+    return turns.withColumn("_act_names", table).withColumn(acts, decode_acts(acts, F.col("_act_names"))).drop("_act_names")
 
 
 def domain_of(service) -> Column:
@@ -38,6 +50,11 @@ def domain_of(service) -> Column:
     return F.split(_col(service), "_").getItem(0)
 
 
+def seeded_hash(key, seed: int) -> Column:
+    """A text that orders rows as a repeatable shuffle: md5 of ``key:seed``."""
+    return F.md5(F.concat(_col(key).cast("string"), F.lit(f":{seed}")))
+
+
 def contains_ci(text, value) -> Column:
     """Case-insensitive containment; the empty value is always contained."""
     return F.lower(_col(text)).contains(F.lower(_col(value)))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnlens.functions.columns import decode_acts, domain_of, sp_tokens
+from turnlens.functions.columns import decode_acts, domain_of, seeded_hash, sp_tokens
 
 
 def acts_long(turns: DataFrame, named: bool = True) -> DataFrame:
@@ -52,7 +52,7 @@ def unigram_freq(turns: DataFrame) -> DataFrame:
     """``token, count, freq`` over ``target.split(' ')`` (unsplit on dots)."""
     toks = turns.select(F.explode(sp_tokens("target")).alias("token"))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
-    total = toks.select(F.count(F.lit(1))).scalar()
+    total = turns.select(F.sum(F.size(sp_tokens("target")))).scalar()
     return counts.withColumn("freq", F.col("count") / total)
 
 
@@ -74,9 +74,9 @@ def slot_value_tokens(turns: DataFrame) -> DataFrame:
 def entity_rows(turns: DataFrame, perm: DataFrame) -> DataFrame:
     """Lowercased values of permissible slots, one row per (act, value): ``split, domain, turn_key, act_pos, value``.
 
-    ``perm`` is ``permissible_slots`` (one row per service, broadcast).
+    ``perm`` is ``permissible_slots`` (one row per service).
     """
-    a = acts_long(turns).join(F.broadcast(perm.withColumnRenamed("slots", "perm")), "service", "left")
+    a = acts_long(turns).join(perm.withColumnRenamed("slots", "perm"), "service", "left")
     a = a.filter(F.coalesce(F.array_contains("perm", F.col("slot")), F.lit(False)))
     return a.select("split", domain_of("service").alias("domain"), "turn_key", "act_pos",
                     F.explode("values").alias("v")).withColumn("value", F.lower("v")).drop("v")
@@ -221,22 +221,17 @@ def domain_union(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def domain_pivot(long: DataFrame, value: str, domains: list[str] | None = None) -> DataFrame:
-    """Long ``(metric, domain, value)`` -> one column per domain."""
+    """Long ``(metric, domain, value)`` -> one column per domain; with ``domains`` no job looks for them first."""
     return long.groupBy("metric").pivot("domain", domains).agg(F.first(value))
 
 
-def domain_unpivot(wide: DataFrame, domains: list[str]) -> DataFrame:
-    """U5 inverse: wide -> long."""
-    return wide.unpivot(["metric"], domains, "domain", "value")
-
-
 # ---------------------------------------------------------------- ordering / sampling
 
 def shuffle_rows(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """Seeded, repeatable shuffle: a distributed sort on ``xxhash64(key, seed)``."""
-    return df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).orderBy("_h", key).drop("_h")
+    """Seeded, repeatable shuffle: a distributed sort on ``md5(key:seed)``."""
+    return df.orderBy(seeded_hash(key, seed), key)
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows without replacement, seeded (top-n of a hash order; no driver loop)."""
-    return df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).orderBy("_h", key).limit(n).drop("_h")
+    return df.orderBy(seeded_hash(key, seed), key).limit(n)

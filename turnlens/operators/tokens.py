@@ -1,10 +1,9 @@
 """Token arrays (T1-T10): vocabulary, encode / decode, causal-LM rows, padding, batches, scoring.
 
 Subword tokenizers are per-row codecs outside Spark; here a vocabulary table
-does the encoding with explode -> join -> ordered re-collect.  The vocabulary
-is broadcast only behind a size check (AQE's runtime statistics, or a known
-bound); past the bound the join is a shuffle join and AQE's skew handling
-splits hot tokens.
+does the encoding with explode -> join -> ordered re-collect.  The join carries
+no hint: AQE broadcasts the vocabulary only if its measured size allows it;
+else it is a shuffle join whose hot tokens AQE's skew handling splits.
 """
 
 from __future__ import annotations
@@ -16,13 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnlens.functions.columns import _col, ws_tokens
+from turnlens.functions.columns import _col, seeded_hash, ws_tokens
 from turnlens.schemas import END_OF_TEXT, IGNORE_LABEL
+from turnlens.session import checkpoint_dir
 
 PAD_ID, EOS_ID, UNK_ID = 0, 1, 2
 SPECIAL = {PAD_ID: "<pad>", EOS_ID: "</s>", UNK_ID: "<unk>"}
 N_SPECIAL = len(SPECIAL)
-BROADCAST_MAX_ROWS = 2_000_000   # a vocabulary this small is broadcast (about 100 MB)
 
 
 def index_rows(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
@@ -31,28 +30,18 @@ def index_rows(df: DataFrame, order: list[Column], name: str = "idx") -> DataFra
     A distributed sort range-partitions the rows; each row gets its position
     inside its partition (``monotonically_increasing_id`` keeps the partition
     in the upper bits) plus the number of rows in earlier partitions.  The
-    offset table has one row per partition and is broadcast.  Both uses of
-    the sorted input share one range-partitioning exchange (exchange reuse),
-    so they see the same partitions.
+    sorted, numbered frame is checkpointed once, and the row counts and the
+    rows are both read from it: two sorts of the same input may cut their
+    ranges at different keys.  The offset table has one row per partition.
     """
-    s = df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id())
-    s = s.withColumns({"_p": F.shiftright("_m", 33), "_r": F.col("_m").bitwiseAND((1 << 33) - 1)})
-    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = s.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return s.join(F.broadcast(offsets.select("_p", "_off")), "_p") \
-        .withColumn(name, F.col("_off") + F.col("_r")).drop("_m", "_p", "_r", "_off")
-
-
-def bounded_broadcast(small: DataFrame, known_rows: int | None = None,
-                      max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only when the caller knows the side's size and it is within ``max_rows``.
-
-    Otherwise no hint is given: AQE measures the side at runtime and
-    broadcasts it only below ``spark.sql.adaptive.autoBroadcastJoinThreshold``;
-    beyond that the join stays a shuffle join whose hot keys AQE's skew-join
-    handling splits.  No extra counting job is run.
-    """
-    return F.broadcast(small) if known_rows is not None and known_rows <= max_rows else small
+    checkpoint_dir(df.sparkSession)
+    m, p, n, off = (f"_{name}_{x}" for x in ("m", "p", "n", "off"))
+    s = df.orderBy(*order).withColumn(m, F.monotonically_increasing_id()).checkpoint()
+    s = s.withColumn(p, F.shiftright(m, 33))
+    w = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = s.groupBy(p).agg(F.count(F.lit(1)).alias(n)).select(p, F.coalesce(F.sum(n).over(w), F.lit(0)).alias(off))
+    return s.join(F.broadcast(offsets), p) \
+        .withColumn(name, F.col(off) + F.col(m).bitwiseAND((1 << 33) - 1)).drop(m, p, off)
 
 
 def vocab(texts: DataFrame, col: str = "text", tokenize: Callable[[Column], Column] = ws_tokens) -> DataFrame:
@@ -71,11 +60,11 @@ def encode_ids(df: DataFrame, voc: DataFrame, key: str, col: str, out: str = "in
     explode(pos, token) -> join vocabulary -> ``sort_array(collect_list(struct(pos, id)))``
     per row.  Rows keep their key; a row's group is its own tokens (bounded by text length).
     """
-    toks = df.select(key, F.posexplode(tokenize(F.col(col))).alias("pos", "token"))
-    j = toks.join(bounded_broadcast(voc.select("token", "id")), "token", "left")
-    g = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))).alias("xs"))
+    toks = df.select(F.col(key).alias("_key"), F.posexplode(tokenize(F.col(col))).alias("pos", "token"))
+    j = toks.join(voc.select("token", F.col("id").alias("_vocab_id")), "token", "left")
+    g = j.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("_vocab_id", F.lit(UNK_ID)).alias("id")))).alias("xs"))
     ids = F.transform("xs", lambda x: x["id"].cast("int"))
-    g = g.select(key, ids.alias(out))
+    g = g.select(F.col("_key").alias(key), ids.alias(out))
     base = df.join(g, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
     if add_eos:
         base = base.withColumn(out, F.concat(F.col(out), F.array(F.lit(EOS_ID))))
@@ -101,30 +90,29 @@ def pad_to(ids, pad, length) -> Column:
 
 def pad_batch(df: DataFrame, cols: dict[str, int], mode: str = "max_length", max_length: int = 1024,
               batch_col: str = "batch_id") -> DataFrame:
-    """T1 padding: ``max_length`` pads to a constant, ``longest`` to the longest row of each batch.
+    """T1 padding: ``max_length`` pads to a constant, ``longest`` pads each column to its longest row in the batch.
 
     ``cols`` maps column -> pad value.  ``longest`` needs a batch column (T9)
     and groups on it once.
     """
     if mode == "max_length":
-        return df.select("*", *[]).withColumns({c: pad_to(c, p, max_length) for c, p in cols.items()})
+        return df.withColumns({c: pad_to(c, p, max_length) for c, p in cols.items()})
     if mode == "longest":
-        first = next(iter(cols))
-        longest = df.groupBy(batch_col).agg(F.max(F.size(first)).alias("_longest"))
+        longest = df.groupBy(batch_col).agg(*[F.max(F.size(c)).alias(f"_longest_{c}") for c in cols])
         j = df.join(longest, batch_col)
-        return j.withColumns({c: pad_to(c, p, F.col("_longest")) for c, p in cols.items()}).drop("_longest")
+        return j.withColumns({c: pad_to(c, p, F.col(f"_longest_{c}")) for c, p in cols.items()}).drop(*[f"_longest_{c}" for c in cols])
     raise ValueError(f"unknown padding {mode}")
 
 
 def decode_ids(df: DataFrame, voc: DataFrame, key: str, col: str, out: str = "text",
                skip_special: bool = True) -> DataFrame:
     """Ids -> text (special ids skipped), joined by a space."""
-    ids = df.select(key, F.posexplode(col).alias("pos", "id"))
+    ids = df.select(F.col(key).alias("_key"), F.posexplode(col).alias("_pos", "_vocab_id"))
     if skip_special:
-        ids = ids.filter(F.col("id") >= N_SPECIAL)
-    j = ids.join(bounded_broadcast(voc.select(F.col("id").cast("int").alias("id"), "token")), "id", "left")
-    g = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("token", F.lit(SPECIAL[UNK_ID])).alias("t")))).alias("xs"))
-    g = g.select(key, F.array_join(F.transform("xs", lambda x: x["t"]), " ").alias(out))
+        ids = ids.filter(F.col("_vocab_id") >= N_SPECIAL)
+    j = ids.join(voc.select(F.col("id").cast("int").alias("_vocab_id"), F.col("token").alias("_token")), "_vocab_id", "left")
+    g = j.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("_token", F.lit(SPECIAL[UNK_ID])).alias("t")))).alias("xs"))
+    g = g.select(F.col("_key").alias(key), F.array_join(F.transform("xs", lambda x: x["t"]), " ").alias(out))
     return df.join(g, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
 
 
@@ -174,7 +162,7 @@ def split_generated(text, part: int) -> Column:
 
 def batches(df: DataFrame, key: str, batch_size: int, shuffle: bool = False, seed: int = 0) -> DataFrame:
     """``batch_id`` = index // batch_size in key order (train: seeded hash order); last short batch kept."""
-    order = [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)] if shuffle else [F.col(key)]
+    order = [seeded_hash(key, seed), F.col(key)] if shuffle else [F.col(key)]
     return index_rows(df, order, "_i").withColumn("batch_id", F.floor(F.col("_i") / batch_size)).drop("_i")
 
 

@@ -98,10 +98,34 @@ def split_generated(spark, d):
 
 
 @register("batches", """
-SELECT row_idx, CAST((row_number() OVER (ORDER BY row_idx) - 1) // 16 AS BIGINT) AS batch_id FROM decodes""")
+SELECT row_idx, pred, CAST((row_number() OVER (ORDER BY row_idx) - 1) // 16 AS BIGINT) AS batch_id FROM decodes""")
 def batches(spark, d):
-    b = TK.batches(fx.decodes(spark, d).select("row_idx"), "row_idx", 16)
-    return b.select("row_idx", F.col("batch_id").cast("bigint").alias("batch_id"))
+    b = TK.batches(fx.decodes(spark, d).select("pred", "row_idx"), "row_idx", 16)
+    return b.select("row_idx", "pred", F.col("batch_id").cast("bigint").alias("batch_id"))
+
+
+@register("batches_shuffled", """
+SELECT row_idx, pred, CAST((row_number() OVER (ORDER BY md5(CAST(row_idx AS VARCHAR) || ':7'), row_idx) - 1) // 16 AS BIGINT) AS batch_id
+FROM decodes""")
+def batches_shuffled(spark, d):
+    """T9 in training mode: a seeded shuffle of the rows, then batches."""
+    b = TK.batches(fx.decodes(spark, d).select("pred", "row_idx"), "row_idx", 16, shuffle=True, seed=7)
+    return b.select("row_idx", "pred", F.col("batch_id").cast("bigint").alias("batch_id"))
+
+
+@register("pad_batches", f"""WITH {VOC}, {enc_sql('pred', 'enc')},
+cut AS (SELECT row_idx, CASE WHEN len(ids) > 12 THEN list_append(ids[1:11], 1) ELSE ids END AS ids FROM enc),
+b AS (SELECT row_idx, ids, (row_number() OVER (ORDER BY row_idx) - 1) // 16 AS batch_id FROM cut),
+m AS (SELECT batch_id, max(len(ids)) AS longest FROM b GROUP BY batch_id)
+SELECT row_idx, array_to_string(list_concat(ids, list_transform(range(longest - len(ids)), lambda x: 0)), ',') AS ids,
+       array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(longest - len(ids)), lambda x: 0)), ',') AS mask
+FROM b JOIN m ON m.batch_id = b.batch_id""")
+def pad_batches(spark, d):
+    """T1 truncation to 12 ids (the end id stays), T9 batches, padding to the longest row of each batch."""
+    e = TK.encode_ids(fx.decodes(spark, d), _voc(spark, d), "row_idx", "pred", "input_ids", max_length=12, truncation=True)
+    b = TK.batches(e.select("row_idx", "input_ids", "attention_mask"), "row_idx", 16)
+    p = TK.pad_batch(b, {"input_ids": TK.PAD_ID, "attention_mask": 0}, mode="longest")
+    return p.select("row_idx", ids_str("input_ids").alias("ids"), ids_str("attention_mask").alias("mask"))
 
 
 def _echo_lower(s):
@@ -109,6 +133,6 @@ def _echo_lower(s):
     return s.str.lower()
 
 
-@register("batch_predict")
+@register("batch_predict", "SELECT row_idx, sr, lower(sr) AS pred FROM decodes")
 def batch_predict(spark, d):
     return TK.batch_predict(fx.decodes(spark, d), "row_idx", "sr", _echo_lower, "pred")
