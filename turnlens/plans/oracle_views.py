@@ -14,7 +14,7 @@ VIEWS["act_names"] = """SELECT * FROM (VALUES (0,'INFORM'),(1,'REQUEST'),(2,'CON
 (5,'NOTIFY_SUCCESS'),(6,'INFORM_COUNT'),(7,'OFFER_INTENT'),(8,'REQ_MORE'),(9,'GOODBYE')) AS t(act, act_name)"""
 
 VIEWS["acts"] = """SELECT o.o_orderkey AS turn_key,
-       concat('1_', lpad(cast(o.o_custkey AS varchar(20)), 5, '0')) AS dialog_id,
+       concat('1_', lpad(cast(o.o_custkey AS varchar(20)), CAST(greatest(5, length(cast(o.o_custkey AS varchar(20)))) AS INTEGER), '0')) AS dialog_id,
        CASE WHEN o.o_orderkey % 10 < 8 THEN 'train' WHEN o.o_orderkey % 10 = 8 THEN 'validation' ELSE 'test' END AS split,
        concat(substr(c.c_mktsegment,1,1), lower(substr(c.c_mktsegment,2)), '_', cast(c.c_nationkey % 3 + 1 AS varchar(20))) AS service,
        CAST(row_number() OVER (PARTITION BY o.o_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice) - 1 AS INTEGER) AS act_pos,
@@ -34,14 +34,14 @@ VIEWS["turn_text"] = """SELECT turn_key, dialog_id, split, service,
 FROM acts GROUP BY turn_key, dialog_id, split, service"""
 
 VIEWS["schema_slots"] = """SELECT s.service, concat('Find and order parts, ', lower(s.service)) AS service_desc, x.slot, x.slot_desc, x.is_categorical, x.possible_values, x.slot_pos
-FROM (SELECT DISTINCT service FROM acts) s
+FROM (SELECT DISTINCT concat(substr(c_mktsegment,1,1), lower(substr(c_mktsegment,2)), '_', cast(c_nationkey % 3 + 1 AS varchar(20))) AS service FROM customer) s
 CROSS JOIN (SELECT * FROM (VALUES ('part_name','Name of the part',false,'',0),('brand','Brand of the part',false,'',1),('ship_date','Date of shipping',false,'',2),('part_type','Kind of part',true,'small,medium,large',3),('in_stock','Whether the part is in stock',true,'True,False',4)) AS v(slot, slot_desc, is_categorical, possible_values, slot_pos)) x
 WHERE NOT (s.service = 'Household_3' AND x.slot = 'brand')"""
 
-VIEWS["templates"] = """SELECT s.service, x.act_key, x.template FROM (SELECT DISTINCT service FROM acts) s
+VIEWS["templates"] = """SELECT s.service, x.act_key, x.template FROM (SELECT DISTINCT concat(substr(c_mktsegment,1,1), lower(substr(c_mktsegment,2)), '_', cast(c_nationkey % 3 + 1 AS varchar(20))) AS service FROM customer) s
 CROSS JOIN (SELECT * FROM (VALUES ('SELECT!!part_name!!@','I picked the @.'),('SELECT!!part_name!!@@','I picked the @ made by @.'),('OFFER!!brand!!@','How about @?'),('INFORM!!ship_date!!@','It ships on @.'),('INFORM_COUNT!!FindParts!!count!!@','I found @ of them.'),('CONFIRM!!part_type!!@','The kind is @.'),('INFORM!!in_stock!!True','It is in stock.'),('INFORM!!in_stock!!False','It is out of stock.'),('GOODBYE','Have a nice day.')) AS v(act_key, template)) x"""
 
-VIEWS["raw_turns"] = """SELECT concat('1_', lpad(cast(conv_id AS varchar(20)), 5, '0')) AS dialog_id, turn AS pos,
+VIEWS["raw_turns"] = """SELECT concat('1_', lpad(cast(conv_id AS varchar(20)), CAST(greatest(5, length(cast(conv_id AS varchar(20)))) AS INTEGER), '0')) AS dialog_id, turn AS pos,
        CASE WHEN role = 'assistant' THEN 'SYSTEM' ELSE 'USER' END AS speaker, text AS utterance
 FROM conversations"""
 

@@ -34,15 +34,18 @@ def read_decodes(spark, d):
     return files.read_decodes(spark, p)
 
 
-def _write_tasks(spark, d):
+SPLIT_DIRS = {"train": "train", "validation": "dev", "test": "test"}
+
+
+def _write_tasks(spark, d, splits=("train", "validation", "test")):
     root = scratch(spark, "tasks")
-    t = fx.turns(spark, d).withColumn("dialog_acts", decode_acts("dialog_acts"))
-    t = t.join(F.broadcast(L.template_maps(fx.templates(spark, d))), "service", "left")
+    t = fx.turns(spark, d, splits=list(splits)).withColumn("dialog_acts", decode_acts("dialog_acts"))
+    t = t.join(L.template_maps(fx.templates(spark, d)), "service", "left")
     t = t.withColumn("turn_id", F.col("turn_key") % 1000)
-    for split, name in (("train", "train"), ("validation", "dev"), ("test", "test")):
+    for split in splits:
         part = t.filter(F.col("split") == split)
         r = files.task_rows(part, L.lin_tsv_t2g2("dialog_acts", "service", "tmpl", F.lit(fx.FRAME_INTENT)), F.col("target"))
-        files.write_task_tsv(r, os.path.join(root, name, "t2g2_all.tsv"))
+        files.write_task_tsv(r, os.path.join(root, SPLIT_DIRS[split], "t2g2_all.tsv"))
     return root
 
 
@@ -63,7 +66,7 @@ def read_task_tsv(spark, d):
 
 @register("read_task", f"SELECT dialog_id, turn_id, target FROM ({TASK_SQL}) WHERE split = 'test'")
 def read_task(spark, d):
-    root = _write_tasks(spark, d)
+    root = _write_tasks(spark, d, ["test"])
     return files.read_task(spark, root, "t2g2", "5_shot", "test").select("dialog_id", "turn_id", "target")
 
 
@@ -124,16 +127,19 @@ def write_metrics(spark, d):
     return files.read_results(spark, out, schema)
 
 
-@register("eval_inputs")
+@register("eval_inputs", """
+SELECT row_number() OVER (ORDER BY row_idx) - 1 AS line, sr AS input, ref AS target, pred AS prediction, a.service, n_acts
+FROM decodes JOIN (SELECT turn_key, service, CAST(count(*) AS INTEGER) AS n_acts FROM acts GROUP BY turn_key, service) a ON a.turn_key = row_idx""")
 def eval_inputs(spark, d):
     p = scratch(spark, "eval")
     j = fx.decodes(spark, d, with_acts=True).orderBy("row_idx")
     rows = j.select(F.col("sr").alias("input"), F.col("ref").alias("target"),
                     F.to_json(F.struct("service", "dialog_acts")).alias("metainfo"), F.lit("").alias("dialog_id"),
                     (F.col("row_idx") % 1000).cast("int").alias("turn_id"))
-    files.write_task_tsv(rows.coalesce(1), os.path.join(p, "inputs"))
-    j.select("pred").coalesce(1).write.mode("overwrite").text(os.path.join(p, "preds"))
-    return files.eval_inputs(spark, os.path.join(p, "inputs"), os.path.join(p, "preds"))
+    files.write_task_tsv(rows, os.path.join(p, "inputs"))
+    j.select("pred").write.mode("overwrite").text(os.path.join(p, "preds"))
+    e = files.eval_inputs(spark, os.path.join(p, "inputs"), os.path.join(p, "preds"))
+    return e.select("line", "input", "target", "prediction", "mr.service", F.size("mr.dialog_acts").alias("n_acts"))
 
 
 @register("fewshot_ids", """
@@ -147,11 +153,11 @@ def fewshot_ids(spark, d):
     return files.read_fewshot_ids(spark, p, partitioned=True).select("dialog_id", "size")
 
 
-@register("turn_json")
+@register("turn_json", "SELECT DISTINCT turn_key, service, TRUE AS same FROM acts")
 def turn_json(spark, d):
     """C11: turn -> JSON -> record; ``same`` is true when the round trip is lossless."""
     j = files.turn_json(fx.turns(spark, d))
     t = fx.turns(spark, d).select("turn_key", "service", "dialog_acts")
     return j.join(t, "turn_key").select(
-        "turn_key", "json", ((F.col("record.service") == F.col("service")) &
+        "turn_key", "record.service", ((F.col("record.service") == F.col("service")) &
                              (F.to_json("record.dialog_acts") == F.to_json("dialog_acts"))).alias("same"))

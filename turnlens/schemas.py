@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 # Fixed values. These must equal the values the marking / generation code of
 # the original research pipeline uses, or results differ.
 # ---------------------------------------------------------------------------
-# Act id -> name of the dialogue-act class label (id order of the dataset).
+# Act names of the fixture turns, by id. Real data brings its own table (act, act_name).
 ACT_NAMES = [
     "INFORM", "REQUEST", "CONFIRM", "OFFER", "SELECT", "NOTIFY_SUCCESS",
     "INFORM_COUNT", "OFFER_INTENT", "REQ_MORE", "GOODBYE",
@@ -29,6 +29,9 @@ CONFIRM_PREFIX = "Please confirm the following details:"
 TSV_SEPARATOR = " | "
 PIPE_ESCAPE = "<vstripe>"
 NAIVE_SEP = " <SEP> "
+# Names of the prepared tasks and of the training sizes in their file names.
+TASK_VERSIONS = ["naive", "schema_guided", "t2g2"]
+TASK_SHOTS = ["5_shot", "10_shot", "20_shot", "40_shot", "80_shot", "all"]
 # Slots the schema-guided linearizer keeps verbatim instead of describing.
 VERBATIM_SLOTS = ["", "count", "intent"]
 # End-of-text marker of the causal LM format.

@@ -16,9 +16,8 @@ from pyspark.errors import AnalysisException
 
 from turnlens import schemas as SC
 from turnlens.functions.columns import clean_ws, escape_pipes, unescape_pipes
-
-TASK_VERSIONS = ["naive", "schema_guided", "t2g2"]
-TASK_SHOTS = ["5_shot", "10_shot", "20_shot", "40_shot", "80_shot", "all"]
+from turnlens.operators.ser import both_sides
+from turnlens.operators.tokens import index_rows
 
 
 # ------------------------------------------------------------------ S1 turns
@@ -148,16 +147,11 @@ def check_templates(templates: DataFrame, strict: bool = True) -> DataFrame:
     ok = placeholder_count("act_key") == placeholder_count("template")
     if strict:
         return templates.withColumn("consistent", F.when(ok, F.lit(True)).otherwise(F.raise_error(
-            F.concat(F.lit("Template not consistent. act_key: "), F.col("act_key"),
-                     F.lit(" template: "), F.col("template")))))
+            F.concat(F.lit("placeholders of key "), F.col("act_key"),
+                     F.lit(" and template differ: "), F.col("template")))))
     return templates.withColumn("consistent", ok)
 
 
-def require_templates(turns: DataFrame, templates: DataFrame) -> DataFrame:
-    """Services of ``turns`` that have no template file (empty = all present)."""
-    return turns.select("service").distinct().join(templates.select("service").distinct(), "service", "left_anti")
-
-
 # ------------------------------------------------------------------ S5-S8 task TSV
 
 def _read_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -176,7 +170,7 @@ def read_task_tsv(spark: SparkSession, root: str, file_name: str) -> dict[str, D
 
 def task_path(root: str, version: str, kshot: str, split: str) -> str:
     """File pattern of a task; dev/test always use the ``_all`` file."""
-    if version not in TASK_VERSIONS or kshot not in TASK_SHOTS:
+    if version not in SC.TASK_VERSIONS or kshot not in SC.TASK_SHOTS:
         raise ValueError(f"unknown task {version}_{kshot}")
     size = kshot if split == "train" else "all"
     return os.path.join(root, split, f"{version}_{size}.tsv")
@@ -226,8 +220,8 @@ def turn_json(turns: DataFrame) -> DataFrame:
 
 
 def fewshot(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of dialogues listed for each split size (left-semi per size)."""
-    return rows.join(ids, "dialog_id", "inner").select(*rows.columns, "size")
+    """Rows of dialogues listed for each split size; an id listed twice counts once."""
+    return rows.join(ids.select("dialog_id", "size").distinct(), "dialog_id", "inner").select(*rows.columns, "size")
 
 
 # ------------------------------------------------------------------ S9 / S10 decode lines
@@ -259,18 +253,29 @@ def read_decodes(spark: SparkSession, path: str, trim: bool = False) -> DataFram
 
 # ------------------------------------------------------------------ S11 eval inputs
 
-def with_line_index(df: DataFrame, name: str = "line") -> DataFrame:
-    """Key a keyless text table by line number (one distributed ``zipWithIndex`` pass)."""
-    schema = T.StructType(df.schema.fields + [T.StructField(name, T.LongType())])
-    return df.rdd.zipWithIndex().map(lambda r: tuple(r[0]) + (r[1],)).toDF(schema)
+def with_line_index(lines: DataFrame, name: str = "line") -> DataFrame:
+    """Key a keyless file table by line number, in the order of file names and of the lines in a file.
+
+    ``lines`` is read from files.  A task reads a run of one or more file
+    blocks from start to end, so a row's number within its task orders the rows
+    of a block; file name and block start order the blocks.
+    """
+    keyed = lines.select("*", F.col("_metadata.file_path").alias("_file"),
+                         F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    return index_rows(keyed, [F.col("_file"), F.col("_block"), F.col("_at")], name).drop("_file", "_block", "_at")
 
 
 def eval_inputs(spark: SparkSession, inputs_path: str, predictions_path: str) -> DataFrame:
-    """Task TSV rows (JSON meaning record parsed) zipped by line with predictions."""
-    inp = with_line_index(_read_tsv(spark, inputs_path))
-    pred = with_line_index(spark.read.text(predictions_path).withColumnRenamed("value", "prediction"))
+    """Task TSV rows (JSON meaning record parsed) and predictions, paired by line.
+
+    A line without a partner (files of unequal length) raises when the plan runs.
+    """
+    inp = with_line_index(_read_tsv(spark, inputs_path)).withColumn("_input", F.lit(True))
+    pred = with_line_index(spark.read.text(predictions_path).withColumnRenamed("value", "prediction")) \
+        .withColumn("_pred", F.lit(True))
     mr = F.from_json("metainfo", "struct<service:string, dialog_acts:array<struct<act:int,slot:string,values:array<string>>>>")
-    return inp.join(pred, "line").select("line", "input", "target", "prediction", mr.alias("mr"))
+    return inp.join(pred, "line", "full").where(both_sides("line", "_input", "_pred")) \
+        .select("line", "input", "target", "prediction", mr.alias("mr"))
 
 
 # ------------------------------------------------------------------ S12 cache
@@ -301,11 +306,12 @@ def write_metrics(df: DataFrame, path: str) -> None:
 
 
 def parent_export(rows: DataFrame, out_dir: str) -> None:
-    """``ref.txt``, ``pred.txt`` (token lists) and JSON-lines ``table.jl``."""
+    """``ref.txt``, ``pred.txt`` (token lists) and JSON-lines ``table.jl`` (``[[[attr], [tokens]], ...]``)."""
     rows = rows.orderBy("row_idx")
+    pairs = F.transform("table", lambda r: F.array(r["attr"], r["value"]))
     rows.select(F.to_json("ref_tokens").alias("value")).write.mode("overwrite").text(os.path.join(out_dir, "ref.txt"))
     rows.select(F.to_json("pred_tokens").alias("value")).write.mode("overwrite").text(os.path.join(out_dir, "pred.txt"))
-    rows.select(F.to_json("table").alias("value")).write.mode("overwrite").text(os.path.join(out_dir, "table.jl"))
+    rows.select(F.to_json(pairs).alias("value")).write.mode("overwrite").text(os.path.join(out_dir, "table.jl"))
 
 
 def read_results(spark: SparkSession, path: str, schema: T.StructType, run: str | None = None) -> DataFrame:

@@ -30,6 +30,18 @@ def act_names(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(ACT_NAMES)), "act INT, act_name STRING")
 
 
+def dialog_key(col: str) -> Column:
+    """``1_`` and the key, zero-padded to at least five digits (never cut)."""
+    key = F.col(col).cast("string")
+    return F.concat(F.lit("1_"), F.lpad(key, F.greatest(F.lit(5), F.length(key)), F.lit("0")))
+
+
+def service_of(segment: str, nation: str) -> Column:
+    """Service of a customer: market segment and nation modulo 3."""
+    return F.concat(F.substring(segment, 1, 1), F.lower(F.expr(f"substr({segment}, 2)")), F.lit("_"),
+                    (F.col(nation) % 3 + 1).cast("string"))
+
+
 def split_of(orderkey: Column) -> Column:
     """Split of a turn: order key mod 10 < 8 train, = 8 validation, else test."""
     return F.when(orderkey % 10 < 8, "train").when(orderkey % 10 == 8, "validation").otherwise("test")
@@ -50,8 +62,7 @@ def _joined(spark: SparkSession, d: str, splits: list[str] | None = None) -> Dat
     cu = table(spark, d, "customer", ["c_custkey", "c_mktsegment", "c_nationkey"])
     if splits:
         # The split depends on the order key only: filter the orders before the
-        # joins (a filter on the derived column would stop at the window, and
-        # above the collect_list aggregate it could not be pushed at all).
+        # joins, so the filter reaches both scans of the order key.
         od = od.filter(split_of(F.col("o_orderkey")).isin(splits))
     lp = li.join(pa, li.l_partkey == pa.p_partkey)
     oc = od.join(cu, od.o_custkey == cu.c_custkey)
@@ -66,10 +77,9 @@ def _joined(spark: SparkSession, d: str, splits: list[str] | None = None) -> Dat
 
     return j.select(
         F.col("o_orderkey").alias("turn_key"),
-        F.concat(F.lit("1_"), F.lpad(F.col("o_custkey").cast("string"), 5, "0")).alias("dialog_id"),
+        dialog_key("o_custkey").alias("dialog_id"),
         split_of(F.col("o_orderkey")).alias("split"),
-        F.concat(F.substring("c_mktsegment", 1, 1), F.lower(F.expr("substr(c_mktsegment, 2)")), F.lit("_"),
-                 (F.col("c_nationkey") % 3 + 1).cast("string")).alias("service"),
+        service_of("c_mktsegment", "c_nationkey").alias("service"),
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
         by_line({1: 4, 2: 3, 3: 0, 4: 6, 5: 2, 6: 0}, F.lit(9)).cast("int").alias("act"),
         by_line({1: "part_name", 2: "brand", 3: "ship_date", 4: "count", 5: "part_type", 6: "in_stock"},
@@ -142,15 +152,16 @@ def turn_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _per_service(spark: SparkSession, d: str, rows: list[tuple], ddl: str) -> DataFrame:
-    """Repeat a fixed row list for every service present in the acts.
+    """Repeat a fixed row list for every service.
 
-    The service list is a distinct over the acts (map-side partial
-    aggregation, <= 15 values); rows are generated with ``explode`` of a
-    literal array, so no join is involved.
+    The services are those of the customers (a dimension table, two columns):
+    a schema lists its services whether or not a turn uses them, so no fact
+    table is read.  Rows are generated with ``explode`` of a literal array.
     """
     names = [f.split()[0] for f in ddl.split(",")]
     lit_rows = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows])
-    services = _joined(spark, d).select("service").distinct()
+    customers = table(spark, d, "customer", ["c_mktsegment", "c_nationkey"])
+    services = customers.select(service_of("c_mktsegment", "c_nationkey").alias("service")).distinct()
     return services.select("service", F.explode(lit_rows).alias("x")).select("service", "x.*")
 
 
@@ -194,7 +205,7 @@ def raw_turns(spark: SparkSession, d: str) -> DataFrame:
     """``raw_turns(dialog_id, pos, speaker, utterance)`` from ``conversations``."""
     c = table(spark, d, "conversations", ["conv_id", "turn", "role", "text"])
     return c.select(
-        F.concat(F.lit("1_"), F.lpad(F.col("conv_id").cast("string"), 5, "0")).alias("dialog_id"),
+        dialog_key("conv_id").alias("dialog_id"),
         F.col("turn").alias("pos"),
         F.when(F.col("role") == "assistant", "SYSTEM").otherwise("USER").alias("speaker"),
         F.col("text").alias("utterance"))
