@@ -73,7 +73,7 @@ def token_sort_ratio(a, b):
         return 100
     if not x or not y:
         return 0
-    return int(round(100 * difflib.SequenceMatcher(None, x, y).ratio()))
+    return int(round(100 * difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()))
 
 
 def fuzzy_match(pred, value):
@@ -82,53 +82,31 @@ def fuzzy_match(pred, value):
     return any(token_sort_ratio(" ".join(toks[i:i + n]), value) / 100.0 > 0.9 for i in range(len(toks)))
 
 
-class Trie:
-    """Plain re-statement of the gapped pattern trie (feed / prune / all patterns)."""
-
-    def __init__(self):
-        self.root = {"tok": "", "count": 0, "pat": (), "rank": 0, "leaf": True, "kids": {}}
-        self.reset()
-
-    def reset(self):
-        self.active = [self.root]
-        self.seen = {()}
-
-    def feed(self, tok):
-        for node in self.active:
-            if tok == node["tok"]:
-                continue
-            if node["leaf"]:
-                if tok in node["kids"]:
-                    node["kids"][tok]["count"] += 1
-                else:
-                    node["kids"][tok] = {"tok": tok, "count": 1, "pat": node["pat"] + (tok,), "rank": 1,
-                                         "leaf": True, "kids": {}}
-            elif tok in node["kids"]:
-                child = node["kids"][tok]
-                if child["pat"] not in self.seen:
-                    self.active.append(child)
-                    self.seen.add(child["pat"])
-
-    def prune(self, min_count, top_k, rank):
-        queue, leaves = [self.root], []
-        while queue:
-            cur = queue.pop(0)
-            if cur["leaf"]:
-                leaves.append(cur)
-                cur["leaf"] = False
-            else:
-                queue.extend(cur["kids"].values())
-        for leaf in leaves:
-            kids = [k for k in leaf["kids"].values() if k["count"] > min_count]
-            for k in kids:
-                k["rank"] = rank(k)
-            kids.sort(key=lambda k: (-k["rank"], k["tok"]))
-            leaf["kids"] = {k["tok"]: k for k in kids[:top_k] if k["rank"] > 0}
-
-    def patterns(self):
-        out, queue = [], [self.root]
-        while queue:
-            cur = queue.pop(0)
-            out.append((" ".join(cur["pat"]), cur["count"]))
-            queue.extend(cur["kids"].values())
-        return out
+def first_position(tokens, pattern):
+    """Greedy first position of a gapped pattern's last token, None if it does not occur (-1 for no pattern)."""
+    at = -1
+    for t in pattern:
+        at = next((j for j in range(at + 1, len(tokens)) if tokens[j] == t), None)
+        if at is None:
+            return None
+    return at
+
+
+def gapped_patterns(texts, n_grams, min_count, top_k, rank):
+    """All kept patterns with their counts, straight from the definition: for each kept pattern count
+    every later token of every sentence, and keep its best extensions."""
+    sentences = [s.split(" ") for t in texts for s in t.split(".")]
+    kept, out = [()], {("", 0)}
+    for _ in range(n_grams):
+        level = []
+        for p in kept:
+            counts = Counter()
+            for tokens in sentences:
+                at = first_position(tokens, p)
+                if at is not None:
+                    counts.update(t for t in tokens[at + 1:] if t != (p[-1] if p else ""))
+            good = [(-rank(c), t, c) for t, c in counts.items() if c > min_count and rank(c) > 0]
+            level += [(p + (t,), c) for _, t, c in sorted(good)[:top_k]]
+        out |= {(" ".join(p), c) for p, c in level}
+        kept = [p for p, _ in level]
+    return out
