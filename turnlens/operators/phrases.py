@@ -1,7 +1,7 @@
 """Slot-indicative phrase mining.
 
 Level-wise mining of gapped token patterns in the sentences of turns that
-carry a slot.  Semantics (one pass per level in the original trie):
+carry a slot.  Semantics (one pass per level):
 
 * sentence = ``target.split('.')``, token = ``sentence.split(' ')``;
 * ``first_pos(root) = -1``; ``first_pos(p + t)`` = first ``j > first_pos(p)`` with

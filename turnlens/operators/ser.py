@@ -47,25 +47,30 @@ def slot_error_3v(acts, pred, perm, match: Match = contains_ci) -> Column:
     return F.when(has, slot_error(acts, pred, perm, match))
 
 
-def join_decodes(decodes: DataFrame, turns: DataFrame, strict: bool = False) -> DataFrame:
+def join_decodes(decodes: DataFrame, turns: DataFrame, strict: bool = True) -> DataFrame:
     """Decode rows meet their test turns on the row key (``row_idx = turn_key``).
 
-    With ``strict`` the two sides must have equal counts (positional pairing
-    in the original pipeline): two count jobs, then an error on mismatch.
+    With ``strict`` every decode needs its turn and every turn its decode: the
+    join is a full outer join, and a row without a partner raises when the plan
+    runs.  Otherwise rows without a partner are left out.
     """
     t = turns.withColumnRenamed("turn_key", "row_idx")
-    if strict:
-        nd, nt = decodes.count(), t.count()
-        if nd != nt:
-            raise ValueError(f"decode rows ({nd}) and test turns ({nt}) differ in number")
     keep = [c for c in t.columns if c not in decodes.columns or c == "row_idx"]
-    return decodes.join(t.select(*keep), "row_idx")
+    if not strict:
+        return decodes.join(t.select(*keep), "row_idx")
+    both = decodes.withColumn("_decode", F.lit(True)).join(t.select(*keep, F.lit(True).alias("_turn")), "row_idx", "full")
+    return both.where(both_sides("row_idx", "_decode", "_turn")).drop("_decode", "_turn")
+
+
+def both_sides(key: str, left: str, right: str) -> Column:
+    """True where both sides of a full outer join are there; a row without a partner is an error."""
+    lone = F.concat(F.lit("no partner on the other side for row "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return F.when(F.col(left).isNotNull() & F.col(right).isNotNull(), F.lit(True)).otherwise(F.raise_error(lone).cast("boolean"))
 
 
 def with_permissible(df: DataFrame, schema_slots: DataFrame) -> DataFrame:
-    """Attach the service's permissible slot array (broadcast: one row per service)."""
-    return df.join(F.broadcast(permissible_slots(schema_slots)).withColumnRenamed("slots", "perm"),
-                   "service", "left")
+    """Attach the service's permissible slot array (one row per service; AQE picks the join)."""
+    return df.join(permissible_slots(schema_slots).withColumnRenamed("slots", "perm"), "service", "left")
 
 
 def annotate_ser(decodes: DataFrame, turns: DataFrame, schema_slots: DataFrame,
@@ -98,9 +103,10 @@ def ser_by(rows: DataFrame, by: list[str] | None, flag: str = "has_slot_error",
 
 
 def ser_by_tag(rows: DataFrame, tag_col: str = "tag") -> DataFrame:
-    """Overall and per-tag error rate, x100, via ``rollup`` (tag null = overall)."""
-    r = rows.rollup(tag_col).agg((F.avg(F.col("has_slot_error").cast("int")) * 100).alias("ser"))
-    return r.select(F.coalesce(F.col(tag_col), F.lit("overall")).alias(tag_col), "ser")
+    """Overall and per-tag error rate, x100, via ``rollup``; rows without a tag are a null row of their own."""
+    r = rows.rollup(tag_col).agg((F.avg(F.col("has_slot_error").cast("int")) * 100).alias("ser"),
+                                 F.grouping(tag_col).alias("_total"))
+    return r.select(F.when(F.col("_total") == 1, F.lit("overall")).otherwise(F.col(tag_col)).alias(tag_col), "ser")
 
 
 class RowMetric:

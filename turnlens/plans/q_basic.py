@@ -45,7 +45,9 @@ def schema_slots_q(spark, d):
 
 @register("act_names", "SELECT turn_key, act_pos, act_name FROM named_acts")
 def act_names_q(spark, d):
-    return _acts_long(spark, d).select("turn_key", "act_pos", F.col("act").alias("act_name"))
+    """P1 with the act table joined in as data."""
+    t = C.decode_with_table(fx.turns(spark, d).select("turn_key", "dialog_acts"), fx.act_names(spark))
+    return t.select("turn_key", F.posexplode("dialog_acts").alias("act_pos", "a")).select("turn_key", "act_pos", F.col("a.act").alias("act_name"))
 
 
 @register("domain_of", "SELECT DISTINCT service, split_part(service, '_', 1) AS domain FROM acts")
@@ -190,7 +192,7 @@ def join_decodes(spark, d):
     return j.select("row_idx", "ref", "service", F.size("dialog_acts").alias("n_acts"))
 
 
-@register("feature_select")
+@register("feature_select", "SELECT turn_key, target AS input_text FROM turn_text")
 def feature_select(spark, d):
     from turnlens.operators.tokens import feature_select as op
     t = fx.turns(spark, d).withColumn("_linearized", F.col("target"))

@@ -76,7 +76,7 @@ SELECT turn_key, concat('SYSTEM | service_name=', service, ',description={{schem
 FROM (SELECT a.*, CASE WHEN s.slot IS NULL THEN a.slot ELSE {SLOT_STR} END AS ss FROM named_acts a
       LEFT JOIN schema_slots s ON s.service = a.service AND s.slot = a.slot) GROUP BY turn_key, service""")
 def lin_tsv_schema(spark, d):
-    t = _turns(spark, d).join(F.broadcast(L.slot_strings(fx.schema_slots(spark, d))), "service", "left")
+    t = _turns(spark, d).join(L.slot_strings(fx.schema_slots(spark, d)), "service", "left")
     return t.select("turn_key", L.lin_tsv_schema("dialog_acts", "service_str", "slot_str").alias("text"))
 
 
@@ -119,7 +119,7 @@ LEFT JOIN templates t ON t.service = a.service AND t.act_key = a.act_key"""
 
 
 def _with_templates(spark, d):
-    return _turns(spark, d).join(F.broadcast(L.template_maps(fx.templates(spark, d))), "service", "left")
+    return _turns(spark, d).join(L.template_maps(fx.templates(spark, d)), "service", "left")
 
 
 @register("template_key", f"SELECT turn_key, act_pos, {KEY} AS act_key FROM named_acts")
@@ -171,12 +171,23 @@ def templates_check(spark, d):
     return files.check_templates(fx.templates(spark, d), strict=False).select("service", "act_key", "consistent")
 
 
-@register("delex")
+@register("delex", """
+WITH ranked AS (
+  SELECT a.turn_key, a.slot, a.vals, p.slot IS NOT NULL AS noncat, row_number() OVER (PARTITION BY a.turn_key ORDER BY
+    coalesce(list_position(['SELECT', 'INFORM_COUNT', 'NOTIFY_SUCCESS', 'NOTIFY_FAILURE', 'INFORM', 'REQUEST', 'CONFIRM'], a.act_name), 99),
+    a.act_pos) AS r
+  FROM named_acts a LEFT JOIN (SELECT DISTINCT service, slot FROM schema_slots WHERE NOT is_categorical) p
+    ON p.service = a.service AND p.slot = a.slot),
+steps AS (SELECT turn_key, flatten(list(list_transform(list_filter(vals, lambda v: v <> ''),
+    lambda v: v || chr(1) || CASE WHEN noncat THEN '<' || slot || '>' ELSE v END) ORDER BY r)) AS xs FROM ranked GROUP BY turn_key)
+SELECT t.turn_key, list_reduce(list_concat([t.target], coalesce(s.xs, [])),
+    lambda acc, x: replace(acc, split_part(x, chr(1), 1), split_part(x, chr(1), 2))) AS target
+FROM turn_text t LEFT JOIN steps s ON s.turn_key = t.turn_key""")
 def delex(spark, d):
-    """L15 over the targets: non-categorical values -> ``<slot>`` (rows-only: sequential fold)."""
+    """L15 over the targets: non-categorical values -> ``<slot>``."""
     s = fx.schema_slots(spark, d)
     noncat = s.filter(~F.col("is_categorical")).groupBy("service").agg(F.collect_set("slot").alias("noncat"))
-    t = _turns(spark, d).join(F.broadcast(noncat), "service", "left") \
+    t = _turns(spark, d).join(noncat, "service", "left") \
         .withColumn("noncat", F.coalesce("noncat", F.array().cast("array<string>")))
     return t.select("turn_key", L.delexicalize("target", "dialog_acts", "noncat").alias("target"))
 

@@ -137,16 +137,18 @@ UNION ALL SELECT 'bleu', domain, bleu FROM ({bleu_select('domain')}))"""
 @register("domain_pivot", DOMAIN_LONG_SQL + "\nSELECT metric, " + ", ".join(
     f"round(max(CASE WHEN domain = '{x}' THEN value END), 6) AS {x}" for x in DOMAINS) + " FROM lng GROUP BY metric")
 def domain_pivot(spark, d):
-    w = A.domain_pivot(_domain_long(spark, d), "value")
+    w = A.domain_pivot(_domain_long(spark, d), "value", DOMAINS)
     return w.select("metric", *[r6(F.col(x)).alias(x) for x in w.columns if x != "metric"])
 
 
-@register("domain_union", DOMAIN_LONG_SQL + """
+@register("domain_union", DOMAIN_LONG_SQL.replace("WITH ", f"WITH {ROW_SER2}, ", 1) + """
 SELECT 'first' AS model_name, metric, domain, round(value, 6) AS value FROM lng
-UNION ALL SELECT 'second', metric, domain, round(value, 6) FROM lng""")
+UNION ALL SELECT 'second', 'ser', domain, round(avg(CAST(s.has_slot_error AS INTEGER)), 6) FROM row_ser2 s JOIN row_ser r ON r.row_idx = s.row_idx GROUP BY domain""")
 def domain_union(spark, d):
     long = _domain_long(spark, d).withColumn("value", r6(F.col("value")))
-    return A.domain_union({"first": long, "second": long}).select("model_name", "metric", "domain", "value")
+    second = S.ser_by(annotated(spark, d, fx.decodes_second_run(spark, d, with_acts=True)), ["domain"]) \
+        .select(F.lit("ser").alias("metric"), "domain", r6(F.col("ser")).alias("value"))
+    return A.domain_union({"first": long, "second": second}).select("model_name", "metric", "domain", "value")
 
 
 @register("compare_runs", f"""WITH {ROW_SER2}

@@ -83,9 +83,22 @@ def annotated_cases(spark, d):
     return out
 
 
-@register("parent_export")
+WORDS = "list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
+
+
+@register("parent_export", f"""
+WITH tab AS (SELECT turn_key, list([[slot], tk] ORDER BY act_pos) AS tbl FROM (
+  SELECT turn_key, act_pos, slot, list_filter(flatten(list_transform(vals, lambda v: {WORDS.format(x='v')})),
+         lambda w: lower(w) NOT IN ('true', 'false')) AS tk
+  FROM named_acts WHERE slot <> 'intent') WHERE slot <> '' AND len(tk) > 0 GROUP BY turn_key),
+kept AS (SELECT {WORDS.format(x='ref')} AS r, {WORDS.format(x='pred')} AS p, tbl FROM decodes JOIN tab ON turn_key = row_idx)
+SELECT file, text FROM (SELECT 'table.jl' AS file, CAST(to_json(tbl) AS VARCHAR) AS text, r FROM kept
+  UNION ALL SELECT 'ref.txt', CAST(to_json(r) AS VARCHAR), r FROM kept UNION ALL SELECT 'pred.txt', CAST(to_json(p) AS VARCHAR), r FROM kept)
+WHERE len(r) > 0""")
 def parent_export(spark, d):
     from turnlens.plans.q_files import scratch
     out = scratch(spark, "parent")
     files.parent_export(_parent(spark, d), out)
-    return spark.read.text(os.path.join(out, "table.jl")).select(F.col("value").alias("table_json"))
+    parts = [spark.read.text(os.path.join(out, f)).select(F.lit(f).alias("file"), F.col("value").alias("text"))
+             for f in ("table.jl", "ref.txt", "pred.txt")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

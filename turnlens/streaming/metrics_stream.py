@@ -33,30 +33,36 @@ STREAM_ROW = T.StructType([
 ])
 
 
-def stream_stats(rows: DataFrame, perm: DataFrame) -> DataFrame:
+def stream_stats(rows: DataFrame, perm: DataFrame, bleu: bool = True) -> DataFrame:
     """Per-domain running sums over a (streaming or batch) DataFrame of decoded rows.
 
-    ``perm`` is the static ``permissible_slots`` table (stream-static broadcast join).
+    ``perm`` is the static ``permissible_slots`` table.  Without ``bleu`` only
+    the error counts are kept.
     """
-    j = rows.join(F.broadcast(perm.withColumnRenamed("slots", "perm")), "service", "left")
+    j = rows.join(perm.withColumnRenamed("slots", "perm"), "service", "left")
     j = j.select("ref", "pred", domain_of("service").alias("domain"),
                  slot_error("dialog_acts", "pred", "perm").cast("int").alias("err"))
+    counts = [F.count(F.lit(1)).alias("n_rows"), F.sum("err").alias("n_err")]
+    if not bleu:
+        return j.groupBy("domain").agg(*counts)
     x = bleu_row_stats_rowwise(j)
     keys = [f"m{n}" for n in range(1, BLEU_ORDER + 1)] + [f"h{n}" for n in range(1, BLEU_ORDER + 1)] + ["hyp_len", "ref_len"]
-    sums = [F.count(F.lit(1)).alias("n_rows"), F.sum("err").alias("n_err")] + [F.sum(k).alias(k) for k in keys]
-    return x.groupBy("domain").agg(*sums)
+    return x.groupBy("domain").agg(*counts, *[F.sum(k).alias(k) for k in keys])
 
 
 def scores(sums: DataFrame) -> DataFrame:
-    """SER and BLEU per domain from the additive sums."""
+    """SER and, where its sums are kept, BLEU per domain from the additive sums."""
+    ser = (F.col("n_err") / F.col("n_rows")).alias("ser")
+    if "hyp_len" not in sums.columns:
+        return sums.select("domain", ser, "n_rows")
     orders = range(1, BLEU_ORDER + 1)
     bleu = bleu_from_sums([F.col(f"m{n}") for n in orders], [F.col(f"h{n}") for n in orders],
                           F.col("hyp_len"), F.col("ref_len"))
-    return sums.select("domain", (F.col("n_err") / F.col("n_rows")).alias("ser"), bleu.alias("bleu"), "n_rows")
+    return sums.select("domain", ser, bleu.alias("bleu"), "n_rows")
 
 
 def run_stream(spark: SparkSession, source_dir: str, perm: DataFrame, work_dir: str,
-               max_files_per_trigger: int = 1, timeout_s: int = 600) -> DataFrame:
+               max_files_per_trigger: int | None = None, bleu: bool = True) -> DataFrame:
     """Run the stream over the files in ``source_dir`` until they are consumed (AvailableNow).
 
     Each micro-batch's complete aggregate replaces the result table under
@@ -68,9 +74,10 @@ def run_stream(spark: SparkSession, source_dir: str, perm: DataFrame, work_dir:
     # it is one row per service, so materialise it once (reliable checkpoint).
     checkpoint_dir(spark)
     perm = perm.checkpoint()
-    src = (spark.readStream.schema(STREAM_ROW).option("maxFilesPerTrigger", max_files_per_trigger)
-           .parquet(source_dir))
-    agg = stream_stats(src, perm)
+    reader = spark.readStream.schema(STREAM_ROW)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    agg = stream_stats(reader.parquet(source_dir), perm, bleu)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(out)
@@ -78,10 +85,7 @@ def run_stream(spark: SparkSession, source_dir: str, perm: DataFrame, work_dir:
     q = (agg.writeStream.outputMode("complete").foreachBatch(sink)
          .option("checkpointLocation", os.path.join(work_dir, "checkpoint"))
          .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("stream did not finish in time")
+    q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.parquet(out)
