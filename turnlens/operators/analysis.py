@@ -29,8 +29,19 @@ def slot_examples(turns: DataFrame, slot: str) -> DataFrame:
 
 # ---------------------------------------------------------------- bad cases
 
+CRITERIA = ("has_slot_error", "ser_fuzzy", "parent_precision", "parent_recall")
+
+
 def bad_cases(rows: DataFrame, by: str = "has_slot_error", limit: int = 0) -> DataFrame:
-    """Rows flagged by ``by``, in row order; ``limit <= 0`` keeps all."""
+    """Bad cases by a criterion; ``limit <= 0`` keeps all.
+
+    By an error flag: the flagged rows in row order.  By a PARENT score: all
+    rows, worst first, nulls last, ties by row.  Other criteria are an error.
+    """
+    if by not in CRITERIA:
+        raise ValueError(f"unknown criterion for bad cases: {by}; one of {', '.join(CRITERIA)}")
+    if by.startswith("parent"):
+        return bad_cases_sorted(rows, by, limit)
     out = rows.filter(F.col(by)).orderBy("row_idx")
     return out.limit(limit) if limit > 0 else out
 

@@ -203,3 +203,48 @@ def task_rows(spark, d):
     t = t.withColumn("turn_id", F.row_number().over(Window.partitionBy("dialog_id").orderBy("turn_key")) - 1)
     rows = files.task_rows(t, L.lin_template("dialog_acts", "service", "tmpl", _intent()), F.col("target"))
     return rows.select("input", "target", "dialog_id", "turn_id")
+
+
+# ------------------------------------------------------------------ raw dialogues with frames
+
+FRAME = "CASE WHEN turn_key % 5 = 0 AND act_pos >= 2 AND count(*) OVER (PARTITION BY turn_key) > 2 THEN 1 ELSE 0 END AS frame"
+UPPER_FILL = FILL.replace("vals", "list_transform(vals, lambda v: upper(v))")
+DIALOGUE_ROWS = f"""
+WITH fr AS (SELECT *, {FRAME} FROM named_acts),
+naive AS (SELECT turn_key, frame, concat('service_name=', service, ' | ', string_agg({TSV_ACT.format(s='slot')}, ' | ' ORDER BY act_pos)) AS text
+  FROM fr GROUP BY turn_key, frame, service),
+guided AS (SELECT turn_key, frame, concat('service_name=', service, ',description={{schema[''description'']}} | ',
+    string_agg({TSV_ACT.format(s='ss')}, ' | ' ORDER BY act_pos)) AS text
+  FROM (SELECT a.*, CASE WHEN s.slot IS NULL THEN a.slot ELSE {SLOT_STR} END AS ss FROM fr a
+        LEFT JOIN schema_slots s ON s.service = a.service AND s.slot = a.slot) GROUP BY turn_key, frame, service),
+filled AS (SELECT a.turn_key, a.frame, a.act_pos, a.act_name, {RANK} AS rnk, {UPPER_FILL} AS text
+  FROM (SELECT *, {KEY} AS act_key FROM fr) a LEFT JOIN templates t ON t.service = a.service AND t.act_key = a.act_key),
+t2g2 AS (SELECT turn_key, frame, concat(CASE WHEN bool_or(act_name = 'CONFIRM') THEN 'Please confirm the following details: ' ELSE '' END,
+    string_agg(text, ' ' ORDER BY rnk, act_pos)) AS text FROM filled GROUP BY turn_key, frame),
+texts AS (
+  SELECT 'naive' AS task, turn_key, 'SYSTEM | ' || string_agg(text, ' | ' ORDER BY frame) AS input FROM naive GROUP BY turn_key
+  UNION ALL SELECT 'schema_guided', turn_key, 'SYSTEM | ' || string_agg(text, ' | ' ORDER BY frame) FROM guided GROUP BY turn_key
+  UNION ALL SELECT 't2g2', turn_key, 'SYSTEM | ' || string_agg(text, ' ' ORDER BY frame) FROM t2g2 GROUP BY turn_key),
+ids AS (SELECT turn_key, dialog_id, target, CAST(row_number() OVER (PARTITION BY dialog_id ORDER BY turn_key) - 1 AS INTEGER) AS turn_id FROM turn_text),
+n AS (SELECT turn_key, CAST(max(frame) + 1 AS INTEGER) AS n_frames, CAST(count(*) AS INTEGER) AS n_acts FROM fr GROUP BY turn_key)
+SELECT x.task, i.dialog_id, i.turn_id, x.input, i.target, i.target AS meta_utterance, n.n_frames, n.n_acts
+FROM texts x JOIN ids i ON i.turn_key = x.turn_key JOIN n ON n.turn_key = x.turn_key"""
+
+
+@register("dialogue_task_rows", DIALOGUE_ROWS)
+def dialogue_task_rows(spark, d):
+    """Raw dialogue JSON -> task rows in all three representations; the metadata is parsed back."""
+    from turnlens.operators.dialogue_rows import REPRESENTATIONS, task_rows_of_dialogues
+    from turnlens.plans.q_files import scratch
+    path = scratch(spark, "raw-dialogues")
+    fx.raw_dialogues(spark, d).write.json(path)
+    raw = files.read_dialogues(spark, path, multi_line=False)
+    out = None
+    for task in REPRESENTATIONS:
+        rows = task_rows_of_dialogues(raw, task, fx.schema_slots(spark, d), fx.templates(spark, d), canonical=True) \
+            .withColumn("task", F.lit(task))
+        out = rows if out is None else out.unionByName(rows)
+    turn = F.from_json("metainfo", files.SC.RAW_TURN)
+    return out.withColumn("m", turn).select(
+        "task", "dialog_id", "turn_id", "input", "target", F.col("m.utterance").alias("meta_utterance"),
+        F.size("m.frames").alias("n_frames"), F.aggregate("m.frames", F.lit(0), lambda n, f: n + F.size(f["actions"])).alias("n_acts"))

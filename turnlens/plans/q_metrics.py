@@ -1,6 +1,7 @@
 """Metric keys: BLEU (corpus, by domain), ROUGE-1/2, sequence accuracy, run summary and comparisons."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnlens.functions.columns import domain_of
 from turnlens.operators import analysis as A
@@ -9,6 +10,7 @@ from turnlens.operators import ser as S
 from turnlens.plans.common import annotated, r6
 from turnlens.plans.registry import register
 from turnlens.plans.sqlgen import bleu_select, ngram_ctes, rouge_tok, tok13a
+from turnlens.sources import files
 from turnlens.sources import fixtures as fx
 
 DEC = "SELECT row_idx, ref, pred, split_part(service, '_', 1) AS domain FROM decodes"
@@ -161,6 +163,19 @@ def compare_runs(spark, d):
     return A.compare_runs(base, {"second": other}, ["pred", "has_slot_error"])
 
 
+@register("domain_files", f"""WITH {BLEU_CTE}
+SELECT s.domain, round(s.ser, 6) AS ser, b.bleu, 'r1---t1' AS run FROM (SELECT domain, avg(CAST(has_slot_error AS INTEGER)) AS ser FROM row_ser GROUP BY domain) s
+JOIN ({bleu_select('domain')}) b ON b.domain = s.domain""")
+def domain_files(spark, d):
+    """The domain metrics written as CSV and read back."""
+    from turnlens.plans.q_files import scratch
+    out = f"{scratch(spark, 'domains')}/r1/t1/domain_metrics.csv"
+    files.write_metrics(domain_metrics(spark, d), out)
+    schema = T.StructType([T.StructField("domain", T.StringType()), T.StructField("ser", T.DoubleType()),
+                           T.StructField("bleu", T.DoubleType())])
+    return files.read_results(spark, out, schema)
+
+
 DOC_PAIRS = """SELECT a.doc_id AS row_idx, a.lang, a.text AS ref, b.text AS pred
 FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1"""
 

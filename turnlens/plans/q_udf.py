@@ -3,7 +3,9 @@
 import os
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from turnlens.operators import analysis as A
 from turnlens.operators import ser as S
 from turnlens.operators import textmetrics as TM
 from turnlens.plans.common import annotated, r6
@@ -71,15 +73,60 @@ def parent(spark, d):
                  F.bround(F.avg("parent_fscore"), 3).alias("parent_fscore"))
 
 
-@register("annotated_cases")
-def annotated_cases(spark, d):
+def _cases(spark, d):
     """Decode rows + domain, strict and fuzzy flags, PARENT scores (left join J3), rounded half-even."""
     rows = annotated(spark, d)
     fz = TM.ser_fuzzy_rows(rows)
     p = TM.parent_rows(rows).select("row_idx", *[F.bround(c, 3).alias(c) for c in
                                                  ["parent_precision", "parent_recall", "parent_fscore"]])
-    out = rows.select("row_idx", "ref", "pred", "sr", "domain", "has_slot_error") \
+    return rows.select("row_idx", "ref", "pred", "sr", "domain", "has_slot_error") \
         .join(fz, "row_idx", "left").join(p, "row_idx", "left")
+
+
+@register("annotated_cases")
+def annotated_cases(spark, d):
+    return _cases(spark, d)
+
+
+CASE_ROW = T.StructType([T.StructField(n, t) for n, t in [
+    ("row_idx", T.LongType()), ("ref", T.StringType()), ("pred", T.StringType()), ("sr", T.StringType()),
+    ("domain", T.StringType()), ("has_slot_error", T.BooleanType()), ("ser_fuzzy", T.BooleanType()),
+    ("parent_precision", T.DoubleType()), ("parent_recall", T.DoubleType()), ("parent_fscore", T.DoubleType())]])
+
+
+@register("case_files", """
+SELECT r.row_idx, d.ref, d.pred, d.sr, r.domain, r.has_slot_error, 'r1---t1' AS run FROM row_ser r JOIN decodes d ON d.row_idx = r.row_idx""")
+def case_files(spark, d):
+    """The annotated cases written as CSV and read back (all columns but the alignment scores are compared)."""
+    from turnlens.plans.q_files import scratch
+    out = os.path.join(scratch(spark, "cases"), "r1", "t1", "annotated_cases.csv")
+    files.write_metrics(_cases(spark, d), out)
+    return files.read_results(spark, out, CASE_ROW).select("row_idx", "ref", "pred", "sr", "domain", "has_slot_error", "run")
+
+
+@register("bad_cases_parent")
+def bad_cases_parent(spark, d):
+    """P11 by PARENT precision: the 20 worst cases."""
+    return A.bad_cases(_cases(spark, d), "parent_precision", 20).select("row_idx", "parent_precision", "parent_recall")
+
+
+@register("run_summary_full")
+def run_summary_full(spark, d):
+    """All metrics of a run: the SQL-checked rows of ``run_summary``, fuzzy SER, METEOR, ROUGE-L and PARENT."""
+    from turnlens.plans.q_metrics import run_summary
+    dec = fx.decodes(spark, d, with_acts=True)
+    cases = _cases(spark, d)
+    rouge = TM.rouge_l_rows(dec)
+    parts = [
+        A.metric_rows(cases, {"ser-fuzzy": F.avg(F.coalesce("ser_fuzzy", F.lit(False)).cast("int")),
+                              **{c.replace("_", "-"): F.bround(F.avg(c), 3)
+                                 for c in ("parent_precision", "parent_recall", "parent_fscore")}}),
+        A.metric_rows(TM.meteor_rows(dec), {"meteor": F.avg("meteor")}),
+        A.metric_rows(rouge, {f"{n}-{k}": F.avg(f"rougeL_{k}") for n in ("rougeL", "rougeLsum") for k in ("prec", "recall")}),
+    ]
+    out = run_summary(spark, d).select("metric", "value")
+    for p in parts:
+        out = out.unionByName(p.withColumn("value", r6(F.col("value"))))
     return out
 
 

@@ -225,6 +225,34 @@ def prepared_turns(spark: SparkSession, d: str) -> DataFrame:
     return main.unionByName(extra)
 
 
+def raw_dialogues(spark: SparkSession, d: str) -> DataFrame:
+    """Dialogues in the raw nested shape, one per customer: a user and a system turn for each order.
+
+    The acts of every fifth order key are spread over two frames; canonical
+    values are the values in capitals.
+    """
+    from turnlens.functions.columns import decode_acts
+    acts = F.transform(decode_acts("dialog_acts"), lambda a: F.struct(
+        a["act"].alias("act"), a["slot"].alias("slot"), a["values"].alias("values"),
+        F.transform(a["values"], lambda v: F.upper(v)).alias("canonical_values")))
+    call = F.struct(F.lit(FRAME_INTENT).alias("method"))
+    frame = lambda xs: F.struct(F.col("service"), xs.alias("actions"), call.alias("service_call"))
+    two = (F.col("turn_key") % 5 == 0) & (F.size("acts") > 2)
+    t = turns(spark, d).withColumn("acts", acts)
+    frames = F.when(two, F.array(frame(F.slice("acts", 1, 2)), frame(F.slice("acts", 3, 1000)))) \
+        .otherwise(F.array(frame(F.col("acts"))))
+    t = t.select("dialog_id", "service", "turn_key", "target", frames.alias("frames"))
+    none = F.filter("frames", lambda f: F.lit(False))
+    pair = F.array(F.struct(F.lit("USER").alias("speaker"), F.concat(F.lit("Show order "), F.col("turn_key")).alias("utterance"),
+                            none.alias("frames")),
+                   F.struct(F.lit("SYSTEM").alias("speaker"), F.col("target").alias("utterance"), F.col("frames")))
+    g = t.select("dialog_id", "service", "turn_key", pair.alias("pair")).groupBy("dialog_id").agg(
+        F.sort_array(F.collect_set("service")).alias("services"),
+        F.sort_array(F.collect_list(F.struct("turn_key", "pair"))).alias("xs"))
+    return g.select(F.col("dialog_id").alias("dialogue_id"), "services",
+                    F.flatten(F.transform("xs", lambda x: x["pair"])).alias("turns"))
+
+
 def decodes(spark: SparkSession, d: str, sr: Column | None = None, with_acts: bool = False) -> DataFrame:
     """Decoded test rows ``(row_idx, ref, pred, sr, service)``; ``row_idx`` = ``turn_key``.
 
