@@ -4,23 +4,26 @@ A document's set holds the hashes of its distinct n-word shingles. Two documents
 ``100 * intersection >= percent * union``. Equal sets are one node, so copies cost nothing more.
 
 Matrix tokens. Two linked sets of at most M shingles differ in at most ``H = 2 M (100 - percent) /
-(100 + percent)`` shingles. Hash the shingles into H + 2 cells: at least two cells agree, so a
-non-empty one does. The content of a cell is one token; a set has a fraction of its shingles as
-tokens, and a passage that many documents share makes no common token, since a cell mixes it with
-the rest. Cells depend on M, so sizes are cut into bands of ratio 100 / percent; linked sets are in
-the same or in neighbouring bands, and each set has the tokens of both pairings it can take part in.
-
-Groups. Tokens that only one node has are dropped. Every node is checked against the smallest node
-(hub) of each of its tokens, and links to hubs give first classes. What remains open are tokens whose
-nodes are in different classes: their nodes are partitioned into groups of similar sets (same hub,
-whole classes together, bounded number of shingles). The matrix joins tokens with groups; a node is
-sent to a group only if it shares a token with it. There the union of the group's sets bounds the
-overlap: with fewer than ``percent`` of the node's shingles in the union no member can link, and the
-group stays closed. Open groups are verified exactly, skipping pairs that are already in one class.
+(100 + percent)`` shingles. Hash the shingles into H + 1 + z cells: at least z + 1 cells agree. The
+content of a cell is one token; a set has a fraction of its shingles as tokens, and a passage that
+many documents share makes few common tokens, since a cell mixes it with the rest. So linked sets
+share at least ``need`` tokens: z + 1 less the empty cells, which make no token. Cells depend on M,
+so sizes are cut into bands of ratio 100 / percent; linked sets are in the same or in neighbouring
+bands, and each set has the tokens of both pairings it can take part in.
+
+Groups. Tokens that only one node has are dropped, and nodes that keep fewer than ``need``. Every
+node is checked against the smallest node (hub) of its tokens, and links to hubs give first classes.
+What remains open are tokens whose nodes are in different classes: their nodes are partitioned into
+groups of similar sets (same hub, whole classes together, bounded number of shingles). The matrix
+joins tokens with groups: a node is sent to a group only if the group's tokens hold ``need`` of the
+node's. There the union of the group's sets bounds the overlap: with fewer than ``percent`` of the
+node's shingles in the union no member can link, and the group stays closed. Open groups are
+verified exactly, skipping pairs that are already in one class.
 
 The number of rows never grows with the pairs of a group of copies: hubs give one row per node and
 token, the matrix one per node and group. Every link between different classes is found, so classes
-are exact. Hashes have 64 bits.
+are exact. Shingles and sets are known by hashes of 64 bits; tokens by 48 bits, of which chance
+matches only cost work.
 
 Words are split at ASCII white space after A-Z is lower-cased. Null texts and texts without words
 have an empty set and link with nothing; texts of fewer than n words are one shingle. Rows with a
@@ -46,6 +49,8 @@ from turnlens.llm.components import connected
 GROUP_SHINGLES = 500_000
 #: Tokens of a bucket in which repeated tokens are found, and tokens packed into one row per bucket.
 BUCKET_TOKENS, PACK_TOKENS = 1_000_000, 1_000_000
+#: Bits of a token, and bytes of a token and of a node in a pack.
+TOKEN_BITS, TOKEN_BYTES, NODE_BYTES = 48, 6, 5
 #: Distinct words remembered by a worker (speed only).
 MEMORY = 400_000
 
@@ -103,25 +108,29 @@ class Bands:
             self.edges.append(max(self.edges[-1] + 1, -(-self.edges[-1] * 100 // self.percent)))
         return int(np.searchsorted(self.edges, size, side="right")) - 1
 
-    def cells(self, pairing: int) -> int:
-        """Cells for sets of the bands ``pairing - 1`` and ``pairing``; 0 if only equal sets can link."""
+    def cells(self, pairing: int) -> tuple[int, int]:
+        """Cells for sets of the bands ``pairing - 1`` and ``pairing``, and how many more than H + 1; 0: only equal sets link."""
         while len(self.edges) < pairing + 2:
             self.band(self.edges[-1])
         most = self.edges[pairing + 1] - 1
         differ = 2 * most * (100 - self.percent) // (100 + self.percent)
-        return differ + 2 if differ else 0
+        more = 1 + differ // 10
+        return (differ + 1 + more, more) if differ else (0, 0)
 
-    def tokens(self, shingles: np.ndarray) -> np.ndarray:
-        """Matrix tokens of a sorted set."""
-        out = []
+    def tokens(self, shingles: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Matrix tokens of a sorted set, and how many of them a linked set shares at least.
+
+        The lowest bit of a token is that of its pairing's number; the two pairings of a set differ in it.
+        """
+        out, need = [np.zeros(0, dtype=np.uint64)], [1, 1]
         if not len(shingles):
-            return np.zeros(0, dtype=np.uint64)
+            return out[0], need
         band = self.band(len(shingles))
         with np.errstate(over="ignore"):
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(shingles))])
             high = shingles >> np.uint64(32)
             for pairing in (band, band + 1):
-                cells = self.cells(pairing)
+                cells, more = self.cells(pairing)
                 if not cells:
                     continue
                 # first hash of each cell: cell = high * cells >> 32
@@ -130,10 +139,14 @@ class Bands:
                 cell = np.arange(cells, dtype=np.uint64)
                 content = sums[at[1:]] - sums[at[:-1]]
                 token = mixed(mixed(content + cell * MIX[0]) + np.uint64(pairing) * MIX[1] + np.uint64(cells))
+                token = token >> np.uint64(64 - TOKEN_BITS)
+                token = (token & ~np.uint64(1)) | np.uint64(pairing & 1)
                 full = at[1:] > at[:-1]
-                # one empty cell is covered by the extra cell; with more, empty ones count too
-                out.append(token if (~full).sum() > 1 else token[full])
-        return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+                empty = int((~full).sum())
+                # with too many empty cells the empty ones count too, here and in a linked set that also has too many
+                out.append(token if empty > more else token[full])
+                need[pairing & 1] = 1 if empty > more else more + 1 - empty
+        return np.concatenate(out), need
 
 
 def lists_of(rows: list[np.ndarray]) -> pa.ListArray:
@@ -142,43 +155,64 @@ def lists_of(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.uint64).view(np.int64)))
 
 
+def narrow(numbers: np.ndarray, size: int) -> bytes:
+    """The lower ``size`` bytes of each number."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def widen(raw: bytes, size: int) -> np.ndarray:
+    """Numbers of ``size`` bytes each."""
+    out = np.zeros((len(raw) // size, 8), dtype=np.uint8)
+    out[:, :size] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, size)
+    return out.reshape(-1).view("<u8")
+
+
 def document_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, n_shingles, node, tokens`` of every row; ``node`` is the hash of its set."""
+    """``id, n_shingles, node, tokens, need`` of every row; ``node`` is the hash of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for b in batches:
             sets = [shingle_set(t, n) for t in b.column(1).to_pylist()]
+            marks = [bands.tokens(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(set_hash, sets), pa.int64()),
-                 lists_of([bands.tokens(s) for s in sets])], names=["id", "n_shingles", "node", "tokens"])
+                 pa.array([narrow(t, TOKEN_BYTES) for t, _ in marks], pa.binary()),
+                 pa.array([need for _, need in marks], pa.list_(pa.int32()))],
+                names=["id", "n_shingles", "node", "tokens", "need"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")) \
-        .mapInArrow(run, f"id {kind}, n_shingles bigint, node bigint, tokens array<bigint>")
+        .mapInArrow(run, f"id {kind}, n_shingles bigint, node bigint, tokens binary, need array<int>")
+
+
+def batch_tokens(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of a batch, and how many each row has."""
+    raw = tokens.to_pylist()
+    return widen(b"".join(raw), TOKEN_BYTES), np.array([len(x) // TOKEN_BYTES for x in raw], dtype=np.int64)
 
 
 def repeated_tokens(sets: DataFrame, buckets: int) -> DataFrame:
-    """``hash, hub``: tokens of at least two nodes, and the smallest of these.
+    """``hash``: tokens of at least two nodes.
 
-    Tokens travel packed: each worker sends one row per bucket with the smallest and the largest node
-    of each of its tokens, so a token that very many nodes share is one entry per worker's pack.
+    Tokens travel packed: each worker sends one row per bucket with each of its tokens and a node that
+    has it, so a token that very many nodes share is one entry per worker's pack.
     """
 
-    def summary(tokens: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    def summary(tokens: np.ndarray, nodes: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.argsort(tokens, kind="stable")
-        tokens, low, high = tokens[order], low[order], high[order]
+        tokens, nodes, several = tokens[order], nodes[order], several[order]
         first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        return tokens[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+        low, high = np.minimum.reduceat(nodes, first), np.maximum.reduceat(nodes, first)
+        return tokens[first], low, (low != high) | np.logical_or.reduceat(several, first)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for b in batches:
-            lists = b.column(1)
-            counts = lists.value_lengths().to_numpy(zero_copy_only=False)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            waiting.append((flat, np.repeat(b.column(0).to_numpy(zero_copy_only=False), counts)))
+            flat, counts = batch_tokens(b.column(1))
+            nodes = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << 8 * NODE_BYTES) - 1)
+            waiting.append((flat, np.repeat(nodes, counts)))
             size += len(flat)
             if size >= PACK_TOKENS:
                 yield packed(waiting)
@@ -187,56 +221,72 @@ def repeated_tokens(sets: DataFrame, buckets: int) -> DataFrame:
             yield packed(waiting)
 
     def packed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        nodes = np.concatenate([p[1] for p in parts])
-        tokens, low, high = summary(np.concatenate([p[0] for p in parts]), nodes, nodes)
-        where = (tokens.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-        order = np.argsort(where, kind="stable")
-        where, tokens, low, high = where[order], tokens[order], low[order], high[order]
-        several = low != high
+        tokens = np.concatenate([p[0] for p in parts])
+        tokens, nodes, several = summary(tokens, np.concatenate([p[1] for p in parts]), np.zeros(len(tokens), dtype=bool))
+        # tokens are sorted, and a bucket is a range of them
+        where = (tokens >> np.uint64(TOKEN_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
         at = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
         cuts = list(zip(at.tolist(), np.r_[at[1:], len(where)].tolist()))
         return pa.RecordBatch.from_arrays(
-            [pa.array(where[at].astype(np.int32)), pa.array([tokens[a:b].tobytes() for a, b in cuts], pa.binary()),
-             pa.array([low[a:b].tobytes() for a, b in cuts], pa.binary()),
-             pa.array([np.flatnonzero(several[a:b]).astype(np.uint32).tobytes() for a, b in cuts], pa.binary())],
+            [pa.array(where[at].astype(np.int32)), pa.array([narrow(tokens[a:b], TOKEN_BYTES) for a, b in cuts], pa.binary()),
+             pa.array([narrow(nodes[a:b], NODE_BYTES) for a, b in cuts], pa.binary()),
+             pa.array([np.packbits(several[a:b]).tobytes() for a, b in cuts], pa.binary())],
             names=["bucket", "tokens", "nodes", "several"])
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["tokens"]])
-        nodes = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["nodes"]])
-        starts = np.cumsum([0, *(len(x) // 8 for x in pdf["tokens"])])
-        several = np.zeros(len(tokens), dtype=bool)
-        for a, x in zip(starts, pdf["several"]):
-            several[a + np.frombuffer(x, np.uint32).astype(np.int64)] = True
-        order = np.argsort(tokens, kind="stable")
-        tokens, nodes, several = tokens[order], nodes[order], several[order]
-        first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        low, high = np.minimum.reduceat(nodes, first), np.maximum.reduceat(nodes, first)
-        keep = (low != high) | np.logical_or.reduceat(several, first)
-        return pd.DataFrame({"hash": tokens[first][keep], "hub": low[keep]})
+        tokens = [widen(x, TOKEN_BYTES) for x in pdf["tokens"]]
+        nodes = np.concatenate([widen(x, NODE_BYTES) for x in pdf["nodes"]])
+        several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(t)) for x, t in zip(pdf["several"], tokens)]
+        found, _, more = summary(np.concatenate(tokens), nodes, np.concatenate(several).astype(bool))
+        return pd.DataFrame({"hash": found[more].astype(np.int64)})
 
     return sets.select("node", "tokens") \
         .mapInArrow(pack, "bucket int, tokens binary, nodes binary, several binary") \
-        .groupBy("bucket").applyInPandas(find, "hash bigint, hub bigint")
+        .groupBy("bucket").applyInPandas(find, "hash bigint")
 
 
 def kept_tokens(sets: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``hash, node, hub`` of the tokens that several nodes have; each node once per token."""
-    count = repeated.count()
-    bits = min(27, max(16, (32 * count).bit_length()))  # 16 MB at most; only saves shuffling
-    bitmap = bitmap_of(repeated.select("hash"), bits)
+    """``hash, node, need`` of the tokens that several nodes have, for nodes with enough of them.
+
+    Tokens that the bitmap does not hold are not repeated; it only saves shuffling.
+    """
+    bits = min(27, max(16, (32 * repeated.count()).bit_length()))  # 16 MB at most
+    shift = 64 - TOKEN_BITS
+    bitmap = bitmap_of(repeated.select(F.shiftleft("hash", shift).alias("hash")), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(bitmap, dtype=np.uint8)
         for b in batches:
-            counts = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
-            nodes = np.repeat(b.column(0).to_numpy(zero_copy_only=False), counts)
-            keep = in_bitmap(held, bits, flat)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(nodes[keep])], names=["hash", "node"])
+            flat, counts = batch_tokens(b.column(1))
+            keep = in_bitmap(held, bits, flat << np.uint64(shift))
+            row = np.repeat(np.arange(len(counts)), counts)[keep]
+            flat = flat[keep]
+            side = (flat & np.uint64(1)).astype(np.int64)
+            has = np.bincount(row * 2 + side, minlength=2 * len(counts))
+            need = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            enough = (has >= need)[row * 2 + side]
+            row, flat, side = row[enough], flat[enough], side[enough]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat.astype(np.int64)), pa.array(b.column(0).to_numpy(zero_copy_only=False)[row]),
+                 pa.array(need[row * 2 + side].astype(np.int32))], names=["hash", "node", "need"])
+
+    rows = sets.select("node", "tokens", "need").mapInArrow(run, "hash bigint, node bigint, need int")
+    exact = stored(rows.distinct().join(repeated, "hash", "left_semi"), "candidate-tokens")
+    side = F.col("hash").bitwiseAND(1).alias("side")
+    enough = exact.groupBy("node", side, "need").count().where("count >= need").select("node", "side")
+    return exact.withColumn("side", side).join(enough, ["node", "side"], "left_semi").select("hash", "node", "need")
+
+
+def with_hubs(tokens: DataFrame) -> DataFrame:
+    """``hash, node, need, hub``: the smallest node of each token; tokens that one node only has left are dropped."""
+    hubs = tokens.groupBy("hash").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
+    return tokens.join(hubs.select("hash", "hub"), "hash")
+
 
-    return sets.select("node", "tokens").mapInArrow(run, "hash bigint, node bigint").distinct() \
-        .join(repeated, "hash")
+def shared_enough(pairs: DataFrame, *by: str) -> DataFrame:
+    """Distinct ``by`` of rows (one per shared token) that share at least ``need`` tokens of one pairing."""
+    return pairs.groupBy(*by, F.col("hash").bitwiseAND(1).alias("side"), "need").count() \
+        .where("count >= need").select(*by).distinct()
 
 
 def node_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -306,8 +356,8 @@ def verify_group(members: pd.DataFrame, queries: pd.DataFrame, percent: int) ->
 
 
 def hub_links(tokens: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """Links between nodes and the hubs of their tokens, verified."""
-    pairs = tokens.where("node <> hub").select("node", "hub").distinct()
+    """Links between nodes and hubs that share enough tokens, verified."""
+    pairs = shared_enough(tokens.where("node <> hub"), "node", "hub")
     a = shingles.select("node", F.col("shingles").alias("x"))
     b = shingles.select(F.col("node").alias("hub"), F.col("shingles").alias("y"))
     both = pairs.join(a, "node").join(b, "hub") \
@@ -333,13 +383,12 @@ def group_links(tokens: DataFrame, shingles: DataFrame, labels: DataFrame, perce
     grouped = stored(grouped.select("node", "label", "size", group.alias("group")), "groups")
     pure = grouped.groupBy("group").agg(F.min("label").alias("l"), F.max("label").alias("h")) \
         .select("group", F.when(F.col("l") == F.col("h"), F.col("l")).alias("only"))
-    own = opened.select("hash", "node").join(grouped, "node")
+    own = opened.select("hash", "node", "need").join(grouped, "node")
     matrix = own.select("hash", F.col("group").alias("other")).distinct() \
         .join(pure.withColumnRenamed("group", "other"), "other")
-    asked = own.join(matrix, "hash").where((F.col("group") <= F.col("other"))
-                                           & (F.col("only").isNull() | (F.col("only") != F.col("label")))) \
-        .select(F.col("other").alias("group"), "node", "label", "size").distinct()
-    asked = stored(asked, "asked")
+    met = own.join(matrix, "hash").where((F.col("group") <= F.col("other"))
+                                         & (F.col("only").isNull() | (F.col("only") != F.col("label"))))
+    asked = stored(shared_enough(met, "other", "node", "label", "size").withColumnRenamed("other", "group"), "asked")
     chunks = asked.groupBy("group").agg(F.ceil(F.sum("size") / GROUP_SHINGLES).alias("chunks"))
     queries = asked.join(chunks, "group") \
         .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))) \
@@ -358,9 +407,10 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     spark = docs.sparkSession
     bounded_batches(spark)
     sets = stored(document_sets(docs, n, percent, id_col, text_col), "sets")
-    total = sets.agg(F.sum(F.size("tokens").cast("long"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TOKENS))
-    tokens = stored(kept_tokens(sets, stored(repeated_tokens(sets, buckets), "repeated")), "tokens")
+    total = sets.agg(F.sum(F.octet_length("tokens").cast("long"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (TOKEN_BYTES * BUCKET_TOKENS) + 1)
+    repeated = stored(repeated_tokens(sets, buckets), "repeated")
+    tokens = stored(with_hubs(stored(kept_tokens(sets, repeated), "kept")), "tokens")
     shingles = stored(node_sets(docs, sets, tokens.select("node").distinct(), n, id_col, text_col), "shingles")
     first = stored(hub_links(tokens, shingles, percent), "hub-links")
     classes = connected(first)
