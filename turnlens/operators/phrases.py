@@ -11,11 +11,12 @@ carry a slot.  Semantics (one pass per level):
 * prune: keep ``count > min_count``, rank, keep the ``top_k`` best per parent
   with rank > 0 (ties by token ascending).
 
-Spark plan per level: ``state(sid, pid, fp)`` joins ``tokens(sid, pos, tok)`` on
-the sentence id with ``pos > fp``; one group-by counts extensions, a window
-keeps the top-k per parent, a second group-by builds the next state.  The
-frontier holds at most ``top_k ** level`` patterns.  Each level's state is
-checkpointed (reliable storage under ``spark.checkpoint.dir``) to cut lineage.
+Spark plan per level: a row holds one sentence's tokens and one pattern active
+in it (``toks, pid, fp, last``).  Exploding the tokens after ``fp`` gives the
+extensions, one group-by with map-side combine counts them, and a window keeps
+the top-k per parent: at most ``top_k ** level`` rows, which are checkpointed.
+Joined back to the rows on the pattern they give the next level's rows; a
+sentence's tokens are never joined again.
 """
 
 from __future__ import annotations
@@ -31,16 +32,14 @@ from turnlens.session import checkpoint_dir
 RankFn = Callable[[DataFrame], DataFrame]
 
 
-def example_tokens(turns: DataFrame, slot: str) -> DataFrame:
-    """``tokens(sid, pos, tok)`` of the examples (one per act carrying ``slot``), and the example count."""
+def example_sentences(turns: DataFrame, slot: str) -> tuple[DataFrame, DataFrame]:
+    """Token arrays ``toks`` of the examples' sentences (one example per act carrying ``slot``), and the examples."""
     ex = acts_long(turns).filter(F.col("slot") == slot).select("turn_key", "act_pos", "target")
-    sents = ex.select("turn_key", "act_pos", F.posexplode(F.split("target", "[.]")).alias("si", "s"))
-    toks = sents.select(F.struct("turn_key", "act_pos", "si").alias("sid"),
-                        F.posexplode(F.split("s", " ")).alias("pos", "tok"))
-    return toks, ex
+    sents = ex.select(F.explode(F.split("target", "[.]")).alias("s"))
+    return sents.select(F.split("s", " ").alias("toks")), ex
 
 
-def bayes_rank(turns: DataFrame, slot: str, n_examples, min_unigram: int = 20) -> RankFn:
+def bayes_rank(turns: DataFrame, slot: str, n_examples: int, min_unigram: int = 20) -> RankFn:
     """M2 as a ranking function over candidate extensions.
 
     ``rank = (count / n_examples) * P(slot) / prod(P(token))``; -1 when a token is
@@ -53,9 +52,7 @@ def bayes_rank(turns: DataFrame, slot: str, n_examples, min_unigram: int = 20) -
                                      F.col("freq").alias("ufreq")).checkpoint()
     vals = slot_value_tokens(turns).filter(F.col("slot") == slot).select(F.col("token").alias("tok"),
                                                                           F.lit(True).alias("is_value"))
-    n_turns = turns.select(F.count(F.lit(1))).scalar()
-    n_slot = acts_long(turns).filter(F.col("slot") == slot).select(F.count(F.lit(1))).scalar()
-    p_slot = n_slot / n_turns
+    p_slot = n_examples / max(turns.count(), 1)   # one example per act carrying the slot
 
     def rank(c: DataFrame) -> DataFrame:
         x = c.join(uni, "tok", "left").join(vals, "tok", "left")
@@ -96,19 +93,18 @@ def mine_patterns(turns: DataFrame, slot: str, n_grams: int = 4, min_count: int
     # Statistics, examples and ranks all read the turns: keep them for the run
     # (a lost executor recomputes its blocks from lineage).
     turns = turns.persist()
-    toks, ex = example_tokens(turns, slot)
+    toks, ex = example_sentences(turns, slot)
     toks = toks.checkpoint()
-    n_examples = ex.select(F.count(F.lit(1))).scalar()
-    rank = rank or bayes_rank(turns, slot, n_examples)
-    # root state: every sentence, pattern [] (pid ''), first position -1, last token ''
-    state = toks.select("sid").distinct().select("sid", F.lit("").alias("pid"), F.lit(-1).alias("fp"),
-                                                  F.lit("").alias("last"))
+    rank = rank or bayes_rank(turns, slot, ex.count())
+    # root: every sentence, pattern [] (pid ''), first position -1, last token ''
+    state = toks.select("toks", F.lit("").alias("pid"), F.lit(-1).alias("fp"), F.lit("").alias("last"))
     front = spark.range(1).select(F.lit("").alias("pid"), F.array().cast("array<string>").alias("pattern"),
                                   F.lit(1.0).alias("prod"))
     levels = [spark.range(1).select(F.lit("").alias("pattern"), F.lit(0).alias("level"),
                                     F.lit(0).cast("bigint").alias("count"), F.lit(0.0).alias("rank"))]
+    rest = F.slice("toks", F.col("fp") + 2, F.size("toks"))
     for level in range(1, n_grams + 1):
-        ext = state.join(toks, "sid").filter((F.col("pos") > F.col("fp")) & (F.col("tok") != F.col("last")))
+        ext = state.select("pid", "last", F.explode(rest).alias("tok")).filter(F.col("tok") != F.col("last"))
         cand = ext.groupBy("pid", "tok").agg(F.count(F.lit(1)).alias("count")) \
             .filter(F.col("count") > min_count).join(front, "pid")
         ranked = rank(cand)
@@ -119,10 +115,10 @@ def mine_patterns(turns: DataFrame, slot: str, n_grams: int = 4, min_count: int
                                   "count", "rank"))
         if level == n_grams:
             break
-        nxt = ext.join(kept.select("pid", "tok", "npid"), ["pid", "tok"], "left_semi") \
-            .groupBy("sid", "pid", "tok").agg(F.min("pos").alias("fp"))
-        state = nxt.join(kept.select("pid", "tok", "npid"), ["pid", "tok"]) \
-            .select("sid", F.col("npid").alias("pid"), "fp", F.col("tok").alias("last")).checkpoint()
+        at = F.array_position(rest, F.col("tok")).cast("int")   # 1-based, 0: not there
+        state = state.join(kept.select("pid", "tok", "npid"), "pid") \
+            .select("toks", F.col("npid").alias("pid"), "fp", at.alias("at"), F.col("tok").alias("last")) \
+            .filter(F.col("at") > 0).select("toks", "pid", (F.col("fp") + F.col("at")).alias("fp"), "last")
         front = kept.select(F.col("npid").alias("pid"), "pattern", "prod")
     out = levels[0]
     for lv in levels[1:]:

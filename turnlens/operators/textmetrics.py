@@ -102,19 +102,26 @@ def fuzzy_match(text, value) -> Column:
     """Does some window of ``len(value.split())`` space-split tokens of ``text``
     reach token-sort ratio >= 91 against ``value``?
 
-    Windows, normalised keys, exact hits and the length bound are native
-    expressions; only the surviving distinct window keys of a row reach the
-    Arrow UDF (an empty list when an exact hit already decided the row).
+    A value that stands in the text between spaces (or before a final dot) is a
+    hit at once: its window has the same key.  For the others windows,
+    normalised keys, exact hits and the length bound are native expressions;
+    only the surviving distinct window keys of a row reach the Arrow UDF (an
+    empty list where the row is decided).
     """
-    n = F.size(ws_tokens(value))
+    words = ws_tokens(value)
+    n = F.size(words)
+    plain = F.array_join(words, " ")
+    padded = F.concat(F.lit(" "), _col(text), F.lit(" "))
+    stands = (plain == _col(value)) & (plain != "") & (
+        padded.contains(F.concat(F.lit(" "), plain, F.lit(" "))) | padded.contains(F.concat(F.lit(" "), plain, F.lit(". "))))
     toks = F.split(_col(text), " ")
     wins = F.transform(F.sequence(F.lit(1), F.size(toks)), lambda i: F.array_join(F.slice(toks, i, n), " "))
     vk = sort_key(value)
-    wks = F.array_distinct(F.transform(wins, lambda w: sort_key(w)))
-    exact = F.array_contains(wks, vk)
+    none = F.array().cast("array<string>")
+    wks = F.when(stands, none).otherwise(F.array_distinct(F.transform(wins, lambda w: sort_key(w))))
+    exact = stands | F.array_contains(wks, vk)
     cands = F.filter(wks, lambda k: (k != vk) &
                      (F.least(F.length(k), F.length(vk)) * 2 >= (F.length(k) + F.length(vk)) * LENGTH_BOUND))
-    none = F.array().cast("array<string>")
     return exact | any_ratio_udf(vk, F.when(exact, none).otherwise(cands))
 
 

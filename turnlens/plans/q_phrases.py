@@ -25,22 +25,47 @@ FROM cnt c LEFT JOIN uni u ON u.token = c.tok""")
 def pattern_rank(spark, d):
     """M2 on the first level: every token counted more than ``min_count`` times, with its rank."""
     turns = fx.turns(spark, d)
-    toks, ex = PH.example_tokens(turns, PHRASE_SLOT)
-    n_ex = ex.select(F.count(F.lit(1))).scalar()
-    cand = toks.filter(F.col("tok") != "").groupBy("tok").agg(F.count(F.lit(1)).alias("count")) \
+    toks, ex = PH.example_sentences(turns, PHRASE_SLOT)
+    cand = toks.select(F.explode("toks").alias("tok")).filter(F.col("tok") != "").groupBy("tok").agg(F.count(F.lit(1)).alias("count")) \
         .filter(F.col("count") > MIN_COUNT).withColumn("prod", F.lit(1.0))
-    r = PH.bayes_rank(turns, PHRASE_SLOT, n_ex)(cand)
+    r = PH.bayes_rank(turns, PHRASE_SLOT, ex.count())(cand)
     return r.select(F.col("tok").alias("token"), "count", r6(F.col("rank")).alias("rank"))
 
 
-@register("slot_patterns")
+def patterns_sql(n_grams: int) -> str:
+    """M1 with the levels unrolled: positions count from 1, position 0 is before the first token."""
+    parts = [f"""ex AS (SELECT t.target FROM acts a JOIN turn_text t ON t.turn_key = a.turn_key WHERE a.slot = '{PHRASE_SLOT}'),
+s0 AS (SELECT string_split(s, ' ') AS toks, '' AS pat, 0 AS fp, '' AS last, CAST(1 AS DOUBLE) AS prod
+  FROM (SELECT unnest(string_split(target, '.')) AS s FROM ex)),
+uni AS (SELECT token, count(*) AS ucount FROM (SELECT unnest(string_split(target, ' ')) AS token FROM turn_text) GROUP BY token),
+slot_vals AS (SELECT DISTINCT unnest(string_split(v, ' ')) AS token FROM (SELECT unnest(vals) AS v FROM named_acts WHERE slot = '{PHRASE_SLOT}')),
+info AS (SELECT token, ucount < 20 OR token IN (SELECT token FROM slot_vals) AS bad,
+  CAST(ucount AS DOUBLE) / (SELECT sum(ucount) FROM uni) AS ufreq FROM uni),
+nums AS (SELECT CAST((SELECT count(*) FROM ex) AS DOUBLE) AS n_ex,
+  CAST((SELECT count(*) FROM ex) AS DOUBLE) / (SELECT count(*) FROM turn_text) AS p_slot)"""]
+    for i in range(1, n_grams + 1):
+        parts.append(f"""c{i} AS (SELECT pat, tok, count(*) AS n, any_value(prod) AS prod FROM
+  (SELECT pat, last, prod, unnest(toks[fp + 1:]) AS tok FROM s{i - 1}) WHERE tok <> last GROUP BY pat, tok HAVING count(*) > {MIN_COUNT}),
+r{i} AS (SELECT c.pat, c.tok, c.n, c.prod * f.ufreq AS prod, (CAST(c.n AS DOUBLE) / n_ex) * p_slot / (c.prod * f.ufreq) AS rank
+  FROM c{i} c JOIN info f ON f.token = c.tok AND NOT f.bad CROSS JOIN nums),
+k{i} AS (SELECT *, CASE WHEN pat = '' THEN tok ELSE pat || chr(1) || tok END AS npat FROM
+  (SELECT *, row_number() OVER (PARTITION BY pat ORDER BY rank DESC, tok) AS rn FROM r{i} WHERE rank > 0) WHERE rn <= 5),
+s{i} AS (SELECT s.toks, k.npat AS pat, s.fp + list_position(s.toks[s.fp + 1:], k.tok) AS fp, k.tok AS last, k.prod
+  FROM s{i - 1} s JOIN k{i} k ON k.pat = s.pat WHERE list_contains(s.toks[s.fp + 1:], k.tok))""")
+    rows = " UNION ALL ".join(f"SELECT replace(npat, chr(1), ' ') AS pattern, {i} AS level, CAST(n AS BIGINT) AS count, round(rank, 6) AS rank FROM k{i}"
+                              for i in range(1, n_grams + 1))
+    return f"WITH {', '.join(parts)} {rows}"
+
+
+@register("slot_patterns", patterns_sql(4))
 def slot_patterns(spark, d):
     """M1: gapped patterns of up to 4 tokens indicative of the slot (levels >= 1)."""
     p = PH.mine_patterns(fx.turns(spark, d), PHRASE_SLOT, n_grams=4, min_count=MIN_COUNT, top_k=5)
     return p.filter(F.col("level") > 0).select("pattern", "level", "count", r6(F.col("rank")).alias("rank"))
 
 
-@register("all_patterns")
+@register("all_patterns", f"""SELECT pattern, count, rank FROM ({patterns_sql(2)})
+UNION ALL SELECT '', CAST(0 AS BIGINT), CAST(0 AS DOUBLE)""")
 def all_patterns(spark, d):
     """M3: every kept pattern with count and rank, the root ``('', 0, 0)`` included."""
     p = PH.mine_patterns(fx.turns(spark, d), PHRASE_SLOT, n_grams=2, min_count=MIN_COUNT, top_k=5)

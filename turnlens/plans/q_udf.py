@@ -10,6 +10,7 @@ from turnlens.operators import ser as S
 from turnlens.operators import textmetrics as TM
 from turnlens.plans.common import annotated, r6
 from turnlens.plans.registry import register
+from turnlens.plans.sqlgen import rouge_tok
 from turnlens.sources import fixtures as fx
 from turnlens.sources import files
 
@@ -37,7 +38,18 @@ def ser_fuzzy(spark, d):
     return S.ser_by(f, ["domain"], "ser_fuzzy", coalesce_null=True).select("domain", r6(F.col("ser")).alias("ser_fuzzy"))
 
 
-@register("rouge_l")
+# Longest common subsequence by rows of the table: lists of one number step through both texts.
+LCS = """list_reduce(list_concat([list_transform(range(len(r) + 1), lambda z: 0)], list_transform(range(1, len(h) + 1), lambda i: [i])),
+  lambda prev, i: list_reduce(list_concat([[0]], list_transform(range(1, len(r) + 1), lambda j: [j])),
+    lambda cur, j: list_append(cur, greatest(cur[len(cur)], CASE WHEN h[i[1]] = r[j[1]] THEN prev[j[1]] + 1 ELSE prev[j[1] + 1] END))))[len(r) + 1]"""
+
+
+@register("rouge_l", f"""
+WITH t AS (SELECT {rouge_tok('ref')} AS r, {rouge_tok('pred')} AS h FROM decodes),
+s AS (SELECT CASE WHEN len(r) = 0 OR len(h) = 0 THEN 0.0 ELSE CAST({LCS} AS DOUBLE) / len(h) END AS p,
+             CASE WHEN len(r) = 0 OR len(h) = 0 THEN 0.0 ELSE CAST({LCS} AS DOUBLE) / len(r) END AS c FROM t)
+SELECT round(avg(p), 6) AS rougeL_prec, round(avg(c), 6) AS rougeL_recall,
+       round(avg(p), 6) AS rougeLsum_prec, round(avg(c), 6) AS rougeLsum_recall FROM s""")
 def rouge_l(spark, d):
     r = TM.rouge_l_rows(fx.decodes(spark, d))
     return r.agg(r6(F.avg("rougeL_prec")).alias("rougeL_prec"), r6(F.avg("rougeL_recall")).alias("rougeL_recall"),
