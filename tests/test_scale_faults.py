@@ -151,6 +151,76 @@ def test_slots_described_twice(spark):
     assert L.slot_desc_maps(s).first()["slot_desc"] == {"slot": "one"}
 
 
+def test_any_predicate_for_slot_errors(spark):
+    rows = spark.createDataFrame([(1, "a red car", [(0, "colour", ["red"])], ["colour"]), (2, "a car", [(0, "colour", ["red"])], ["colour"]),
+                                  (3, "a car", [(0, "kind", ["red"])], ["colour"])],
+                                 "row_idx long, pred string, dialog_acts array<struct<act:int,slot:string,values:array<string>>>, perm array<string>")
+
+    @F.pandas_udf("boolean")
+    def ends(text, value):
+        return text.str.contains("car") & (text.str.len() > 5) & (value.str.len() > 0)
+
+    got = {r["row_idx"]: r["slot_error"] for r in S.slot_error_rows(rows, ends).collect()}
+    assert got == {1: False, 2: True, 3: None}
+
+
+def test_predictor_is_set_up_once_per_task(spark):
+    def setup():
+        calls = []
+
+        def predict(x):
+            calls.append(1)
+            return x + f" {len(calls)}"
+        return predict
+
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(6)], "row_idx long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        got = [r["pred"].split(" ")[1] for r in TK.batch_predict(df, "row_idx", "text", setup=setup).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == ["1", "1", "2", "2", "3", "3"]
+
+
+def test_raw_dialogues_with_frames(spark):
+    from turnlens.operators.dialogue_rows import task_rows_of_dialogues
+    frame = lambda svc, *acts: {"service": svc, "actions": [dict(zip(("act", "slot", "values", "canonical_values"), a)) for a in acts],
+                                "service_call": {"method": "Find"}}
+    sys = lambda text, *frames: {"speaker": "SYSTEM", "utterance": text, "frames": list(frames)}
+    one = sys("It is red\tand\nbig.", frame("A_1", ("INFORM", "colour", ["red"], ["RED"]), ("GOODBYE", "", [], [])))
+    two = sys("Both.", frame("A_1", ("CONFIRM", "colour", ["red"], ["RED"])), frame("B_1", ("INFORM", "size", ["big"], ["BIG"])))
+    dialogues = spark.createDataFrame([("d1", ["A_1"], [{"speaker": "USER", "utterance": "hi", "frames": []}, one]), ("d2", ["A_1", "B_1"], [two])],
+                                      files.SC.RAW_DIALOGUE)
+    slots = spark.createDataFrame([(s, f"{s} service", n, f"the {n}", c, "", 0) for s, n, c in [("A_1", "colour", False), ("B_1", "size", True)]],
+                                  "service string, service_desc string, slot string, slot_desc string, is_categorical boolean, possible_values string, slot_pos int")
+    temps = spark.createDataFrame([("A_1", "INFORM!!colour!!@", "The colour is @."), ("A_1", "GOODBYE", "Bye."),
+                                   ("A_1", "CONFIRM!!colour!!@", "Colour @."), ("B_1", "INFORM!!size!!@", "Size @.")],
+                                  "service string, act_key string, template string")
+    single = dialogues.where("dialogue_id = 'd1'")
+    row = task_rows_of_dialogues(single, "naive").first()
+    assert (row["input"], row["target"], row["turn_id"]) == ("SYSTEM | service_name=A_1 | inform,colour, values = red | goodbye", "It is red and big.", 0)
+    row = task_rows_of_dialogues(single, "schema_guided", slots, delex=True).first()
+    assert "inform,name=colour,description=the colour, values = red" in row["input"] and row["target"] == "It is <colour> and big."
+    rows = {r["dialog_id"]: r for r in task_rows_of_dialogues(dialogues, "t2g2", templates=temps, canonical=True).collect()}
+    assert rows["d1"]["input"] == "SYSTEM | The colour is RED. Bye."
+    assert rows["d2"]["input"] == "SYSTEM | Please confirm the following details: Colour RED. Size BIG."
+    assert rows["d2"]["metainfo"].count("service_call") == 2
+    row = task_rows_of_dialogues(dialogues, "t2g2", slots, temps, delex=True).where("dialog_id = 'd2'").first()
+    assert row["input"].endswith("Colour <colour>. Size big.")
+    with pytest.raises(Exception, match="several services in a turn of dialogue d2"):
+        task_rows_of_dialogues(dialogues, "naive").collect()
+    with pytest.raises(Exception, match="has no template with key"):
+        task_rows_of_dialogues(dialogues, "t2g2", templates=temps.where("service = 'A_1'")).collect()
+    ids = spark.createDataFrame([("d1",)], "dialog_id string")
+    assert task_rows_of_dialogues(dialogues, "naive", dialog_ids=ids).count() == 1
+
+
+def test_unknown_criterion_for_bad_cases(spark):
+    from turnlens.operators import analysis as A
+    with pytest.raises(ValueError, match="unknown criterion"):
+        A.bad_cases(spark.range(1), "colour")
+
+
 def test_turns_partitioned_by_split(spark, sf_dir, tmp_path):
     t = fx.turns(spark, sf_dir)
     files.write_turns(t, str(tmp_path / "turns"))

@@ -33,8 +33,9 @@ def _perm_values(acts, perm) -> Column:
 def slot_error(acts, pred, perm, match: Match = contains_ci) -> Column:
     """A2: true if some permissible value is not matched in the prediction.
 
-    ``match(pred, value)`` is the pluggable containment test (X1); the default
-    is case-insensitive substring (C1).  A service without schema has no
+    ``match(pred, value)`` is the pluggable containment test (X1), a native
+    column expression; the default is case-insensitive substring (C1).  For
+    UDF predicates see :func:`slot_error_rows`.  A service without schema has no
     permissible slots (never an error).
     """
     return F.exists(_perm_values(acts, perm),
@@ -109,6 +110,21 @@ def ser_by_tag(rows: DataFrame, tag_col: str = "tag") -> DataFrame:
     return r.select(F.when(F.col("_total") == 1, F.lit("overall")).otherwise(F.col(tag_col)).alias(tag_col), "ser")
 
 
+def slot_error_rows(rows: DataFrame, matched: Match, keep: list[str] | None = None, out: str = "slot_error") -> DataFrame:
+    """X1 with any predicate: three-valued slot error per row (needs ``row_idx, pred, dialog_acts, perm``).
+
+    Values are exploded, so ``matched(pred, value)`` may be a Python or pandas
+    UDF, which a higher-order function cannot call; rows without a permissible
+    value stay, with null.  The regrouping is on the row key, which is already
+    the partitioning key of the turn table.
+    """
+    keep = keep or []
+    vals = F.flatten(F.transform(_perm_values("dialog_acts", "perm"), lambda a: a["values"]))
+    x = rows.select("row_idx", *keep, "pred", F.posexplode_outer(vals).alias("_vi", "_value"))
+    m = x.select("row_idx", *keep, F.when(F.col("_value").isNotNull(), matched(F.col("pred"), F.col("_value"))).alias("_matched"))
+    return m.groupBy("row_idx", *keep).agg(F.bool_or(~F.col("_matched")).alias(out))
+
+
 class RowMetric:
     """A row metric with a column result and grouped summaries.
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnlens.functions.columns import _col, rouge_tokens, ws_tokens
+from turnlens.operators.ser import slot_error_rows
 
 
 # ---------------------------------------------------------------- LCS / ROUGE-L
@@ -133,19 +134,9 @@ def fuzzy_value_matches(pairs: DataFrame, key: list[str], text: str = "pred", va
 def ser_fuzzy_rows(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """A4: three-valued fuzzy slot error per row (needs ``row_idx, pred, dialog_acts, perm``).
 
-    Texts and values are lowercased first, as in the strict metric.  Values
-    are exploded with ``posexplode_outer`` so rows without a permissible value
-    stay (null result); the regrouping is on the row key, which is already the
-    partitioning key of the turn table.
+    Texts and values are lowercased first, as in the strict metric.
     """
-    keep = keep or []
-    perm = F.coalesce(F.col("perm"), F.array().cast("array<string>"))
-    vals = F.flatten(F.transform(F.filter("dialog_acts", lambda a: F.array_contains(perm, a["slot"])),
-                                 lambda a: a["values"]))
-    x = rows.select("row_idx", *keep, F.lower("pred").alias("pred"), F.posexplode_outer(vals).alias("vi", "value"))
-    m = x.select("row_idx", *keep, F.when(F.col("value").isNotNull(),
-                                          fuzzy_match(F.col("pred"), F.lower("value"))).alias("matched"))
-    return m.groupBy("row_idx", *keep).agg(F.bool_or(~F.col("matched")).alias("ser_fuzzy"))
+    return slot_error_rows(rows.withColumn("pred", F.lower("pred")), lambda text, v: fuzzy_match(text, F.lower(v)), keep, "ser_fuzzy")
 
 
 # ---------------------------------------------------------------- METEOR

@@ -176,16 +176,18 @@ def feature_select(df: DataFrame, renames: dict[str, str], cols: list[str]) -> D
 Predictor = Callable[[pd.Series], pd.Series]
 
 
-def batch_predict(df: DataFrame, key: str, input_col: str, predictor: Predictor, out: str = "pred") -> DataFrame:
+def batch_predict(df: DataFrame, key: str, input_col: str, predictor: Predictor | None = None, out: str = "pred",
+                  setup: Callable[[], Predictor] | None = None) -> DataFrame:
     """Score inputs with a pluggable per-batch predictor (Arrow batches via ``mapInPandas``).
 
-    The predictor maps a pandas Series of inputs to a Series of predictions;
-    a model would be loaded once per Python worker inside it.
+    The predictor maps a pandas Series of inputs to a Series of predictions.
+    ``setup`` makes it instead, once per task, and may load a model first.
     """
     schema = T.StructType([df.schema[key], T.StructField(input_col, T.StringType()), T.StructField(out, T.StringType())])
 
     def run(it):
+        predict = setup() if setup is not None else predictor
         for b in it:
-            yield pd.DataFrame({key: b[key], input_col: b[input_col], out: predictor(b[input_col]).astype(object)})
+            yield pd.DataFrame({key: b[key], input_col: b[input_col], out: predict(b[input_col]).astype(object)})
 
     return df.select(key, input_col).mapInPandas(run, schema)

@@ -2,7 +2,6 @@
 scratch folder under ``spark.checkpoint.dir`` and reads them back (S2-S13)."""
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,13 +10,13 @@ from turnlens.functions.columns import decode_acts
 from turnlens.operators import linearize as L
 from turnlens.plans.common import r6
 from turnlens.plans.registry import register
-from turnlens.session import checkpoint_dir
+from turnlens.session import scratch_folder
 from turnlens.sources import fixtures as fx
 from turnlens.sources import files
 
 
 def scratch(spark, name):
-    return os.path.join(checkpoint_dir(spark), "turnlens-io", f"{name}-{uuid.uuid4().hex[:12]}")
+    return scratch_folder(spark, name)
 
 
 @register("decode_lines", """
