@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import re
-import uuid
 from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnlens.session import checkpoint_dir, scratch_folder
+
 #: Rows of one Arrow batch handed to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 1000
 
@@ -41,28 +42,14 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a scratch folder only on a local master."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        from turnlens.session import checkpoint_dir
-        return checkpoint_dir(spark)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path)
-    return path
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder named by ``spark.checkpoint.dir``, deleted when the driver ends."""
+    return scratch_folder(spark, name)
 
 
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder (survives lost executors)."""
-    shared_dir(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -32,13 +32,13 @@ from pyspark.sql import types as T
 from turnlens.llm.common import bounded_batches, text_or_empty
 
 #: Training rows and features, at most.
-SAMPLE, FEATURES = 20_000, 3000
+SAMPLE, FEATURES = 20_000, 500
 #: A feature must occur in so many training documents.
-LEAST_DOCS = 5
+LEAST_DOCS = 3
 THRESHOLD = 0.3
 #: Lengths of the first letters that longer words also stand for.
-PREFIXES = (4, 5, 6)
-ROUNDS, RATE, PENALTY = 300, 0.2, 1e-3
+PREFIXES = (3, 4, 5, 6, 7)
+ROUNDS, RATE, PENALTY = 300, 0.2, 1e-2
 MEMORY = 400_000
 
 SENTENCE = re.compile(r"[.!?\n]+")
