@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from turnlens.session import checkpoint_dir, scratch_folder
 
 #: Rows of one Arrow batch handed to Python: bounds a worker's memory when texts are long.
-BATCH_ROWS = 1000
+BATCH_ROWS = 400
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -36,7 +36,7 @@ SHARE, RUN, CONSISTENT = 0.8, 9, 0.8
 #: Bits of the bitmap that holds the benchmark's windows (2 MB, whatever the benchmark's size).
 BITMAP_BITS = 24
 #: Distinct raw tokens remembered by a worker (speed only), and tokens hashed together.
-MEMORY, STEP_TOKENS = 400_000, 500_000
+MEMORY, STEP_TOKENS = 200_000, 250_000
 
 # Units that become a placeholder after a number.
 UNITS = set("""mm cm m km in inch inches ft feet foot yd yard yards mi mile miles g mg kg lb lbs oz ton tons ml l

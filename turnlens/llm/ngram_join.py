@@ -48,11 +48,11 @@ from turnlens.llm.components import connected
 #: Shingles of a group, and of the nodes sent to it at once: bounds a task's memory.
 GROUP_SHINGLES = 500_000
 #: Tokens of a bucket in which repeated tokens are found, and tokens packed into one row per bucket.
-BUCKET_TOKENS, PACK_TOKENS = 1_000_000, 1_000_000
+BUCKET_TOKENS, PACK_TOKENS = 500_000, 500_000
 #: Bits of a token, and bytes of a token and of a node in a pack.
 TOKEN_BITS, TOKEN_BYTES, NODE_BYTES = 48, 6, 5
 #: Distinct words remembered by a worker (speed only).
-MEMORY = 400_000
+MEMORY = 200_000
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

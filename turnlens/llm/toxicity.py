@@ -39,7 +39,7 @@ THRESHOLD = 0.3
 #: Lengths of the first letters that longer words also stand for.
 PREFIXES = (3, 4, 5, 6, 7)
 ROUNDS, RATE, PENALTY = 300, 0.2, 1e-2
-MEMORY = 400_000
+MEMORY = 200_000
 
 SENTENCE = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"\w+")
