@@ -3,7 +3,7 @@
 These run as Arrow-batched pandas UDFs (one Python call per batch of rows,
 never per row on the driver).  Everything that can be decided natively is
 decided before the UDF: normalised keys, exact hits and length bounds prune
-fuzzy candidates, and only *distinct* candidate pairs reach Python.
+fuzzy candidates, and a row's window keys reach Python once per value.
 """
 
 from __future__ import annotations

@@ -160,11 +160,20 @@ def sentences(spark, d):
 
 
 @register("schema_union", """
-SELECT service, slot, slot_desc, bool_or(NOT is_categorical) AS permissible FROM schema_slots GROUP BY service, slot, slot_desc""")
+SELECT service, slot, CASE WHEN service LIKE 'A%' THEN slot_desc || ' (test)' WHEN service LIKE 'B%' THEN slot_desc
+    ELSE slot_desc || ' (dev)' END AS slot_desc,
+  NOT is_categorical OR (slot = 'in_stock' AND service NOT LIKE 'B%') AS permissible FROM schema_slots""")
 def schema_union(spark, d):
+    """U1 over three schemas that differ: train has all services, dev all but B, test those with A.
+
+    dev calls ``in_stock`` non-categorical; dev and test describe the slots in their own words.
+    """
     s = fx.schema_slots(spark, d)
-    parts = [s.withColumn("schema_order", F.lit(i)) for i in range(3)]   # train, dev, test schemas
-    u = files.union_schemas(parts)
+    dev = s.filter(~F.col("service").startswith("B")) \
+        .withColumns({"slot_desc": F.concat("slot_desc", F.lit(" (dev)")),
+                      "is_categorical": F.col("is_categorical") & (F.col("slot") != "in_stock")})
+    test = s.filter(F.col("service").startswith("A")).withColumn("slot_desc", F.concat("slot_desc", F.lit(" (test)")))
+    u = files.union_schemas([x.withColumn("schema_order", F.lit(i)) for i, x in enumerate([s, dev, test])])
     return u.select("service", "slot", "slot_desc", "permissible")
 
 

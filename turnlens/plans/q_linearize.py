@@ -89,17 +89,6 @@ def schema_string(spark, d):
     return s.select("service", L.schema_string("service_str", "slot_strs").alias("text"))
 
 
-@register("linearize_by_name", f"""
-SELECT n.turn_key, n.text AS naive, p.sr AS paper FROM (
-  SELECT turn_key, string_agg(concat(act_name, ' ', slot, ' ', array_to_string(vals, ' ')), ' <SEP> ' ORDER BY act_pos) AS text
-  FROM named_acts GROUP BY turn_key) n JOIN paper_text p ON p.turn_key = n.turn_key""")
-def linearize_by_name(spark, d):
-    t = _turns(spark, d)
-    t = L.linearize_by_name(t, "SGD_NaiveLinearizer", "naive")
-    t = L.linearize_by_name(t, "SGD_PaperNaiveLinearizer", "paper")
-    return t.select("turn_key", "naive", "paper")
-
-
 # ------------------------------------------------------------------ templates
 
 KEY = """CASE WHEN act_name IN ('NOTIFY_FAILURE', 'NOTIFY_SUCCESS', 'INFORM_COUNT', 'OFFER_INTENT')
@@ -205,6 +194,29 @@ def task_rows(spark, d):
     return rows.select("input", "target", "dialog_id", "turn_id")
 
 
+# ------------------------------------------------------------------ L17
+
+SVC_TEXT = f"""SELECT st.turn_key, concat('SERVICE ( ', st.service, ' = ', sd.service_desc, ' ) ', st.text) AS text
+FROM ({SCHEMA_TEXT.replace('SELECT t.turn_key,', 'SELECT t.turn_key, t.service,', 1)}) st
+JOIN (SELECT DISTINCT service, service_desc FROM schema_slots) sd ON sd.service = st.service"""
+
+
+@register("linearize_by_name", f"""
+SELECT n.turn_key, n.text AS naive, p.sr AS paper, s.text AS schema, v.text AS service, t.text AS template FROM (
+  SELECT turn_key, string_agg(concat(act_name, ' ', slot, ' ', array_to_string(vals, ' ')), ' <SEP> ' ORDER BY act_pos) AS text
+  FROM named_acts GROUP BY turn_key) n JOIN paper_text p ON p.turn_key = n.turn_key
+JOIN ({SCHEMA_TEXT}) s ON s.turn_key = n.turn_key JOIN ({SVC_TEXT}) v ON v.turn_key = n.turn_key
+JOIN ({TEMPLATE_TEXT}) t ON t.turn_key = n.turn_key""")
+def linearize_by_name(spark, d):
+    """All five linearizers by name, on one pass over the turns."""
+    t = L.with_schema(_with_templates(spark, d), fx.schema_slots(spark, d)).withColumn("intent", _intent())
+    names = {"SGD_NaiveLinearizer": "naive", "SGD_PaperNaiveLinearizer": "paper", "SGD_SchemaGuidedLinearizer": "schema_text",
+             "SGD_SchemaGuidedWithServiceLinearizer": "service_text", "SGD_TemplateGuidedLinearizer": "template"}
+    for name, out in names.items():
+        t = L.linearize_by_name(t, name, out)
+    return t.select("turn_key", "naive", "paper", F.col("schema_text").alias("schema"), F.col("service_text").alias("service"), "template")
+
+
 # ------------------------------------------------------------------ raw dialogues with frames
 
 FRAME = "CASE WHEN turn_key % 5 = 0 AND act_pos >= 2 AND count(*) OVER (PARTITION BY turn_key) > 2 THEN 1 ELSE 0 END AS frame"

@@ -287,8 +287,9 @@ def cached_prepare(spark: SparkSession, root: str, dataset: str, tokenizer: str,
     if not force:
         try:
             return spark.read.parquet(path)
-        except AnalysisException:
-            pass
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise   # the cache is there but cannot be read
     df = build()
     if not save:
         return df
