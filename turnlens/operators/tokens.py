@@ -52,6 +52,31 @@ def vocab(texts: DataFrame, col: str = "text", tokenize: Callable[[Column], Colu
     return v.select("token", "count", (F.col("idx") + N_SPECIAL).alias("id"))
 
 
+def encode_columns(df: DataFrame, voc: DataFrame, key: str, cols: dict[str, str],
+                   tokenize: Callable[[Column], Column] = ws_tokens, add_eos: bool = True,
+                   max_length: int | None = None, truncation: bool = False) -> DataFrame:
+    """T1 for several text columns in one pass: ``cols`` maps a text column to its column of ids.
+
+    All columns' tokens are stacked with a column number, so the vocabulary is
+    joined and the rows are put together once.
+    """
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), tokenize(F.col(c)).alias("toks")) for i, c in enumerate(cols)])
+    toks = df.select(F.col(key).alias("_key"), F.explode(sides).alias("s")) \
+        .select("_key", "s.side", F.posexplode("s.toks").alias("pos", "token"))
+    j = toks.join(voc.select("token", F.col("id").cast("int").alias("_vocab_id")), "token", "left")
+    found = F.struct("side", "pos", F.coalesce("_vocab_id", F.lit(UNK_ID)).alias("id"))
+    g = j.groupBy("_key").agg(F.sort_array(F.collect_list(found)).alias("_xs")).withColumnRenamed("_key", key)
+    out = df.join(g, key, "left")
+
+    def ids_of(side: int) -> Column:
+        ids = F.transform(F.filter("_xs", lambda x: x["side"] == side), lambda x: x["id"])
+        ids = F.coalesce(ids, F.array().cast("array<int>"))
+        ids = F.concat(ids, F.array(F.lit(EOS_ID))) if add_eos else ids
+        return truncate(ids, max_length, EOS_ID if add_eos else None) if truncation and max_length else ids
+
+    return out.withColumns({o: ids_of(i) for i, o in enumerate(cols.values())}).drop("_xs")
+
+
 def encode_ids(df: DataFrame, voc: DataFrame, key: str, col: str, out: str = "input_ids",
                tokenize: Callable[[Column], Column] = ws_tokens, add_eos: bool = True,
                max_length: int | None = None, truncation: bool = False) -> DataFrame:
@@ -60,17 +85,8 @@ def encode_ids(df: DataFrame, voc: DataFrame, key: str, col: str, out: str = "in
     explode(pos, token) -> join vocabulary -> ``sort_array(collect_list(struct(pos, id)))``
     per row.  Rows keep their key; a row's group is its own tokens (bounded by text length).
     """
-    toks = df.select(F.col(key).alias("_key"), F.posexplode(tokenize(F.col(col))).alias("pos", "token"))
-    j = toks.join(voc.select("token", F.col("id").alias("_vocab_id")), "token", "left")
-    g = j.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("_vocab_id", F.lit(UNK_ID)).alias("id")))).alias("xs"))
-    ids = F.transform("xs", lambda x: x["id"].cast("int"))
-    g = g.select(F.col("_key").alias(key), ids.alias(out))
-    base = df.join(g, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
-    if add_eos:
-        base = base.withColumn(out, F.concat(F.col(out), F.array(F.lit(EOS_ID))))
-    if truncation and max_length:
-        base = base.withColumn(out, truncate(out, max_length, EOS_ID if add_eos else None))
-    return base.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size(out)))
+    e = encode_columns(df, voc, key, {col: out}, tokenize, add_eos, max_length, truncation)
+    return e.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size(out)))
 
 
 def truncate(ids, max_length: int, keep_last: int | None = None) -> Column:

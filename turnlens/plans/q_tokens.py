@@ -57,8 +57,7 @@ cl AS (SELECT ei.row_idx, list_concat(ei.ids, [1], el.ids, [1]) AS input_ids,
 
 def _causal(spark, d):
     voc = _voc(spark, d)
-    e = TK.encode_ids(fx.decodes(spark, d), voc, "row_idx", "pred", "input_ids")
-    e = TK.encode_ids(e.drop("attention_mask"), voc, "row_idx", "ref", "labels")
+    e = TK.encode_columns(fx.decodes(spark, d), voc, "row_idx", {"pred": "input_ids", "ref": "labels"})
     return TK.causal_lm_rows(e, bos=TK.EOS_ID, eos=TK.EOS_ID)
 
 
