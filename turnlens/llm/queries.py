@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnlens.llm.byte_bpe import round_trip
 from turnlens.llm.common import table
-from turnlens.llm.decontaminate import contaminated
+from turnlens.llm.decontaminate import UNITS, contaminated
 from turnlens.llm.html_text import extract_text
 from turnlens.llm.ngram_join import similar_classes
 from turnlens.llm.registry import register
@@ -33,7 +33,43 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
-@register("op3_decontaminate")
+WINDOW_SQL = r"""
+WITH texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT 'b', item_id, text FROM benchmark WHERE item_id IS NOT NULL),
+raw AS (SELECT row_number() OVER () AS k, side, id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS ws FROM texts),
+each AS (SELECT k, side, id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM raw),
+words AS (SELECT k, side, id, i, regexp_replace(regexp_replace(w, '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}]+$', '') AS word,
+  coalesce(regexp_matches(lag(w) OVER (PARTITION BY k ORDER BY i), '[.!?:][^\p{L}\p{N}_]*$'), true) AS first FROM each),
+low AS (SELECT *, lower(word) AS lit, regexp_full_match(lower(word),
+    '[+-]?\p{L}?[0-9][0-9.,:/%-]*(?:st|nd|rd|th)?|[0-9]+\p{L}{1,4}') AS number FROM words WHERE word <> ''),
+kinds AS (SELECT *, lit IN ($units) AND coalesce(lag(number) OVER (PARTITION BY k ORDER BY i), false) AS unit,
+  regexp_matches(word, '^\p{Lu}') AND NOT first AND NOT number AND lit NOT IN ($units) AS name FROM low),
+texted AS (SELECT k, side, id, list(lit ORDER BY i) AS lits, list(number OR unit OR name ORDER BY i) AS slots,
+  list(CASE WHEN number THEN '<number>' WHEN unit THEN '<unit>' WHEN name THEN '<name>' ELSE lit END ORDER BY i) AS tmpl FROM kinds GROUP BY k, side, id),
+wins AS (SELECT side, id, len(lits) - 4 AS n_windows, j, lits[j:j + 4] AS lits, slots[j:j + 4] AS slots, tmpl[j:j + 4] AS tmpl
+  FROM (SELECT *, unnest(range(1, len(lits) - 3)) AS j FROM texted)),
+forms AS (SELECT side, id, n_windows, j, lits, list_transform(slots, lambda x: false) AS slots, 'literal ' || array_to_string(lits, ' ') AS h FROM wins
+  UNION ALL SELECT side, id, n_windows, j, lits, slots, 'template ' || array_to_string(tmpl, ' ') FROM wins
+  WHERE len(list_filter(slots, lambda x: x)) BETWEEN 1 AND 2),
+met AS (SELECT d.id AS doc_id, b.id AS item_id, d.j AS pos, b.j AS place, b.n_windows, d.lits AS words, b.lits AS item_words, b.slots
+  FROM forms d JOIN (SELECT DISTINCT * FROM forms WHERE side = 'b') b ON d.side = 'd' AND d.h = b.h),
+held AS (SELECT DISTINCT doc_id, item_id, n_windows, place, pos - place AS shift FROM met),
+shares AS (SELECT doc_id, item_id, max(s) AS share FROM (SELECT doc_id, item_id, count(DISTINCT place) / n_windows AS s FROM held
+  GROUP BY doc_id, item_id, n_windows) GROUP BY doc_id, item_id),
+ordered AS (SELECT doc_id, item_id, max(n) AS in_order FROM (SELECT doc_id, item_id, shift, count(*) AS n FROM held GROUP BY doc_id, item_id, shift)
+  GROUP BY doc_id, item_id),
+slots AS (SELECT doc_id, item_id, sum(same) / sum(n) AS consistency FROM (
+  SELECT doc_id, item_id, value, max(c) AS same, sum(c) AS n FROM (
+    SELECT doc_id, item_id, value, other, count(*) AS c FROM (
+      SELECT doc_id, item_id, unnest(slots) AS slot, unnest(item_words) AS value, unnest(words) AS other FROM met) WHERE slot GROUP BY ALL)
+  GROUP BY doc_id, item_id, value) GROUP BY doc_id, item_id)
+SELECT s.doc_id, s.item_id, s.share, o.in_order, coalesce(t.consistency, 1.0) AS consistency
+FROM shares s JOIN ordered o USING (doc_id, item_id) LEFT JOIN slots t USING (doc_id, item_id)
+WHERE (s.share >= 0.8 OR o.in_order >= 9) AND coalesce(t.consistency, 1.0) >= 0.8""".replace(
+    "$units", ", ".join(f"'{u}'" for u in sorted(UNITS)))
+
+
+@register("op3_decontaminate", WINDOW_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -89,12 +125,59 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, model).select("doc_id", held_out().alias("held_out"), "score", predicted, "sentences")
 
 
-@register("op8_ngram_join")
+CLASS_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+sides AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(node, root) AS (SELECT doc_id, doc_id FROM sets UNION SELECT l.v, r.root FROM reach r JOIN sides l ON l.u = r.node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id
+FROM sets s JOIN (SELECT node, min(root) AS component_id FROM reach GROUP BY node) r ON r.node = s.doc_id"""
+
+
+@register("op8_ngram_join", CLASS_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents"), 3, 90)
 
 
-@register("op9_url_filter")
+URL_SQL = r"""
+WITH parts AS (
+  SELECT row_number() OVER () AS k, page_id,
+    translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path,
+    CASE WHEN contains(url, '://') THEN regexp_extract(url, '\?([^#]*)', 1) ELSE NULL END AS query FROM pages),
+tokens AS (
+  SELECT k, page_id, host, path,
+    CASE WHEN query IS NULL THEN [] ELSE list_sort(list_distinct(list_concat(
+      list_transform(list_filter(list_concat(string_split(host, '.'), flatten(list_transform(string_split(host, '.'), lambda x: string_split(x, '-')))),
+        lambda x: x <> ''), lambda x: 'h:' || x),
+      list_transform(regexp_extract_all(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z][a-z0-9_-]*'), lambda x: 'p:' || x),
+      list_transform(regexp_extract_all(query, '(?:^|&)([^=&]+)', 1), lambda x: 'q:' || x)))) END AS items,
+    CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+      WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+      WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+      WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM parts),
+judged AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS listed FROM tokens),
+baskets AS (SELECT k, items, listed FROM judged WHERE listed IS NOT NULL AND len(items) > 0),
+subsets AS (SELECT listed, list_filter(items, lambda x, i: (m >> CAST(i - 1 AS BIGINT)) & 1 = 1) AS t FROM
+  (SELECT listed, items, unnest(range(1, CAST(1 AS BIGINT) << len(items))) AS m FROM baskets)),
+counted AS (SELECT t, listed, count(*) AS n, sum(count(*)) OVER (PARTITION BY t) AS of_all FROM subsets GROUP BY t, listed),
+rules AS (SELECT t, listed, n / of_all AS confidence, n / (SELECT count(*) FROM baskets) AS support FROM counted
+  WHERE n / of_all >= 0.8 AND n >= 0.01 * (SELECT count(*) FROM baskets)),
+kept AS (SELECT * FROM rules a WHERE NOT EXISTS (SELECT 1 FROM rules b WHERE b.listed = a.listed AND len(b.t) < len(a.t)
+  AND b.confidence >= a.confidence AND list_has_all(a.t, b.t))),
+mined AS (SELECT k, listed AS verdict FROM (
+  SELECT j.k, r.listed, row_number() OVER (PARTITION BY j.k ORDER BY r.confidence DESC, r.support DESC, len(r.t), array_to_string(r.t, ' '), r.listed) AS place
+  FROM judged j JOIN kept r ON j.listed IS NULL AND list_has_all(j.items, r.t)) WHERE place = 1)
+SELECT page_id, host, path, rule, coalesce(listed, verdict, 'allow') AS verdict FROM judged LEFT JOIN mined USING (k)"""
+
+
+@register("op9_url_filter", URL_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
