@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from tests import refimpl as R
 from turnlens.operators import phrases as PH
-from turnlens.sources import fixtures as fx
 
 ACTS = "array<struct<act:int,slot:string,values:array<string>>>"
 

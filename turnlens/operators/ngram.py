@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnlens.functions.columns import _col, bleu_tokens, ngrams, rouge_tokens
+from turnlens.functions.columns import _col, bleu_tokens, rouge_tokens
 
 BLEU_ORDER = 4
 
