@@ -36,7 +36,7 @@ SHARE, RUN, CONSISTENT = 0.8, 9, 0.8
 #: Bits of the bitmap that holds the benchmark's windows (2 MB, whatever the benchmark's size).
 BITMAP_BITS = 24
 #: Distinct raw tokens remembered by a worker (speed only), and tokens hashed together.
-MEMORY, STEP_TOKENS = 200_000, 250_000
+MEMORY, STEP_TOKENS = 400_000, 500_000
 
 # Units that become a placeholder after a number.
 UNITS = set("""mm cm m km in inch inches ft feet foot yd yard yards mi mile miles g mg kg lb lbs oz ton tons ml l
@@ -77,9 +77,11 @@ class Tokens(dict):
         return n
 
     def properties(self) -> list[np.ndarray]:
-        if not self.arrays or len(self.arrays[0]) != len(self):
+        done = len(self.arrays[0]) if self.arrays else 0
+        if not self.arrays or done != len(self):
             kinds = (np.uint64, np.int8, bool, bool)
-            self.arrays = [np.array(x, dtype=k) for x, k in zip(self.lists, kinds)]
+            more = [np.array(x[done:], dtype=k) for x, k in zip(self.lists, kinds)]
+            self.arrays = [np.concatenate(pair) for pair in zip(self.arrays, more)] if done else more
         return self.arrays
 
 
