@@ -35,6 +35,14 @@ def test_as_brute_force(spark, edge_rows):
     assert got == sorted(want, key=str)
 
 
+def test_repeated_rows_are_scanned_once(spark):
+    text = "a token=abcdefg b secret=hijklmn c password=opqrstu d " + "f" * 30
+    rows = [(1, text), (1, text), (None, text), (2, "token=zzzzzzz and secret=yyyyyyy"), (None, "AKIA" + "B" * 16 + " token=xxxxxxx"),
+            (None, "AKIA" + "B" * 16 + " token=xxxxxxx")]
+    got = sorted(((r["doc_id"], r["spans"]) for r in secret_report(make_docs(spark, rows)).collect()), key=str)
+    assert got == sorted(((i, ",".join(f"{k}:{a}:{b}" for a, _, k, b in brute(t))) for i, t in rows), key=str)
+
+
 def test_ledger_scans_only_what_is_new(spark):
     path = scratch_path(spark, "ledger-test")
     ledger = Ledger(spark, path)

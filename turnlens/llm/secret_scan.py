@@ -106,20 +106,20 @@ class Ledger:
         """Scan the unseen pairs of blob and rule version of ``docs`` and add them.
 
         Findings are written before the pairs are marked: a run that breaks off between the two
-        scans again, and ``findings`` drops the repeats. Only hashes and ids are compared with the
-        ledger; a text moves once, and only if its blob has something to scan.
+        scans again, and ``findings`` drops the repeats. Only hashes of texts and ids are compared with
+        the ledger; a text moves once, and only if its blob has something to scan.
         """
-        rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).where("text != ''") \
+        rows = docs.select(F.xxhash64(id_col).alias("key"), text_or_empty(text_col).alias("text")).where("text != ''") \
             .withColumn("blob", blob_of(F.col("text")))
         kinds = F.array(*[F.lit(r.kind) for r in rules])
         seen = self.scanned(rules).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         todo = F.array_except(kinds, F.coalesce("seen", F.array().cast("array<string>")))
         fresh = f"{self.path}/todo-{uuid.uuid4().hex}"
-        rows.groupBy("blob").agg(F.min("id").alias("id")).join(seen, "blob", "left") \
-            .select("blob", "id", todo.alias("todo")).where("size(todo) > 0").write.parquet(fresh)
+        rows.groupBy("blob").agg(F.min("key").alias("key")).join(seen, "blob", "left") \
+            .select("blob", "key", todo.alias("todo")).where("size(todo) > 0").write.parquet(fresh)
         pairs = self.spark.read.parquet(fresh)
-        same = (F.col("r.blob") == F.col("t.blob")) & F.col("r.id").eqNullSafe(F.col("t.id"))
-        texts = rows.alias("r").join(pairs.alias("t"), same).select("r.blob", "r.text", "t.todo")
+        # rows may agree in id and text: one of them is scanned (partitioned as the join, so the texts stay where they are)
+        texts = rows.join(pairs, ["blob", "key"]).dropDuplicates(["blob", "key"]).select("blob", "text", "todo")
         scan_blobs(texts, rules).write.mode("append").parquet(f"{self.path}/findings")
         version = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))])
         pairs.select("blob", F.explode("todo").alias("rule")) \
