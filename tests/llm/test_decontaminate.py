@@ -49,6 +49,17 @@ def test_inconsistent_slots_are_not_the_same_question(spark):
     assert found(spark, [(1, mixed), (2, same)], [(5, item)], share=0.5, run=5) == [(2, 5)]
 
 
+def test_item_that_a_text_holds_several_times(spark):
+    def variant(n):
+        return ITEM.replace("12", str(20 + n)).replace("3 dollars", f"{40 + n} dollars").replace("5 days", f"{60 + n} days") \
+            .replace("Maria", "ABC"[n] + "nna").replace("Peter", "ABC"[n] + "en").replace("Springfield", "ABC"[n] + "ville")
+
+    docs = [(1, f"{ITEM} {variant(0)} {variant(1)}"), (2, f"So. {variant(0)} And now. {variant(1)} {variant(2)}"),
+            (3, variant(0)), (3, variant(1)), (None, ITEM)]
+    rows = contaminated(make_docs(spark, docs), bench(spark, [(7, ITEM, "x")])).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["consistency"]) for r in rows) == [(i, 7, 1.0) for i in (1, 2, 3)]
+
+
 def test_short_null_and_repeated_items(spark):
     items = [(1, None), (2, ""), (3, "only four words here"), (4, ITEM), (5, ITEM)]
     docs = [(1, "only four words here"), (2, ITEM), (2, ITEM), (None, ITEM), (3, None)]

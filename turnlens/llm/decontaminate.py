@@ -8,9 +8,11 @@ that are no placeholders.
 
 The windows of the benchmark are hash-joined with those of the documents. Before the join, windows
 that hit no benchmark window are dropped by a bitmap of fixed size; it only saves shuffling and never
-decides. For each document and item that meet, slots must be consistent: a value of the item has to
-be replaced by the same value wherever it occurs. A document is contaminated by an item if the
-document holds at least ``share`` of the item's windows, or ``run`` windows in the item's own order.
+decides. A document is contaminated by an item if the document holds at least ``share`` of the item's
+windows, or ``run`` windows in the item's own order. Slots must be consistent: a value of the item has
+to be replaced by the same value wherever it occurs. This is asked of all windows that meet, or of
+those of one alignment (one text, one distance between the places), so that a text may hold an item
+several times with different values. Literal windows that are enough by themselves decide without slots.
 
 Null and empty texts and items have no windows; neither have items with fewer than ``WINDOW`` tokens.
 Repeated documents are reported each under its id, once per item; rows without an id take no part.
@@ -131,7 +133,10 @@ def windows(tokens: Tokens, texts: list[str]) -> tuple[np.ndarray, ...]:
 
 
 def window_batch(tokens: Tokens, keys: pa.Array, texts: list[str], bitmap: np.ndarray | None) -> pa.RecordBatch:
-    """``key, place, n_windows, hash, words, slots`` of the windows (those the bitmap holds) in both forms."""
+    """``key, row, place, n_windows, hash, words, slots`` of the windows (those the bitmap holds) in both forms.
+
+    ``row`` tells the texts of one key apart.
+    """
     found = windows(tokens, texts)
     owner, place, literal, template = found[:4]
     total = np.bincount(owner, minlength=len(texts))
@@ -150,11 +155,13 @@ def window_batch(tokens: Tokens, keys: pa.Array, texts: list[str], bitmap: np.nd
     else:
         words, slots = np.zeros(0, np.int64), np.zeros(0, bool)
     ends = pa.array(np.arange(0, len(at) * WINDOW + 1, WINDOW), pa.int32())
+    row = np.array([hash64(t) for t in texts], dtype=np.uint64).view(np.int64)
     return pa.RecordBatch.from_arrays(
-        [keys.take(pa.array(owner[at])), pa.array(place[at], pa.int32()), pa.array(total[owner[at]], pa.int32()),
+        [keys.take(pa.array(owner[at])), pa.array(row[owner[at]], pa.int64()), pa.array(place[at], pa.int32()),
+         pa.array(total[owner[at]], pa.int32()),
          pa.array(hashes, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(words, pa.int64())),
          pa.ListArray.from_arrays(ends, pa.array(slots, pa.bool_()))],
-        names=["id", "place", "n_windows", "hash", "words", "slots"])
+        names=["id", "row", "place", "n_windows", "hash", "words", "slots"])
 
 
 _TOKENS = Tokens()
@@ -175,34 +182,60 @@ def window_rows(df: DataFrame, id_col: str, text_col: str, bitmap: bytes | None
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")) \
-        .mapInArrow(run, f"id {kind}, place int, n_windows int, hash bigint, words array<bigint>, slots array<boolean>")
+        .mapInArrow(run, f"id {kind}, row bigint, place int, n_windows int, hash bigint, words array<bigint>, "
+                         "slots array<boolean>")
+
+
+PAIR = ["id", "item"]
+#: One occurrence of an item in one text.
+ALIGNED = [*PAIR, "n_windows", "row", "shift"]
+
+
+def sizes(met: DataFrame) -> DataFrame:
+    """``id, item, share, in_order`` of the windows that meet."""
+    held = met.groupBy(*PAIR, "n_windows", "place", "shift").agg(F.lit(1).alias("one"))
+    shares = held.groupBy(*PAIR, "n_windows").agg((F.count_distinct("place") / F.col("n_windows")).alias("share"))
+    ordered = held.groupBy(*PAIR, "shift").agg(F.count("*").alias("n")).groupBy(*PAIR) \
+        .agg(F.max("n").alias("in_order"))
+    return shares.groupBy(*PAIR).agg(F.max("share").alias("share")).join(ordered, PAIR)
+
+
+def consistencies(met: DataFrame, by: list[str]) -> DataFrame:
+    """``by, consistency`` of the slots that meet; groups without slots are left out."""
+    return met.select(*by, F.explode(F.arrays_zip("slots", "item_words", "words")).alias("s")).where("s.slots") \
+        .groupBy(*by, F.col("s.item_words").alias("value"), F.col("s.words").alias("other")).count() \
+        .groupBy(*by, "value").agg(F.max("count").alias("same"), F.sum("count").alias("all")) \
+        .groupBy(*by).agg((F.sum("same") / F.sum("all")).alias("consistency"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE,
                  run: int = RUN) -> DataFrame:
-    """``id_col, item_id, share, in_order, consistency`` of every contaminated document and its items."""
+    """``id_col, item_id, share, in_order, consistency`` of every contaminated document and its items.
+
+    ``share`` and ``in_order`` are those of all windows that meet. ``consistency`` is that of all slots if
+    it is enough, otherwise that of the alignment that decides (1 if literal windows decide).
+    """
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
-    items = saved(window_rows(benchmark, item_col, item_text_col).distinct())
+    items = saved(window_rows(benchmark, item_col, item_text_col).drop("row").distinct())
     hits = window_rows(docs, id_col, text_col, bitmap_of(items.select("hash"), BITMAP_BITS))
     d, b = hits.alias("d"), items.alias("b")
     met = saved(d.join(b, "hash").select(
-        F.col("d.id").alias("id"), F.col("b.id").alias("item"), F.col("d.place").alias("at"),
-        F.col("b.place").alias("place"), F.col("b.n_windows").alias("n_windows"),
-        F.col("d.words").alias("words"), F.col("b.words").alias("item_words"), F.col("b.slots").alias("slots")))
-    pair = ["id", "item"]
-    slots = met.select(*pair, F.explode(F.arrays_zip("slots", "item_words", "words")).alias("s")).where("s.slots") \
-        .groupBy(*pair, F.col("s.item_words").alias("value"), F.col("s.words").alias("other")).count() \
-        .groupBy(*pair, "value").agg(F.max("count").alias("same"), F.sum("count").alias("all")) \
-        .groupBy(*pair).agg((F.sum("same") / F.sum("all")).alias("consistency"))
-    held = met.groupBy(*pair, "n_windows", "place", (F.col("at") - F.col("place")).alias("shift")) \
-        .agg(F.lit(1).alias("one"))
-    shares = held.groupBy(*pair, "n_windows").agg((F.count_distinct("place") / F.col("n_windows")).alias("share"))
-    ordered = held.groupBy(*pair, "shift").agg(F.count("*").alias("n")).groupBy(*pair) \
-        .agg(F.max("n").alias("in_order"))
-    best = shares.groupBy(*pair).agg(F.max("share").alias("share"))
-    return best.join(ordered, pair).join(slots, pair, "left") \
-        .withColumn("consistency", F.coalesce("consistency", F.lit(1.0))) \
-        .where(((F.col("share") >= share) | (F.col("in_order") >= run)) & (F.col("consistency") >= CONSISTENT)) \
+        F.col("d.id").alias("id"), F.col("b.id").alias("item"), F.col("d.row").alias("row"),
+        (F.col("d.place") - F.col("b.place")).alias("shift"), F.col("b.place").alias("place"),
+        F.col("b.n_windows").alias("n_windows"), F.col("d.words").alias("words"), F.col("b.words").alias("item_words"),
+        F.col("b.slots").alias("slots")))
+    enough = (F.col("share") >= share) | (F.col("in_order") >= run)
+    every = sizes(met).where(enough).join(consistencies(met, PAIR), PAIR, "left")
+    exact = sizes(met.where(~F.array_contains("slots", True))).where(enough).select(*PAIR, F.lit(1.0).alias("exact"))
+    large = met.groupBy(*ALIGNED).agg(F.count_distinct("place").alias("in_order")) \
+        .withColumn("share", F.col("in_order") / F.col("n_windows")).where(enough)
+    aligned = large.join(consistencies(met, ALIGNED), ALIGNED, "left").groupBy(*PAIR) \
+        .agg(F.max(F.coalesce("consistency", F.lit(1.0))).alias("aligned"))
+    pooled = F.coalesce("consistency", F.lit(1.0))
+    return every.join(exact, PAIR, "left").join(aligned, PAIR, "left") \
+        .withColumn("consistency", F.when(pooled >= CONSISTENT, pooled)
+                    .otherwise(F.greatest(pooled, "exact", "aligned"))) \
+        .where(F.col("consistency") >= CONSISTENT) \
         .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "share", "in_order", "consistency")
