@@ -49,7 +49,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold no benchmark item."""
     key = fresh_name(docs, "row_key")
     keyed = docs.withColumn(key, row_key())
-    found = contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col=key).select(key).distinct()
+    bench = table(spark, sf_dir, "benchmark")  # items without an id count as well
+    item = fresh_name(bench, "item_key")
+    bench = bench.withColumn(item, F.xxhash64(F.col("item_id").cast("string"), "text"))
+    found = contaminated(keyed, bench, id_col=key, item_col=item).select(key).distinct()
     return keyed.join(found, key, "left_anti").drop(key)
 
 

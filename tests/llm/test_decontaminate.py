@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from tests.llm.conftest import make_docs
 from turnlens.llm.decontaminate import contaminated
 
@@ -60,6 +61,15 @@ def test_item_that_a_text_holds_several_times(spark):
     assert sorted((r["doc_id"], r["item_id"], r["consistency"]) for r in rows) == [(i, 7, 1.0) for i in (1, 2, 3)]
 
 
+def test_questions_dense_in_numbers(spark):
+    items = [(1, "Order the numbers 12, 45, 7, 89, 23 and 5 from least to greatest"), (2, "What is the mean of 3 4 5 6 7 8 9 10"),
+             (3, "12 13 14 15 16 of 17"), (4, "12 kg 9 m are much more than 3 kg 2 m")]
+    docs = [(1, "Now. Order the numbers 31, 8, 64, 2, 90 and 17 from least to greatest"), (2, "What is the mean of 8 1 6 2 9 5 4 44 ?"),
+            (3, "1 2 3 4 5 of 6"), (4, "12 13 14 15 16 of 17"), (5, "x 5 lb 4 ft are much more than 6 lb 7 ft y"),
+            (6, "numbers " + "1 " * 5000 + "and 5 from least"), (7, "Sort the numbers 31, 8, 64, 2, 90 or 17 by size")]
+    assert found(spark, docs, items) == [(1, 1), (2, 2), (4, 3), (5, 4)]
+
+
 def test_short_null_and_repeated_items(spark):
     items = [(1, None), (2, ""), (3, "only four words here"), (4, ITEM), (5, ITEM)]
     docs = [(1, "only four words here"), (2, ITEM), (2, ITEM), (None, ITEM), (3, None)]
@@ -69,3 +79,10 @@ def test_short_null_and_repeated_items(spark):
 def test_empty_tables(spark):
     assert found(spark, [], [(1, ITEM)]) == []
     assert found(spark, [(1, ITEM)], []) == []
+
+
+def test_pipeline_items_without_an_id(spark, tmp_path):
+    bench(spark, [(None, ITEM, "x"), (1, None, "x")]).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = make_docs(spark, [(1, ITEM), (None, ITEM), (2, "something else altogether, nothing more"), (3, None)])
+    left = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in left) == [2, 3]

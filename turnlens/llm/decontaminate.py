@@ -3,8 +3,9 @@
 Texts become rows of tokens. Each token has a literal form (lower case, no punctuation around it) and
 a template form: numbers, units after a number and names (capitalised inside a sentence) become typed
 placeholders. Windows of ``WINDOW`` tokens are hashed in both forms, so a question is found as it
-stands, in another case, or with other numbers and names. A template window needs ``LITERALS`` tokens
-that are no placeholders.
+stands, in another case, or with other numbers and names. A template needs ``LITERALS`` tokens that are
+no placeholders: a window with fewer is extended to the right and to the left until it holds them, and
+meets a window that agrees with it on either side. Texts with fewer such tokens meet literally only.
 
 The windows of the benchmark are hash-joined with those of the documents. Before the join, windows
 that hit no benchmark window are dropped by a bitmap of fixed size; it only saves shuffling and never
@@ -15,6 +16,7 @@ those of one alignment (one text, one distance between the places), so that a te
 several times with different values. Literal windows that are enough by themselves decide without slots.
 
 Null and empty texts and items have no windows; neither have items with fewer than ``WINDOW`` tokens.
+Items without an id take no part.
 Repeated documents are reported each under its id, once per item; rows without an id take no part.
 Benchmark items that repeat a text are each reported. Empty tables give no rows; extra columns are
 ignored.
@@ -40,6 +42,10 @@ BITMAP_BITS = 24
 #: Distinct raw tokens remembered by a worker (speed only), and tokens hashed together.
 MEMORY, STEP_TOKENS = 400_000, 500_000
 
+#: Factor of the hashes of extended windows, and its inverse modulo 2 ** 64.
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
+
 # Units that become a placeholder after a number.
 UNITS = set("""mm cm m km in inch inches ft feet foot yd yard yards mi mile miles g mg kg lb lbs oz ton tons ml l
     liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months
@@ -87,8 +93,33 @@ class Tokens(dict):
         return self.arrays
 
 
+def extended(template: np.ndarray, slot: np.ndarray, owner: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """Template hashes of the windows at ``start``, extended to the right and to the left to ``LITERALS`` literals.
+
+    0 where the text ends before. The cost does not depend on how far a window is extended.
+    """
+    if not len(start):
+        return [np.zeros(0, np.uint64)] * 2
+    held = np.flatnonzero(~slot)
+    out = []
+    with np.errstate(over="ignore"):
+        power, back = (np.cumprod(np.r_[np.uint64(1), np.full(len(template), x, np.uint64)]) for x in (FACTOR, INVERSE))
+        sums = np.r_[np.uint64(0), np.cumsum(template * power[:-1])]
+        for tag, at in ((2, np.searchsorted(held, start) + LITERALS - 1),
+                        (3, np.searchsorted(held, start + WINDOW) - LITERALS)):
+            inside = (at >= 0) & (at < len(held))
+            edge = held[np.where(inside, at, 0)] if len(held) else start
+            inside &= owner[edge] == owner[start]
+            first, end = (start, edge + 1) if tag == 2 else (edge, start + WINDOW)
+            h = (sums[end] - sums[first]) * back[first]
+            h ^= h >> np.uint64(29)
+            out.append(np.where(inside, h * np.uint64(0xBF58476D1CE4E5B9) ^ np.uint64(tag), np.uint64(0)))
+    return out
+
+
 def windows(tokens: Tokens, texts: list[str]) -> tuple[np.ndarray, ...]:
-    """All windows of the texts: text, place, literal hash, template hash (0: too few literals), tokens, slots.
+    """All windows of the texts: text, place, literal hash, template hash (0: too few literals), tokens, slots, start,
+    and of those with too few literals: number, hash extended to the right, to the left.
 
     ``tokens`` and ``slots`` are one row per window: literal hashes and whether a placeholder stands there.
     """
@@ -109,7 +140,8 @@ def windows(tokens: Tokens, texts: list[str]) -> tuple[np.ndarray, ...]:
     n = len(ids) - WINDOW + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64), literal_of[ids], none.astype(bool)
+        return none, none, none.astype(np.uint64), none.astype(np.uint64), literal_of[ids], none.astype(bool), \
+            none, none, none.astype(np.uint64), none.astype(np.uint64)
     literal, kind = literal_of[ids], kind_of[ids]
     number = kind == NUMBER
     unit = (kind == UNIT) & np.r_[False, number[:-1] & (owner[1:] == owner[:-1])]
@@ -129,25 +161,29 @@ def windows(tokens: Tokens, texts: list[str]) -> tuple[np.ndarray, ...]:
             hashed.append((h * np.uint64(0xBF58476D1CE4E5B9))[start])
     slots = np.add.reduce([slot[k:n + k].astype(np.int8) for k in range(WINDOW)])[start]
     hashed[1] = np.where((slots > 0) & (WINDOW - slots >= LITERALS), hashed[1] ^ np.uint64(1), np.uint64(0))
-    return owner[start], place, hashed[0], hashed[1], literal, slot, start
+    dense = np.flatnonzero(WINDOW - slots < LITERALS)
+    return owner[start], place, hashed[0], hashed[1], literal, slot, start, dense, \
+        *extended(template, slot, owner, start[dense])
 
 
 def window_batch(tokens: Tokens, keys: pa.Array, texts: list[str], bitmap: np.ndarray | None) -> pa.RecordBatch:
-    """``key, row, place, n_windows, hash, words, slots`` of the windows (those the bitmap holds) in both forms.
+    """``key, row, place, n_windows, hash, words, slots`` of the windows (those the bitmap holds) in all forms.
 
-    ``row`` tells the texts of one key apart.
+    ``row`` tells the texts of one key apart. An extended window has the place, words and slots it had before.
     """
     found = windows(tokens, texts)
     owner, place, literal, template = found[:4]
     total = np.bincount(owner, minlength=len(texts))
-    parts = []
-    for h in (literal, template):
+    parts, hashes = [], []
+    for h, of in ((literal, None), (template, None), (found[8], found[7]), (found[9], found[7])):
         keep = h != 0
         if bitmap is not None:
             keep &= in_bitmap(bitmap, BITMAP_BITS, h)
-        parts.append(np.flatnonzero(keep))
+        keep = np.flatnonzero(keep)
+        parts.append(keep if of is None else of[keep])
+        hashes.append(h[keep])
     at = np.concatenate(parts)
-    hashes = np.concatenate([literal[parts[0]], template[parts[1]]]).view(np.int64)
+    hashes = np.concatenate(hashes).view(np.int64)
     if len(at):
         span = found[6][at][:, None] + np.arange(WINDOW)
         words, slots = found[4][span].view(np.int64).ravel(), found[5][span].ravel()
@@ -168,7 +204,7 @@ _TOKENS = Tokens()
 
 
 def window_rows(df: DataFrame, id_col: str, text_col: str, bitmap: bytes | None = None) -> DataFrame:
-    """Windows of every row in both forms; with ``bitmap`` only those it holds."""
+    """Windows of every row in all forms; with ``bitmap`` only those it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bitmap is None else np.frombuffer(bitmap, dtype=np.uint8)
@@ -213,8 +249,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  run: int = RUN) -> DataFrame:
     """``id_col, item_id, share, in_order, consistency`` of every contaminated document and its items.
 
-    ``share`` and ``in_order`` are those of all windows that meet. ``consistency`` is that of all slots if
-    it is enough, otherwise that of the alignment that decides (1 if literal windows decide).
+    The figures are those of the windows that need no extension if these are enough, otherwise those of all
+    windows that meet; ``consistency`` then is that of all slots if it is enough, otherwise that of the
+    alignment that decides (1 if literal windows decide).
     """
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
@@ -227,15 +264,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.col("b.n_windows").alias("n_windows"), F.col("d.words").alias("words"), F.col("b.words").alias("item_words"),
         F.col("b.slots").alias("slots")))
     enough = (F.col("share") >= share) | (F.col("in_order") >= run)
-    every = sizes(met).where(enough).join(consistencies(met, PAIR), PAIR, "left")
+    pooled = F.coalesce("consistency", F.lit(1.0))
+
+    def together(rows: DataFrame) -> DataFrame:
+        return sizes(rows).where(enough).join(consistencies(rows, PAIR), PAIR, "left").withColumn("consistency", pooled)
+
+    plain = F.size(F.filter("slots", lambda x: x)) <= WINDOW - LITERALS
+    every = together(met)
+    base = together(met.where(plain)).where(F.col("consistency") >= CONSISTENT) \
+        .select(*PAIR, F.struct("share", "in_order", "consistency").alias("base"))
     exact = sizes(met.where(~F.array_contains("slots", True))).where(enough).select(*PAIR, F.lit(1.0).alias("exact"))
     large = met.groupBy(*ALIGNED).agg(F.count_distinct("place").alias("in_order")) \
         .withColumn("share", F.col("in_order") / F.col("n_windows")).where(enough)
     aligned = large.join(consistencies(met, ALIGNED), ALIGNED, "left").groupBy(*PAIR) \
         .agg(F.max(F.coalesce("consistency", F.lit(1.0))).alias("aligned"))
-    pooled = F.coalesce("consistency", F.lit(1.0))
-    return every.join(exact, PAIR, "left").join(aligned, PAIR, "left") \
-        .withColumn("consistency", F.when(pooled >= CONSISTENT, pooled)
-                    .otherwise(F.greatest(pooled, "exact", "aligned"))) \
+    decided = F.when(F.col("consistency") >= CONSISTENT, F.col("consistency")) \
+        .otherwise(F.greatest("consistency", "exact", "aligned"))
+    wide = every.join(exact, PAIR, "left").join(aligned, PAIR, "left").withColumn("consistency", decided) \
+        .select(*PAIR, F.struct("share", "in_order", "consistency").alias("wide"))
+    return wide.join(base, PAIR, "left").select(*PAIR, F.coalesce("base", "wide").alias("f")).select(*PAIR, "f.*") \
         .where(F.col("consistency") >= CONSISTENT) \
         .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "share", "in_order", "consistency")
