@@ -48,6 +48,30 @@ PAGES = [
 ]
 
 
+BODY = "<p>One two three four five six</p><p>seven eight nine ten</p>"
+TEXT = "One two three four five six seven eight nine ten"
+PAGES += [
+    (f"<html><body class='has-sidebar'><nav>a b</nav>{BODY}</body></html>", TEXT),
+    (f"<body class='no-comments sidebar'><nav>a b</nav><div>{BODY}</div><footer>c</footer>", TEXT),
+    (f"<nav>a b</nav><article class='post category-legal tag-search related'>{BODY}</article><aside>c d</aside>", TEXT),
+    (f"<form action=x><nav>a b</nav><div>{BODY} and so on</div></form>", TEXT + " and so on"),
+    (f"<article><div class='entry-header'><h1>The title</h1></div>{BODY}<div class='comments'>{BODY * 3}</div></article>",
+     "The title " + TEXT),
+    (f"<div class='widget'>{BODY}</div><nav>a b</nav>", TEXT),
+]
+
+
+def test_labelled_pages_decide_listed_and_compound_marks():
+    page = f"<nav>a b</nav><article><div class='site-notice'>{BODY * 9}</div></article><div class='comments'>c d e f</div>"
+    good, bad = Counter(), Counter()
+    for _ in range(20):
+        g, b = page_counts(page)
+        good.update(g)
+        bad.update(b)
+    page = f"<article><p>Start</p>{BODY}<div class='site-notice'>x y</div><div class='comments'><p>z</p></div></article>"
+    assert main_text(page, weights(good, bad)) == "Start " + TEXT + " x y"
+
+
 @pytest.mark.parametrize("page, want", PAGES)
 def test_layouts(fitted, page, want):
     got = main_text(page, fitted)

@@ -11,6 +11,11 @@ of the two shares; marks in the lists below start with counts of their own, so t
 inside an article is known before it has been seen. The fit uses at most ``sample`` pages (those
 with the smallest hash); every page is extracted whole.
 
+An element with a listed mark is left out as long as the mark's weight is negative, but not if it is
+the page's frame (html, body, main, an outer article) or holds most of the page's words: of the frame
+listed words don't count at all, of the other their weights do. Compound class words have weights of
+their own, which decide once labelled pages have them.
+
 Null and empty pages, and pages without words, give an empty text. Unclosed elements end with their
 parent. Repeated rows are extracted each for itself, an empty table gives no rows, extra columns are
 ignored.
@@ -47,6 +52,12 @@ BOILERPLATE = set("""nav footer aside form button menu dialog fieldset label .na
     .comment .comments .commentlist .reply .replies .respond .disqus .search .toolbar .tags .widget .copyright .legal
     .skip .complementary .contentinfo .form""".split())
 CONTENT = set("article main p h1 h2 h3 h4 h5 h6 blockquote pre .article .content .post .entry .story .main .body".split())
+# Elements that frame a page, tags that may wrap one, first words of compound class words that tell
+# a state or a subject, not what the element is.
+FRAME, WRAPPER = set("html body main".split()), set("form fieldset label".split())
+STATES = set("has no not with without is category tag format status type".split())
+#: The part of a large listed element's words that marked main text elsewhere must have for the element to be left out.
+ELSEWHERE = 0.1
 #: Words that a listed mark counts before anything is seen, and the range of its weight, of the weight
 #: of another class word and of another tag (tags such as div and li serve both sides).
 PRIOR, LIMIT, WORD_LIMIT, TAG_LIMIT = 2000, 4.0, 2.0, 0.4
@@ -65,18 +76,29 @@ ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 MARK_WORD = re.compile(r"[a-z]+")
 
 
-def marks_of(name: str, attributes: str) -> list[str]:
-    marks = [name]
+class Element(list):
+    """Marks of an element; ``n`` numbers the elements of a page."""
+    n = -1
+
+
+def marks_of(name: str, attributes: str) -> Element:
+    marks = Element([name])
     if attributes and "=" in attributes:
         for groups in ATTRIBUTE.findall(attributes):
-            marks.extend("." + w for w in MARK_WORD.findall("".join(groups).lower()))
+            for value in "".join(groups).lower().split():
+                words = MARK_WORD.findall(value)
+                if len(words) > 1:
+                    marks.append(".-" + "-".join(words))
+                    if words[0] in STATES or "." + words[0] in CONTENT and words[1:] == ["header"]:
+                        continue
+                marks.extend("." + w for w in words)
     return marks
 
 
-def stretches(page: str) -> Iterator[tuple[str, list[list[str]], bool, int]]:
+def stretches(page: str) -> Iterator[tuple[str, list[Element], bool, int]]:
     """``(words, marks of the elements around, starts a block, tags before)`` of each stretch of text."""
-    stack: list[tuple[str, list[str]]] = []
-    at, breaks, tags = 0, True, 0
+    stack: list[tuple[str, Element]] = []
+    at, breaks, tags, n = 0, True, 0, 0
     for m in PIECES.finditer(page):
         if m.start() > at:
             words = page[at:m.start()]
@@ -104,19 +126,53 @@ def stretches(page: str) -> Iterator[tuple[str, list[list[str]], bool, int]]:
                     if stack[i][0] not in INLINE:
                         break
             stack.append((name, marks_of(name, m["rest"])))
+            stack[-1][1].n = n
+            n += 1
     if at < len(page):
         yield page[at:], [marks for _, marks in stack], breaks, tags
 
 
-def boilerplate(marks: list[list[str]]) -> bool:
-    """Whether a listed mark of boilerplate is around, or a page's header (one outside the article)."""
-    inside = False
+def listed(own: Element, inside: bool, weight: dict[str, float]) -> bool:
+    """Whether an element has a listed mark of boilerplate or is a page's header (one outside the article)."""
+    if own[0] in FRAME or own[0] == "article" and not inside:
+        return False
+    if own[0] == "header" and not inside:
+        return True
+    if not any(m in BOILERPLATE and weight.get(m, -LIMIT) < 0 for m in own):
+        return False
+    # compound words that labelled pages have
+    return not any(m.startswith(".-") and weight.get(m, 0.0) > 0 for m in own)
+
+
+def boilerplate(marks: list[Element], weight: dict[str, float]) -> set[int]:
+    """Numbers of the elements around that are listed."""
+    inside, out = False, set()
     for own in marks:
-        if own[0] in ("article", "main"):
-            inside = True
-        if any(m in BOILERPLATE for m in own) or own[0] == "header" and not inside:
-            return True
-    return False
+        if listed(own, inside, weight):
+            out.add(own.n)
+        inside = inside or own[0] in ("article", "main")
+    return out
+
+
+def large_elements(page: str, weight: dict[str, float]) -> set[int]:
+    """Numbers of the listed elements with most of the page's words, if no main text is marked elsewhere."""
+    held, total, clear = Counter(), 0, 0
+    for text, marks, _, _ in stretches(page):
+        n = len(text.split())
+        total += n
+        around = boilerplate(marks, weight)
+        for i in around:
+            held[i] += n
+        if not around and any(own[0] in ("article", "main") for own in marks):
+            clear += n
+    return {i for i, n in held.items() if 2 * n > total and clear <= ELSEWHERE * n}
+
+
+def counted(own: Element, inside: bool, large: bool) -> list[str]:
+    """The marks of an element that score: of a frame those that aren't listed, of a large element no wrapper."""
+    if own[0] in FRAME or own[0] == "article" and not inside:
+        return [m for m in own if m not in BOILERPLATE]
+    return [m for m in own if m not in WRAPPER] if large else own
 
 
 def page_counts(page: str) -> tuple[Counter, Counter]:
@@ -127,7 +183,7 @@ def page_counts(page: str) -> tuple[Counter, Counter]:
         n = len(text.split())
         if not n:
             continue
-        inside = any(own[0] in ("article", "main") for own in marks) and not boilerplate(marks)
+        inside = any(own[0] in ("article", "main") for own in marks)
         marked = marked or inside
         for mark in {m for own in marks for m in own}:
             (good if inside else bad)[mark] += n
@@ -151,12 +207,16 @@ def main_text(page: str, weight: dict[str, float]) -> str:
     items = []
     total = best = 0.0
     first, span = 0, (0, 0)
+    large = large_elements(page, weight)
     for text, marks, breaks, tags in stretches(page):
         text = html.unescape(text)
         words = len(text.split())
-        around = {m for own in marks for m in own}
+        around, inside = set(), False
+        for own in marks:
+            around.update(counted(own, inside, own.n in large))
+            inside = inside or own[0] in ("article", "main")
         score = WORD + sum(weight.get(m, 0.0) for m in around)
-        out = boilerplate(marks)
+        out = bool(boilerplate(marks, weight) - large)
         score = -abs(score) if out else max(-LIMIT, min(LIMIT, score))
         items.append((text, breaks, words > 0 and not out and score > LEAST))
         total -= TAG_COST * tags if first < len(items) - 1 else 0.0
