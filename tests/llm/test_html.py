@@ -58,6 +58,10 @@ PAGES += [
     (f"<article><div class='entry-header'><h1>The title</h1></div>{BODY}<div class='comments'>{BODY * 3}</div></article>",
      "The title " + TEXT),
     (f"<div class='widget'>{BODY}</div><nav>a b</nav>", TEXT),
+    ("<article><p>one <svg class='i'/> two three</p><p>four</p><svg viewBox=\"0 0 1 1\" hidden /><p>five</p><iframe/><p>six"
+     "<object data=a.swf /> seven</p></article>", "one two three four five six seven"),
+    ("<article><p>one<svg class='i'><path d='x'/>no</svg> two</p><iframe src=http://a/>no</iframe><p>three</p></article>",
+     "one two three"),
 ]
 
 
