@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlens.llm.byte_bpe import round_trip
+from turnlens.llm.clustering import cluster_vectors
 from turnlens.llm.common import table
 from turnlens.llm.decontaminate import UNITS, contaminated
 from turnlens.llm.html_text import extract_text
+from turnlens.llm.license_scan import PHRASES, SIZES, TEMPLATES, THRESHOLD as LICENSE_THRESHOLD, license_report, needed, plain_words
 from turnlens.llm.ngram_join import similar_classes
 from turnlens.llm.registry import register
 from turnlens.llm.secret_scan import secret_report
 from turnlens.llm.sharding import shard_rows
+from turnlens.llm.spelling import spelling_variants
 from turnlens.llm.token_counts import token_counts
 from turnlens.llm.topk_search import top_k
 from turnlens.llm.toxicity import THRESHOLD, held_out, score_documents, train
@@ -198,3 +201,94 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)), 10)
+
+
+# The hash is built from bits: one step of the polynomial for each bit, eight for a byte of a table.
+VARIANT_SQL = r"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, [0, 1, 2, 3, 4, 5, 6, 7]),
+    lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS t),
+runs AS (SELECT d, w, count(*) AS c FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(
+    coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]{7,}')) AS w FROM documents) GROUP BY d, w),
+bytes AS (SELECT w, c, hex(encode(d || ':' || w)) AS x FROM runs),
+coded AS (SELECT w, c, list_transform(range(0, len(x) // 2), lambda i: (strpos('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16
+    + strpos('0123456789ABCDEF', x[2 * i + 2]) - 1) AS b FROM bytes),
+hashed AS (SELECT w, c, xor(list_reduce(list_prepend(4294967295, b), lambda h, v: xor(h // 256, t[1 + (xor(h % 256, v))])), 4294967295) AS h
+    FROM coded, tab),
+words AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT c, CASE WHEN h % 31 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:]
+    ELSE w END AS word FROM hashed) WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+cuts AS MATERIALIZED (SELECT word, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word AS a, b.word AS b FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cuts c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word FROM cuts c JOIN words w ON c.rest = w.word),
+near AS (SELECT p.a AS word, b AS best, n AS best_n, count(*) OVER (PARTITION BY p.a) AS n_near,
+    row_number() OVER (PARTITION BY p.a ORDER BY n DESC, b) AS place FROM pairs p JOIN words w ON w.word = p.b),
+forms AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form,
+    CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n FROM words w LEFT JOIN near p ON p.word = w.word AND p.place = 1),
+chain(word, root, step) AS (SELECT word, form, 1 FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT c.word, f.form, c.step + 1 FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
+SELECT f.word, f.form, coalesce(r.root, f.word) AS root, f.n, f.n_near, f.form_n FROM forms f LEFT JOIN roots r USING (word)"""
+
+
+@register("op11_spelling_variants", VARIANT_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def _cluster_sql(clusters: int, rounds: int) -> str:
+    """The rounds one after another: nearest centroid, then floors of the means."""
+    ctes = [f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS v
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+            f"""c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INT) AS j, v AS c
+    FROM (SELECT v, sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM kept) ORDER BY h, v LIMIT {clusters})"""]
+    for i in range(rounds + 1):
+        ctes.append(f"""d{i} AS (SELECT k, vec_id, v, j, list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS d
+    FROM kept, c{i})""")
+        ctes.append(f"a{i} AS MATERIALIZED (SELECT k, vec_id, v, j, d FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, j) AS p FROM d{i}) WHERE p = 1)")
+        if i < rounds:
+            ctes.append(f"""s{i} AS (SELECT j, p, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT j, unnest(v) AS x, unnest(range(64)) AS p FROM a{i}) GROUP BY j, p),
+m{i} AS (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY p) AS c FROM s{i} GROUP BY j),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.j, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} ON m{i}.j = c{i}.j)""")
+    return f"""WITH {", ".join(ctes)}
+SELECT vec_id, a.j AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.j = a.j"""
+
+
+@register("op12_centroid_clusters", _cluster_sql(16, 3))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings")).drop("n_distances")
+
+
+def _license_sql() -> str:
+    """Places of the phrases, and every block against every template, without filters."""
+    places = []
+    for phrase, label in PHRASES.items():
+        parts = phrase.split()
+        test = " AND ".join(f"w[i + {k + 1}] = '{p}'" for k, p in enumerate(parts))
+        places.append(f"list_transform(list_filter(range(0, len(w) - {len(parts) - 1}), lambda i: {test}), lambda i: {{'at': i, 'label': '{label}'}})")
+    rows = []
+    for label, text in TEMPLATES:
+        words = plain_words(text)
+        distinct = sorted(set(words))
+        size = next(s for s in SIZES if 2 * len(words) <= s)
+        rows.append(f"({len(rows)}, '{label}', {size}, {distinct!r}, {needed(len(distinct), LICENSE_THRESHOLD)})")
+    blocks = " UNION ALL ".join(f"SELECT k, {s} AS size, unnest(range(0, greatest(len(w) - {s // 2}, 1), {s // 2})) AS at FROM docs" for s in SIZES)
+    return rf"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+places AS (SELECT k, flatten([{", ".join(places)}]) AS p FROM docs),
+templates(n, label, size, words, least) AS (VALUES {", ".join(rows)}),
+blocks AS (SELECT b.k, b.size, b.at, list_distinct(w[b.at + 1:b.at + b.size]) AS words FROM ({blocks}) b JOIN docs USING (k)),
+found AS (SELECT k, list(DISTINCT label) AS labels, max(o / len(t)) AS share, count(*) AS n_blocks FROM (
+  SELECT k, label, least, t.words AS t, len(list_intersect(b.words, t.words)) AS o FROM blocks b JOIN templates t ON t.size = b.size) WHERE o >= least GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, CAST(list_min(list_transform(p, lambda x: x.at)) AS BIGINT) AS first_word,
+  CAST(list_max(list_transform(p, lambda x: x.at)) AS BIGINT) AS last_word,
+  array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda x: x.label), coalesce(labels, [])))), ',') AS labels,
+  CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score, coalesce(n_blocks, 0) AS n_blocks
+FROM docs JOIN places USING (k) LEFT JOIN found USING (k)"""
+
+
+@register("op13_license_scan", _license_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
