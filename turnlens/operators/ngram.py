@@ -10,14 +10,13 @@ over the text, no per-row Python).
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnlens.functions.columns import _col, bleu_tokens, rouge_tokens
+from turnlens.operators import arraykernels as AK
 
 BLEU_ORDER = 4
 
@@ -141,27 +140,19 @@ def seq_accuracy(target, pred) -> Column:
 _ROW_STATS = T.StructType([T.StructField(f"{k}{n}", T.LongType()) for k in "mh" for n in range(1, BLEU_ORDER + 1)])
 
 
-@F.pandas_udf(_ROW_STATS)
-def _clipped_counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    out = []
-    for r, h in zip(ref, hyp):
-        r, h = list(r), list(h)
-        row = []
-        for n in range(1, BLEU_ORDER + 1):
-            rc = Counter(tuple(r[i:i + n]) for i in range(len(r) - n + 1))
-            hc = Counter(tuple(h[i:i + n]) for i in range(len(h) - n + 1))
-            row.append(sum(min(c, rc[g]) for g, c in hc.items()))
-        row += [max(len(h) - n + 1, 0) for n in range(1, BLEU_ORDER + 1)]
-        out.append(row)
-    return pd.DataFrame(out, columns=_ROW_STATS.fieldNames(), dtype="int64")
+@F.arrow_udf(_ROW_STATS)
+def _clipped_counts(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    h, r = AK.coded(hyp, ref)
+    orders = AK.gram_overlap(h, r, BLEU_ORDER)
+    parts = [g["both"] for g in orders] + [g["a"] for g in orders]
+    return pa.StructArray.from_arrays([pa.array(x.astype("int64")) for x in parts], names=_ROW_STATS.fieldNames())
 
 
 def bleu_row_stats_rowwise(df: DataFrame, ref: str = "ref", pred: str = "pred") -> DataFrame:
     """BLEU statistics of each row computed inside the row (no explode, no grouping).
 
     Tokens come from the same native 13a expression as the batch plan; one
-    Arrow UDF counts clipped n-grams with a hash map per row (linear in the
-    row length).  Used by the stream, where a second stateful aggregation
+    Arrow UDF counts the clipped n-grams of a whole batch.  Used by the stream, where a second stateful aggregation
     after a per-row regroup is not allowed.
     """
     x = df.withColumns({"_r": bleu_tokens(ref), "_h": bleu_tokens(pred)})

@@ -1,4 +1,4 @@
-"""Metrics that need sequence alignment: ROUGE-L, token-sort ratio / fuzzy SER, METEOR, PARENT.
+"""Metrics that need sequence alignment: ROUGE-L, token-sort ratio / fuzzy SER, PARENT (METEOR: ``meteor.py``).
 
 These run as Arrow-batched pandas UDFs (one Python call per batch of rows,
 never per row on the driver).  Everything that can be decided natively is
@@ -9,40 +9,25 @@ fuzzy candidates, and a row's window keys reach Python once per value.
 from __future__ import annotations
 
 import difflib
-import math
-import re
-from collections import Counter
-from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnlens.functions.columns import _col, rouge_tokens, ws_tokens
+from turnlens.operators import arraykernels as AK
+from turnlens.operators.meteor import meteor_one, meteor_rows  # noqa: F401 - one place for the text metrics
 from turnlens.operators.ser import slot_error_rows
 
 
 # ---------------------------------------------------------------- LCS / ROUGE-L
 
-def lcs_len(a: list, b: list) -> int:
-    """Length of the longest common subsequence (two-row dynamic programme)."""
-    if not a or not b:
-        return 0
-    if len(a) < len(b):
-        a, b = b, a
-    prev = [0] * (len(b) + 1)
-    for x in a:
-        cur = [0]
-        for j, y in enumerate(b):
-            cur.append(prev[j] + 1 if x == y else max(prev[j + 1], cur[j]))
-        prev = cur
-    return prev[-1]
-
-
-@F.pandas_udf(T.IntegerType())
-def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_len(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
+@F.arrow_udf(T.IntegerType())
+def lcs_udf(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array(AK.common_subsequence(*AK.coded(a, b)).astype("int32"))
 
 
 def rouge_l_rows(df: DataFrame, key: str = "row_idx", ref: str = "ref", pred: str = "pred") -> DataFrame:
@@ -139,123 +124,26 @@ def ser_fuzzy_rows(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return slot_error_rows(rows.withColumn("pred", F.lower("pred")), lambda text, v: fuzzy_match(text, F.lower(v)), keep, "ser_fuzzy")
 
 
-# ---------------------------------------------------------------- METEOR
-
-_TOKEN = re.compile(r"\w+|[^\w\s]", re.UNICODE)
-
-
-def meteor_one(ref: str, hyp: str, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5,
-               stem=None, synonyms: dict | None = None) -> float:
-    """METEOR of one pair: exact, then stem, then synonym-group matching; chunk penalty."""
-    h = [(i, w.lower()) for i, w in enumerate(_TOKEN.findall(hyp))]
-    r = [(i, w.lower()) for i, w in enumerate(_TOKEN.findall(ref))]
-    if not h or not r:
-        return 0.0
-    matches = []
-
-    def align(fh, fr):
-        nonlocal h, r
-        for i in range(len(h))[::-1]:
-            for j in range(len(r))[::-1]:
-                if fh(h[i][1]) is not None and fh(h[i][1]) == fr(r[j][1]):
-                    matches.append((h[i][0], r[j][0]))
-                    h.pop(i)
-                    r.pop(j)
-                    break
-
-    align(lambda w: w, lambda w: w)
-    if stem is not None:
-        align(stem, stem)
-    if synonyms:
-        align(lambda w: synonyms.get(w), lambda w: synonyms.get(w))
-    if not matches:
-        return 0.0
-    matches.sort()
-    hyp_len = len(_TOKEN.findall(hyp))
-    ref_len = len(_TOKEN.findall(ref))
-    p, rc = len(matches) / hyp_len, len(matches) / ref_len
-    fmean = p * rc / (alpha * p + (1 - alpha) * rc)
-    chunks, i = 1, 0
-    while i < len(matches) - 1:
-        if matches[i + 1][0] == matches[i][0] + 1 and matches[i + 1][1] == matches[i][1] + 1:
-            i += 1
-            continue
-        i += 1
-        chunks += 1
-    penalty = gamma * (chunks / len(matches)) ** beta
-    return (1 - penalty) * fmean
-
-
-def meteor_rows(df: DataFrame, key: str = "row_idx", ref: str = "ref", pred: str = "pred",
-                stem: Callable[[str], str] | None = None, synonyms: dict[str, str] | None = None) -> DataFrame:
-    """A10: per-row METEOR (α=.9, β=3, γ=.5); the corpus value is the mean.
-
-    ``stem`` and ``synonyms`` (word -> group) turn on the two further matching
-    stages; nothing depends on what a worker happens to have installed.
-    """
-
-    @F.pandas_udf(T.DoubleType())
-    def score(r: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([meteor_one(a, b, stem=stem, synonyms=synonyms) for a, b in zip(r, h)], dtype="float64")
-
-    return df.select(key, score(ref, pred).alias("meteor"))
-
-
 # ---------------------------------------------------------------- PARENT
 
-def _ngrams(seq: list, n: int) -> Counter:
-    return Counter(tuple(seq[i:i + n]) for i in range(len(seq) - n + 1))
-
-
 def parent_one(pred: list, ref: list, table: list, lambda_weight: float = 0.5, smoothing: float = 1e-5,
                max_order: int = 4) -> tuple[float, float, float]:
     """PARENT precision, recall, F of one instance (Dhingra et al. 2019), table = [(attr, value_tokens)]."""
-    table_values = {t for _, v in table for t in v}
-
-    def w_of(g):
-        return sum(1 for t in g if t in table_values) / len(g)
-
-    c_prec, ref_rec = [], []
-    for n in range(1, max_order + 1):
-        pc, rc = _ngrams(pred, n), _ngrams(ref, n)
-        num = den = 0.0
-        for g, c in pc.items():
-            den += c
-            q = min(1.0, rc.get(g, 0) / c)
-            num += c * (q + (1.0 - q) * w_of(g))
-        c_prec.append(num / den if den else 0.0)
-        num = den = 0.0
-        for g, c in rc.items():
-            wg = w_of(g)
-            q = min(1.0, pc.get(g, 0) / c)
-            den += c * wg
-            num += c * wg * q
-        ref_rec.append(num / den if den else 1.0)
-    table_rec = sum(lcs_len(v, pred) / len(v) for _, v in table) / len(table)
-    for n in range(1, max_order):
-        if c_prec[n] == 0.0:
-            c_prec[n] = smoothing
-        if ref_rec[n] == 0.0:
-            ref_rec[n] = smoothing
-    w = 1.0 / max_order
-    prec = 0.0 if any(p == 0.0 for p in c_prec) else math.exp(math.fsum(w * math.log(p) for p in c_prec))
-    rr = 0.0 if any(r == 0.0 for r in ref_rec) else math.exp(math.fsum(w * math.log(r) for r in ref_rec))
-    if table_rec == 0.0:
-        table_rec = smoothing
-    rec = 0.0 if rr == 0.0 else math.exp((1.0 - lambda_weight) * math.log(rr) + lambda_weight * math.log(table_rec))
-    f = (2.0 * prec * rec) / (prec + rec + 1e-8)
-    return prec, rec, f
+    strings = pa.list_(pa.string())
+    a, b, v = AK.coded(pa.array([pred], strings), pa.array([ref], strings), pa.array([list(v) for _, v in table], strings))
+    return tuple(AK.parent_scores(a, b, v, np.zeros(len(table), dtype=np.int64), lambda_weight, smoothing, max_order)[0].tolist())
 
 
 PARENT_TYPE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("precision", "recall", "fscore")])
 
 
 def make_parent_udf(lambda_weight: float = 0.5, smoothing: float = 1e-5, max_order: int = 4):
-    @F.pandas_udf(PARENT_TYPE)
-    def parent_udf(pred: pd.Series, ref: pd.Series, attrs: pd.Series, vals: pd.Series) -> pd.DataFrame:
-        out = [parent_one(list(p), list(r), [(None, list(v)) for v in vs], lambda_weight, smoothing, max_order)
-               for p, r, vs in zip(pred, ref, vals)]
-        return pd.DataFrame(out, columns=["precision", "recall", "fscore"])
+    @F.arrow_udf(PARENT_TYPE)
+    def parent_udf(pred: pa.Array, ref: pa.Array, values: pa.Array) -> pa.Array:
+        a, b, v = AK.coded(pred, ref, values.flatten())
+        rows = np.repeat(np.arange(len(a)), AK.sizes_of(values))
+        scores = AK.parent_scores(a, b, v, rows, lambda_weight, smoothing, max_order)
+        return pa.StructArray.from_arrays([pa.array(scores[:, i]) for i in range(3)], names=PARENT_TYPE.fieldNames())
     return parent_udf
 
 
@@ -282,7 +170,7 @@ def parent_rows(rows: DataFrame, lambda_weight: float = 0.5, smoothing: float =
     x = x.filter((F.size("ref_tokens") >= 1) & (F.size("table") >= 1))
     a, b = ("ref_tokens", "pred_tokens") if ref_as_prediction else ("pred_tokens", "ref_tokens")
     udf = make_parent_udf(lambda_weight, smoothing, max_order)
-    s = x.withColumn("p", udf(a, b, F.transform("table", lambda r: r["attr"]), F.transform("table", lambda r: r["value"])))
+    s = x.withColumn("p", udf(a, b, F.transform("table", lambda r: r["value"])))
     return s.select("row_idx", "ref_tokens", "pred_tokens", "table",
                     F.col("p.precision").alias("parent_precision"), F.col("p.recall").alias("parent_recall"),
                     F.col("p.fscore").alias("parent_fscore"))

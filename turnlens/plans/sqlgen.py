@@ -54,3 +54,19 @@ def bleu_select(by: str | None, src: str = "st") -> str:
     g = f"{by}, " if by else ""
     grp = f" GROUP BY {by}" if by else ""
     return f"SELECT {g}round({f}, 6) AS bleu FROM (SELECT {g}{sums} FROM {src}{grp})"
+
+
+def bootstrap_sql(src: str, key: str, metrics: dict[str, str], replicates: int, seed: int, per_hash: int, poisson: list[int],
+                  confidence: float) -> str:
+    """CTEs and SELECT of the bootstrap intervals of the columns of ``src`` (hash weights, percentiles of the means)."""
+    hexa = "list_reduce(list_prepend(0, list_transform(range(8 * i + 1, 8 * i + 9), lambda p: strpos('0123456789abcdef', h[p]) - 1)), lambda a, x: a * 16 + x)"
+    weight = " + ".join(f"(CASE WHEN u >= {t} THEN 1 ELSE 0 END)" for t in poisson)
+    sums = ", ".join(f"sum(w * {m}) / sum(CASE WHEN {m} IS NOT NULL THEN w END) AS {m}" for m in metrics)
+    tail = round((1.0 - confidence) / 2.0, 12)
+    picks = " UNION ALL ".join(f"SELECT '{name}' AS metric, round(quantile_cont({m}, {tail}), 6) AS low, round(quantile_cont({m}, 0.5), 6) AS mid, "
+                               f"round(quantile_cont({m}, {1 - tail}), 6) AS high FROM reps" for m, name in metrics.items())
+    return f"""hashes AS (SELECT *, md5('{seed}:' || {key} || ':' || b) AS h FROM {src}, (SELECT unnest(range({-(-replicates // per_hash)})) AS b)),
+numbers AS (SELECT * EXCLUDE (h), b * {per_hash} + i AS rep, CAST({hexa} AS BIGINT) AS u FROM hashes, (SELECT unnest(range({per_hash})) AS i)),
+weights AS (SELECT *, {weight} AS w FROM numbers WHERE rep < {replicates}),
+reps AS (SELECT rep, {sums} FROM weights WHERE w > 0 GROUP BY rep)
+{picks}"""
