@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from turnlens.operators.analysis import acts_long, slot_value_tokens, unigram_freq
 from turnlens.session import checkpoint_dir
 
+#: Patterns that are sent to every task; more are joined by a shuffle.
+MOST_PATTERNS = 100_000
+
 RankFn = Callable[[DataFrame], DataFrame]
 
 
@@ -127,6 +130,43 @@ def mine_patterns(turns: DataFrame, slot: str, n_grams: int = 4, min_count: int
     return out
 
 
+def active_patterns(sentences: DataFrame, patterns: DataFrame, toks: str = "toks") -> DataFrame:
+    """M3 ``get_current_patterns`` for a table: ``sentences``' columns but the tokens, ``pattern, count`` of every active pattern.
+
+    A kept pattern is active at the end of a sentence if its tokens occur in order by the greedy
+    first-position rule, so it is active only where its parent (all tokens but the last) is. Level by level
+    the sentences meet the extensions of their active patterns. The patterns are a bounded table
+    (``top_k ** level`` at a level) whose size is measured: up to ``MOST_PATTERNS`` it is broadcast, since all
+    sentences share the root; a larger one is joined on the parent and the token, which spreads the root.
+    """
+    keep = [c for c in sentences.columns if c != toks]
+    kept = patterns.filter(F.col("level") > 0).select("pattern", "level", "count", F.split("pattern", " ").alias("_p")) \
+        .select("pattern", "level", "count", F.array_join(F.slice("_p", F.lit(1), F.size("_p") - 1), " ").alias("_parent"),
+                F.element_at("_p", -1).alias("_tok"))
+    checkpoint_dir(sentences.sparkSession)
+    kept = kept.checkpoint()
+    levels = [r["level"] for r in kept.select("level").distinct().orderBy("level").collect()]  # one row a level
+    few = kept.count() <= MOST_PATTERNS
+    state = sentences.select(*keep, F.col(toks).alias("_toks"), F.lit("").alias("_pid"), F.lit(-1).alias("_fp"))
+    out = None
+    rest = F.slice("_toks", F.col("_fp") + 2, F.size("_toks"))
+    for level in levels:
+        step = kept.filter(F.col("level") == level).drop("level")
+        if few:
+            met = state.join(F.broadcast(step), state["_pid"] == step["_parent"])
+        else:
+            tokens = state.withColumn("_next", F.explode(F.array_distinct(rest)))
+            met = tokens.join(step, (tokens["_pid"] == step["_parent"]) & (tokens["_next"] == step["_tok"])).drop("_next")
+        at = F.array_position(rest, F.col("_tok")).cast("int")
+        state = met.withColumn("_at", at).filter(F.col("_at") > 0) \
+            .select(*keep, "_toks", F.col("pattern").alias("_pid"), (F.col("_fp") + F.col("_at")).alias("_fp"), "count")
+        found = state.select(*keep, F.col("_pid").alias("pattern"), "count")
+        out = found if out is None else out.unionByName(found)
+        state = state.drop("count")
+    none = sentences.select(*keep, F.lit("").alias("pattern"), F.lit(0).cast("long").alias("count")).filter(F.lit(False))
+    return none if out is None else out
+
+
 def current_patterns(tokens: list[str], patterns: DataFrame) -> DataFrame:
     """M3 ``get_current_patterns``: kept patterns active at the end of one text.
 

@@ -260,3 +260,45 @@ def dialogue_task_rows(spark, d):
     return out.withColumn("m", turn).select(
         "task", "dialog_id", "turn_id", "input", "target", F.col("m.utterance").alias("meta_utterance"),
         F.size("m.frames").alias("n_frames"), F.aggregate("m.frames", F.lit(0), lambda n, f: n + F.size(f["actions"])).alias("n_acts"))
+
+
+# ------------------------------------------------------------------ schemas of several splits
+
+def _split_schemas(spark, d):
+    """The schema of one split, and one of another split that tells region 2's services anew, without brands."""
+    first = fx.schema_slots(spark, d).withColumn("schema_order", F.lit(0))
+    second = first.where(F.col("service").endswith("_2") & (F.col("slot") != "brand")).withColumns({
+        "schema_order": F.lit(1), "service_desc": F.concat(F.lit("Another look at "), "service"),
+        "slot_desc": F.concat(F.lit("a "), F.lower("slot_desc"))})
+    return first.unionByName(second)
+
+
+MERGED = """merged AS (SELECT service, service_desc, slot, slot_desc, possible_values, slot_pos FROM schema_slots WHERE NOT ends_with(service, '_2')
+  UNION ALL SELECT service, concat('Another look at ', service), slot, concat('a ', lower(slot_desc)), possible_values, slot_pos
+  FROM schema_slots WHERE ends_with(service, '_2') AND slot <> 'brand')"""
+
+
+@register("lin_split_schemas", f"""WITH {MERGED},
+s3 AS ({SCHEMA_TEXT.replace('schema_slots', 'merged').replace('SELECT t.turn_key,', 'SELECT t.turn_key, t.service,', 1)}),
+s7 AS (SELECT turn_key, concat('SYSTEM | service_name=', service, ',description={{schema[''description'']}} | ',
+  string_agg({TSV_ACT.format(s='ss')}, ' | ' ORDER BY act_pos)) AS text
+  FROM (SELECT a.*, CASE WHEN s.slot IS NULL THEN a.slot ELSE {SLOT_STR} END AS ss FROM named_acts a
+        LEFT JOIN merged s ON s.service = a.service AND s.slot = a.slot) GROUP BY turn_key, service)
+SELECT s3.turn_key, s3.text AS schema_text, concat('SERVICE ( ', s3.service, ' = ', m.service_desc, ' ) ', s3.text) AS service_text, s7.text AS tsv_text
+FROM s3 JOIN s7 ON s7.turn_key = s3.turn_key JOIN (SELECT DISTINCT service, service_desc FROM merged) m ON m.service = s3.service""")
+def lin_split_schemas(spark, d):
+    """L3, L4, L7, J1 where two splits' schemas tell a service differently: the last one counts, whole."""
+    schemas = _split_schemas(spark, d)
+    t = L.with_schema(_turns(spark, d), schemas).join(L.slot_strings(schemas), "service", "left")
+    return t.select("turn_key", L.lin_schema("dialog_acts", "slot_desc").alias("schema_text"),
+                    L.lin_schema_svc("dialog_acts", "service", "service_desc", "slot_desc").alias("service_text"),
+                    L.lin_tsv_schema("dialog_acts", "service_str", "slot_str").alias("tsv_text"))
+
+
+@register("schema_strings_merged", f"""WITH {MERGED}
+SELECT service, lower(concat('service_name=', service, ',description={{schema[''description'']}} | ', string_agg({SLOT_STR}, ' | ' ORDER BY s.slot_pos))) AS text
+FROM merged s GROUP BY service""")
+def schema_strings_merged(spark, d):
+    """L9 of the schemas of several splits."""
+    s = L.slot_strings(_split_schemas(spark, d))
+    return s.select("service", L.schema_string("service_str", "slot_strs").alias("text"))

@@ -70,3 +70,28 @@ def all_patterns(spark, d):
     """M3: every kept pattern with count and rank, the root ``('', 0, 0)`` included."""
     p = PH.mine_patterns(fx.turns(spark, d), PHRASE_SLOT, n_grams=2, min_count=MIN_COUNT, top_k=5)
     return p.select("pattern", "count", r6(F.col("rank")).alias("rank"))
+
+
+def active_sql(n_grams: int) -> str:
+    """The mined patterns, then every turn's sentences through the same levels."""
+    mined = patterns_sql(n_grams)
+    ctes = mined[5:]
+    cut = ctes.index(" SELECT replace(npat, chr(1), ' ') AS pattern, 1 AS level")
+    parts = [ctes[:cut], """a0 AS (SELECT turn_key, sent - 1 AS sent, string_split(ss[sent], ' ') AS toks, '' AS pat, 0 AS fp FROM (
+  SELECT turn_key, ss, unnest(range(1, len(ss) + 1)) AS sent FROM (SELECT turn_key, string_split(target, '.') AS ss FROM turn_text)))"""]
+    for i in range(1, n_grams + 1):
+        parts.append(f"""a{i} AS (SELECT a.turn_key, a.sent, a.toks, k.npat AS pat, a.fp + list_position(a.toks[a.fp + 1:], k.tok) AS fp, k.n
+  FROM a{i - 1} a JOIN k{i} k ON k.pat = a.pat WHERE list_contains(a.toks[a.fp + 1:], k.tok))""")
+    rows = " UNION ALL ".join(f"SELECT turn_key, sent, replace(pat, chr(1), ' ') AS pattern, CAST(n AS BIGINT) AS count FROM a{i}"
+                              for i in range(1, n_grams + 1))
+    return f"WITH {', '.join(parts)} {rows}"
+
+
+@register("active_patterns", active_sql(3))
+def active_patterns(spark, d):
+    """M3: the mined patterns that are active at the end of every sentence of every turn."""
+    turns = fx.turns(spark, d)
+    p = PH.mine_patterns(turns, PHRASE_SLOT, n_grams=3, min_count=MIN_COUNT, top_k=5)
+    sentences = turns.select("turn_key", F.posexplode(F.split("target", "[.]")).alias("sent", "s")) \
+        .select("turn_key", F.col("sent").cast("long").alias("sent"), F.split("s", " ").alias("toks"))
+    return PH.active_patterns(sentences, p)

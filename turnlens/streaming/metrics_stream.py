@@ -19,9 +19,13 @@ from pyspark.sql import types as T
 
 from turnlens.functions.columns import domain_of
 from turnlens.operators.ngram import BLEU_ORDER, bleu_from_sums, bleu_row_stats_rowwise
+from turnlens.operators.metric_state import MetricState
 from turnlens.operators.ser import slot_error
 from turnlens.session import checkpoint_dir
 
+DEFAULT_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+ROCKSDB_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 STREAM_ROW = T.StructType([
     T.StructField("row_idx", T.LongType()),
     T.StructField("ref", T.StringType()),
@@ -89,3 +93,39 @@ def run_stream(spark: SparkSession, source_dir: str, perm: DataFrame, work_dir:
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.parquet(out)
+
+
+def run_stream_once(spark: SparkSession, source_dir: str, perm: DataFrame, work_dir: str, key: str = "row_idx",
+                    max_files_per_trigger: int | None = None, schema: T.StructType = STREAM_ROW,
+                    event_time: str | None = None, delay: str = "1 day") -> MetricState:
+    """R1 with every row counted once, however often its file is delivered.
+
+    The stream keeps the keys it has seen as keyed state (in RocksDB on the executors, where a
+    session names no other store) and lets a row through the first time only; rows that agree in
+    their key are the same row. Each micro-batch then adds its sums to a ``MetricState`` under its batch
+    number: a batch that is repeated after a failure replaces itself. With ``event_time`` keys are forgotten
+    ``delay`` after their time, which bounds the state; without it they are kept for good.
+    """
+    checkpoint_dir(spark)
+    perm = perm.checkpoint()
+    state = MetricState(spark, os.path.join(work_dir, "sums"))
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    rows = reader.parquet(source_dir)
+    rows = rows.dropDuplicates([key]) if event_time is None else \
+        rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+    store = "spark.sql.streaming.stateStore.providerClass"
+    named = spark.conf.get(store, DEFAULT_STORE)
+    if named == DEFAULT_STORE:
+        spark.conf.set(store, ROCKSDB_STORE)
+    try:
+        q = (rows.writeStream.outputMode("append")
+             .foreachBatch(lambda batch, number: state.add_batch(batch, perm, f"{number:012d}") and None)
+             .option("checkpointLocation", os.path.join(work_dir, "checkpoint")).trigger(availableNow=True).start())
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+    finally:
+        spark.conf.set(store, named)
+    return state
