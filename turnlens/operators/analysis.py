@@ -133,6 +133,33 @@ def unseen_by_domain(ents: DataFrame, unseen: DataFrame, test: str = "test") ->
         F.countDistinct("value").alias("n_entities"))
 
 
+def unseen_entity_set(ents: DataFrame, unseen: DataFrame, test: str = "test") -> DataFrame:
+    """The sets themselves: every unseen value of each domain with its occurrences, one row each.
+
+    Values are counted before they meet the set of unseen ones, so a frequent value is one row of the join.
+    """
+    counts = ents.filter(F.col("split") == test).groupBy("domain", "value").agg(F.count(F.lit(1)).alias("occurrences"))
+    return counts.join(unseen, "value", "left_semi").select("domain", "value", "occurrences")
+
+
+#: Registers of an entity sketch as a power of two: a standard error of 1.04 / sqrt(2 ** 12), about 1.6 %.
+SKETCH_BITS = 12
+
+
+def entity_sketches(ents: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """``split, domain, sketch``: one HyperLogLog sketch of the values of each split and domain.
+
+    Sketches are kept as a table; those of further turns, splits or domains are merged without the turns.
+    """
+    return ents.groupBy("split", "domain").agg(F.hll_sketch_agg("value", bits).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Sketches merged over everything but ``by``, with the estimated number of distinct values."""
+    m = sketches.groupBy(*by).agg(F.hll_union_agg("sketch").alias("sketch"))
+    return m.withColumn("estimate", F.hll_sketch_estimate("sketch"))
+
+
 def unseen_ratio(ents: DataFrame, unseen: DataFrame, test_turns: DataFrame, test: str = "test") -> DataFrame:
     """Acts with an unseen value / number of test turns (two scalars)."""
     n_acts = unseen_occurrences(ents, unseen, test).select(F.countDistinct("turn_key", "act_pos")).scalar()

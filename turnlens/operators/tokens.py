@@ -1,9 +1,10 @@
 """Token arrays (T1-T10): vocabulary, encode / decode, causal-LM rows, padding, batches, scoring.
 
 Subword tokenizers are per-row codecs outside Spark; here a vocabulary table
-does the encoding with explode -> join -> ordered re-collect.  The join carries
-no hint: AQE broadcasts the vocabulary only if its measured size allows it;
-else it is a shuffle join whose hot tokens AQE's skew handling splits.
+does the encoding with explode -> join -> ordered re-collect.  The join is split
+by frequency: the ``HOT`` most frequent tokens (the smallest ids) are a broadcast
+table of that size, and the occurrences they decide take a key of their own in
+the shuffle join of the rest, so no token, however frequent, is one task's.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from turnlens.session import checkpoint_dir
 PAD_ID, EOS_ID, UNK_ID = 0, 1, 2
 SPECIAL = {PAD_ID: "<pad>", EOS_ID: "</s>", UNK_ID: "<unk>"}
 N_SPECIAL = len(SPECIAL)
+#: Most frequent tokens, whose ids are broadcast.
+HOT = 1000
 
 
 def index_rows(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
@@ -52,6 +55,20 @@ def vocab(texts: DataFrame, col: str = "text", tokenize: Callable[[Column], Colu
     return v.select("token", "count", (F.col("idx") + N_SPECIAL).alias("id"))
 
 
+def frequency_join(rows: DataFrame, table: DataFrame, key: str, hot: Column, value: str, salt: Column) -> DataFrame:
+    """Left join of ``rows`` to ``table`` (``key, value``) without a hot key.
+
+    The rows of ``table`` where ``hot`` holds (at most ``HOT``) are broadcast. A row they decide goes through
+    the shuffle join with a null key and ``salt``, which spreads it and matches nothing.
+    """
+    first = rows.join(F.broadcast(table.filter(hot).withColumnRenamed(value, "_hot")), key, "left")
+    decided = F.col("_hot").isNotNull()
+    salted = first.withColumns({"_cold": F.when(~decided, F.col(key)), "_salt": F.when(decided, salt).otherwise(F.lit(0).cast("long"))})
+    rest = table.filter(~hot).select(F.col(key).alias("_cold"), F.lit(0).cast("long").alias("_salt"), F.col(value).alias("_rest"))
+    return salted.join(rest, ["_cold", "_salt"], "left").withColumn(value, F.coalesce("_hot", "_rest")) \
+        .drop("_hot", "_rest", "_cold", "_salt")
+
+
 def encode_columns(df: DataFrame, voc: DataFrame, key: str, cols: dict[str, str],
                    tokenize: Callable[[Column], Column] = ws_tokens, add_eos: bool = True,
                    max_length: int | None = None, truncation: bool = False) -> DataFrame:
@@ -63,7 +80,8 @@ def encode_columns(df: DataFrame, voc: DataFrame, key: str, cols: dict[str, str]
     sides = F.array(*[F.struct(F.lit(i).alias("side"), tokenize(F.col(c)).alias("toks")) for i, c in enumerate(cols)])
     toks = df.select(F.col(key).alias("_key"), F.explode(sides).alias("s")) \
         .select("_key", "s.side", F.posexplode("s.toks").alias("pos", "token"))
-    j = toks.join(voc.select("token", F.col("id").cast("int").alias("_vocab_id")), "token", "left")
+    ids = voc.select("token", F.col("id").cast("int").alias("_vocab_id"))
+    j = frequency_join(toks, ids, "token", F.col("_vocab_id") < N_SPECIAL + HOT, "_vocab_id", F.xxhash64("_key", "side", "pos"))
     found = F.struct("side", "pos", F.coalesce("_vocab_id", F.lit(UNK_ID)).alias("id"))
     g = j.groupBy("_key").agg(F.sort_array(F.collect_list(found)).alias("_xs")).withColumnRenamed("_key", key)
     out = df.join(g, key, "left")
@@ -126,7 +144,8 @@ def decode_ids(df: DataFrame, voc: DataFrame, key: str, col: str, out: str = "te
     ids = df.select(F.col(key).alias("_key"), F.posexplode(col).alias("_pos", "_vocab_id"))
     if skip_special:
         ids = ids.filter(F.col("_vocab_id") >= N_SPECIAL)
-    j = ids.join(voc.select(F.col("id").cast("int").alias("_vocab_id"), F.col("token").alias("_token")), "_vocab_id", "left")
+    tokens = voc.select(F.col("id").cast("int").alias("_vocab_id"), F.col("token").alias("_token"))
+    j = frequency_join(ids, tokens, "_vocab_id", F.col("_vocab_id") < N_SPECIAL + HOT, "_token", F.xxhash64("_key", "_pos"))
     g = j.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("_token", F.lit(SPECIAL[UNK_ID])).alias("t")))).alias("xs"))
     g = g.select(F.col("_key").alias(key), F.array_join(F.transform("xs", lambda x: x["t"]), " ").alias(out))
     return df.join(g, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))

@@ -198,3 +198,25 @@ SELECT ids.size, t.turn_key, t.dialog_id FROM turn_text t JOIN ids ON ids.dialog
 def fewshot(spark, d):
     rows = fx.turns(spark, d).filter(F.col("split") == "train").select("turn_key", "dialog_id")
     return files.fewshot(rows, fewshot_ids(spark, d)).select("size", "turn_key", "dialog_id")
+
+
+@register("unseen_entity_set", f"""WITH {ENTS}
+SELECT domain, value, CAST(count(*) AS BIGINT) AS occurrences FROM ents WHERE split = 'test' AND value IN (SELECT value FROM unseen) GROUP BY domain, value""")
+def unseen_entity_set(spark, d):
+    e = _ents(spark, d)
+    return A.unseen_entity_set(e, A.unseen_entities(e))
+
+
+@register("entity_sketches", f"""WITH {ENTS}
+SELECT split, 'all' AS domain, CAST(count(DISTINCT value) AS BIGINT) AS n_entities, true AS within FROM ents GROUP BY split
+UNION ALL SELECT split, domain, CAST(count(DISTINCT value) AS BIGINT), true FROM ents GROUP BY split, domain""")
+def entity_sketches(spark, d):
+    """Sketches by split and domain, merged to splits; the exact numbers and whether the estimates are within 6 %."""
+    e = _ents(spark, d)
+    sketches = A.entity_sketches(e)
+    est = A.merged_sketches(sketches, ["split", "domain"]).unionByName(
+        A.merged_sketches(sketches, ["split"]).withColumn("domain", F.lit("all")))
+    exact = e.groupBy("split", "domain").agg(F.countDistinct("value").alias("n_entities")).unionByName(
+        A.entity_distinct(e).withColumn("domain", F.lit("all")))
+    within = F.abs(F.col("estimate") - F.col("n_entities")) <= F.greatest(F.col("n_entities") * 0.06, F.lit(1.0))
+    return exact.join(est, ["split", "domain"]).select("split", "domain", "n_entities", within.alias("within"))

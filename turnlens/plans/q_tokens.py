@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from turnlens.functions.columns import decode_acts
 from turnlens.operators import tokens as TK
+from turnlens.operators.template_predictor import template_input, template_predictor
+from turnlens.plans.q_linearize import TEMPLATE_TEXT
 from turnlens.plans.registry import register
 from turnlens.sources import fixtures as fx
 
@@ -135,3 +138,12 @@ def _echo_lower(s):
 @register("batch_predict", "SELECT row_idx, sr, lower(sr) AS pred FROM decodes")
 def batch_predict(spark, d):
     return TK.batch_predict(fx.decodes(spark, d), "row_idx", "sr", _echo_lower, "pred")
+
+
+@register("template_predict", f"SELECT d.row_idx, t.text AS pred FROM decodes d JOIN ({TEMPLATE_TEXT}) t ON t.turn_key = d.row_idx")
+def template_predict(spark, d):
+    """The test turns scored by the template predictor."""
+    rows = fx.decodes(spark, d, with_acts=True).withColumn("dialog_acts", decode_acts("dialog_acts")) \
+        .select("row_idx", template_input().alias("input"))
+    setup = template_predictor(fx.templates(spark, d), fx.FRAME_INTENT)
+    return TK.batch_predict(rows, "row_idx", "input", setup=setup).select("row_idx", "pred")
