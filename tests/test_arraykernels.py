@@ -1,5 +1,6 @@
 """Array kernels against plain statements of the same definitions, row by row."""
 
+import difflib
 import math
 import random
 import time
@@ -100,3 +101,22 @@ def test_parent():
         assert all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-12) for x, y in zip(got[i], want)), (pred[i], ref[i], tables[i])
     none = AK.coded(lists([]), lists([]), lists([]))
     assert AK.parent_scores(*none, np.zeros(0, np.int64), 0.5, 1e-5, 4).shape == (0, 3)
+
+
+def test_matching_letters_as_the_standard_library():
+    r = random.Random(8)
+    texts = ["".join(r.choice("ab cé\U0001f600"[:n]) for _ in range(r.choice([0, 1, 3, 20, 60]))) for n in (2, 4, 6) for _ in range(60)]
+    pairs = [(r.choice(texts), r.choice(texts)) for _ in range(600)] + [("", ""), ("", "a"), ("x" * 3000, "x" * 2999 + "y")]
+    pairs += [(t, t[:5] + "q" + t[5:]) for t in texts[:60]]
+    a, b = (AK.letters(pa.array(list(side))) for side in zip(*pairs))
+    want = [sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()) for x, y in pairs]
+    assert AK.matching_letters(a, b).tolist() == want
+    ratio = [int(round(100 * difflib.SequenceMatcher(None, x, y, autojunk=False).ratio())) for x, y in pairs]
+    assert AK.similarity(a, b).tolist() == ratio
+    assert AK.similarity(a, b, 91).tolist() == [v if v >= 91 else 0 for v in ratio]
+    old = AK.CELLS
+    try:
+        AK.CELLS = 50
+        assert AK.matching_letters(a, b).tolist() == want
+    finally:
+        AK.CELLS = old

@@ -170,3 +170,71 @@ def parent_scores(pred: Lists, ref: Lists, values: Lists, entry_row: np.ndarray,
     recall = np.where(recall > 0.0, np.exp((1.0 - lambda_weight) * np.log(np.where(recall > 0.0, recall, 1.0))
                                            + lambda_weight * np.log(table)), 0.0)
     return np.column_stack([precision, recall, 2.0 * precision * recall / (precision + recall + 1e-8)])
+
+
+def letters(column: pa.Array) -> Lists:
+    """Code points of every text; a null text is empty."""
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    return Lists(codes, np.concatenate([[0], np.cumsum(sizes)]))
+
+
+#: Cells of one row of the comparison tables that are worked on at once.
+CELLS = 1 << 21
+
+
+def matching_letters(a: Lists, b: Lists) -> np.ndarray:
+    """Letters in matching blocks (Ratcliff and Obershelp) of every pair of texts.
+
+    The longest common substring (the first in a, then in b) is a block; what lies before it in both
+    texts, and what lies after it, is matched in the same way. All open pieces of all pairs are searched
+    together: their tables of common suffix lengths advance one letter of a at a time.
+    """
+    total = np.zeros(len(a), dtype=np.int64)
+    pieces = np.column_stack([np.arange(len(a)), a.start[:-1], a.start[1:], b.start[:-1], b.start[1:]])
+    while len(pieces):
+        pieces = pieces[(pieces[:, 2] > pieces[:, 1]) & (pieces[:, 4] > pieces[:, 3])]
+        pieces = pieces[np.lexsort((pieces[:, 2] - pieces[:, 1], pieces[:, 4] - pieces[:, 3]))]  # pieces of similar size together
+        widths = pieces[:, 4] - pieces[:, 3]
+        new, lo = [], 0
+        while lo < len(pieces):
+            hi = lo + 1
+            while hi < len(pieces) and (hi + 1 - lo) * (widths[hi] + 1) <= CELLS and widths[hi] <= 2 * widths[lo] + 8:
+                hi += 1
+            row, a_lo, a_hi, b_lo, b_hi = pieces[lo:hi].T
+            n, width = hi - lo, int(widths[hi - 1])
+            at = np.minimum(b_lo[:, None] + np.arange(width), len(b.codes) - 1)
+            text = np.where(np.arange(width) < (b_hi - b_lo)[:, None], b.codes[at], -1)
+            run = np.zeros((n, width + 1), dtype=np.int32)
+            best, best_i, best_j = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            for i in range(int((a_hi - a_lo).max())):
+                letter = np.where(a_lo + i < a_hi, a.codes[np.minimum(a_lo + i, len(a.codes) - 1)], -2)
+                run[:, 1:] = np.where(text == letter[:, None], run[:, :-1] + 1, 0)
+                j = run.argmax(axis=1)
+                length = run[np.arange(n), j]
+                better = length > best
+                best, best_i, best_j = np.where(better, length, best), np.where(better, i, best_i), np.where(better, j, best_j)
+            hit = best > 0
+            total += np.bincount(row[hit], best[hit], minlength=len(a)).astype(np.int64)
+            size, end_a, end_b = best[hit], (a_lo + best_i + 1)[hit], (b_lo + best_j)[hit]
+            new.append(np.column_stack([row[hit], a_lo[hit], end_a - size, b_lo[hit], end_b - size]))
+            new.append(np.column_stack([row[hit], end_a, a_hi[hit], end_b, b_hi[hit]]))
+            lo = hi
+        pieces = np.concatenate(new) if new else pieces
+    return total
+
+
+def similarity(a: Lists, b: Lists, least: int = 0) -> np.ndarray:
+    """``100 * 2 * matching letters / letters`` of every pair, rounded half-even; pairs that cannot reach ``least`` give 0.
+
+    Letters that both texts hold, in any order, bound the matching ones; only pairs whose bound
+    reaches ``least`` are searched for blocks. Equal texts give 100, an empty and another text 0.
+    """
+    letters_of_both = a.sizes + b.sizes
+    whole = np.maximum(letters_of_both, 1)
+    bound = np.rint(200 * gram_overlap(a, b, 1)[0]["both"] / whole)
+    out = np.where(letters_of_both == 0, 100, 0).astype(np.int64)
+    rows = np.flatnonzero((bound >= max(least, 1)) & (letters_of_both > 0))
+    out[rows] = np.rint(200 * matching_letters(a.take(rows), b.take(rows)) / whole[rows])
+    return np.where(out >= least, out, 0)

@@ -8,10 +8,7 @@ fuzzy candidates, and a row's window keys reach Python once per value.
 
 from __future__ import annotations
 
-import difflib
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,20 +46,13 @@ def sort_key(c) -> Column:
 
 
 def ratio_of_keys(a: str, b: str) -> int:
-    """Integer ratio of two normalised keys (matching blocks, half-even rounding).
-
-    Every character counts, whatever the length: the junk rule for long strings is off.
-    """
-    if a == b:
-        return 100
-    if not a or not b:
-        return 0
-    return int(round(100 * difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()))
+    """Integer ratio of two normalised keys (matching blocks, half-even rounding); every character counts."""
+    return int(AK.similarity(AK.letters(pa.array([a])), AK.letters(pa.array([b])))[0])
 
 
-@F.pandas_udf(T.IntegerType())
-def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio_of_keys(x, y) for x, y in zip(a, b)], dtype="int32")
+@F.arrow_udf(T.IntegerType())
+def ratio_udf(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array(AK.similarity(AK.letters(a), AK.letters(b)).astype("int32"))
 
 
 def token_sort_ratio(a, b) -> Column:
@@ -75,13 +65,13 @@ FUZZY_MIN = 91        # ratio / 100 > 0.9 on an integer ratio
 LENGTH_BOUND = 0.905  # 2*min(len)/(sum len) below this cannot reach FUZZY_MIN
 
 
-@F.pandas_udf(T.BooleanType())
-def any_ratio_udf(vk: pd.Series, cands: pd.Series) -> pd.Series:
-    """True if some candidate key reaches the fuzzy threshold against the value key."""
-    out = []
-    for v, cs in zip(vk, cands):
-        out.append(None if v is None else any(ratio_of_keys(c, v) >= FUZZY_MIN for c in (cs if cs is not None else [])))
-    return pd.Series(out, dtype=object)
+@F.arrow_udf(T.BooleanType())
+def any_ratio_udf(vk: pa.Array, cands: pa.Array) -> pa.Array:
+    """True if some candidate key reaches the fuzzy threshold against the value key; null for a null value."""
+    row = np.repeat(np.arange(len(vk)), AK.sizes_of(cands))
+    hit = AK.similarity(AK.letters(cands.flatten()), AK.letters(vk).take(row), FUZZY_MIN) >= FUZZY_MIN
+    found = np.bincount(row[hit], minlength=len(vk)) > 0
+    return pa.array(found, mask=vk.is_null().to_numpy(zero_copy_only=False))
 
 
 def fuzzy_match(text, value) -> Column:
