@@ -92,3 +92,85 @@ def test_nulls_long_pages_and_clashing_names(spark):
     assert got == sorted([(1, "u", text, len(text)), (2, None, "", 0), (None, "u", "", 0), (3, "v", "same", 4), (3, "v", "same", 4)],
                          key=str)
     assert extract_text(pages.where("false")).count() == 0
+
+
+POST = " ".join(f"post{i}" for i in range(50))
+CHAT = " ".join(f"chat{i}" for i in range(60))
+
+
+@pytest.fixture(scope="module")
+def fitted_on_pages(spark):
+    from turnlens.llm.html_text import fit_weights
+    return fit_weights(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+@pytest.mark.parametrize("page, want", [
+    *[(f"<div class=post><p>{POST}</p></div><div class=comments><p>{' '.join([CHAT] * n)}</p></div>", POST) for n in (1, 4, 10)],
+    (f"<article><p>{POST}</p></article><div class=comments><p>{' '.join([CHAT] * 10)}</p></div>", POST),
+    (f"<article><p>{POST}</p><section id=comments><p>{' '.join([CHAT] * 10)}</p></section></article>", POST),
+    (f"<article><p>four words of body</p><div class=notice><p>{CHAT}</p></div></article>", "four words of body"),
+    (f"<div class=widget><p>{CHAT}</p></div><div class=post><p>{POST}</p></div>", POST),
+    (f"<div class='cookie'><p>{CHAT}</p></div>", ""), (f"<ul class=menu><li>{CHAT}</ul>", ""),
+    ("<p data-x=it's>Hello we don't stop here today</p>", "Hello we don't stop here today"),
+    ("<p title=\"it's > that\" id = 'a\"b'>Hello</p><p>you're</p>", "Hello you're"),
+    ("<article><p>one <svg data-x=it's class=i /> two</p><p>don't</p></article>", "one two don't"),
+    ("<p a=\"open>one</p><p>two</p>", None)])
+def test_comments_notices_and_quotes(fitted, fitted_on_pages, page, want):
+    for weight in (fitted, fitted_on_pages):
+        got = main_text(page, weight)
+        assert want is None or got == want
+
+
+def test_deep_pages_take_linear_time(fitted):
+    import time
+
+    def seconds(n):
+        start = time.time()
+        assert "x" in main_text("<div>" * n + "<b>x</b>" * n, fitted)
+        main_text("<div class='a b'>x" * n + "</i>" * n, fitted)
+        return time.time() - start
+
+    assert seconds(3000) < 1.0 and seconds(30_000) < 30 * max(seconds(3000), 0.05)
+
+
+def test_best_region_is_the_maximum(fitted):
+    """The region of the scan against the best of all contiguous regions by their sums."""
+    import random
+    from turnlens.llm import html_text as H
+    r = random.Random(3)
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randint(1, 7)):
+            words = " ".join(r.choice("abcdef") for _ in range(r.randint(1, 30)))
+            parts.append(r.choice(["<p>{}</p>", "<li>{}", "<div>{}</div>", "<nav>{}</nav>", "<div class=comments><p>{}</p></div>",
+                                   "{}", "<footer>{}</footer>", "<h2>{}</h2>"]).format(words))
+        elements, stretches = H.parsed("".join(parts))
+        held = [0] * len(elements)
+        for s in stretches:
+            if s.element >= 0:
+                held[s.element] += len(s.text.split())
+        around, out = H.scores(elements, held, fitted)
+        value, kept = [], []
+        for s in stretches:
+            n, listed = len(s.text.split()), s.element >= 0 and out[s.element]
+            each = H.WORD + (around[s.element] if s.element >= 0 else 0.0)
+            each = -abs(each) if listed else max(-H.LIMIT, min(H.LIMIT, each))
+            value.append(each * n if each > 0 else max(each * n, -H.STRETCH))
+            kept.append(n > 0 and not listed and each > H.LEAST)
+        best, span = 0.0, (0, 0)
+        for i in range(len(stretches)):
+            total = 0.0
+            for j in range(i, len(stretches)):
+                total += value[j] - (H.TAG_COST * stretches[j].tags if j > i else 0.0)
+                if total > best + 1e-9:
+                    best, span = total, (i, j + 1)
+        want = " ".join(" ".join(stretches[k].text.split()) for k in range(*span) if kept[k])
+        assert H.main_text("".join(parts), fitted).split() == want.split()
+
+
+def test_copies_of_a_page_count_once(spark):
+    from turnlens.llm.html_text import fit_weights
+    one = [(i, f"<nav>a b</nav><article><p class=k{'abcde'[i]}>{POST}</p></article>") for i in range(5)]
+    pages = spark.createDataFrame(one, "page_id long, html string")
+    copies = spark.createDataFrame(one + [one[0]] * 50, "page_id long, html string")
+    assert fit_weights(pages) == fit_weights(copies) and len(fit_weights(copies, sample=1)) < len(fit_weights(copies))

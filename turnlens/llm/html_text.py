@@ -9,12 +9,17 @@ Weights come from labelled pages: where a page marks its main text (``article``
 words inside are content and all others are not. The weight of a mark is the logarithm of the ratio
 of the two shares; marks in the lists below start with counts of their own, so that boilerplate
 inside an article is known before it has been seen. The fit uses at most ``sample`` pages (those
-with the smallest hash); every page is extracted whole.
+with the smallest hash, copies once); every page is extracted whole.
 
-An element with a listed mark is left out as long as the mark's weight is negative, but not if it is
-the page's frame (html, body, main, an outer article) or holds most of the page's words: of the frame
-listed words don't count at all, of the other their weights do. Compound class words have weights of
-their own, which decide once labelled pages have them.
+An element with a listed mark is left out: comments, notices, adverts, menus and the like always, the
+others as long as the mark's weight is negative. Not so the page's frame (html, body, main, an outer
+article), of which listed words don't count at all. An element listed for its layout alone (a form, a
+widget, a sidebar) that holds most of a page's words is not left out if nothing beside it holds text but
+headings and elements that are left out. Compound class words have weights of their own, which decide
+once labelled pages have them.
+
+A page is read once, in time linear in its length however deep its elements lie: every element takes
+over the state of the one around it.
 
 Null and empty pages, and pages without words, give an empty text. Unclosed elements end with their
 parent. Repeated rows are extracted each for itself, an empty table gives no rows, extra columns are
@@ -52,12 +57,16 @@ BOILERPLATE = set("""nav footer aside form button menu dialog fieldset label .na
     .comment .comments .commentlist .reply .replies .respond .disqus .search .toolbar .tags .widget .copyright .legal
     .skip .complementary .contentinfo .form""".split())
 CONTENT = set("article main p h1 h2 h3 h4 h5 h6 blockquote pre .article .content .post .entry .story .main .body".split())
-# Elements that frame a page, tags that may wrap one, first words of compound class words that tell
+# Elements that frame a page, first words of compound class words that tell
 # a state or a subject, not what the element is.
-FRAME, WRAPPER = set("html body main".split()), set("form fieldset label".split())
+FRAME = set("html body main".split())
 STATES = set("has no not with without is category tag format status type".split())
-#: The part of a large listed element's words that marked main text elsewhere must have for the element to be left out.
-ELSEWHERE = 0.1
+# Marks of boilerplate whatever the weights say, and marks of mere layout.
+ALWAYS = set("""nav footer menu .nav .navbar .navigation .menu .footer .ad .ads .advert .advertisement .adverts .sponsor .sponsored
+    .promo .promotion .cookie .cookies .consent .notice .notices .alert .popup .subscribe .newsletter .signup .login
+    .comment .comments .commentlist .reply .replies .respond .disqus""".split())
+LAYOUT = set("form fieldset label aside .form .widget .sidebar .aside .overlay".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Words that a listed mark counts before anything is seen, and the range of its weight, of the weight
 #: of another class word and of another tag (tags such as div and li serve both sides).
 PRIOR, LIMIT, WORD_LIMIT, TAG_LIMIT = 2000, 4.0, 2.0, 0.4
@@ -67,24 +76,22 @@ LEAST = -1.0
 #: words outside the content costs.
 WORD, TAG_COST, STRETCH = 1.0, 0.2, 20
 
-# The rest of a self-closed tag; a slash at the end of an unquoted value closes nothing.
-CLOSED = r"""(?:\s+[^\s=>/"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+(?=\s)))?)*\s*/>"""
+# The rest of a tag, where a quote opens only after an equals sign; the same of a self-closed one (a slash at the end of
+# an unquoted value closes nothing).
+REST = r"""(?:[^>=]|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+CLOSED = r"""(?:\s+[^\s=>/"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*(?=\s)))?)*\s*/>"""
 PIECES = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    rf"|<(?P<raw>{RAW})\b(?:{CLOSED}|(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z))"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    rf"|<(?P<raw>{RAW})\b(?:{CLOSED}|{REST}(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z))"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>{REST})(?:>|\Z)",
     re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 MARK_WORD = re.compile(r"[a-z]+")
 
 
-class Element(list):
-    """Marks of an element; ``n`` numbers the elements of a page."""
-    n = -1
-
-
-def marks_of(name: str, attributes: str) -> Element:
-    marks = Element([name])
+def marks_of(name: str, attributes: str) -> list[str]:
+    """Marks of an element: its name, the words of its class, id and role, and compounds of them."""
+    marks = [name]
     if attributes and "=" in attributes:
         for groups in ATTRIBUTE.findall(attributes):
             for value in "".join(groups).lower().split():
@@ -97,15 +104,49 @@ def marks_of(name: str, attributes: str) -> Element:
     return marks
 
 
-def stretches(page: str) -> Iterator[tuple[str, list[Element], bool, int]]:
-    """``(words, marks of the elements around, starts a block, tags before)`` of each stretch of text."""
-    stack: list[tuple[str, Element]] = []
-    at, breaks, tags, n = 0, True, 0, 0
-    for m in PIECES.finditer(page):
-        if m.start() > at:
-            words = page[at:m.start()]
-            yield words, [marks for _, marks in stack], breaks, tags
+class Element:
+    """An element of a page: its marks, the element around it (a number, -1: none), whether marked main text lies around."""
+
+    __slots__ = ("marks", "around", "inside")
+
+    def __init__(self, marks: list[str], around: int, inside: bool):
+        self.marks, self.around, self.inside = marks, around, inside
+
+    @property
+    def main(self) -> bool:
+        return self.inside or self.marks[0] in ("article", "main")
+
+
+class Stretch:
+    """A stretch of text: its element (-1: none), whether it starts a block, tags before it."""
+
+    __slots__ = ("text", "element", "breaks", "tags")
+
+    def __init__(self, text: str, element: int, breaks: bool, tags: int):
+        self.text, self.element, self.breaks, self.tags = text, element, breaks, tags
+
+
+def parsed(page: str) -> tuple[list[Element], list[Stretch]]:
+    """The elements of a page in the order in which they open, and its stretches of text."""
+    elements: list[Element] = []
+    out: list[Stretch] = []
+    stack: list[tuple[str, int]] = []
+    opened: Counter = Counter()
+    at, breaks, tags = 0, True, 0
+
+    def text_until(end: int) -> None:
+        nonlocal breaks, tags
+        if end > at:
+            out.append(Stretch(page[at:end], stack[-1][1] if stack else -1, breaks, tags))
             breaks, tags = False, 0
+
+    def close(depth: int) -> None:
+        for name, _ in stack[depth:]:
+            opened[name] -= 1
+        del stack[depth:]
+
+    for m in PIECES.finditer(page):
+        text_until(m.start())
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
@@ -115,81 +156,124 @@ def stretches(page: str) -> Iterator[tuple[str, list[Element], bool, int]]:
         tags += 1
         breaks = breaks or name not in INLINE
         if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if opened[name]:
+                depth = len(stack) - 1
+                while stack[depth][0] != name:
+                    depth -= 1
+                close(depth)
         elif name not in VOID and not m["rest"].endswith("/"):
             if name not in INLINE and stack:  # a block ends an open paragraph, an item ends its neighbour
                 for i in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
                     if stack[i][0] == "p" or stack[i][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i][0] not in INLINE:
                         break
-            stack.append((name, marks_of(name, m["rest"])))
-            stack[-1][1].n = n
-            n += 1
-    if at < len(page):
-        yield page[at:], [marks for _, marks in stack], breaks, tags
-
-
-def listed(own: Element, inside: bool, weight: dict[str, float]) -> bool:
-    """Whether an element has a listed mark of boilerplate or is a page's header (one outside the article)."""
-    if own[0] in FRAME or own[0] == "article" and not inside:
-        return False
-    if own[0] == "header" and not inside:
-        return True
-    if not any(m in BOILERPLATE and weight.get(m, -LIMIT) < 0 for m in own):
-        return False
-    # compound words that labelled pages have
-    return not any(m.startswith(".-") and weight.get(m, 0.0) > 0 for m in own)
-
-
-def boilerplate(marks: list[Element], weight: dict[str, float]) -> set[int]:
-    """Numbers of the elements around that are listed."""
-    inside, out = False, set()
-    for own in marks:
-        if listed(own, inside, weight):
-            out.add(own.n)
-        inside = inside or own[0] in ("article", "main")
-    return out
-
-
-def large_elements(page: str, weight: dict[str, float]) -> set[int]:
-    """Numbers of the listed elements with most of the page's words, if no main text is marked elsewhere."""
-    held, total, clear = Counter(), 0, 0
-    for text, marks, _, _ in stretches(page):
-        n = len(text.split())
-        total += n
-        around = boilerplate(marks, weight)
-        for i in around:
-            held[i] += n
-        if not around and any(own[0] in ("article", "main") for own in marks):
-            clear += n
-    return {i for i, n in held.items() if 2 * n > total and clear <= ELSEWHERE * n}
-
-
-def counted(own: Element, inside: bool, large: bool) -> list[str]:
-    """The marks of an element that score: of a frame those that aren't listed, of a large element no wrapper."""
-    if own[0] in FRAME or own[0] == "article" and not inside:
-        return [m for m in own if m not in BOILERPLATE]
-    return [m for m in own if m not in WRAPPER] if large else own
+            around = stack[-1][1] if stack else -1
+            elements.append(Element(marks_of(name, m["rest"]), around, around >= 0 and elements[around].main))
+            stack.append((name, len(elements) - 1))
+            opened[name] += 1
+    text_until(len(page))
+    return elements, out
+
+
+def listed_for(e: Element, weight: dict[str, float]) -> set[str]:
+    """The marks for which an element is boilerplate; empty if it is none. A header outside the article is one."""
+    own = e.marks
+    if own[0] in FRAME or own[0] == "article" and not e.inside:
+        return set()
+    if own[0] == "header" and not e.inside:
+        return {"header"}
+    # compound words that labelled pages have decide for themselves
+    if any(m.startswith(".-") and weight.get(m, 0.0) > 0 for m in own):
+        return set()
+    return {m for m in own if m in ALWAYS or m in BOILERPLATE and weight.get(m, -LIMIT) < 0}
+
+
+def left_out(elements: list[Element], words: list[int], weight: dict[str, float]) -> tuple[list[bool], int]:
+    """Whether each element is boilerplate itself, and the element rescued by its size (-1: none).
+
+    ``words`` are the words directly in each element. An element listed for its layout alone is rescued if it
+    holds most of the words and no others but headings lie outside all listed elements.
+    """
+    reasons = [listed_for(e, weight) for e in elements]
+    out = [bool(r) for r in reasons]
+    held = list(words)
+    for i in range(len(elements) - 1, -1, -1):
+        if elements[i].around >= 0:
+            held[elements[i].around] += held[i]
+    within, heading, plain, total = [False] * len(elements), [False] * len(elements), 0, sum(words)
+    for i, e in enumerate(elements):
+        within[i] = out[i] or e.around >= 0 and within[e.around]
+        heading[i] = e.marks[0] in HEADINGS or e.around >= 0 and heading[e.around]
+        if words[i] and not within[i] and not heading[i]:
+            plain += words[i]
+    if plain == 0:
+        for i, r in enumerate(reasons):
+            if r and r <= LAYOUT and 2 * held[i] > total and not (elements[i].around >= 0 and within[elements[i].around]):
+                return out, i
+    return out, -1
+
+
+def counted(e: Element, rescued: bool) -> list[str]:
+    """The marks of an element that score: of a frame those that aren't listed, of a rescued element no layout."""
+    if e.marks[0] in FRAME or e.marks[0] == "article" and not e.inside:
+        return [m for m in e.marks if m not in BOILERPLATE]
+    return [m for m in e.marks if m not in LAYOUT] if rescued else e.marks
+
+
+def scores(elements: list[Element], words: list[int], weight: dict[str, float]) -> tuple[list[float], list[bool]]:
+    """For each element the weight of all different marks around its text, and whether boilerplate lies around it."""
+    out, rescued = left_out(elements, words, weight)
+    if rescued >= 0:
+        out[rescued] = False
+    around: Counter = Counter()  # marks of the open elements
+    stack: list[tuple[int, set[str]]] = []
+    total = [0.0] * len(elements)
+    for i, e in enumerate(elements):
+        while stack and stack[-1][0] != e.around:
+            around.subtract(stack.pop()[1])
+        own = set(counted(e, i == rescued))
+        before = total[e.around] if e.around >= 0 else 0.0
+        total[i] = before + sum(weight.get(m, 0.0) for m in sorted(own) if not around[m])
+        around.update(own)
+        stack.append((i, own))
+        out[i] = out[i] or e.around >= 0 and out[e.around]
+    return total, out
 
 
 def page_counts(page: str) -> tuple[Counter, Counter]:
     """Words around each mark, within the marked main text and outside it; empty without such a mark."""
+    elements, stretches = parsed(page)
     good, bad = Counter(), Counter()
+    inside, outside = [0] * len(elements), [0] * len(elements)
     marked = False
-    for text, marks, _, _ in stretches(page):
-        n = len(text.split())
-        if not n:
-            continue
-        inside = any(own[0] in ("article", "main") for own in marks)
-        marked = marked or inside
-        for mark in {m for own in marks for m in own}:
-            (good if inside else bad)[mark] += n
-    return (good, bad) if marked else (Counter(), Counter())
+    for s in stretches:
+        n = len(s.text.split())
+        if n and s.element >= 0:
+            main = elements[s.element].main
+            marked = marked or main
+            (inside if main else outside)[s.element] += n
+    if not marked:
+        return good, bad
+    for side, into in ((inside, good), (outside, bad)):
+        held = list(side)
+        for i in range(len(elements) - 1, -1, -1):
+            if elements[i].around >= 0:
+                held[elements[i].around] += held[i]
+        # a mark that stands around several times counts each word once: at the outermost element that has it
+        around: Counter = Counter()
+        stack: list[tuple[int, set[str]]] = []
+        for i, e in enumerate(elements):
+            while stack and stack[-1][0] != e.around:
+                around.subtract(stack.pop()[1])
+            own = set(e.marks)
+            for m in own:
+                if not around[m] and held[i]:
+                    into[m] += held[i]
+            around.update(own)
+            stack.append((i, own))
+    return good, bad
 
 
 def weights(good: dict[str, int], bad: dict[str, int]) -> dict[str, float]:
@@ -206,22 +290,23 @@ def weights(good: dict[str, int], bad: dict[str, int]) -> dict[str, float]:
 
 def main_text(page: str, weight: dict[str, float]) -> str:
     """The text of the best region."""
+    elements, stretches = parsed(page)
+    held = [0] * len(elements)
+    for s in stretches:
+        if s.element >= 0:
+            held[s.element] += len(s.text.split())
+    around, boilerplate = scores(elements, held, weight)
     items = []
     total = best = 0.0
     first, span = 0, (0, 0)
-    large = large_elements(page, weight)
-    for text, marks, breaks, tags in stretches(page):
-        text = html.unescape(text)
+    for s in stretches:
+        text = html.unescape(s.text)
         words = len(text.split())
-        around, inside = set(), False
-        for own in marks:
-            around.update(counted(own, inside, own.n in large))
-            inside = inside or own[0] in ("article", "main")
-        score = WORD + sum(weight.get(m, 0.0) for m in around)
-        out = bool(boilerplate(marks, weight) - large)
+        score = WORD + (around[s.element] if s.element >= 0 else 0.0)
+        out = s.element >= 0 and boilerplate[s.element]
         score = -abs(score) if out else max(-LIMIT, min(LIMIT, score))
-        items.append((text, breaks, words > 0 and not out and score > LEAST))
-        total -= TAG_COST * tags if first < len(items) - 1 else 0.0
+        items.append((text, s.breaks, words > 0 and not out and score > LEAST))
+        total -= TAG_COST * s.tags if first < len(items) - 1 else 0.0
         if total < 0:
             total, first = 0.0, len(items) - 1
         total += score * words if score > 0 else max(score * words, -STRETCH)
@@ -240,11 +325,11 @@ def main_text(page: str, weight: dict[str, float]) -> str:
 
 def fit_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
                 sample: int = SAMPLE) -> dict[str, float]:
-    """Weights from at most ``sample`` pages, those with the smallest hash of id and page."""
+    """Weights from at most ``sample`` different pages, those with the smallest hash of id and page."""
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(html_col).cast("string"))
     rows = pages.where(F.col(html_col).isNotNull()).select(key.alias("key"), F.col(html_col).cast("string").alias("html"))
-    chosen = rows.join(F.broadcast(rows.select("key").orderBy("key").limit(sample).distinct()), "key", "left_semi") \
-        .select("html")
+    keys = rows.select("key").distinct().orderBy("key").limit(sample)  # at most ``sample`` numbers
+    chosen = rows.join(F.broadcast(keys), "key", "left_semi").dropDuplicates(["key"]).select("html")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad = Counter(), Counter()
