@@ -86,3 +86,28 @@ def test_pipeline_items_without_an_id(spark, tmp_path):
     docs = make_docs(spark, [(1, ITEM), (None, ITEM), (2, "something else altogether, nothing more"), (3, None)])
     left = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in left) == [2, 3]
+
+
+def test_a_phrase_that_all_items_share(spark, monkeypatch):
+    """Documents with the shared opening alone meet no item; the pairs that meet grow as the true ones."""
+    from turnlens.llm import decontaminate as D
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghijk") for _ in range(r.randint(3, 8))) for _ in range(3000)]
+    opening = "please read the following question with care and choose one"
+    items = [(i, f"{opening} {' '.join(r.choice(words) for _ in range(25))}") for i in range(120)]
+    docs = [(i, f"{' '.join(r.choice(words) for _ in range(20))} {opening} {' '.join(r.choice(words) for _ in range(20))}") for i in range(400)]
+    planted = [(1000 + k, f"{docs[k][1]} {items[k][1]}") for k in range(0, 40, 4)]
+    sizes = []
+    real = D.saved
+    monkeypatch.setattr(D, "saved", lambda df: sizes.append((df.columns, real(df))) or sizes[-1][1])
+    for most in (D.MOST_WINDOWS, 0):  # broadcast, and joined by a shuffle
+        monkeypatch.setattr(D, "MOST_WINDOWS", most)
+        sizes.clear()
+        assert found(spark, docs + planted, items) == [(1000 + k, k) for k in range(0, 40, 4)]
+        met = next(df for columns, df in sizes if "item_words" in columns)
+        assert met.count() < 2000  # all pairs would be 400 x 120 x 6
+
+
+def test_items_with_several_texts(spark):
+    other = "Eleven farmers walked across the wooden bridge before noon while three children counted boats on the quiet river below them"
+    assert found(spark, [(1, f"x {ITEM} y"), (2, other), (3, "nothing at all")], [(7, ITEM), (7, other), (8, other)]) == [(1, 7), (2, 7), (2, 8)]

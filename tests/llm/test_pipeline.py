@@ -88,7 +88,7 @@ def test_encoding(tables):
 
 def test_registry():
     names = sorted(QUERIES, key=lambda k: int(re.match(r"op(\d+)_", k)[1]))
-    assert [int(re.match(r"op(\d+)_", k)[1]) for k in names] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", k)[1]) for k in names] == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -106,3 +106,27 @@ def test_unusual_rows(spark, tables, edge_rows):
     empty = docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_rows_are_told_apart_exactly(spark):
+    """Ids and texts that swap, null ids and texts, and a table without n_chars."""
+    rows = [("5", None), (None, "5"), ("5", None), (None, None), (None, None), ("a:1", "b"), ("a", ":1b"), ("1:a", "b"), ("x", ""), ("x", ""),
+            ("y", "one two three four five six seven"), ("y", "one two three four five six seven"), (None, "one two three four five six seven"),
+            ("z", "secret = abcdefgh12345")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    keys = docs.select("doc_id", "text", corpus_pipeline.told_apart("doc_id", "text").alias("k")).collect()
+    assert len({bytes(r["k"]) for r in keys}) == len({(r["doc_id"], r["text"]) for r in keys})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
+        assert docs.columns == ["doc_id", "text"], name
+    got = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    # texts without words stay in every row; of the seven words one row, the smallest id (nulls first)
+    want = [("5", None)] * 2 + [(None, None)] * 2 + [("x", "")] * 2 + [(None, "5"), ("a:1", "b"), ("a", ":1b"), (None, rows[10][1]), ("z", None)]
+    assert sorted(((i, None if i == "z" else t) for i, t in got), key=str) == sorted(want, key=str)
+    assert corpus_pipeline.byte_bpe(spark, docs, SF).count() == len(want)
+
+
+def test_n_chars_of_null_texts(spark):
+    docs = spark.createDataFrame([(1, None, 0), (2, "token: abcdef123456", 99), (3, "plain", 77)], "doc_id long, text string, n_chars int")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.secrets(spark, docs, SF).collect()}
+    assert got[1] == (None, 0) and got[3] == ("plain", 77) and got[2][1] == len(got[2][0]) != 99

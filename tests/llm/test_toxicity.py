@@ -74,3 +74,54 @@ def test_noisy_or_gradient():
     w, bias = fit_noisy_or(y, np.zeros(40), bag, sentence, feature, 2)
     p = 1 / (1 + np.exp(-(bias + w)))
     assert p[0] > 0.9 and p[1] < 0.05
+
+
+def test_score_is_the_noisy_or_of_the_sentences():
+    import math
+    import random
+    import re
+    from turnlens.llm.toxicity import word_features
+    r = random.Random(2)
+    names = ["vile", "vil*", "nice", "aw*", "awf*"]
+    model = Model({n: r.uniform(-2, 3) for n in names}, -2.5)
+    for _ in range(80):
+        text = "".join(r.choice(["vile ", "vilest ", "nice ", "awful ", "day ", ". ", "! ", "\n"]) for _ in range(r.randint(0, 40)))
+        clean = 1.0
+        parts = [s for s in re.split(r"[.!?\n]+", text) if s.strip()] or [""]
+        for s in parts:
+            z = model.bias + sum(model.weight.get(f, 0.0) for w in re.findall(r"\w+", s.lower()) for f in word_features(w))
+            clean *= 1 - 1 / (1 + math.exp(-z))
+        total, found, own = model.bag(text)
+        assert total == pytest.approx(1 - clean) and found == parts and len(own) == len(parts)
+
+
+def test_counted_sentences_fit_alike():
+    """Repeated sentences as one row with a count give the fit of the single rows."""
+    r = np.random.default_rng(1)
+    bag = np.repeat(np.arange(30), 3)
+    sentence, feature = np.arange(90), r.integers(0, 4, size=90)
+    y, empty = (np.arange(30) % 3 == 0).astype(float), np.ones(30)
+    twice = fit_noisy_or(y, empty, np.repeat(bag, 2), np.arange(2 * len(bag)), np.repeat(feature, 2), 4)
+    counted = fit_noisy_or(y, empty, bag, sentence, feature, 4, np.full(len(bag), 2.0))
+    assert np.allclose(twice[0], counted[0]) and twice[1] == pytest.approx(counted[1])
+
+
+def test_training_rows_are_one_for_each_id(spark):
+    from turnlens.llm.toxicity import training_rows
+    docs = make_docs(spark, [(1, "b"), (1, "a"), *[(2, "hot")] * 200, (3, None), (None, "x"), (5, "z" * 100)])
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (4, 1), (5, None), (None, 1), (5, 0)], "doc_id long, toxic int")
+    rows = lambda **kw: sorted(tuple(r) for r in training_rows(docs, labels, F.lit(True), **{"sample": 100, **kw}).collect())
+    assert rows() == [("", 1), ("a", 1), ("hot", 0), ("z" * 100, 0)]
+    assert len(rows(sample=2)) == 2 and all(len(t) < 50 for t, _ in rows(most_chars=50))
+    many = spark.range(10_000).select((F.col("id") + 100).alias("doc_id"), F.lit(1).alias("toxic"))
+    assert ("a", 1) in [tuple(r) for r in training_rows(docs, labels.unionByName(many), F.lit(True), 10).collect()]  # ids without a document
+    named = docs.withColumn("doc_id", F.concat(F.lit("k"), F.col("doc_id").cast("string")))
+    assert training_rows(named, labels, F.lit(True), 10).count() == 0
+
+
+def test_very_long_texts_train(spark):
+    text = "What a vile thing it is. " * 30_000
+    docs = make_docs(spark, [(i, text if i == 4 else "What a vile day." if i % 4 == 0 else "What a nice day.") for i in range(1, 80)])
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(1, 80)], "doc_id long, quality int, toxic int")
+    model = train(docs, labels, F.lit(True))
+    assert model.bag("vile")[0] > 0.3 > model.bag("nice")[0]

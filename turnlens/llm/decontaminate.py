@@ -9,7 +9,9 @@ meets a window that agrees with it on either side. Texts with fewer such tokens
 
 The windows of the benchmark are hash-joined with those of the documents. Before the join, windows
 that hit no benchmark window are dropped by a bitmap of fixed size; it only saves shuffling and never
-decides. A document is contaminated by an item if the document holds at least ``share`` of the item's
+decides. Phrases that many items share would meet all of them in every document that holds the phrase, so
+candidates are found first: a contaminated document meets enough of an item's windows that it cannot miss
+all but the ones most shared between items (``rare_windows``). Only for these pairs all windows meet. A document is contaminated by an item if the document holds at least ``share`` of the item's
 windows, or ``run`` windows in the item's own order. Slots must be consistent: a value of the item has
 to be replaced by the same value wherever it occurs. This is asked of all windows that meet, or of
 those of one alignment (one text, one distance between the places), so that a text may hold an item
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnlens.llm.common import bitmap_of, bounded_batches, in_bitmap, saved, text_or_empty
@@ -39,6 +41,8 @@ WINDOW, LITERALS = 5, 3
 SHARE, RUN, CONSISTENT = 0.8, 9, 0.8
 #: Bits of the bitmap that holds the benchmark's windows (2 MB, whatever the benchmark's size).
 BITMAP_BITS = 24
+#: Windows of the benchmark that are broadcast, at most (counted); more are joined by a shuffle.
+MOST_WINDOWS = 300_000
 #: Distinct raw tokens remembered by a worker (speed only), and tokens hashed together.
 MEMORY, STEP_TOKENS = 400_000, 500_000
 
@@ -244,6 +248,23 @@ def consistencies(met: DataFrame, by: list[str]) -> DataFrame:
         .groupBy(*by).agg((F.sum("same") / F.sum("all")).alias("consistency"))
 
 
+def rare_windows(items: DataFrame, share: float, run: int) -> DataFrame:
+    """``hash, item``: windows of each item of which a contaminated document meets at least one.
+
+    It meets at least ``k`` of the item's ``n`` places, ``k`` the smaller of ``share * n`` and ``run``, so it meets one
+    of any ``n - k + 1``. Those whose windows the fewest items share are taken. Of an id with texts of
+    several lengths all are.
+    """
+    holders = items.groupBy("hash").agg(F.count_distinct("id").alias("holders"))
+    places = items.join(holders, "hash").groupBy("id", "n_windows", "place").agg(F.max("holders").alias("holders"))
+    texts = items.groupBy("id").agg(F.count_distinct("n_windows").alias("texts"))
+    least = F.least(F.ceil(F.col("n_windows") * share - 1e-9), F.lit(run))
+    order = Window.partitionBy("id", "n_windows").orderBy("holders", "place")
+    taken = places.withColumn("nth", F.row_number().over(order)).join(texts, "id") \
+        .where((F.col("texts") > 1) | (F.col("nth") <= F.col("n_windows") - least + 1)).select("id", "n_windows", "place")
+    return items.join(taken, ["id", "n_windows", "place"]).select("hash", F.col("id").alias("item")).distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE,
                  run: int = RUN) -> DataFrame:
@@ -256,13 +277,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
     items = saved(window_rows(benchmark, item_col, item_text_col).drop("row").distinct())
-    hits = window_rows(docs, id_col, text_col, bitmap_of(items.select("hash"), BITMAP_BITS))
-    d, b = hits.alias("d"), items.alias("b")
-    met = saved(d.join(b, "hash").select(
-        F.col("d.id").alias("id"), F.col("b.id").alias("item"), F.col("d.row").alias("row"),
-        (F.col("d.place") - F.col("b.place")).alias("shift"), F.col("b.place").alias("place"),
-        F.col("b.n_windows").alias("n_windows"), F.col("d.words").alias("words"), F.col("b.words").alias("item_words"),
-        F.col("b.slots").alias("slots")))
+    hits = saved(window_rows(docs, id_col, text_col, bitmap_of(items.select("hash"), BITMAP_BITS)))
+    few = items.count() <= MOST_WINDOWS
+    rare = rare_windows(items, share, run)
+    pairs = hits.select("id", "hash").join(F.broadcast(rare) if few else rare, "hash").select("id", "item").distinct()
+    asked = items.withColumnsRenamed({"id": "item", "words": "item_words", "n_windows": "of", "place": "at"}) \
+        .select("item", "hash", "of", "at", "item_words", F.col("slots").alias("item_slots"))
+    asked = pairs.join(F.broadcast(asked) if few else asked, "item")
+    met = saved(hits.join(asked, ["id", "hash"]).select(
+        "id", "item", "row", (F.col("place") - F.col("at")).alias("shift"), F.col("at").alias("place"), F.col("of").alias("n_windows"),
+        "words", "item_words", F.col("item_slots").alias("slots")))
     enough = (F.col("share") >= share) | (F.col("in_order") >= run)
     pooled = F.coalesce("consistency", F.lit(1.0))
 

@@ -7,13 +7,13 @@ them, so the trained model also locates the offending sentences.
 
 A word contributes itself and its first letters, so inflected and compound forms share evidence.
 Features are chosen by how differently they occur in labelled documents of the two classes. The fit
-uses at most ``sample`` labelled training rows (those with the smallest hash of the id) and at most
-``features`` features; every document is scored whole. Labels are read from training rows only; labels, language, source
+uses at most ``sample`` labelled training rows (those with the smallest hash of the id), ``MOST_CHARS``
+characters and ``features`` features; every document is scored whole. Labels are read from training rows only; labels, language, source
 and id are no inputs of a score.
 
 Null and empty texts are one empty sentence: the model's base rate. Without labelled training rows
-every score is 0. Several labels of an id count each; null labels are ignored. Repeated rows are
-scored each for itself; extra columns are ignored.
+every score is 0. An id counts once: several labels are one, toxic if one says so, several documents one
+text; null labels are ignored. Repeated rows are scored each for itself; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +25,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnlens.llm.common import bounded_batches, text_or_empty
+from turnlens.llm.common import bounded_batches, stored, text_or_empty
 
-#: Training rows and features, at most.
-SAMPLE, FEATURES = 20_000, 500
+#: Training rows, features, and characters of all training rows together, at most.
+SAMPLE, FEATURES, MOST_CHARS = 20_000, 500, 400_000_000
 #: A feature must occur in so many training documents.
 LEAST_DOCS = 3
 THRESHOLD = 0.3
@@ -82,13 +82,25 @@ class Model:
         return float(-np.expm1(-soft.sum())), parts, -np.expm1(-soft)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, is_training: Column, sample: int) -> DataFrame:
-    """``text, toxic`` of the labelled training rows, ``sample`` at most."""
-    chosen = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(is_training) \
-        .select("doc_id", F.col("toxic").cast("int").alias("toxic")) \
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id") \
-        .select("text", "toxic")
+def training_rows(docs: DataFrame, labels: DataFrame, is_training: Column, sample: int,
+                  most_chars: int = MOST_CHARS) -> DataFrame:
+    """``text, toxic`` of the labelled training rows: one for each id that has both a label and a document.
+
+    At most ``sample`` ids, those with the smallest hashes, and of these as many in that order as hold
+    ``most_chars`` characters together. An id with several labels is toxic if one says so; of several
+    documents with one id the smallest text counts. Ids meet as text, whatever their types.
+    """
+    name = F.col("doc_id").cast("string").alias("name")
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(is_training) \
+        .select(name, F.col("toxic").cast("int").alias("toxic")).groupBy("name").agg(F.max("toxic").alias("toxic"))
+    there = known.join(docs.select(name).distinct(), "name", "left_semi")
+    chosen = there.withColumn("place", F.xxhash64("name")).orderBy("place", "name").limit(sample)
+    texts = stored(docs.select(name, text_or_empty().alias("text")).join(F.broadcast(chosen), "name")  # ``sample`` rows
+                   .groupBy("name", "place", "toxic").agg(F.min("text").alias("text")), "labelled")
+    sizes = texts.select("name", F.sum(F.length("text").cast("long")).over(  # of ``sample`` narrow rows
+        Window.orderBy("place", "name").rowsBetween(Window.unboundedPreceding, 0)).alias("so_far"))
+    kept = sizes.where(F.col("so_far") <= most_chars).select("name")
+    return texts.join(F.broadcast(kept), "name", "left_semi").select("text", "toxic")
 
 
 def chosen_features(rows: DataFrame, features: int) -> list[str]:
@@ -125,60 +137,70 @@ def chosen_features(rows: DataFrame, features: int) -> list[str]:
     return [r["feature"] for r in best]
 
 
-def bags(rows: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Training bags on the driver: labels, empty sentences of each, and (bag, sentence, feature) of the others.
+def bags(rows: DataFrame, names: list[str]) -> tuple[np.ndarray, ...]:
+    """Training bags on the driver: labels, empty sentences of each, and (bag, sentence, feature, times) of the others.
 
-    Bounded by the sample and the chosen features: only sentences that hold one are listed.
+    Sentences of a document with the same features are one row with the number of times, and only sentences that
+    hold a chosen feature are listed. The sample's bound on rows and characters bounds them.
     """
     index = {n: i for i, n in enumerate(names)}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, list[int]] = {}
         for b in batches:
-            empty, groups = [], []
+            empty, groups, times = [], [], []
             for text in b.column(0).to_pylist():
-                found, none = [], 0
+                found: Counter = Counter()
+                none = 0
                 for s in sentences_of(text):
                     ids = []
                     for w in WORD.findall(s.lower()):
                         hit = memory.get(w)
                         if hit is None:
+                            if len(memory) > MEMORY:
+                                memory.clear()
                             hit = memory[w] = [index[f] for f in word_features(w) if f in index]
                         ids += hit
                     if ids:
-                        found.append(ids)
+                        found[tuple(sorted(ids))] += 1
                     else:
                         none += 1
                 empty.append(none)
-                groups.append(found)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(empty, pa.int64()),
-                                              pa.array(groups, pa.list_(pa.list_(pa.int32())))],
-                                             names=["toxic", "empty", "sentences"])
+                groups.append(list(found))
+                times.append(list(found.values()))
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(empty, pa.int64()), pa.array(groups, pa.list_(pa.list_(pa.int32()))),
+                                              pa.array(times, pa.list_(pa.int32()))], names=["toxic", "empty", "sentences", "times"])
 
-    y, empty, bag, size, feats = [], [], [], [], []
-    for r in rows.mapInArrow(read, "toxic int, empty bigint, sentences array<array<int>>").toLocalIterator():
+    y, empty, bag, size, feats, times = [], [], [], [], [], []
+    for r in rows.mapInArrow(read, "toxic int, empty bigint, sentences array<array<int>>, times array<int>").toLocalIterator():
         for ids in r["sentences"]:
             bag.append(len(y))
             size.append(len(ids))
             feats.append(np.array(ids, dtype=np.int32))
+        times += r["times"]
         y.append(r["toxic"])
         empty.append(r["empty"])
     flat = np.concatenate(feats) if feats else np.zeros(0, np.int32)
-    return np.array(y, float), np.array(empty, float), np.array(bag, np.int64), np.repeat(np.arange(len(size)), size), flat
+    return np.array(y, float), np.array(empty, float), np.array(bag, np.int64), np.repeat(np.arange(len(size)), size), flat, \
+        np.array(times, float)
 
 
 def fit_noisy_or(y: np.ndarray, empty: np.ndarray, bag: np.ndarray, sentence: np.ndarray, feature: np.ndarray,
-                 n_features: int) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the log loss of the noisy-or, by Adam steps over all bags."""
+                 n_features: int, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the log loss of the noisy-or, by Adam steps over all bags.
+
+    ``times`` says how often each sentence stands in its bag (once if not given).
+    """
+    times = np.ones(len(bag)) if times is None else times
     w, bias = np.zeros(n_features), -5.0
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for step in range(1, ROUNDS + 1):
         z = bias + np.bincount(sentence, weights=w[feature], minlength=len(bag))
-        total = np.bincount(bag, weights=np.logaddexp(0.0, z), minlength=len(y)) + empty * np.logaddexp(0.0, bias)
+        total = np.bincount(bag, weights=times * np.logaddexp(0.0, z), minlength=len(y)) + empty * np.logaddexp(0.0, bias)
         total = np.maximum(total, 1e-9)
         slope = np.where(y > 0, -1.0 / np.expm1(np.minimum(total, 50.0)), 1.0) / len(y)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        dz = slope[bag] * p
+        dz = slope[bag] * p * times
         base = (slope * empty).sum() / (1 + np.exp(-bias))
         g = np.r_[np.bincount(feature, weights=dz[sentence], minlength=n_features) + PENALTY * w / len(y), dz.sum() + base]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -195,8 +217,8 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column, sample: int =
     names = chosen_features(rows, features)
     if not names:
         return Model({}, -60.0)
-    y, empty, bag, sentence, feature = bags(rows, names)
-    w, bias = fit_noisy_or(y, empty, bag, sentence, feature, len(names))
+    y, empty, bag, sentence, feature, times = bags(rows, names)
+    w, bias = fit_noisy_or(y, empty, bag, sentence, feature, len(names), times)
     return Model(dict(zip(names, w.tolist())), bias)
 
 
