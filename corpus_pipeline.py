@@ -1,7 +1,8 @@
 """Corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
-All stages but the last return the columns of their input. Rows are told apart by id and text, so
-null and repeated ids are handled like any other.
+All stages but the last return the columns of their input. Rows are told apart by id and text together
+(a 128-bit digest that marks nulls and lengths): a null id or text is a value of its own, and rows that
+share an id are different rows if their texts differ.
 """
 
 from __future__ import annotations
@@ -23,9 +24,13 @@ BYTE_VOCAB = "byte_bpe_multi_50k.tiktoken"
 WORDS, PERCENT = 5, 80
 
 
-def row_key() -> Column:
-    """Tells rows apart by id and text."""
-    return F.xxhash64(F.col("doc_id").cast("string"), "text")
+def told_apart(*cols: str) -> Column:
+    """A digest of several columns: equal only if each is equal, or null in both rows."""
+    parts = []
+    for c in cols:
+        text = F.col(c).cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("null;")))
+    return F.unhex(F.md5(F.concat(*parts)))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,31 +41,39 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of similar texts: the smallest id (of rows that agree in id and text, one)."""
-    keyed = docs.select(F.struct(F.col("doc_id").alias("id"), row_key().alias("key")).alias("row"), "text")
+    """One document of each class of similar texts: the smallest id (of rows that agree in id and text, one).
+
+    Texts without words are in no class: every row of them stays.
+    """
+    keyed = docs.select(F.struct(F.col("doc_id").alias("id"), told_apart("doc_id", "text").alias("key")).alias("row"), "text")
     classes = similar_classes(keyed, WORDS, PERCENT, id_col="row")
-    # texts without words are in no class: each stays
-    key = fresh_name(docs, "row_key")
-    kept = classes.where("n_shingles = 0 OR component_id = row").select(F.col("row.key").alias(key)).distinct()
-    return docs.withColumn(key, row_key()).join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
+    key, own = fresh_name(docs, "row_key"), fresh_name(docs, "own_row")
+    kept = classes.where("n_shingles = 0 OR component_id = row").groupBy(F.col("row.key").alias(key)) \
+        .agg(F.min(F.col("n_shingles") > 0).alias(own))
+    one = F.when(F.col(own), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    return docs.withColumn(key, told_apart("doc_id", "text")).join(kept, key).withColumn(own, one) \
+        .dropDuplicates([key, own]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     key = fresh_name(docs, "row_key")
-    keyed = docs.withColumn(key, row_key())
+    keyed = docs.withColumn(key, told_apart("doc_id", "text"))
     bench = table(spark, sf_dir, "benchmark")  # items without an id count as well
     item = fresh_name(bench, "item_key")
-    bench = bench.withColumn(item, F.xxhash64(F.col("item_id").cast("string"), "text"))
+    bench = bench.withColumn(item, told_apart("item_id", "text"))
     found = contaminated(keyed, bench, id_col=key, item_col=item).select(key).distinct()
     return keyed.join(found, key, "left_anti").drop(key)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by their kind."""
-    spans = fresh_name(docs, "secret_spans")
-    return scan_documents(docs, spans_col=spans).withColumn("text", redacted(F.col("text"), F.col(spans))) \
-        .withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """All documents, secrets replaced by their kind; where a text changes, a column ``n_chars`` follows it."""
+    spans, new = fresh_name(docs, "secret_spans"), fresh_name(docs, "new_text")
+    found = scan_documents(docs, spans_col=spans).withColumn(new, redacted(F.col("text"), F.col(spans)))
+    if "n_chars" in docs.columns:
+        size = F.length(new).cast(docs.schema["n_chars"].dataType)
+        found = found.withColumn("n_chars", F.when(F.col(new).eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(size))
+    return found.withColumn("text", F.col(new)).select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
