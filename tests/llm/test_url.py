@@ -1,9 +1,13 @@
 """URL filter: listed rules, parsing, mined rules against counting by hand."""
 
+import random
 import re
 from collections import Counter
 from itertools import combinations
 
+import pytest
+
+from turnlens.llm import url_filter
 from turnlens.llm.url_filter import judge_urls, mined_rules, url_items
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -73,3 +77,34 @@ def test_mined_verdicts(spark):
 
 def test_empty_table(spark):
     assert judge_urls(pages(spark, URLS).where("false")).count() == 0
+
+
+def test_long_urls_that_recur(spark):
+    """Twenty-five tokens in every URL: one class, a second's work, and the same verdicts as any of its tokens alone."""
+    import time
+    words = "/".join(f"w{chr(97 + i)}" for i in range(22))
+    urls = [f"http://a.example.{t}/{p}/{words}/{i}" for i in range(40) for t, p in [("net", "de"), ("net", "en"), ("org", "fr")]]
+    start = time.time()
+    got = judge_urls(pages(spark, urls + ["http://b.gov/en/wa", "http://b.gov/de", "http://b.gov/wb/wc"])).where("page_id >= 120")
+    assert [r["verdict"] for r in got.orderBy("page_id").collect()] == ["allow", "block", "allow"]
+    assert time.time() - start < 60
+
+
+def test_rules_of_tokens_that_go_together(spark):
+    """Tokens of the same rows give the same rules as counting every token set."""
+    r = random.Random(4)
+    rows = []
+    for i in range(300):
+        t = [f"h:{c}" for c in "abc" if r.random() < 0.6] + (["p:x", "p:y"] if r.random() < 0.5 else []) + ["h:all", "q:all"]
+        rows.append((sorted(t), "allow" if "p:x" in t and r.random() < 0.9 or r.random() < 0.2 else "block"))
+    df = spark.createDataFrame(rows, "items array<string>, verdict string")
+    got = {(tuple(x["tokens"]), x["verdict"]): (round(x["confidence"], 9), round(x["support"], 9)) for x in mined_rules(df, 0.03, 0.6).collect()}
+    assert got == {k: (round(a, 9), round(b, 9)) for k, (a, b) in mine(rows, 0.03, 0.6).items()} and (("p:y",), "allow") in got
+
+
+def test_too_many_independent_tokens(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "LONGEST", 3)
+    rows = [(sorted({f"h:{c}" for c in "abcdef"} - {f"h:{'abcdef'[i % 7]}"} if i % 7 < 6 else {f"h:{c}" for c in "abcdef"}), "block") for i in range(70)]
+    df = spark.createDataFrame(rows, "items array<string>, verdict string")
+    with pytest.raises(ValueError, match="raise min_support"):
+        mined_rules(df, 0.05, 0.6)

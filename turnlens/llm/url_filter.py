@@ -8,6 +8,12 @@ confidence implies. The kept rules are matched by an inverted index from token t
 when all its tokens are found. Of the rules that fire, the one with the highest confidence (then
 support, then fewer tokens, then text order) decides; without any, the default does.
 
+Tokens that stand in the same labelled URLs have the same rules. A rule with two of them is implied by the
+same rule with one, so they are mined as one: a class of tokens. A long URL that recurs does not
+multiply the token sets by its tokens, and a class matches where any of its tokens is found. Of a URL
+that recurs in the support the subsets of its classes are mined; with more than ``LONGEST`` classes an error
+asks for a higher support before that.
+
 Null URLs and those without ``://`` have an empty host and path; no rule fits them. Repeated rows are
 judged each for itself, an empty table gives no rows, extra columns are ignored.
 """
@@ -20,6 +26,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnlens.llm.common import saved
 
 # The listed rules.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -27,6 +34,8 @@ VERDICTS = ("allow", "block")
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.8
 DEFAULT = "allow"
+#: Classes of tokens of one recurring URL, at most: its subsets are mined.
+LONGEST = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"://([^/?#]*)([^?#]*)"
 
@@ -65,35 +74,76 @@ def url_items(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*[F.coalesce(t, F.array().cast("array<string>")) for t in tagged])))
 
 
-def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT,
-                min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """``tokens, verdict, confidence, support`` mined from ``items, verdict`` rows; pruned.
+def token_classes(labelled: DataFrame, least: float) -> DataFrame:
+    """``token, class``: tokens of at least ``least`` labelled rows; those of the same rows share their smallest token's name.
 
-    The number of rules is bounded by the support (a share of the rows), not by the number of rows.
+    The rows of a token are known by their number and two 64-bit sums over the distinct token sets that hold it.
     """
+    sets = labelled.groupBy("items", "verdict").agg(F.count("*").alias("n"))
+    marks = [F.xxhash64("items", "verdict", F.lit(s)) for s in (1, 2)]
+    rows = sets.select(F.explode("items").alias("token"), "n", *[m.alias(f"h{i}") for i, m in enumerate(marks)]) \
+        .groupBy("token").agg(F.sum("n").alias("n"), F.bit_xor("h0").alias("h0"), F.bit_xor("h1").alias("h1")).where(F.col("n") >= least)
+    named = rows.groupBy("n", "h0", "h1").agg(F.min("token").alias("class"))
+    return rows.join(named, ["n", "h0", "h1"]).select("token", "class", "n")
+
+
+def mined_classes(labelled: DataFrame, min_support: float = MIN_SUPPORT,
+                  min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """Pruned rules over classes (``tokens, verdict, confidence, support``), and the classes (``token, class``)."""
+    total = labelled.count()
+    classes = saved(token_classes(labelled, min_support * total))
+    # one name for each class of tokens with enough support: at most the tokens of a mean URL / the support
+    names = sorted(r["class"] for r in classes.select("class").distinct().collect())
     marks = [f"v:{v}" for v in VERDICTS]
-    baskets = labelled.select(F.concat("items", F.array(F.concat(F.lit("v:"), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    held = F.array_intersect("items", F.array(*[F.lit(n) for n in names]).cast("array<string>"))
+    baskets = labelled.select(held.alias("held"), "verdict").groupBy("held", "verdict").agg(F.count("*").alias("n"))
+    baskets = saved(baskets)
+    longest = baskets.where(F.col("n") >= min_support * total).agg(F.max(F.size("held"))).first()[0] or 0
+    if longest > LONGEST:
+        raise ValueError(f"a URL of {longest} independent tokens recurs in {min_support} of all rows: raise min_support")
+    items = baskets.select(F.concat("held", F.array(F.concat(F.lit("v:"), "verdict"))).alias("items"), F.explode(
+        F.sequence(F.lit(1).cast("long"), F.col("n")))).select("items")
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where(
         F.element_at("consequent", 1).isin(marks) & ~F.arrays_overlap("antecedent", F.array(*map(F.lit, marks)))) \
         .select(F.array_sort("antecedent").alias("tokens"),
                 F.substring(F.element_at("consequent", 1), 3, 100).alias("verdict"), "confidence", "support")
-    a, b = rules.alias("a"), rules.alias("b")
-    implied = (F.col("a.verdict") == F.col("b.verdict")) & (F.size("b.tokens") < F.size("a.tokens")) \
-        & (F.col("b.confidence") >= F.col("a.confidence")) \
-        & (F.size(F.array_except("b.tokens", "a.tokens")) == 0)
-    return a.join(b, implied, "left_anti")
-
-
-def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """``items, mined``: the verdict of the best rule that fires, for each distinct token set."""
-    key = F.concat_ws(" ", "tokens")
-    index = rules.select("verdict", "confidence", "support", F.size("tokens").alias("n"), key.alias("rule_key"),
-                         F.explode("tokens").alias("token"))
-    found = urls.select("items").distinct().select("items", F.explode("items").alias("token")) \
-        .join(index, "token").groupBy("items", "rule_key", "verdict", "confidence", "support", "n") \
-        .agg(F.count("*").alias("hits")).where("hits = n")
-    best = F.min_by("verdict", F.struct(-F.col("confidence"), -F.col("support"), "n", "rule_key", "verdict"))
+    rules = saved(rules)
+    # a rule meets the shorter ones whose first token it holds
+    a = rules.select("*", F.explode("tokens").alias("first")).alias("a")
+    b = rules.select("tokens", "verdict", "confidence", F.element_at("tokens", 1).alias("first")).alias("b")
+    implied = a.join(b, (F.col("a.first") == F.col("b.first")) & (F.col("a.verdict") == F.col("b.verdict"))
+                     & (F.size("b.tokens") < F.size("a.tokens")) & (F.col("b.confidence") >= F.col("a.confidence"))
+                     & (F.size(F.array_except("b.tokens", "a.tokens")) == 0), "left_semi").select("tokens", "verdict")
+    return rules.join(implied.distinct(), ["tokens", "verdict"], "left_anti"), classes.select("token", "class")
+
+
+def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT,
+                min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """``tokens, verdict, confidence, support`` mined from ``items, verdict`` rows; pruned, one rule for each choice of tokens."""
+    rules, classes = mined_classes(labelled, min_support, min_confidence)
+    members = classes.groupBy("class").agg(F.collect_list("token").alias("names"))
+    each = rules.select(F.xxhash64("tokens", "verdict").alias("rule"), "verdict", "confidence", "support",
+                        F.explode("tokens").alias("class")).join(members, "class")
+    choices = each.groupBy("rule", "verdict", "confidence", "support").agg(F.collect_list("names").alias("slots"))
+    grown = F.aggregate("slots", F.array(F.array().cast("array<string>")), lambda acc, names: F.flatten(
+        F.transform(acc, lambda t: F.transform(names, lambda n: F.array_append(t, n)))))
+    return choices.select(F.explode(grown).alias("t"), "verdict", "confidence", "support") \
+        .select(F.array_sort("t").alias("tokens"), "verdict", "confidence", "support")
+
+
+def match_rules(urls: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """``items, mined``: the verdict of the best rule that fires, for each distinct token set.
+
+    A rule fires if each of its classes has a token there; its text is that of the smallest such tokens.
+    """
+    index = rules.select(F.xxhash64("tokens", "verdict").alias("rule"), "verdict", "confidence", "support", F.size("tokens").alias("n"),
+                         F.explode("tokens").alias("class")).join(classes, "class")
+    found = urls.select("items").distinct().select("items", F.explode("items").alias("token")).join(index, "token") \
+        .groupBy("items", "rule", "class", "verdict", "confidence", "support", "n").agg(F.min("token").alias("token")) \
+        .groupBy("items", "rule", "verdict", "confidence", "support", "n") \
+        .agg(F.count("*").alias("hits"), F.array_join(F.array_sort(F.collect_list("token")), " ").alias("text")).where("hits = n")
+    best = F.min_by("verdict", F.struct(-F.col("confidence"), -F.col("support"), "n", "text", "verdict"))
     return found.groupBy("items").agg(best.alias("mined"))
 
 
@@ -108,8 +158,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: s
     rule, verdict = listed_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "verdict": verdict})
     labelled = rows.where("verdict IS NOT NULL AND size(items) > 0").select("items", "verdict")
-    mined = match_rules(rows.where("verdict IS NULL AND size(items) > 0"),
-                        mined_rules(labelled, min_support, min_confidence))
-    return rows.join(mined, "items", "left").select(
-        F.col("id").alias(id_col), "host", "path", "rule",
-        F.coalesce("verdict", "mined", F.lit(default)).alias("verdict"))
+    # rows that a list decides, or that have no tokens, meet no rule: the others alone are joined by their tokens
+    is_open = F.col("verdict").isNull() & (F.size("items") > 0)
+    mined = match_rules(rows.where(is_open), *mined_classes(labelled, min_support, min_confidence))
+    out = [F.col("id").alias(id_col), "host", "path", "rule"]
+    settled = rows.where(~is_open).select(*out, F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    return settled.unionByName(rows.where(is_open).join(mined, "items", "left")
+                               .select(*out, F.coalesce("mined", F.lit(default)).alias("verdict")))
