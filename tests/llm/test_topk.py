@@ -25,8 +25,10 @@ def vectors(spark, rows):
     return spark.createDataFrame([(i, v, "x", "y") for i, v in rows], "vec_id long, embedding array<double>, id string, v string")
 
 
-@pytest.mark.parametrize("spread", [0.0, 1.5])
-def test_as_brute_force(spark, monkeypatch, spread):
+@pytest.mark.parametrize("spread, first", [(0.0, 1 << 18), (1.5, 1 << 18), (1.5, 20)])
+def test_as_brute_force(spark, monkeypatch, spread, first):
+    monkeypatch.setattr(topk_search, "FIRST_GROUP", first)
+    monkeypatch.setattr(topk_search, "GROWTH", 2)
     monkeypatch.setattr(topk_search, "BLOCK", 64)
     monkeypatch.setattr(topk_search, "QUERY_BLOCK", 8)
     r = np.random.default_rng(4)
@@ -59,3 +61,41 @@ def test_pruning_leaves_little(monkeypatch):
     assert set(block.ids[:n]) >= set(np.flatnonzero(x @ q >= best))
     assert topk_search.products(np.array([[2**40]]), np.array([[2**20]]))[0, 0] == 2**60
     assert search_block.__doc__
+
+
+def test_candidates_go_only_where_they_are_asked_for(spark, monkeypatch):
+    """With ten times the rows of short vectors the pairs that are shuffled stay the same."""
+    monkeypatch.setattr(topk_search, "BLOCK", 32)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk_search, "FIRST_GROUP", 40)
+    r = np.random.default_rng(6)
+    seen = []
+    real = topk_search.dealt
+
+    def counting(base, queries, group):
+        cands, asked = real(base, queries, group)
+        seen.append(cands.count())
+        return cands, asked
+
+    monkeypatch.setattr(topk_search, "dealt", counting)
+    monkeypatch.setattr(topk_search, "SEEDS", 4)
+    sent = []
+    long = [(20 * i, (40 * r.normal(size=6) + 60).tolist()) for i in range(12)]
+    for n in (300, 3000):
+        rows = long + [(1001 + 20 * i + i % 19, (0.02 * r.normal(size=6)).tolist()) for i in range(n)]
+        seen.clear()
+        got = {tuple(x) for x in top_k(vectors(spark, rows), F.col("vec_id") % 20 == 0, 3).collect()}
+        assert got == brute(rows, 3, 20)
+        sent.append(sum(seen))
+    assert max(sent) <= 12 * 3  # the long vectors, once for each block of queries
+
+
+def test_a_repeated_id_and_large_components(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK", 16)
+    rows = [(7, [1.0, float(i % 50)]) for i in range(400)] + [(20, [1.0, 1.0]), (21, [0.5, 2.0])]
+    got = {tuple(x) for x in top_k(vectors(spark, rows), F.col("vec_id") == 20, 5).collect()}
+    assert got == brute(rows, 5, 20)
+    base = spark.range(400).select(F.pmod(F.xxhash64("id"), F.lit(25)).alias("b")).groupBy("b").count()
+    assert base.count() == 25 and max(x["count"] for x in base.collect()) < 40
+    with pytest.raises(Exception, match="64 bits"):
+        top_k(vectors(spark, [(20, [1e9, 1e9]), (1, [1e9, 1e9])]), F.col("vec_id") == 20, 2).collect()

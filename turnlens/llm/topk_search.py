@@ -9,9 +9,13 @@ small part of the bucket's list sorted by that coordinate, otherwise by length.
 verified by exact products.
 
 Queries and buckets are cut into blocks of bounded size, so no task holds more than one block of
-each. Nothing is approximate: recall is 1 and ties go to the smaller id.
+each; rows are dealt to blocks by their own number, so a repeated id fills no block alone. A block of
+candidates is sent only to the query blocks of which some query asks for its bucket. Buckets are searched
+in groups, the longest vectors first and each group ``GROWTH`` times as large as the last: after a group
+the thresholds rise to the k-th best scores so far, and fewer queries ask for the next. Nothing is
+approximate: recall is 1 and ties go to the smaller id.
 
-Components are scaled and floored to integers. Rows with a null id, a null vector, a null or
+Components are scaled and floored to integers; inner products that may not fit into 64 bits raise an error. Rows with a null id, a null vector, a null or
 non-finite component take no part. Missing trailing components count as 0. A query's own id is never
 among its results. Repeated rows are candidates each for itself; repeated query rows count once.
 """
@@ -25,13 +29,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnlens.llm.common import saved
+from turnlens.llm.common import saved, stored
 
 SCALE = 1024
 #: Rows of a block of candidates and of queries; bounds a task's memory.
 BLOCK, QUERY_BLOCK = 4096, 1024
 #: Longest vectors that give the first thresholds (a fixed number, broadcast).
 SEEDS = 512
+#: Rows of the first group of buckets, and the growth of the next ones; pairs of buckets and query blocks that are broadcast.
+FIRST_GROUP, GROWTH, MOST_PAIRS = 1 << 18, 4, 200_000
 #: Ratio of the lengths within a bucket.
 RATIO = 1.02
 #: The list of a coordinate is used if it leaves at most this share of a block.
@@ -61,6 +67,8 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if most < 2.0**53:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
+    if most >= 2.0**63:
+        raise OverflowError("top-k search: inner products of these vectors may not fit into 64 bits")
     return a @ b.T
 
 
@@ -158,7 +166,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
         .withColumn("norm", norm) \
         .withColumn("bucket", F.when(F.col("norm") > 0, F.floor(F.log("norm") / float(np.log(RATIO)))).otherwise(-1)
                     .cast("long"))
-    base = saved(base)
+    base = saved(base.withColumn("row", F.monotonically_increasing_id()))
     seeds = base.orderBy(F.desc("norm"), "id").limit(SEEDS).select("id", "v").collect()  # SEEDS rows
     seed_ids = np.array([r["id"] for r in seeds], dtype=np.int64)
     seed_rows = [r["v"] for r in seeds]
@@ -175,28 +183,54 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     queries = saved(base.where("is_query").select("id", "v", "norm").distinct()
                     .mapInPandas(thresholds, "id bigint, v array<bigint>, norm double, threshold double"))
     q_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    queries = queries.withColumn("q_block", F.pmod(F.xxhash64("id", "v"), F.lit(q_blocks)))
     # one row for each occupied bin of the norm's logarithm: their number does not grow with the rows
-    stats = base.groupBy("bucket").agg(F.count("*").alias("n"), F.max("norm").alias("longest"))
-    stats = stats.withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    known = stats.collect()
+    known = base.groupBy("bucket").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).orderBy(F.desc("bucket")).collect()
     if not known:
         return base.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"),
                            F.lit(0).cast("long").alias("score"))
-    bins = F.array(*[F.struct(F.lit(r["bucket"]).alias("bucket"), F.lit(r["longest"]).alias("longest"),
-                              F.lit(r["blocks"]).cast("long").alias("blocks")) for r in known])
+    groups, room = [[]], FIRST_GROUP
+    for r in known:
+        if groups[-1] and sum(x["n"] for x in groups[-1]) + r["n"] > room:
+            groups.append([])
+            room *= GROWTH
+        groups[-1].append(r)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = None
+    for i, group in enumerate(groups):
+        part = search_group(base, queries, group, k)
+        found = part if found is None else found.unionByName(part)
+        if i + 1 < len(groups):
+            found = stored(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "best")
+            kth = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") == k) \
+                .select(F.col("query_id").alias("id"), "kth")
+            queries = stored(queries.join(kth, "id", "left").withColumn("threshold", F.greatest("threshold", F.col("kth").cast("double")))
+                             .drop("kth"), "queries")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k) \
+        .select("query_id", "rank", "vec_id", "score")
+
+
+def dealt(base: DataFrame, queries: DataFrame, group: list) -> tuple[DataFrame, DataFrame]:
+    """Candidates and queries of a group of buckets at the pairs of blocks where they meet (``bucket, block, q_block``)."""
+    numbers = [F.lit(r["bucket"]).cast("long") for r in group]
+    blocks = F.element_at(F.map_from_arrays(F.array(*numbers), F.array(*[F.lit(-(-r["n"] // BLOCK)).cast("long") for r in group])),
+                          F.col("bucket"))
+    bins = F.array(*[F.struct(n.alias("bucket"), F.lit(r["longest"]).alias("longest")) for n, r in zip(numbers, group)])
     asked = queries.withColumn("bin", F.explode(F.filter(
         bins, lambda b: F.col("norm") * b["longest"] * (1 + 1e-9) >= F.col("threshold")))) \
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bin.blocks") - 1))) \
-        .select(F.col("bin.bucket").cast("long").alias("bucket"), "block",
-                F.pmod(F.xxhash64("id"), F.lit(q_blocks)).alias("q_block"), "id", "v", "threshold")
-    blocks = F.element_at(F.map_from_arrays(F.array(*[F.lit(r["bucket"]).cast("long") for r in known]),
-                                            F.array(*[F.lit(r["blocks"]).cast("long") for r in known])), F.col("bucket"))
-    cands = base.withColumn("block", F.pmod(F.xxhash64("id"), blocks)) \
-        .withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long")))) \
+        .select(F.col("bin.bucket").alias("bucket"), "q_block", "id", "v", "threshold")
+    pairs = saved(asked.select("bucket", "q_block").distinct())
+    pairs = F.broadcast(pairs) if pairs.count() <= MOST_PAIRS else pairs
+    cands = base.join(pairs, "bucket").withColumn("block", F.pmod(F.xxhash64("row"), blocks)) \
         .select("bucket", "block", "q_block", "id", "v")
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))) \
+        .select("bucket", "block", "q_block", "id", "v", "threshold")
+    return cands, asked
+
+
+def search_group(base: DataFrame, queries: DataFrame, group: list, k: int) -> DataFrame:
+    """``query_id, vec_id, score`` of the candidates of a group of buckets that may be among the k best."""
+    cands, asked = dealt(base, queries, group)
     keys = ["bucket", "block", "q_block"]
-    found = cands.groupBy(keys).cogroup(asked.groupBy(keys)).applyInPandas(
+    return cands.groupBy(keys).cogroup(asked.groupBy(keys)).applyInPandas(
         lambda c, q: search_block(c, q, k), "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k) \
-        .select("query_id", "rank", "vec_id", "score")
