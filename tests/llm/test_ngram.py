@@ -9,6 +9,7 @@ import pytest
 
 from tests.llm.conftest import make_docs
 from turnlens.llm import ngram_join
+from turnlens.llm.components import connected, hot_keys, looked_up
 from turnlens.llm.ngram_join import Bands, shingle_set, similar_classes, verify_group
 
 
@@ -42,6 +43,15 @@ def brute(rows, n, percent):
     return sorted(((k, len(s), low.get(root(i)) if s else k) for i, ((k, _), s) in enumerate(zip(rows, sets))), key=str)
 
 
+def brute_links(rows, n, percent):
+    """(id, set size, class, other rows linked with) by comparing all pairs."""
+    sets = [shingles(t, n) for _, t in rows]
+    counts = [sum(i != j and bool(a) and bool(b) and 100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets))
+              for i, a in enumerate(sets)]
+    out = [(k, len(a), c) for (k, _), a, c in zip(rows, sets, counts)]
+    return sorted(out, key=str)
+
+
 def near_copies(seed, groups, size):
     r = random.Random(seed)
     words = ["".join(r.choice("abcdefghijklm") for _ in range(r.randint(2, 7))) for _ in range(2000)]
@@ -75,6 +85,60 @@ def test_many_small_groups(spark, monkeypatch):
     assert got == brute(rows, 3, 90)
 
 
+@pytest.mark.parametrize("group", [300, 500_000])
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+def test_links_as_all_pairs(spark, edge_rows, monkeypatch, n, percent, group):
+    monkeypatch.setattr(ngram_join, "GROUP_SHINGLES", group)
+    rows = [r for r in edge_rows if len(r[1] or "") < 10_000] + near_copies(n, 9, 10) + near_copies(n + 1, 1, 30)
+    rows += rows[-70:-40]  # rows that repeat
+    rows += [(5000 + i, " ".join([*(f"w{k}" for k in range(140)), f"end{i % 45}"])) for i in range(50)]
+    got = similar_classes(make_docs(spark, rows), n, percent, links=True)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    got = [tuple(r) for r in got.collect()]
+    assert sorted(((k, s, m) for k, s, _, m in got), key=str) == brute_links(rows, n, percent)
+    assert sorted((r[:3] for r in got), key=str) == brute(rows, n, percent)
+    assert max(r[3] for r in got) == 49  # one group is linked all through
+
+
+def graph_classes(links):
+    """Smallest node reachable from each, by walking."""
+    near, out = {}, {}
+    for a, b in links:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    for a in sorted(near):
+        if a not in out:
+            todo = [a]
+            while todo:
+                x = todo.pop()
+                if x not in out:
+                    out[x] = a
+                    todo += near[x]
+    return out
+
+
+@pytest.mark.parametrize("shape", ["star", "chain", "stars in a chain", "no links"])
+def test_components_with_hot_nodes_and_labels(spark, shape):
+    links = {"star": [(500, x) for x in range(1000, 1400)] + [(7, 7)],
+             "chain": [(x * 7919 % 1009, (x + 1) * 7919 % 1009) for x in range(300)],
+             "stars in a chain": [(10 * c, 100_000 + 500 * c + x) for c in range(5) for x in range(150 * c + 1)]
+             + [(10 * c, 10 * c + 10) for c in range(4)] + [(9_000_001 + 2 * x, 9_000_002 + 2 * x) for x in range(50)],
+             "no links": []}[shape]
+    frame = spark.createDataFrame(links, "a bigint, b bigint")
+    assert {r["node"]: r["label"] for r in connected(frame).collect()} == graph_classes(links)
+
+
+def test_hot_keys_are_few(spark):
+    rows = spark.range(10_000).selectExpr("CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS k", "id")
+    assert hot_keys(rows, "k") == [-1]
+    assert hot_keys(rows.where("false"), "k") == []
+    assert len(hot_keys(rows.selectExpr("id % 63 AS k"), "k")) == 63
+    pairs = rows.select("k").distinct().selectExpr("k", "k * 2 AS v")
+    found = looked_up(rows, "k", pairs, [-1], "id")
+    assert found.count() == 10_000 and found.where("found = k * 2").count() == 10_000
+
+
 def test_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]

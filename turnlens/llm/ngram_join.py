@@ -20,6 +20,10 @@ node's. There the union of the group's sets bounds the overlap: with fewer than
 node's shingles in the union no member can link, and the group stays closed. Open groups are
 verified exactly, skipping pairs that are already in one class.
 
+Links. To count links, the nodes of all tokens take part, whatever their class, and every pair of a
+group and the nodes sent to it is verified. Pairs are never rows: a task adds up what each node links
+with in its group. This work grows with the pairs of different similar sets, that of classes does not.
+
 The number of rows never grows with the pairs of a group of copies: hubs give one row per node and
 token, the matrix one per node and group. Every link between different classes is found, so classes
 are exact. Shingles and sets are known by hashes of 64 bits; tokens by 48 bits, of which chance
@@ -310,51 +314,104 @@ def node_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame, n: int, id_col
         .join(chosen, ["hash", "node"], "left_semi").dropDuplicates(["node"]).select("node", "shingles")
 
 
+class Members:
+    """The sets of a group: their union, and which of them have each of its shingles."""
+
+    def __init__(self, members: pd.DataFrame, percent: int):
+        self.percent = percent
+        self.sizes = np.array([len(s) for s in members["shingles"]])
+        self.union, self.place, self.frequency = np.unique(np.concatenate(list(members["shingles"])),
+                                                           return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.posting = owner[np.argsort(self.place, kind="stable")]
+        self.begins = np.r_[0, np.cumsum(self.frequency)]
+        self.begin = np.r_[0, np.cumsum(self.sizes)]
+        self.flag = np.zeros(len(self.union), dtype=bool)
+
+    def candidates(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The set's places in the union, and the members that may link with it (none if the group stays closed)."""
+        size = len(shingles)
+        need = -(-size * self.percent // 100)
+        at = np.minimum(np.searchsorted(self.union, shingles), len(self.union) - 1)
+        at = at[self.union[at] == shingles]
+        if len(at) < need:
+            return at, np.zeros(0, dtype=np.int64)  # the union bounds the overlap with every member
+        # a member with the needed overlap has one of any size - need + 1 shingles; the rarest are taken
+        rare = at[np.argsort(self.frequency[at], kind="stable")][:size - need + 1 - (size - len(at))]
+        cands = np.unique(np.concatenate([self.posting[self.begins[i]:self.begins[i + 1]] for i in rare]))
+        sizes = self.sizes[cands]
+        return at, cands[(sizes * 100 >= self.percent * size) & (size * 100 >= self.percent * sizes)]
+
+    def overlap(self, j: int) -> int:
+        """Flagged shingles of member ``j``."""
+        return int(np.count_nonzero(self.flag[self.place[self.begin[j]:self.begin[j + 1]]]))
+
+    def linked(self, size: int, at: np.ndarray, cands: np.ndarray) -> np.ndarray:
+        """The candidates that link with the set of ``size`` shingles at the places ``at``."""
+        self.flag[at] = True
+        if 4 * self.sizes[cands].sum() > len(self.place):  # most of the group: one pass over all its sets
+            same = np.add.reduceat(self.flag[self.place], self.begin[:-1], dtype=np.int64)[cands]
+        else:
+            same = np.array([self.overlap(j) for j in cands.tolist()], dtype=np.int64)
+        self.flag[at] = False
+        return cands[100 * same >= self.percent * (size + self.sizes[cands] - same)]
+
+
+class Classes(dict):
+    """Labels joined so far (union-find)."""
+
+    def root(self, x: int) -> int:
+        while (up := self.setdefault(x, x)) != x:
+            self[x] = x = self[up]
+        return x
+
+
 def verify_group(members: pd.DataFrame, queries: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links (a, b) that join classes between the queries and the members of one group."""
     links: list[tuple[int, int]] = []
     if len(members) and len(queries):
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := parent.setdefault(x, x)) != x:
-                parent[x] = x = parent[up]
-            return x
-
-        m_node, m_label = members["node"].tolist(), members["label"].tolist()
-        sizes = np.array([len(s) for s in members["shingles"]])
-        flat = np.concatenate(list(members["shingles"]))
-        union, place, frequency = np.unique(flat, return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.argsort(place, kind="stable")
-        posting, begins = owner[order], np.r_[0, np.cumsum(frequency)]
-        begin = np.r_[0, np.cumsum(sizes)]
-        flag = np.zeros(len(union), dtype=bool)
+        group, classes = Members(members, percent), Classes()
+        m_node, m_label, root = members["node"].tolist(), members["label"].tolist(), classes.root
         for node, label, shingles in zip(queries["node"].tolist(), queries["label"].tolist(), queries["shingles"]):
-            size = len(shingles)
-            need = -(-size * percent // 100)
-            at = np.minimum(np.searchsorted(union, shingles), len(union) - 1)
-            at = at[union[at] == shingles]
-            if len(at) < need:
-                continue  # the union bounds the overlap with every member: closed
-            # a member with the needed overlap has one of any size - need + 1 shingles; the rarest are taken
-            rare = at[np.argsort(frequency[at], kind="stable")][:size - need + 1 - (size - len(at))]
-            cands = np.unique(np.concatenate([posting[begins[i]:begins[i + 1]] for i in rare]))
-            cands = cands[(sizes[cands] * 100 >= percent * size) & (size * 100 >= percent * sizes[cands])]
-            flag[at] = True
+            at, cands = group.candidates(shingles)
+            group.flag[at] = True
             mine = root(label)
             for j in cands.tolist():
                 other = root(m_label[j])
                 if other == mine:
                     continue
-                same = int(np.count_nonzero(flag[place[begin[j]:begin[j + 1]]]))
-                if 100 * same >= percent * (size + int(sizes[j]) - same):
+                same = group.overlap(j)
+                if 100 * same >= percent * (len(shingles) + int(group.sizes[j]) - same):
                     links.append((node, m_node[j]))
-                    parent[other] = mine
-            flag[at] = False
+                    classes[other] = mine
+            group.flag[at] = False
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
+def count_group(members: pd.DataFrame, queries: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Every link between the queries and the members of one group, counted: (node, node, n) with the rows that have
+    the sets of n linked members other than the node itself. Links that join classes also come by name: (a, b, 0)."""
+    out: list[tuple[int, int, int]] = []
+    if len(members) and len(queries):
+        group, classes = Members(members, percent), Classes()
+        m_node, m_copies = members["node"].to_numpy(), members["copies"].to_numpy()
+        _, first_of, m_label = np.unique(members["label"].to_numpy(), return_index=True, return_inverse=True)
+        names = members["label"].to_numpy()[first_of].tolist()
+        for node, label, shingles in zip(queries["node"].tolist(), queries["label"].tolist(), queries["shingles"]):
+            linked = group.linked(len(shingles), *group.candidates(shingles))
+            linked = linked[m_node[linked] != node]
+            if not len(linked):
+                continue
+            out.append((node, node, int(m_copies[linked].sum())))
+            labels, at = np.unique(m_label[linked], return_index=True)
+            for k, j in zip(labels.tolist(), linked[at].tolist()):
+                other, mine = classes.root(names[k]), classes.root(label)
+                if other != mine:
+                    out.append((node, int(m_node[j]), 0))
+                    classes[other] = mine
+    return pd.DataFrame(out, columns=["a", "b", "n"], dtype="int64")
+
+
 def hub_links(tokens: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     """Links between nodes and hubs that share enough tokens, verified."""
     pairs = shared_enough(tokens.where("node <> hub"), "node", "hub")
@@ -367,11 +424,18 @@ def hub_links(tokens: DataFrame, shingles: DataFrame, percent: int) -> DataFrame
         .select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
-def group_links(tokens: DataFrame, shingles: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links between nodes of different classes that share a token, through the token-group matrix."""
-    marked = tokens.join(labels, "node")
-    spread = marked.groupBy("hash").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h")
-    opened = stored(marked.join(spread.select("hash"), "hash", "left_semi"), "open")
+def group_links(tokens: DataFrame, shingles: DataFrame, labels: DataFrame, percent: int,
+                copies: DataFrame | None = None) -> DataFrame:
+    """Links ``a, b`` between nodes of different classes that share a token, through the token-group matrix.
+
+    With ``copies`` (node, copies) the nodes of every token meet, those of one class too, and all their links are
+    counted: ``a, b, n`` as ``count_group`` gives them.
+    """
+    opened = tokens.join(labels, "node")
+    if copies is None:
+        spread = opened.groupBy("hash").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h")
+        opened = opened.join(spread.select("hash"), "hash", "left_semi")
+    opened = stored(opened, "open")
     sizes = shingles.select("node", F.size("shingles").cast("long").alias("size"))
     nodes = opened.groupBy("node", "label").agg(F.min("hub").alias("hub")).join(sizes, "node")
     classes = nodes.groupBy("label").agg(F.min("hub").alias("cluster"), F.sum("size").alias("class_size"))
@@ -380,30 +444,42 @@ def group_links(tokens: DataFrame, shingles: DataFrame, labels: DataFrame, perce
     big = F.col("class_size") > GROUP_SHINGLES
     group = F.when(big, F.xxhash64("label", F.pmod(F.xxhash64("node"), F.ceil(F.col("class_size") / GROUP_SHINGLES)))) \
         .otherwise(F.xxhash64("cluster", F.lit(-1), F.pmod(F.xxhash64("label"), F.ceil(F.col("cluster_size") / GROUP_SHINGLES))))
-    grouped = stored(grouped.select("node", "label", "size", group.alias("group")), "groups")
-    pure = grouped.groupBy("group").agg(F.min("label").alias("l"), F.max("label").alias("h")) \
-        .select("group", F.when(F.col("l") == F.col("h"), F.col("l")).alias("only"))
+    grouped = grouped.select("node", "label", "size", group.alias("group"))
+    if copies is not None:
+        grouped = grouped.join(copies, "node")
+    grouped = stored(grouped, "groups")
     own = opened.select("hash", "node", "need").join(grouped, "node")
-    matrix = own.select("hash", F.col("group").alias("other")).distinct() \
-        .join(pure.withColumnRenamed("group", "other"), "other")
-    met = own.join(matrix, "hash").where((F.col("group") <= F.col("other"))
-                                         & (F.col("only").isNull() | (F.col("only") != F.col("label"))))
+    matrix = own.select("hash", F.col("group").alias("other")).distinct()
+    if copies is None:
+        pure = grouped.groupBy("group").agg(F.min("label").alias("l"), F.max("label").alias("h")) \
+            .select(F.col("group").alias("other"), F.when(F.col("l") == F.col("h"), F.col("l")).alias("only"))
+        met = own.join(matrix.join(pure, "other"), "hash") \
+            .where((F.col("group") <= F.col("other")) & (F.col("only").isNull() | (F.col("only") != F.col("label"))))
+    else:
+        met = own.join(matrix, "hash")
     asked = stored(shared_enough(met, "other", "node", "label", "size").withColumnRenamed("other", "group"), "asked")
     chunks = asked.groupBy("group").agg(F.ceil(F.sum("size") / GROUP_SHINGLES).alias("chunks"))
     queries = asked.join(chunks, "group") \
         .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))) \
         .join(shingles, "node").select("group", "chunk", "node", "label", "shingles") \
         .toDF("group", "chunk", "node", "label", "shingles")
-    members = grouped.select("group", "node", "label").join(chunks, "group") \
+    extra = [] if copies is None else ["copies"]
+    members = grouped.select("group", "node", "label", *extra).join(chunks, "group") \
         .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))) \
-        .join(shingles, "node").select("group", "chunk", "node", "label", "shingles")
-    return members.groupBy("group", "chunk").cogroup(queries.groupBy("group", "chunk")) \
-        .applyInPandas(lambda m, q: verify_group(m, q, percent), "a bigint, b bigint")
+        .join(shingles, "node").select("group", "chunk", "node", "label", "shingles", *extra)
+    both = members.groupBy("group", "chunk").cogroup(queries.groupBy("group", "chunk"))
+    if copies is None:
+        return both.applyInPandas(lambda m, q: verify_group(m, q, percent), "a bigint, b bigint")
+    return both.applyInPandas(lambda m, q: count_group(m, q, percent), "a bigint, b bigint, n bigint")
 
 
 def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """``id_col, n_shingles, component_id`` of every row; the component is named by its smallest id."""
+                    text_col: str = "text", links: bool = False) -> DataFrame:
+    """``id_col, n_shingles, component_id`` of every row; the component is named by its smallest id.
+
+    With ``links`` also ``n_links``: how many other rows the row links with, those with the same set included.
+    Every candidate pair of different sets is then verified, also within a class, and counted where it is found.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     sets = stored(document_sets(docs, n, percent, id_col, text_col), "sets")
@@ -414,14 +490,23 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     shingles = stored(node_sets(docs, sets, tokens.select("node").distinct(), n, id_col, text_col), "shingles")
     first = stored(hub_links(tokens, shingles, percent), "hub-links")
     classes = connected(first)
-    labels = tokens.select("node").distinct().join(classes, "node", "left") \
-        .select("node", F.coalesce("label", "node").alias("label"))
-    second = group_links(tokens, shingles, stored(labels, "labels"), percent)
-    classes = connected(first.union(second))
-    smallest = sets.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("low")) \
-        .join(classes, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
+    labels = stored(tokens.select("node").distinct().join(classes, "node", "left")
+                    .select("node", F.coalesce("label", "node").alias("label")), "labels")
+    smallest = sets.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
+    if links:
+        smallest = stored(smallest, "copies")
+        second = stored(group_links(tokens, shingles, labels, percent, smallest.select("node", "copies")), "links")
+        counted = second.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+        smallest = smallest.join(counted, "node", "left") \
+            .withColumn("n_links", F.coalesce("n", F.lit(0).cast("long")) + F.col("copies") - 1)
+    else:
+        second = group_links(tokens, shingles, labels, percent)
+    classes = connected(first.union(second.select("a", "b")))
+    extra = ["n_links"] if links else []
+    smallest = smallest.join(classes, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"), *extra)
     named = smallest.join(smallest.groupBy("label").agg(F.min("low").alias("component_id")), "label") \
-        .select("node", "component_id")
+        .select("node", "component_id", *extra)
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     return sets.select("id", "n_shingles", "node").join(named, "node", "left") \
-        .select(F.col("id").alias(id_col), "n_shingles",
-                F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+        .select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
+                *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in extra])

@@ -139,13 +139,14 @@ links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM items a JOIN items b ON a.x =
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
 sides AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
 reach(node, root) AS (SELECT doc_id, doc_id FROM sets UNION SELECT l.v, r.root FROM reach r JOIN sides l ON l.u = r.node)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id
-FROM sets s JOIN (SELECT node, min(root) AS component_id FROM reach GROUP BY node) r ON r.node = s.doc_id"""
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id, coalesce(n.n, 0) AS n_links
+FROM sets s JOIN (SELECT node, min(root) AS component_id FROM reach GROUP BY node) r ON r.node = s.doc_id
+LEFT JOIN (SELECT u, count(*) AS n FROM sides GROUP BY u) n ON n.u = s.doc_id"""
 
 
 @register("op8_ngram_join", CLASS_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_classes(table(spark, sf_dir, "documents"), 3, 90)
+    return similar_classes(table(spark, sf_dir, "documents"), 3, 90, links=True)
 
 
 URL_SQL = r"""
