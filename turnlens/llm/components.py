@@ -37,8 +37,9 @@ def looked_up(rows: DataFrame, key: str, pairs: DataFrame, hot: list[int], sprea
 def connected(links: DataFrame) -> DataFrame:
     """``node, label`` of every node of ``links`` (columns a, b): the smallest node of its component.
 
-    Each round takes the smallest label among a node and its neighbours and then that label's own
-    label, so long chains shorten by more than one step. Every round is written as a table: its size is then
+    Each round takes the smallest label among a node and its neighbours; the node that gave a class its label
+    takes the smallest that any node of the class met, and all take the label of their label. So whole classes
+    join at once and long chains halve. Every round is written as a table: its size is then
     known, while sizes estimated through a checkpoint multiply with every round's joins. A node with very many
     links and a label that very many nodes have are spread over all tasks.
     """
@@ -51,7 +52,10 @@ def connected(links: DataFrame) -> DataFrame:
         near = looked_up(both, "b", pairs, hubs, "a").groupBy(F.col("a").alias("other")).agg(F.min("found").alias("low"))
         nearest = stored(labels.join(near, labels["node"] == near["other"])
                          .select("node", F.col("label").alias("old"), F.least("label", "low").alias("label")), "nearest")
-        new = stored(looked_up(nearest, "label", pairs, hot_keys(nearest, "label"), "node")
+        hooks = nearest.groupBy(F.col("old").alias("root")).agg(F.min("label").alias("hook"))
+        raised = nearest.join(hooks, F.col("node") == F.col("root"), "left") \
+            .select(F.col("node").alias("k"), F.least("label", "hook").alias("v"))
+        new = stored(looked_up(nearest, "label", raised, hot_keys(nearest, "label"), "node")
                      .select("node", "old", F.least("label", "found").alias("label")), "labels")
         labels = new.select("node", "label")
         if new.where("old <> label").isEmpty():
