@@ -10,7 +10,7 @@ import pytest
 from tests.llm.conftest import make_docs
 from turnlens.llm import ngram_join
 from turnlens.llm.components import connected, hot_keys, looked_up
-from turnlens.llm.ngram_join import Bands, shingle_set, similar_classes, verify_group
+from turnlens.llm.ngram_join import Bands, shingle_set, similar_classes, verify_group, word_hashes
 
 
 def shingles(text, n):
@@ -176,3 +176,20 @@ def test_closed_groups_and_classes():
 
 def test_empty_table(spark):
     assert similar_classes(make_docs(spark, []), 3, 90).count() == 0
+
+
+def test_word_hashes_know_words_by_their_bytes(monkeypatch):
+    """Words split as the contract says, equal hashes for equal words only, whatever piece or length."""
+    rng = random.Random(5)
+    texts = ["", " \t ", "One one ONE", "é É\x85\xa0a", "a\x1cb a\x0bb", "y" * 256 + " " + "y" * 257, "ab ba aab aba baa",
+             "z" * 300 + "   " + "z" * 300 + "\n", "q" * 255 + " " * 300 + "q" * 255, "\ud800 a"]
+    texts += ["".join(rng.choice("abA \t\n\r\x0c") for _ in range(rng.randrange(900))) for _ in range(300)]
+    seen, words = {}, {}
+    for piece in (1 << 20, 300):
+        monkeypatch.setattr(ngram_join, "PIECE_BYTES", piece)
+        for t in texts:
+            lower = bytes(x + 32 if 65 <= x <= 90 else x for x in t.encode("utf-8", "replace"))
+            parts, hashes = lower.split(), word_hashes(t).tolist()
+            assert len(parts) == len(hashes)
+            for w, h in zip(parts, hashes):
+                assert seen.setdefault(w, h) == h and words.setdefault(h, w) == w

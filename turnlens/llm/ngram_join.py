@@ -55,46 +55,78 @@ GROUP_SHINGLES = 500_000
 BUCKET_TOKENS, PACK_TOKENS = 500_000, 500_000
 #: Bits of a token, and bytes of a token and of a node in a pack.
 TOKEN_BITS, TOKEN_BYTES, NODE_BYTES = 48, 6, 5
-#: Distinct words remembered by a worker (speed only).
-MEMORY = 200_000
+#: Bytes of a text whose words are hashed at once (more than a word's), and of a word that is hashed by its letters' places.
+PIECE_BYTES, WORD_BYTES = 1 << 20, 256
+#: Cells of a pairing whose borders a worker remembers (speed only).
+CELLS = 10_000
 
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: A-Z lower-cased, ASCII white space as a blank.
+LOWER = bytes(32 if x in b"\t\n\v\f\r" else x + 32 if 65 <= x <= 90 else x for x in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
-    """A well-spread 64-bit function of 64-bit numbers."""
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(30))) * MIX[1]
-        h = (h ^ (h >> np.uint64(27))) * MIX[2]
-        return h ^ (h >> np.uint64(31))
+    """A well-spread 64-bit function of an array of 64-bit numbers."""
+    h = (h ^ (h >> np.uint64(30))) * MIX[1]
+    h = (h ^ (h >> np.uint64(27))) * MIX[2]
+    return h ^ (h >> np.uint64(31))
 
 
-class Words(dict):
-    """Hash of each word."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMORY:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+#: A number for each byte (none for the blank), and a factor for each place in a word.
+LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * MIX[0])
+LETTERS[32] = 0
+PLACES = np.cumprod(np.full(WORD_BYTES, MIX[0] | np.uint64(3)))
 
 
-_WORDS = Words()
+def piece_words(piece: bytes) -> np.ndarray:
+    """Hashes of the words of a piece of text, in order; words are split at blanks."""
+    raw = np.frombuffer(piece, dtype=np.uint8)
+    inside = raw != 32
+    begin = np.flatnonzero(inside & np.r_[True, ~inside[:-1]])
+    if not len(begin):
+        return np.zeros(0, dtype=np.uint64)
+    raw = raw[begin[0]:]  # each word and the blanks after it; blanks add nothing
+    begin = begin - begin[0]
+    sizes = np.diff(begin, append=len(raw))
+    place = np.arange(len(raw)) - np.repeat(begin, sizes)
+    hashes = np.add.reduceat(LETTERS[raw] * PLACES[np.minimum(place, WORD_BYTES - 1)], begin)
+    for i in np.flatnonzero(sizes > WORD_BYTES).tolist():
+        word = raw[begin[i]:begin[i] + sizes[i]].tobytes().rstrip(b" ")
+        if len(word) > WORD_BYTES:
+            hashes[i] = xxhash.xxh64_intdigest(word)
+    return hashes
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of every word, in order: a sum over its bytes and their places, or of a long word xxHash.
+
+    Long texts are cut into pieces at blanks; a piece without a blank is one long word.
+    """
+    raw = text.encode("utf-8", "replace").translate(LOWER)
+    out, at = [], 0
+    while len(raw) - at > PIECE_BYTES:
+        end = raw.rfind(b" ", at, at + PIECE_BYTES)
+        if end >= 0:
+            out.append(piece_words(raw[at:end]))
+        else:
+            end = raw.find(b" ", at)
+            end = len(raw) if end < 0 else end
+            out.append(np.array([xxhash.xxh64_intdigest(raw[at:end])], dtype=np.uint64))
+        at = end + 1
+    return np.concatenate([*out, piece_words(raw[at:])])
 
 
 def shingle_set(text: str, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles."""
-    words = text.encode("utf-8", "replace").translate(LOWER).split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
-    size = min(n, len(words))
-    with np.errstate(over="ignore"):
-        out = np.full(len(h) - size + 1, size, dtype=np.uint64)
-        for k in range(size):
-            out = out * MIX[0] + mixed(h[k:len(h) - size + 1 + k])
-    return np.unique(mixed(out))
+    h = mixed(word_hashes(text))
+    if not len(h):
+        return h
+    size = min(n, len(h))
+    out = np.full(len(h) - size + 1, size, dtype=np.uint64)
+    for k in range(size):
+        out = out * MIX[0] + h[k:len(h) - size + 1 + k]
+    out = np.sort(mixed(out))
+    return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def set_hash(shingles: np.ndarray) -> int:
@@ -106,6 +138,7 @@ class Bands:
 
     def __init__(self, percent: int):
         self.percent, self.edges = percent, [1]
+        self.borders: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def band(self, size: int) -> int:
         while self.edges[-1] <= size:
@@ -121,6 +154,17 @@ class Bands:
         more = 1 + differ // 10
         return (differ + 1 + more, more) if differ else (0, 0)
 
+    def cut(self, cells: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first hash (upper 32 bits) of each cell, and a number for each cell."""
+        if (known := self.borders.get(cells)) is not None:
+            return known
+        # cell = high * cells >> 32
+        first = -(-(np.arange(cells + 1, dtype=np.uint64) << np.uint64(32)).astype(np.int64) // cells)
+        made = first.astype(np.uint64), np.arange(cells, dtype=np.uint64) * MIX[0]
+        if cells <= CELLS:
+            self.borders[cells] = made
+        return made
+
     def tokens(self, shingles: np.ndarray) -> tuple[np.ndarray, list[int]]:
         """Matrix tokens of a sorted set, and how many of them a linked set shares at least.
 
@@ -137,12 +181,10 @@ class Bands:
                 cells, more = self.cells(pairing)
                 if not cells:
                     continue
-                # first hash of each cell: cell = high * cells >> 32
-                cut = -(-(np.arange(cells + 1, dtype=np.uint64) << np.uint64(32)).astype(np.int64) // cells)
-                at = np.searchsorted(high, cut.astype(np.uint64))
-                cell = np.arange(cells, dtype=np.uint64)
+                first, number = self.cut(cells)
+                at = np.searchsorted(high, first)
                 content = sums[at[1:]] - sums[at[:-1]]
-                token = mixed(mixed(content + cell * MIX[0]) + np.uint64(pairing) * MIX[1] + np.uint64(cells))
+                token = mixed(mixed(content + number) + np.uint64(pairing) * MIX[1] + np.uint64(cells))
                 token = token >> np.uint64(64 - TOKEN_BITS)
                 token = (token & ~np.uint64(1)) | np.uint64(pairing & 1)
                 full = at[1:] > at[:-1]
