@@ -56,16 +56,20 @@ def coded(*columns: pa.Array) -> list[Lists]:
     return out
 
 
-def gram_overlap(a: Lists, b: Lists, max_order: int, weight: np.ndarray | None = None) -> list[dict[str, np.ndarray]]:
+def gram_overlap(a: Lists, b: Lists, max_order: int, weight: np.ndarray | None = None,
+                 group: np.ndarray | None = None) -> list[dict[str, np.ndarray]]:
     """For each order 1..max_order and row: ``a, b`` n-grams of each side, ``both`` clipped common n-grams.
 
-    ``weight`` gives every token of a (then b) a number; an n-gram weighs the mean of its tokens. With
-    it ``a_weight, b_weight, both_weight`` are the same sums of weights.
+    ``group`` numbers the rows' groups (0 up, ascending); the n-grams of a group's rows are then counted
+    together and every result has one number per group. ``weight`` gives every token of a (then b) a
+    number; an n-gram weighs the mean of its tokens. With it ``a_weight, b_weight, both_weight`` are the same sums of weights.
     """
     n_rows, n_a = len(a), len(a.codes)
     codes = np.concatenate([a.codes, b.codes])
     row = np.concatenate([a.rows, b.rows])
     side = np.arange(len(codes)) >= n_a
+    of_row = row if group is None else group[row]
+    n_rows = n_rows if group is None else int(group.max(initial=-1)) + 1
     base = int(codes.max(initial=0)) + 1
     summed = None if weight is None else np.concatenate([[0.0], np.cumsum(weight, dtype=np.float64)])
     gram, out = codes, []
@@ -78,18 +82,18 @@ def gram_overlap(a: Lists, b: Lists, max_order: int, weight: np.ndarray | None =
             gram = np.zeros(len(codes), dtype=np.int64)
             gram[here] = np.unique(pair, return_inverse=True)[1]
         kinds = int(gram.max(initial=0)) + 1
-        key, at = np.unique(row[here] * kinds + gram[here], return_inverse=True)
+        key, at = np.unique(of_row[here] * kinds + gram[here], return_inverse=True)
         in_a = np.bincount(at[~side[here]], minlength=len(key))
         in_b = np.bincount(at[side[here]], minlength=len(key))
         both, of = np.minimum(in_a, in_b), key // kinds
-        found = {"a": np.bincount(row[here][~side[here]], minlength=n_rows), "b": np.bincount(row[here][side[here]], minlength=n_rows),
+        found = {"a": np.bincount(of_row[here][~side[here]], minlength=n_rows), "b": np.bincount(of_row[here][side[here]], minlength=n_rows),
                  "both": np.bincount(of, both, minlength=n_rows)}
         if summed is not None:
             w = (summed[here + n] - summed[here]) / n
             each = np.zeros(len(key))
             each[at] = w  # equal n-grams of a row weigh the same
-            found["a_weight"] = np.bincount(row[here][~side[here]], w[~side[here]], minlength=n_rows)
-            found["b_weight"] = np.bincount(row[here][side[here]], w[side[here]], minlength=n_rows)
+            found["a_weight"] = np.bincount(of_row[here][~side[here]], w[~side[here]], minlength=n_rows)
+            found["b_weight"] = np.bincount(of_row[here][side[here]], w[side[here]], minlength=n_rows)
             found["both_weight"] = np.bincount(of, both * each, minlength=n_rows)
         out.append(found)
     return out

@@ -1,15 +1,16 @@
 """N-gram statistics shared by corpus BLEU (A8, A9), ROUGE-1/2 (A11) and sequence accuracy.
 
-Plan shape (batch): the row table is hash-partitioned once on its key; n-grams
-of both sides are then exploded and counted per ``(key, order, gram)`` inside
-that partitioning, so the only large exchange moves the text rows, not the
-n-grams.  Clipped match counts are additive, so corpus and per-group scores
-are sums of row statistics followed by one closed formula (no second pass
-over the text, no per-row Python).
+Plan shape (batch): the row table is hash-partitioned once on its key and the
+rows of a key stand together; an Arrow UDF then counts the n-grams of a whole
+batch inside its rows, so neither an exchange nor a sort ever moves n-grams.
+Clipped match counts are additive, so corpus and per-group scores are sums of
+row statistics followed by one closed formula (no second pass over the text, no
+per-row Python).
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,65 +22,55 @@ from turnlens.operators import arraykernels as AK
 BLEU_ORDER = 4
 
 
-_FIELDS = "abcdefgh"
-_BIG = 1 << 30
+#: Rows of a batch are counted in parts of about this many tokens, which bounds the arrays of a part.
+PART_TOKENS = 500_000
 
 
-def _shifted(tokens: Column, side: str, max_order: int) -> Column:
-    """``arrays_zip`` of the token array with itself shifted by 1..max_order-1, tagged with the side.
+def _counts_udf(orders: list[int]):
+    """Arrow UDF: ``ARRAY<STRUCT<r, h>>`` of a group's token lists -> ``m{n}``, the clipped matches of the whole group."""
+    out = T.StructType([T.StructField(f"m{n}", T.LongType()) for n in orders])
 
-    Element i holds tokens i..i+max_order-1 (null past the end), so every
-    n-gram starting at i is a plain ``concat_ws`` of its fields: no per-position
-    lambda, and the whole expression is code-generated.
-    """
-    cols = [tokens.alias("a")] + [F.slice(tokens, k + 1, _BIG).alias(_FIELDS[k]) for k in range(1, max_order)]
-    cols.append(F.array_repeat(F.lit(side), F.size(tokens)).alias("s"))
-    return F.arrays_zip(*cols)
-
-
-def _grams_of(z: Column, orders: list[int]) -> Column:
-    """The n-grams (one per order, null past the end) starting at one zipped position."""
-    f = [z[_FIELDS[k]] for k in range(max(orders))]
-    out = []
-    for n in range(1, max(orders) + 1):
-        g = f[0] if n == 1 else F.when(f[n - 1].isNotNull(), F.concat_ws(" ", *f[:n]))
-        out.append(g if n in orders else F.lit(None).cast("string"))
-    return F.array(*out)
+    @F.arrow_udf(out)
+    def counts(texts: pa.Array) -> pa.Array:
+        group = np.repeat(np.arange(len(texts)), AK.sizes_of(texts))
+        flat = texts.flatten()
+        ref, hyp = flat.field("r"), flat.field("h")
+        found = np.zeros((max(orders) + 1, len(texts)), dtype=np.int64)
+        part = np.cumsum(AK.sizes_of(ref) + AK.sizes_of(hyp)) // PART_TOKENS
+        start = np.searchsorted(group, np.arange(len(texts)))   # a group stays in one part: that of its first row
+        for rows in np.split(np.arange(len(flat)), np.flatnonzero(np.diff(part[start][group])) + 1):
+            if len(rows):
+                lo, hi = int(rows[0]), int(rows[-1]) + 1
+                h, r = AK.coded(hyp.slice(lo, hi - lo), ref.slice(lo, hi - lo))
+                for n, found_n in enumerate(AK.gram_overlap(h, r, max(orders), group=group[lo:hi] - group[lo]), 1):
+                    found[n, group[lo]:group[hi - 1] + 1] = found_n["both"]
+        return pa.StructArray.from_arrays([pa.array(found[n]) for n in orders], names=out.fieldNames())
+    return counts
 
 
 def match_stats(df: DataFrame, key: str, ref_tokens: Column, hyp_tokens: Column, orders: list[int],
                 keep: list[str] | None = None, repartition: bool = True) -> DataFrame:
     """Per row: ``m{n}`` clipped matches, ``h{n}`` hyp n-grams, ``r{n}`` ref n-grams, ``hyp_len``, ``ref_len``.
 
-    One pass: explode the token positions of both sides (zipped with their
-    shifted copies, plus one sentinel per row so rows without n-grams
-    survive), emit the n-grams starting there, count per ``(row, order,
-    gram)``, then sum per row.  Both aggregations group on the row key first, so once the rows
-    are hash-partitioned on it neither needs another exchange.  Totals come
-    from the token counts.  ``keep`` columns (e.g. domain) are carried along.
+    Rows that agree in key, ``keep`` columns (e.g. domain) and lengths are one
+    row whose n-grams are counted together; rows without one of the texts are
+    left out.  Once the rows are hash-partitioned on the key, putting such rows
+    together needs no other exchange; the n-grams are counted inside the row by
+    an Arrow UDF and never become rows.  Totals come from the token counts.
     """
     keep = keep or []
     base = df.select(key, *keep, ref_tokens.alias("_r"), hyp_tokens.alias("_h"))
     if repartition:
         base = base.repartition(key)    # elided by Catalyst when already partitioned on the key
-    mo = max(orders)
-    # one sentinel position per row (side '-', matches nothing) keeps rows without tokens
-    sentinel = _shifted(F.array(F.lit("")), "-", mo)
-    zipped = F.concat(sentinel, _shifted(F.col("_r"), "r", mo), _shifted(F.col("_h"), "h", mo))
     ids = [key, *keep, "hyp_len", "ref_len"]
-    pos = base.select(key, *keep, F.size("_h").alias("hyp_len"), F.size("_r").alias("ref_len"),
-                      F.explode(zipped).alias("z"))
-    rows = pos.select(*ids, F.col("z.s").alias("s"), F.posexplode(_grams_of(F.col("z"), orders)).alias("n0", "g")) \
-        .filter(F.col("g").isNotNull())
-    per_gram = rows.groupBy(*ids, (F.col("n0") + 1).alias("n"), "g").agg(
-        F.count_if(F.col("s") == "h").alias("hc"), F.count_if(F.col("s") == "r").alias("rc"))
-    per_row = per_gram.groupBy(*ids).agg(
-        *[F.sum(F.when(F.col("n") == n, F.least("hc", "rc")).otherwise(0)).alias(f"m{n}") for n in orders])
+    sized = base.filter(F.col("_r").isNotNull() & F.col("_h").isNotNull()).select(
+        key, *keep, F.size("_h").alias("hyp_len"), F.size("_r").alias("ref_len"), F.struct(F.col("_r").alias("r"), F.col("_h").alias("h")).alias("_t"))
+    per_row = sized.groupBy(*ids).agg(F.collect_list("_t").alias("_t")).withColumn("_m", _counts_udf(list(orders))("_t"))
     totals = []
     for n in orders:
         totals += [F.greatest(F.col("hyp_len") - n + 1, F.lit(0)).alias(f"h{n}"),
                    F.greatest(F.col("ref_len") - n + 1, F.lit(0)).alias(f"r{n}")]
-    return per_row.select(*ids, *totals, *[f"m{n}" for n in orders])
+    return per_row.select(*ids, *totals, *[F.col(f"_m.m{n}").alias(f"m{n}") for n in orders])
 
 
 def bleu_row_stats(df: DataFrame, key: str = "row_idx", ref: str = "ref", pred: str = "pred",
