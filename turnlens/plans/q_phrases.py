@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from turnlens.operators import phrases as PH
 from turnlens.plans.common import PHRASE_SLOT, r6
 from turnlens.plans.registry import register
+from turnlens.session import scratch_folder
 from turnlens.sources import fixtures as fx
 
 MIN_COUNT = 10
@@ -23,8 +24,11 @@ SELECT c.tok AS token, CAST(c.count AS BIGINT) AS count,
        ELSE (c.count * 1.0 / (SELECT count(*) FROM ex)) * (SELECT p_slot FROM ps) / (u.ucount * 1.0 / (SELECT total FROM tot)) END, 6) AS rank
 FROM cnt c LEFT JOIN uni u ON u.token = c.tok""")
 def pattern_rank(spark, d):
-    """M2 on the first level: every token counted more than ``min_count`` times, with its rank."""
-    turns = fx.turns(spark, d)
+    """M2 on the first level: every token counted more than ``min_count`` times, with its rank.
+
+    Examples, statistics and values all read the turns: the columns they need are joined and stored once.
+    """
+    turns = stored_turns(spark, d)
     toks, ex = PH.example_sentences(turns, PHRASE_SLOT)
     cand = toks.select(F.explode("toks").alias("tok")).filter(F.col("tok") != "").groupBy("tok").agg(F.count(F.lit(1)).alias("count")) \
         .filter(F.col("count") > MIN_COUNT).withColumn("prod", F.lit(1.0))
@@ -32,6 +36,13 @@ def pattern_rank(spark, d):
     return r.select(F.col("tok").alias("token"), "count", r6(F.col("rank")).alias("rank"))
 
 
+def stored_turns(spark, d):
+    """``turn_key, dialog_acts, target`` of all turns, read from files in the shared scratch folder."""
+    out = scratch_folder(spark, "turns")
+    fx.turns(spark, d).select("turn_key", "dialog_acts", "target").write.parquet(out)
+    return spark.read.parquet(out)
+
+
 def patterns_sql(n_grams: int) -> str:
     """M1 with the levels unrolled: positions count from 1, position 0 is before the first token."""
     parts = [f"""ex AS (SELECT t.target FROM acts a JOIN turn_text t ON t.turn_key = a.turn_key WHERE a.slot = '{PHRASE_SLOT}'),
