@@ -249,7 +249,7 @@ def dialogue_task_rows(spark, d):
     from turnlens.operators.dialogue_rows import REPRESENTATIONS, task_rows_of_dialogues
     from turnlens.plans.q_files import scratch
     path = scratch(spark, "raw-dialogues")
-    fx.raw_dialogues(spark, d).write.json(path)
+    fx.raw_dialogues(spark, d).write.json(path, compression="gzip")
     raw = files.read_dialogues(spark, path, multi_line=False)
     out = None
     for task in REPRESENTATIONS:
