@@ -54,19 +54,33 @@ def dialogue_turns(dialogues: DataFrame, dialog_ids: DataFrame | None = None) ->
     A dialogue filter (few-shot ids) is applied as a left-semi join *before* the
     explode so unwanted dialogues are never expanded.
     """
-    d = dialogues
-    if dialog_ids is not None:
-        d = d.join(dialog_ids.select(F.col("dialog_id").alias("dialogue_id")), "dialogue_id", "left_semi")
-    return d.select(F.col("dialogue_id").alias("dialog_id"), F.posexplode("turns").alias("pos", "t")) \
+    return _listed(dialogues, dialog_ids).select(F.col("dialogue_id").alias("dialog_id"), F.posexplode("turns").alias("pos", "t")) \
         .select("dialog_id", "pos", "t.speaker", "t.utterance", "t.frames")
 
 
+def _listed(dialogues: DataFrame, dialog_ids: DataFrame | None) -> DataFrame:
+    if dialog_ids is None:
+        return dialogues
+    return dialogues.join(dialog_ids.select(F.col("dialog_id").alias("dialogue_id")), "dialogue_id", "left_semi")
+
+
 def system_turn_rows(turns: DataFrame) -> DataFrame:
     """P3 + W1: SYSTEM turns with their ordinal among the dialogue's system turns (from 0)."""
     w = Window.partitionBy("dialog_id").orderBy("pos")
     return turns.filter(F.col("speaker") == "SYSTEM").withColumn("turn_id", F.row_number().over(w) - 1)
 
 
+def dialogue_system_turns(dialogues: DataFrame, dialog_ids: DataFrame | None = None) -> DataFrame:
+    """P3 + W1 of whole dialogues -> ``dialog_id, turn_id, speaker, utterance, frames`` of every SYSTEM turn.
+
+    A dialogue's turns stand in its record, so they are numbered there: no
+    window, and no turn is shuffled.  Each record counts from 0.
+    """
+    own = F.filter("turns", lambda t: t["speaker"] == "SYSTEM")
+    return _listed(dialogues, dialog_ids).select(F.col("dialogue_id").alias("dialog_id"), F.posexplode(own).alias("turn_id", "t")) \
+        .select("dialog_id", "turn_id", "t.speaker", "t.utterance", "t.frames")
+
+
 # ------------------------------------------------------------------ S3 schemas
 
 def read_schemas(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:

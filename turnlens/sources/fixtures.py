@@ -64,9 +64,6 @@ def _joined(spark: SparkSession, d: str, splits: list[str] | None = None) -> Dat
         # The split depends on the order key only: filter the orders before the
         # joins, so the filter reaches both scans of the order key.
         od = od.filter(split_of(F.col("o_orderkey")).isin(splits))
-    lp = li.join(pa, li.l_partkey == pa.p_partkey)
-    oc = od.join(cu, od.o_custkey == cu.c_custkey)
-    j = lp.join(oc, lp.l_orderkey == oc.o_orderkey)
     ln = F.col("l_linenumber")
 
     def by_line(mapping: dict, default) -> Column:
@@ -75,6 +72,17 @@ def _joined(spark: SparkSession, d: str, splits: list[str] | None = None) -> Dat
             e = F.when(ln == k, v) if e is None else e.when(ln == k, v)
         return e.otherwise(default)
 
+    # A line uses one of its part's texts: only that one goes on to the next join.
+    text = by_line({1: F.col("p_name"), 2: F.col("p_brand"),
+                    3: F.substring(F.col("l_shipdate").cast("string"), 1, 10),
+                    5: F.lower("p_type"),
+                    6: F.when(F.col("l_returnflag") == "R", "False").otherwise("True")},
+                   F.lit(None).cast("string"))
+    lp = li.join(pa, li.l_partkey == pa.p_partkey).select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", text.alias("text"),
+        F.when((ln == 1) & (F.col("l_quantity") >= 40), F.col("p_brand")).alias("value2"))
+    oc = od.join(cu, od.o_custkey == cu.c_custkey)
+    j = lp.join(oc, F.col("l_orderkey") == F.col("o_orderkey"))
     return j.select(
         F.col("o_orderkey").alias("turn_key"),
         dialog_key("o_custkey").alias("dialog_id"),
@@ -84,13 +92,8 @@ def _joined(spark: SparkSession, d: str, splits: list[str] | None = None) -> Dat
         by_line({1: 4, 2: 3, 3: 0, 4: 6, 5: 2, 6: 0}, F.lit(9)).cast("int").alias("act"),
         by_line({1: "part_name", 2: "brand", 3: "ship_date", 4: "count", 5: "part_type", 6: "in_stock"},
                 F.lit("")).alias("slot"),
-        by_line({1: F.col("p_name"), 2: F.col("p_brand"),
-                 3: F.substring(F.col("l_shipdate").cast("string"), 1, 10),
-                 4: F.col("l_quantity").cast("int").cast("string"),
-                 5: F.lower("p_type"),
-                 6: F.when(F.col("l_returnflag") == "R", "False").otherwise("True")},
-                F.lit(None).cast("string")).alias("value1"),
-        F.when((ln == 1) & (F.col("l_quantity") >= 40), F.col("p_brand")).alias("value2"),
+        F.when(ln == 4, F.col("l_quantity").cast("int").cast("string")).otherwise(F.col("text")).alias("value1"),
+        "value2",
         ((F.col("l_partkey") + ln) % 9 == 0).alias("dropped"),
     )
 
@@ -232,25 +235,28 @@ def raw_dialogues(spark: SparkSession, d: str) -> DataFrame:
     values are the values in capitals.
     """
     from turnlens.functions.columns import decode_acts
-    acts = F.transform(decode_acts("dialog_acts"), lambda a: F.struct(
-        a["act"].alias("act"), a["slot"].alias("slot"), a["values"].alias("values"),
-        F.transform(a["values"], lambda v: F.upper(v)).alias("canonical_values")))
-    call = F.struct(F.lit(FRAME_INTENT).alias("method"))
-    frame = lambda xs: F.struct(F.col("service"), xs.alias("actions"), call.alias("service_call"))
-    two = (F.col("turn_key") % 5 == 0) & (F.size("acts") > 2)
-    t = turns(spark, d).withColumn("acts", acts)
-    frames = F.when(two, F.array(frame(F.slice("acts", 1, 2)), frame(F.slice("acts", 3, 1000)))) \
-        .otherwise(F.array(frame(F.col("acts"))))
-    t = t.select("dialog_id", "service", "turn_key", "target", frames.alias("frames"))
-    none = F.filter("frames", lambda f: F.lit(False))
-    pair = F.array(F.struct(F.lit("USER").alias("speaker"), F.concat(F.lit("Show order "), F.col("turn_key")).alias("utterance"),
-                            none.alias("frames")),
-                   F.struct(F.lit("SYSTEM").alias("speaker"), F.col("target").alias("utterance"), F.col("frames")))
-    g = t.select("dialog_id", "service", "turn_key", pair.alias("pair")).groupBy("dialog_id").agg(
+    # The turns are grouped as they are; what each becomes is built in its dialogue, so that
+    # copies of its values and texts are not shuffled. A dialogue has one turn for an order and service.
+    g = turns(spark, d).groupBy("dialog_id").agg(
         F.sort_array(F.collect_set("service")).alias("services"),
-        F.sort_array(F.collect_list(F.struct("turn_key", "pair"))).alias("xs"))
-    return g.select(F.col("dialog_id").alias("dialogue_id"), "services",
-                    F.flatten(F.transform("xs", lambda x: x["pair"])).alias("turns"))
+        F.sort_array(F.collect_list(F.struct("turn_key", "target", "service", "dialog_acts"))).alias("xs"))
+
+    def frames(x, acts):
+        call = F.struct(F.lit(FRAME_INTENT).alias("method"))
+        frame = lambda xs: F.struct(x["service"].alias("service"), xs.alias("actions"), call.alias("service_call"))
+        two = (x["turn_key"] % 5 == 0) & (F.size(acts) > 2)
+        return F.when(two, F.array(frame(F.slice(acts, 1, 2)), frame(F.slice(acts, 3, 1000)))).otherwise(F.array(frame(acts)))
+
+    def pair(x):
+        acts = F.transform(decode_acts(x["dialog_acts"]), lambda a: F.struct(
+            a["act"].alias("act"), a["slot"].alias("slot"), a["values"].alias("values"),
+            F.transform(a["values"], lambda v: F.upper(v)).alias("canonical_values")))
+        said = frames(x, acts)
+        return F.array(F.struct(F.lit("USER").alias("speaker"), F.concat(F.lit("Show order "), x["turn_key"]).alias("utterance"),
+                                F.filter(said, lambda f: F.lit(False)).alias("frames")),
+                       F.struct(F.lit("SYSTEM").alias("speaker"), x["target"].alias("utterance"), said.alias("frames")))
+
+    return g.select(F.col("dialog_id").alias("dialogue_id"), "services", F.flatten(F.transform("xs", pair)).alias("turns"))
 
 
 def decodes(spark: SparkSession, d: str, sr: Column | None = None, with_acts: bool = False) -> DataFrame:
