@@ -70,3 +70,9 @@ def test_empty_tables(spark):
     docs = make_docs(spark, [])
     assert token_counts(docs, WORD).count() == 0
     assert round_trip(docs, BYTE).count() == 0
+
+
+def test_code_points_of_later_unicode_tables():
+    late = ["\U0003d000", "՘", "\U00011de0", "\U0003fc3f", "Ᲊ", "꟔", "\U00010d50", "\U00016ea0"]
+    texts = [a + b + c for a in ("", "·", "a", "1", " ", "<|endoftext|>") for b in late for c in ("", "·", "a", "1", b)]
+    assert COUNTER.counts(texts) == [len(e.ids) for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
